@@ -77,13 +77,13 @@ DECONTAMINATION_SQL = r"""
 WITH item_words AS (
   SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 item_shingles AS (
-  SELECT DISTINCT item_id, least(len(w), 5) AS width, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), i -> list_slice(w, i, i + least(len(w), 5) - 1))) AS shingle
+  SELECT DISTINCT item_id, least(len(w), 5) AS width, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: list_slice(w, i, i + least(len(w), 5) - 1))) AS shingle
   FROM item_words WHERE len(w) > 0),
 items AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_item FROM item_shingles),
 doc_words AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
 doc_shingles AS (
-  SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, greatest(len(w) - width + 2, 1)), i -> list_slice(w, i, i + width - 1))) AS shingle
+  SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, greatest(len(w) - width + 2, 1)), lambda i: list_slice(w, i, i + width - 1))) AS shingle
   FROM doc_words, (SELECT DISTINCT width FROM items))
 SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM doc_shingles JOIN items USING (width, shingle)
 GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 75
