@@ -1,8 +1,8 @@
 """Quality rules: fixed base rules, and divergence of a document's histograms from those of languages.
 
-A document's character-class and common-word histograms are compared with language references, counted over the
-whole corpus by its lang column, by Jensen-Shannon distance. A text is kept if some language is near in both;
-histograms of short texts are too coarse to judge and pass.
+A document's character-class and common-word histograms are compared with language references, counted by the
+lang column over all documents that pass the base rules, by Jensen-Shannon distance. A text is kept if some language is
+near in both; the limits are wider for short texts, and the shortest, too coarse to judge, pass.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ SYMBOLS = "#*$%&|<>"
 #: Words of a language's reference, and languages with the most words that have one.
 COMMON_WORDS = 100
 LANGUAGES = 64
-#: Largest Jensen-Shannon distances (base 2, 0 to 1), and the least sizes from which they count.
-MAX_CHAR_DISTANCE = 0.2
-MAX_WORD_DISTANCE = 0.45
+#: Largest Jensen-Shannon distances (base 2, 0 to 1) of an endless text; what the root of the number of words, which shortens it, adds; least sizes.
+MAX_CHAR_DISTANCE, CHAR_SLACK = 0.18, 0.6
+MAX_WORD_DISTANCE, WORD_SLACK = 0.25, 2.0
 MIN_CHARS = 200
 MIN_COUNTED_WORDS = 60
 
@@ -90,6 +90,33 @@ def _distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
+def limits(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest character and word distance of texts of n words."""
+    root = np.sqrt(np.maximum(n, 1))
+    return MAX_CHAR_DISTANCE + CHAR_SLACK / root, MAX_WORD_DISTANCE + WORD_SLACK / root
+
+
+class Base:
+    """Words of a run of documents, and the base rules' counts."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        start, end, self.first = K.words(data, offsets)
+        prefix = K.prefix_hash(data)
+        self.hashes = K.range_hash(prefix, start, end)
+        self.n = np.diff(self.first)
+        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        self.word_chars = _per_document(lead[end] - lead[start], self.first)
+        self.symbols = _per_document(_SYMBOL[data], offsets)
+        self.lines = _lines(data, offsets, start, prefix)
+        windows, at, starts = K.shingles(self.hashes, self.first, 3, short=False)
+        _, twice = _duplicates(windows, K.owner(starts))
+        covered = np.zeros(len(start) + 1, dtype=bool)
+        for k in range(3):
+            covered[at[twice] + k] = True
+        self.repeat = _per_document(covered[:-1], self.first)
+        self.failed = (self.n < MIN_WORDS) | (100 * self.repeat > MAX_REPEAT_PERCENT * self.n)
+
+
 class References:
     """Histograms of languages: character classes, and the commonest words with all others."""
 
@@ -110,13 +137,14 @@ class References:
     def distances(self, chars: np.ndarray, counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Character and word distance from the language that is nearest, against the limits of both."""
         c, w = np.full(len(n), 1.0), np.full(len(n), 1.0)
+        char_limit, word_limit = limits(n)
         best = np.full(len(n), np.inf)
         p = chars / np.maximum(1, chars.sum(axis=1, keepdims=True))
         for k in range(len(self.languages)):
             own = counts[:, self.places[k]] / np.maximum(1, n)[:, None]
             own = np.hstack([own, np.clip(1 - own.sum(axis=1, keepdims=True), 0, 1)])
             dc, dw = _distance(p, self.chars[k]), _distance(own, self.words[k])
-            worst = np.maximum(dc / MAX_CHAR_DISTANCE, dw / MAX_WORD_DISTANCE)
+            worst = np.maximum(dc / char_limit, dw / word_limit)
             nearer = worst < best
             c, w, best = np.where(nearer, dc, c), np.where(nearer, dw, w), np.minimum(best, worst)
         return c, w
@@ -128,12 +156,21 @@ def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         language = batch.column("lang").to_pylist()
         data, offsets = K.buffers(batch.column("text"))
         for i, j, part, offs in K.pieces(data, offsets):
-            for lang, row in zip(language[i:j], _histogram(part, offs), strict=True):
-                sums[lang] = sums.get(lang, 0) + row
+            rows = _histogram(part, offs)
+            for d in np.flatnonzero(~Base(part, offs).failed):
+                sums[language[i + d]] = sums.get(language[i + d], 0) + rows[d]
     for lang, row in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * CLASSES), pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(row)], names=["lang", "class", "n"])
 
 
+def _sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that pass the base rules."""
+    for batch in batches:
+        data, offsets = K.buffers(batch.column("text"))
+        passed = [~Base(part, offs).failed for _, _, part, offs in K.pieces(data, offsets)]
+        yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *passed])))
+
+
 def _histogram(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     kind = _CLASS[data]
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) * CLASSES
@@ -141,9 +178,9 @@ def _histogram(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def references(documents: DataFrame) -> References:
-    """Of all documents by lang, null as a language of its own."""
+    """Of all documents that pass the base rules by lang, null as a language of its own."""
     docs = documents.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    words = docs.select("lang", F.explode(F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")).alias("word")).where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
+    words = docs.mapInArrow(_sound, docs.schema).select("lang", F.explode(F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")).alias("word")).where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top: dict[str, dict[str, int]] = {}
@@ -171,19 +208,8 @@ def quality_rules(documents: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = K.buffers(batch.column(1))
             for i, j, part, offs in K.pieces(data, offsets):
-                start, end, first = K.words(part, offs)
-                prefix = K.prefix_hash(part)
-                hashes = K.range_hash(prefix, start, end)
-                n = np.diff(first)
-                lead = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-                word_chars = _per_document(lead[end] - lead[start], first)
-                symbols = _per_document(_SYMBOL[part], offs)
-                windows, at, starts = K.shingles(hashes, first, 3, short=False)
-                _, twice = _duplicates(windows, K.owner(starts))
-                covered = np.zeros(len(start) + 1, dtype=bool)
-                for k in range(3):
-                    covered[at[twice] + k] = True
-                repeat = _per_document(covered[:-1], first)
+                base = Base(part, offs)
+                n, hashes, first = base.n, base.hashes, base.first
                 chars = _histogram(part, offs)
                 counts = np.zeros((j - i, max(1, len(refs.hashes))))
                 if len(refs.hashes):
@@ -192,9 +218,9 @@ def quality_rules(documents: DataFrame) -> DataFrame:
                     width = len(refs.hashes)
                     counts = np.bincount((K.owner(first) * width + place)[known], minlength=(j - i) * width).reshape(j - i, width)
                 by_char, by_word = refs.distances(chars, counts, n)
-                failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
-                near = ((by_char <= MAX_CHAR_DISTANCE) | (chars.sum(axis=1) < MIN_CHARS)) & ((by_word <= MAX_WORD_DISTANCE) | (n < MIN_COUNTED_WORDS))
-                columns = [n, word_chars, symbols, _lines(part, offs, start, prefix), repeat]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(failed), pa.array(~failed & near), pa.array(by_char), pa.array(by_word)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+                char_limit, word_limit = limits(n)
+                near = ((by_char <= char_limit) | (chars.sum(axis=1) < MIN_CHARS)) & ((by_word <= word_limit) | (n < MIN_COUNTED_WORDS))
+                columns = [n, base.word_chars, base.symbols, base.lines, base.repeat]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(base.failed), pa.array(~base.failed & near), pa.array(by_char), pa.array(by_word)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
