@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-The patterns give base spans of three kinds. Their values are the labelled samples of random strings, all other long
-tokens those of ordinary identifiers; first-order character models of both are counted over the whole
+The patterns give base spans of three kinds. Their values are the labelled samples of random strings, other long tokens
+of letters, - and _ those of ordinary identifiers; first-order character models of both are counted over the whole
 corpus, and tokens whose log-likelihood ratio speaks for a random string are further spans. DataFrame functions only.
 """
 
@@ -28,6 +28,9 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 TOKEN_LEAST = 20
 RATIO_LEAST = 12.0
 RATIO_EACH = 0.5
+#: Weight of a character's chance anywhere in its chance after another, and the count that every character has.
+BACKOFF, SMALL = 20.0, 0.5
+IDENTIFIER = "^[A-Za-z_-]+$"
 #: Character codes from + to z; pairs of them are the whole model.
 FIRST, CODES = 43, 80
 
@@ -48,15 +51,19 @@ def _pairs(value: str) -> F.Column:
 
 
 def _ratios(counts: list[tuple[int, int, int]]) -> list[float]:
-    """Log-likelihood ratio of each pair, add-one smoothed, from (pair, count in random strings, count in identifiers)."""
-    tables = [[1.0] * (CODES * CODES) for _ in range(2)]
-    for pair, good, bad in counts:
-        tables[0][pair] += good
-        tables[1][pair] += bad
+    """Log-likelihood ratio of each pair from (pair, count in random strings, count in identifiers).
+
+    Chances of the second character after the first are smoothed with those of the second anywhere.
+    """
     logs = []
-    for t in tables:
-        sums = [sum(t[a * CODES : (a + 1) * CODES]) for a in range(CODES)]
-        logs.append([math.log(x / sums[k // CODES]) for k, x in enumerate(t)])
+    for side in (1, 2):
+        pairs, firsts, seconds = [0.0] * (CODES * CODES), [0.0] * CODES, [SMALL] * CODES
+        for row in counts:
+            pairs[row[0]] = row[side]
+            firsts[row[0] // CODES] += row[side]
+            seconds[row[0] % CODES] += row[side]
+        total = sum(seconds)
+        logs.append([math.log((x + BACKOFF * seconds[k % CODES] / total) / (firsts[k // CODES] + BACKOFF)) for k, x in enumerate(pairs)])
     return [r - i for r, i in zip(*logs, strict=True)]
 
 
@@ -81,7 +88,7 @@ def secrets(documents: DataFrame) -> DataFrame:
     apart = tokens.join(b, (F.col("doc_id") == F.col("b_doc")) & (F.col("h") == F.col("b_h")) & (F.col("start") < F.col("b_stop")) & (F.col("b_start") < F.col("stop")), "left_anti")
 
     random_pairs = base.select(F.explode(_pairs("value")).alias("pair")).where(F.col("pair").between(0, CODES * CODES - 1)).groupBy("pair").agg(F.count("*").alias("good"), F.lit(0).cast("long").alias("bad"))
-    plain_pairs = apart.select(F.explode(_pairs("value")).alias("pair")).groupBy("pair").agg(F.lit(0).cast("long").alias("good"), F.count("*").alias("bad"))
+    plain_pairs = apart.where(F.col("value").rlike(IDENTIFIER)).select(F.explode(_pairs("value")).alias("pair")).groupBy("pair").agg(F.lit(0).cast("long").alias("good"), F.count("*").alias("bad"))
     counts = random_pairs.unionByName(plain_pairs).groupBy("pair").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     rows = [(r["pair"], r["good"], r["bad"]) for r in counts.collect()]  # at most CODES * CODES rows
     added = apart.limit(0)
