@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one group of documents holds in a task's memory, on average.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 12 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

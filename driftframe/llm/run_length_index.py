@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,7 +199,7 @@ def _stretch_rows(buckets: int):
             s = slice(edge[b], edge[b + 1])
             total = np.concatenate([[0], np.cumsum(size[s])])
             own = raw[np.repeat(first[s] - total[:-1], size[s]) + np.arange(total[-1])]
-            rows.append((int(b), g, key[s].tobytes(), value[s].tobytes(), doc[s].astype(np.uint64).tobytes(), several[s].tobytes(), size[s].astype(np.uint8).tobytes(), own.tobytes()))
+            rows.append((int(b), g, key[s].tobytes(), value[s].tobytes(), doc[s].astype(np.uint64).tobytes(), several[s].tobytes(), size[s].astype(np.uint8).tobytes(), zstandard.compress(own.tobytes(), 3)))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
 
     return run
@@ -320,7 +321,7 @@ def _match_rows(table: pa.Table) -> pa.Table:
     key, value, doc = (_column(table, c) for c in ("key", "hash", "doc"))
     several = [np.frombuffer(x.as_py(), dtype=bool) for c in table.column("several").chunks for x in c]
     size = [np.frombuffer(x.as_py(), dtype=np.uint8) for c in table.column("size").chunks for x in c]
-    raw = [np.frombuffer(x.as_py(), dtype=np.uint8) for c in table.column("bytes").chunks for x in c]
+    raw = [np.frombuffer(zstandard.decompress(x.as_py()), dtype=np.uint8) for c in table.column("bytes").chunks for x in c]
     group = np.repeat(np.arange(len(groups)), [len(k) for k in key])
     key, value, doc, several, size, raw = (np.concatenate(x) for x in (key, value, doc, several, size, raw))
     size, doc = size.astype(np.int64), doc.astype(np.int64)
