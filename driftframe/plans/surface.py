@@ -48,7 +48,6 @@ for _id, _write in (("sk1", sinks.write_csv), ("sk2", sinks.write_per_server), (
     QUERIES[_id] = lambda spark, sf_dir, w=_write: w(_fleet(spark, sf_dir)[0], sinks.scratch(spark))
 QUERIES["sk5"] = lambda spark, sf_dir: sinks.json_lines(view(spark, sf_dir, "customer"), "c_custkey", 20_000)
 QUERIES["sk6"] = lambda spark, sf_dir: view(spark, sf_dir, "discrepancies").select(F.to_json(F.struct("*")).alias("line"))
-bound("sk7", audit.audit_csv_rows, "audit_log")
 fixtures.BUILDERS["cells"] = lambda spark, sf_dir: sinks.cells(spark, view(spark, sf_dir, "documents"), view(spark, sf_dir, "pages"))
 _SQL_MIME = "CASE WHEN kind <> '' THEN kind WHEN lower(ltrim(substr(t, 1, 512))) LIKE '<svg%' THEN 'svg' WHEN lower(ltrim(substr(t, 1, 512))) LIKE '<!doctype html%' OR lower(ltrim(substr(t, 1, 512))) LIKE '<html%' THEN 'html' WHEN lower(ltrim(substr(t, 1, 512))) LIKE '<?xml%' THEN 'xml' WHEN regexp_matches(ltrim(substr(t, 1, 512)), '^[\\[{]') THEN 'json' ELSE 'txt' END"
 VIEWS["cells"] = f"SELECT row_id, column_name, {_SQL_MIME} AS mime, n_bytes, digest, shown FROM (SELECT doc_id AS row_id, 'TEXT' AS column_name, '' AS kind, text AS t, CAST(octet_length(encode(text)) AS INT) AS n_bytes, sha256(text) AS digest, text AS shown FROM documents UNION ALL SELECT page_id, 'CLOB', '', html, CAST(octet_length(encode(html)) AS INT), sha256(html), html FROM pages UNION ALL SELECT * FROM (VALUES (1, 'BLOB', 'pdf', NULL, 5, 'd4bf6a0e2b62c8fd4b5f5bf5ba2dcd9fcb37fe0c8a7cb51c7bb1e6b1d3c1ab06', '')) v WHERE false) c"
@@ -101,7 +100,10 @@ bound("au5", audit.usage_digest, "audit_log", "SELECT tool, connection_id, count
 bound("au6", lambda log: log.groupBy("outcome_raw", audit.outcome("outcome_raw").alias("outcome")).agg(F.count("*").alias("n")), "audit_log", "SELECT outcome_raw, CASE WHEN outcome_raw IN ('allowed', 'denied') THEN outcome_raw ELSE 'error' END AS outcome, count(*) AS n FROM audit_log GROUP BY outcome_raw")
 _NAMES = "json_extract_string(arguments, '$.target.names[*]')"
 bound("tx10", lambda log: log.select("id", audit.target_summary(shown=1).alias("target")), "audit_log", f"SELECT id, concat(json_extract_string(arguments, '$.target.object_type'), ' ', {_NAMES}[1], ' (+', len({_NAMES}) - 1, ' more)') AS target FROM audit_log")
-QUERIES["tx25"] = lambda spark, sf_dir: audit_stream.audit_lines(view(spark, sf_dir, "audit_log"))
+_OUTCOME = "CASE WHEN outcome_raw IN ('allowed', 'denied') THEN outcome_raw ELSE 'error' END"
+bound("tx25", audit_stream.audit_lines, "audit_log", f"SELECT concat('{{\"id\":', id, ',\"tool\":\"', tool, '\",\"connection_id\":', connection_id, ',\"outcome\":\"', {_OUTCOME}, '\",\"severity\":', CASE WHEN outcome_raw = 'allowed' THEN 6 ELSE 4 END, ',\"target\":\"TABLE\"}}') AS value FROM audit_log")
+_QUOTED = lambda c: f"concat(chr(34), replace({c}, chr(34), concat(chr(34), chr(34))), chr(34))"
+bound("sk7", audit.audit_csv_rows, "audit_log", f"SELECT id, concat_ws(',', id, strftime(event_ts, '%Y-%m-%d %H:%M:%S'), tool, connection_id, connection_name, {_OUTCOME}, CASE WHEN reason = '' THEN '' ELSE concat(chr(34), chr(39), replace(reason, chr(34), concat(chr(34), chr(34))), chr(34)) END, row_count, bytes, duration_ms, concat(chr(34), 'TABLE ', {_NAMES}[1], ', ', {_NAMES}[2], chr(34)), {_QUOTED('arguments')}) AS line FROM audit_log")
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +153,9 @@ sql("tx19", "SELECT doc_id, sha256(replace(regexp_replace(text, '\\r\\n?', chr(1
 bound("tx20", text.diff_counts, "ddl_pairs", "SELECT doc_id, CAST(sum(greatest(n, 0)) AS BIGINT) AS added, CAST(sum(greatest(-n, 0)) AS BIGINT) AS removed FROM (SELECT doc_id, line, sum(n) AS n FROM (SELECT doc_id, unnest(string_split(file_text, chr(10))) AS line, 1 AS n FROM ddl_pairs UNION ALL SELECT doc_id, unnest(string_split(server_text, chr(10))), -1 FROM ddl_pairs) l GROUP BY doc_id, line) m GROUP BY doc_id")
 bound("tx21", text.unified, "ddl_pairs")
 bound("ud1", text.diff_operations, "ddl_pairs")
-bound("wn8", lambda p: text.hunks(text.diff_operations(p)), "ddl_pairs")
+VIEWS["changed_lines"] = "SELECT doc_id, line_no AS seq, CASE WHEN contains(lower(line), 'token') THEN '-' ELSE ' ' END AS op, line FROM text_lines"
+_SHOWN = "SELECT * FROM (SELECT *, bool_or(op <> ' ') OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM changed_lines) n WHERE near"
+bound("wn8", text.hunks, "changed_lines", f"SELECT doc_id, sum(gap) OVER (PARTITION BY doc_id ORDER BY seq) AS hunk, seq, op, line FROM (SELECT *, CASE WHEN seq - coalesce(lag(seq) OVER (PARTITION BY doc_id ORDER BY seq), -1) > 1 THEN 1 ELSE 0 END AS gap FROM ({_SHOWN}) s) g")
 sql("tx22", "SELECT id, regexp_matches(lower(sql_text), 'create|select') AS has_spec, regexp_matches(lower(sql_text), 'from') AS has_body, concat(sql_text, chr(10), '/', chr(10), sql_text) AS combined FROM query_log", "SELECT id, lower(sql_text) RLIKE 'create|select' AS has_spec, lower(sql_text) RLIKE 'from' AS has_body, concat(sql_text, chr(10), '/', chr(10), sql_text) AS combined FROM query_log")
 bound("tx23", lambda log: log.select("id", audit.csv_field(F.col("reason")).alias("field")), "audit_log", "SELECT id, CASE WHEN reason = '' THEN '' ELSE concat(chr(34), chr(39), replace(reason, chr(34), concat(chr(34), chr(34))), chr(34)) END AS field FROM audit_log")
 sql("tx24", "SELECT doc_id, concat_ws(chr(9), doc_id, lang, regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g')) AS row_text FROM documents", "SELECT doc_id, concat_ws(chr(9), doc_id, lang, regexp_replace(text, '[\\\\t\\\\r\\\\n]+', ' ')) AS row_text FROM documents")
