@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one group of documents holds in a task's memory, on average.
 GROUP_BYTES = 12 << 20
+#: Files that a compact table has at most where the cluster is small.
+FEWEST_FILES = 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,11 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
+def materialize(df: DataFrame, label: str, compact: bool = True) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    compact: three tasks a core, or an eighth of the shuffle partitions if that is more, write it, so that a small table isn't
+    hundreds of files; tables as large as the input keep their partitions.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftframe/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    files = max(FEWEST_FILES, 3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    out = df.coalesce(files) if compact else df
+    out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

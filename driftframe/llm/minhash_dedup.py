@@ -235,7 +235,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     and stays alone; repeated doc_id values must not occur; other columns are ignored.
     """
     docs = texts(documents)
-    sketch = materialize(docs.mapInArrow(_sketch, SKETCH_SCHEMA), "sketch")
+    sketch = materialize(docs.mapInArrow(_sketch, SKETCH_SCHEMA), "sketch", compact=False)
     full = sketch.where("n_shingles > 0")
     sets = ["n_shingles", "set_hash_a", "set_hash_b"]
     classes = full.groupBy(*sets).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
@@ -243,7 +243,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     alone = sketch.join(reps.where("doc_id != rep"), "doc_id", "left_anti").where("n_shingles > 0")
     rows = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    buckets = materialize(rows.join(shared, "key"), "buckets")
+    buckets = materialize(rows.join(shared, "key"), "buckets", compact=False)
     nodes = buckets.select("id").distinct()
 
     links = tried = None

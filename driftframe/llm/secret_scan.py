@@ -78,7 +78,7 @@ def secrets(documents: DataFrame) -> DataFrame:
     found = docs.select("doc_id", "h", F.explode(F.concat(*(_matches(k) for k in KINDS))).alias("m")).select("doc_id", "h", "m.*").distinct()
     before = Window.partitionBy("doc_id", "h", "kind").orderBy("nth")
     stop = F.sum(F.col("gap").cast("long") + F.col("size")).over(before)
-    spans = materialize(found.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("size")).drop("gap", "nth"), "spans")
+    spans = materialize(found.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("size")).drop("gap", "nth"), "spans", compact=False)
 
     is_kind = lambda k: F.col("kind") == KINDS.index(k)
     long_enough = F.when(is_kind("assign"), F.length("value") >= LEAST["assign"]).when(is_kind("access"), F.col("size") >= LEAST["access"]).otherwise(F.col("size") >= LEAST["hex"])

@@ -112,7 +112,7 @@ def token_counts(documents: DataFrame) -> DataFrame:
 
     Null and empty texts have no tokens. Repeated rows are counted each; other columns are ignored; an empty table gives no rows.
     """
-    blocks = materialize(flat_files(documents), "tokens")
+    blocks = materialize(flat_files(documents), "tokens", compact=False)
     counted = separator_scan(blocks)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     named = blocks.select("file", "block", "doc_ids").withColumn("base", F.coalesce(F.sum(F.size("doc_ids")).over(before), F.lit(0)))
