@@ -40,9 +40,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared): documents that hold 75 percent of an item's distinct five-word shingles, lower-cased.
 
     An item of fewer words is one shingle, its whole sequence; one without words, or null, is in no document. Null and empty
-    documents hold nothing. Rows with one doc_id, or one item_id, count as one document or item; other columns are ignored.
+    documents hold nothing. Rows with one doc_id, or one item_id, count as one document or item; those without are left out; other columns are ignored.
     """
-    docs = documents.select(F.col("doc_id").alias("doc_id"), _words("text").alias("w"))
+    docs = documents.where("doc_id is not null").select("doc_id", _words("text").alias("w"))
     items = benchmark.where("item_id is not null").select("item_id", _words("text").alias("w")).where(F.size("w") > 0)
     items = items.withColumn("width", F.least(F.size("w"), F.lit(SHINGLE_WORDS)))
     items = items.select("item_id", "width", F.explode(_runs(F.col("width"), lambda r: F.array_join(r, " "))).alias("shingle")).distinct()

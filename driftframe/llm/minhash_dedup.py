@@ -232,15 +232,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set is its distinct runs of five
     words, with fewer words the whole sequence. Documents are linked from a Jaccard similarity of 0.75;
     component_id is the smallest doc_id reachable and kept marks it. A null or empty text has no set
-    and stays alone; repeated doc_id values must not occur; other columns are ignored.
+    and stays alone. Rows without a doc_id are left out; rows with one doc_id get a row each, by their own text; other columns are ignored; an empty table gives no rows.
     """
-    docs = texts(documents)
+    docs = texts(documents).where("doc_id is not null")
     sketch = materialize(docs.mapInArrow(_sketch, SKETCH_SCHEMA), "sketch", compact=False)
     full = sketch.where("n_shingles > 0")
     sets = ["n_shingles", "set_hash_a", "set_hash_b"]
     classes = full.groupBy(*sets).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    reps = materialize(full.join(classes.where("copies > 1").select(*sets, F.col("id").alias("rep")), sets, "left").select(F.col("doc_id"), F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    alone = sketch.join(reps.where("doc_id != rep"), "doc_id", "left_anti").where("n_shingles > 0")
+    # each row with the smallest doc_id of its class; only those rows are looked up further
+    reps = materialize(full.join(classes.where("copies > 1").select(*sets, F.col("id").alias("rep")), sets, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.coalesce("rep", "doc_id") == F.col("doc_id"), F.col("bands")).alias("bands")), "classes", compact=False)
+    alone = reps.where("doc_id = rep")
     rows = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     buckets = materialize(rows.join(shared, "key"), "buckets", compact=False)
@@ -267,5 +268,21 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         comps = materialize(components(found if links is None else links.unionByName(found), nodes), "components")
 
     near = comps.select(F.col("id").alias("rep"), "component")
-    out = sketch.select("doc_id", "n_shingles").join(reps, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(near, "rep", "left")
+    every = reps.select("doc_id", "n_shingles", "rep").unionByName(sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep")))
+    out = every.join(near, "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM words UNION SELECT reach.a, steps.y FROM reach JOIN steps ON steps.x = reach.b),
+found AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT f.doc_id, coalesce(n, 0) AS n_shingles, component_id, f.doc_id = component_id AS kept FROM found f LEFT JOIN sizes USING (doc_id)
+"""

@@ -10,7 +10,7 @@ from .common import read
 from .decontamination import DECONTAMINATION_SQL, contaminated
 from .line_dedup import LINE_DEDUP_SQL, line_dedup_report
 from .lm_scoring import cross_entropy_difference
-from .minhash_dedup import near_duplicates
+from .minhash_dedup import NEAR_DUPLICATES_SQL, near_duplicates
 from .packing import pack_sequences
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
@@ -74,4 +74,8 @@ _ALL = (
     op10_markov_secrets,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op7_decontamination": DECONTAMINATION_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_dedup": NEAR_DUPLICATES_SQL,
+    "op3_line_dedup": LINE_DEDUP_SQL,
+    "op7_decontamination": DECONTAMINATION_SQL,
+}

@@ -418,10 +418,11 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document of ``documents`` (doc_id, text, ...).
 
     Texts are UTF-8 bytes; each byte covered by a string of 50 bytes that also starts in a document with a smaller
-    doc_id is removed, judged on the input. Null and empty texts have no bytes; a text under 50 bytes keeps all;
-    doc_id must be unique; other columns are ignored; an empty table gives no rows.
+    doc_id is removed, judged on the input. Null and empty texts have no bytes; a text under 50 bytes keeps all.
+    Rows without a doc_id are left out; rows with one doc_id get a row each and don't remove from each other; other columns are
+    ignored; an empty table gives no rows.
     """
-    docs = texts(documents)
+    docs = texts(documents).where("doc_id is not null")
     groups = group_count(text_bytes(docs))
     docs = docs.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long")).repartition(groups, "g")
     by = lambda: docs.select(*(F.col(c).alias(c) for c in ("doc_id", "text", "g"))).groupBy("g")

@@ -85,7 +85,7 @@ def secrets(documents: DataFrame) -> DataFrame:
     base = spans.where(~is_kind("markov") & long_enough)
     tokens = spans.where(is_kind("markov")).alias("t")
     b = base.select(F.col("doc_id").alias("b_doc"), F.col("h").alias("b_h"), F.col("start").alias("b_start"), F.col("stop").alias("b_stop")).alias("b")
-    apart = tokens.join(b, (F.col("doc_id") == F.col("b_doc")) & (F.col("h") == F.col("b_h")) & (F.col("start") < F.col("b_stop")) & (F.col("b_start") < F.col("stop")), "left_anti")
+    apart = tokens.join(b, F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("h") == F.col("b_h")) & (F.col("start") < F.col("b_stop")) & (F.col("b_start") < F.col("stop")), "left_anti")
 
     random_pairs = base.select(F.explode(_pairs("value")).alias("pair")).where(F.col("pair").between(0, CODES * CODES - 1)).groupBy("pair").agg(F.count("*").alias("good"), F.lit(0).cast("long").alias("bad"))
     plain_pairs = apart.where(F.col("value").rlike(IDENTIFIER)).select(F.explode(_pairs("value")).alias("pair")).groupBy("pair").agg(F.lit(0).cast("long").alias("good"), F.count("*").alias("bad"))
@@ -104,4 +104,6 @@ def secrets(documents: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("all", lambda x: x["kind"] == KINDS.index(k))).cast("long")
     listed = listed.select("doc_id", "h", *(count(k).alias(f"n_{k}") for k in KINDS[:3]), said(F.filter("all", lambda x: x["kind"] < 3)).alias("base"), said(F.col("all")).alias("spans"))
     none = lambda c: F.coalesce(F.col(c), F.lit("" if c in ("base", "spans") else 0).cast("string" if c in ("base", "spans") else "long"))
-    return docs.select("doc_id", "h").join(listed, ["doc_id", "h"], "left").select("doc_id", *(none(f"n_{k}").alias(f"n_{k}") for k in KINDS[:3]), F.sha2(none("base"), 256).alias("base_sha256"), none("spans").alias("spans"))
+    listed = listed.withColumnRenamed("doc_id", "l_doc").withColumnRenamed("h", "l_h")
+    own = F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("h") == F.col("l_h"))
+    return docs.select("doc_id", "h").join(listed, own, "left").select("doc_id", *(none(f"n_{k}").alias(f"n_{k}") for k in KINDS[:3]), F.sha2(none("base"), 256).alias("base_sha256"), none("spans").alias("spans"))

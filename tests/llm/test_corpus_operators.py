@@ -31,7 +31,7 @@ WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu x
 
 
 def make(spark, texts):
-    rows = [(i, t, "en" if i % 3 else None, "s", None, "x", 1, "y", 2, 3, "z", "c") for i, t in texts]
+    rows = [(i, t, "en" if (i or 0) % 3 else None, "s", None, "x", 1, "y", 2, 3, "z", "c") for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -401,6 +401,27 @@ def test_token_counts(spark, monkeypatch):
     assert got == {i: len(own.encode_ordinary(t or "")) for i, t in rows}
 
 
+def test_rows_without_an_id_and_repeated_rows(spark, sf_dir):
+    """No crash, and a defined result: see the docstrings."""
+    rng = random.Random(9)
+    t = sentence(rng, 80)
+    rows = [(None, t), (None, None), (1, t), (1, t), (2, t), (2, "other " + sentence(rng, 70)), (3, f"{t} token=abcdefghijkl")]
+    docs = make(spark, rows)
+    near = sorted(map(tuple, minhash_dedup.near_duplicates(docs).collect()))
+    assert [r[0] for r in near] == [1, 1, 2, 2, 3] and sorted(r[2] for r in near) == [1, 1, 1, 1, 2]
+    repeats = sorted(map(tuple, run_length_index.remove_repeats(docs).collect()))
+    assert [(r[0], r[2] > 0) for r in repeats] == [(1, False), (1, False), (2, False), (2, True), (3, True)]
+    lines = line_dedup.remove_repeated_lines(docs).collect()
+    assert len(lines) == len(rows) and {r.text for r in lines if r.doc_id is None} == {t, None}
+    found = secret_scan.secrets(docs).collect()
+    assert len(found) == len(rows) and sum(r.n_assign for r in found) == 1
+    labels = spark.createDataFrame([(1, 1), (None, 0), (2, None), (1, 0)], "doc_id long, quality int")
+    for result in (quality_classifier.quality_scores(docs, labels), packing.pack_sequences(docs), lm_scoring.cross_entropy_difference(docs, labels), token_counts.token_counts(docs), quality_rules.quality_rules(docs)):
+        assert result.count() >= len(rows)
+    bench = spark.createDataFrame([(1, t), (None, t)], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.contaminated(docs, bench).collect()} == {1, 2, 3}
+
+
 def test_empty_tables(spark):
     empty = make(spark, []).select("doc_id", "text", "lang", "n_chars")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
