@@ -62,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = common.materialize(docs, f"stage-{name}")
+            docs = common.materialize(docs, f"stage-{name}", compact=False)
     return docs
