@@ -28,7 +28,7 @@ END_ID = 1
 #: Rests that wait at once for a place.
 POOL = 256
 #: Words whose ids a worker keeps (about 40 bytes each); beyond them it starts anew.
-CACHED_WORDS = 2_000_000
+CACHED_WORDS = 1_000_000
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 _MARK = np.zeros(256, dtype=bool)
