@@ -1,9 +1,12 @@
 """Cross-entropy difference of matched n-gram models.
 
-The target model is counted on documents of the wanted kind, the background model on all documents. Both share one
-vocabulary, words hashed into WORDS classes, and one table of bigrams hashed into PAIRS classes, so the models have a fixed
-size whatever the corpus. Counts cover all data: each task sums its own, and the sums are added by class. A document's score is the mean over
-its tokens of the background's loss less the target's, in nats: higher is nearer to the target.
+The target model is counted on documents of the wanted kind, the background model on all documents. Both have exact counts of
+all words and bigrams, by 64-bit hash, so the models grow with the corpus and never lie in one place: each group of documents sends its
+distinct keys with their counts, a range of keys is summed at once, and each group gets the sums of its own keys back. A key comes once
+from a group however common it is. A document's score is the mean over its tokens of the background's loss less the target's, in nats:
+higher is nearer to the target.
+
+``fit`` and ``score`` are models of a fixed size, of hashed classes, to score documents outside the corpus with.
 """
 
 from __future__ import annotations
@@ -12,11 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import is_small, texts
+from .common import group_count, is_small, text_bytes, texts
+from .run_length_index import _bucket_edges, _column
 
 WORDS = 1 << 16
 PAIRS = 1 << 19
@@ -31,19 +36,24 @@ COUNT_SCHEMA = "class int, target long, background long"
 SCHEMA = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
 
-def _classes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word and pair class of each token, whether it has a token before it, and the first token of each document."""
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each token and of it with the one before, whether it has a token before it, and the first token of each document."""
     lowered = K.LOWER[data]
     start, end, first = K.words(lowered, offsets)
-    hashes = K.range_hash(K.prefix_hash(lowered), start, end)
-    word = (hashes % K.U64(WORDS)).astype(np.int64)
+    word = K.range_hash(K.prefix_hash(lowered), start, end)
     after = np.ones(len(word), dtype=bool)
     after[first[:-1][np.diff(first) > 0]] = False
-    pair = np.zeros(len(word), dtype=np.int64)
-    pair[1:] = (K.mix(hashes[:-1] * K.U64(3) + K.mix(hashes[1:])) % K.U64(PAIRS)).astype(np.int64)
+    pair = np.zeros(len(word), dtype=np.uint64)
+    pair[1:] = K.mix(word[:-1] * K.U64(3) + K.mix(word[1:]))
     return word, pair, after, first
 
 
+def _classes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_hashes``, with word and pair classes."""
+    word, pair, after, first = _hashes(data, offsets)
+    return (word % K.U64(WORDS)).astype(np.int64), (pair % K.U64(PAIRS)).astype(np.int64), after, first
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's sums; classes from WORDS on are pairs."""
     sums = np.zeros((2, WORDS + PAIRS), dtype=np.int64)
@@ -62,11 +72,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(sums[0, k]), pa.array(sums[1, k])], names=["class", "target", "background"])
 
 
+def _marked(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text, wanted) of all documents."""
+    ids = wanted.select("doc_id").where("doc_id is not null").distinct().withColumn("wanted", F.lit(True))
+    joined = texts(documents).join(F.broadcast(ids) if is_small(ids, BROADCAST_IDS) else ids, "doc_id", "left")
+    return joined.select("doc_id", "text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+
+
 def fit(documents: DataFrame, wanted: DataFrame) -> np.ndarray:
     """(2, WORDS + PAIRS) counts of the target, documents of ``wanted`` (doc_id), and of the background, all documents."""
-    ids = wanted.select("doc_id").where("doc_id is not null").distinct().withColumn("wanted", F.lit(True))
-    marked = texts(documents).join(F.broadcast(ids) if is_small(ids, BROADCAST_IDS) else ids, "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    counts = marked.mapInArrow(_count, COUNT_SCHEMA).groupBy("class").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    counts = _marked(documents, wanted).select("text", "wanted").mapInArrow(_count, COUNT_SCHEMA).groupBy("class").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     rows = counts.toArrow()  # at most WORDS + PAIRS rows
     out = np.zeros((2, WORDS + PAIRS), dtype=np.int64)
     at = rows.column("class").to_numpy()
@@ -110,6 +125,125 @@ def score(documents: DataFrame, model: np.ndarray) -> DataFrame:
     return texts(documents).mapInArrow(run, SCHEMA)
 
 
+def _group(table: pa.Table) -> tuple[list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """A group's tokens by pieces, and its distinct words and pairs in order with how often target and all documents hold them."""
+    data, offsets = K.buffers(table.column("text"))
+    wanted = np.asarray(table.column("wanted").to_numpy(), dtype=bool)
+    parts, keys, own = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for i, j, part, offs in K.pieces(data, offsets):
+        word, pair, after, first = _hashes(part, offs)
+        mask = np.repeat(wanted[i:j], np.diff(first))
+        parts.append((i, j, word, pair, after, first))
+        keys += [word, pair[after]]
+        own += [word[mask], pair[mask & after]]
+    known, background = np.unique(np.concatenate(keys), return_counts=True)
+    held, times = np.unique(np.concatenate(own), return_counts=True)
+    target = np.zeros(len(known), dtype=np.int64)
+    target[np.searchsorted(known, held)] = times
+    return parts, known, target, background.astype(np.int64)
+
+
+def _numbers(table: pa.Table, name: str) -> list[np.ndarray]:
+    return [np.frombuffer(zstandard.decompress(x.as_py()), dtype=np.int64) for c in table.column(name).chunks for x in c]
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.compress(x.tobytes(), 1)
+
+
+_USES = ("bucket long, g long, keys binary, target binary, background binary", ("bucket", "g", "keys", "target", "background"), (pa.int64(), pa.int64(), *[pa.binary()] * 3))
+_SUMS = ("bucket long, g long, target binary, background binary", ("bucket", "g", "target", "background"), (pa.int64(), pa.int64(), *[pa.binary()] * 2))
+
+
+def _rows(rows: list[tuple], names: tuple, kinds: tuple) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=list(names))
+
+
+def _uses(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For each bucket of the key space, the group's distinct keys and their counts."""
+        _, known, target, background = _group(table)
+        edge, g = _bucket_edges(known, buckets), table.column("g")[0].as_py()
+        cuts = [(int(b), slice(edge[b], edge[b + 1])) for b in np.flatnonzero(np.diff(edge))]
+        return _rows([(b, g, known[s].tobytes(), _pack(target[s]), _pack(background[s])) for b, s in cuts], *_USES[1:])
+
+    return run
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """For each group, the counts of its keys over all groups, in the order of its keys; a key that no other group holds has 0."""
+    keys = _column(table, "keys")
+    size = np.cumsum([0] + [len(k) for k in keys])
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    width = np.diff(np.append(head, len(key)))
+    out = []
+    for name in ("target", "background"):
+        total = np.add.reduceat(np.concatenate(_numbers(table, name))[order], head)
+        own = np.empty(len(key), dtype=np.int64)
+        own[order] = np.repeat(np.where(width > 1, total, 0), width)
+        out.append([_pack(own[a:b]) for a, b in zip(size[:-1], size[1:], strict=True)])
+    return _rows(list(zip(table.column("bucket").to_pylist(), table.column("g").to_pylist(), *out, strict=True)), *_SUMS[1:])
+
+
+def _exact_losses(known: np.ndarray, counts: np.ndarray, total: int, vocabulary: int, word: np.ndarray, pair: np.ndarray, after: np.ndarray) -> np.ndarray:
+    uni = counts[np.searchsorted(known, word)].astype(np.float64)
+    single = (1 - FLOOR) * uni / max(1, total) + FLOOR / max(1, vocabulary)
+    before = np.zeros(len(word))
+    before[1:] = uni[:-1]
+    both = np.zeros(len(word))
+    both[after] = counts[np.searchsorted(known, pair[after])]
+    weight = np.where(after & (before > 0), BIGRAM, 0)
+    return -np.log(weight * both / np.maximum(before, 1) + (1 - weight) * single)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each piece, with their counts."""
+    for batch in batches:
+        wanted = np.asarray(batch.column("wanted").to_numpy(zero_copy_only=False), dtype=bool)
+        data, offsets = K.buffers(batch.column("text"))
+        for i, j, part, offs in K.pieces(data, offsets):
+            lowered = K.LOWER[part]
+            start, end, first = K.words(lowered, offs)
+            known, at = np.unique(K.range_hash(K.prefix_hash(lowered), start, end), return_inverse=True)
+            own = np.repeat(wanted[i:j], np.diff(first))
+            columns = [known.astype(np.int64), np.bincount(at[own], minlength=len(known)), np.bincount(at, minlength=len(known))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "target", "background"])
+
+
+def exact_scores(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """As ``score``, by exact counts of the documents of ``wanted`` (doc_id) and of all ``documents``; the floor is uniform over all their words."""
+    marked = _marked(documents, wanted)
+    words = marked.select("text", "wanted").mapInArrow(_word_counts, "word long, target long, background long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    size = words.agg(F.count("*").alias("words"), F.sum("target").alias("target"), F.sum("background").alias("background")).first()
+    vocabulary, totals = size["words"], (size["target"] or 0, size["background"] or 0)
+    groups = group_count(text_bytes(texts(documents)))
+    docs = marked.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long")).repartition(groups, "g")
+    by = lambda: docs.select(*(F.col(c).alias(c) for c in ("doc_id", "text", "wanted", "g"))).groupBy("g")
+    sums = by().applyInArrow(_uses(groups), _USES[0]).groupBy("bucket").applyInArrow(_sums, _SUMS[0])
+
+    def run(docs: pa.Table, sums: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        parts, known, target, background = _group(docs)
+        by_bucket = sums.sort_by("bucket")
+        models = []
+        for own, name in ((target, "target"), (background, "background")):
+            models.append((own, np.concatenate([np.zeros(0, np.int64), *_numbers(by_bucket, name)])))
+        shared = models[1][1] > 0  # else the group's own counts are all
+        counts = [np.where(shared, everywhere, own) for own, everywhere in models]
+        out = []
+        for i, j, word, pair, after, first in parts:
+            n, means = np.diff(first), []
+            for c, total in zip(counts, totals, strict=True):
+                run_sum = np.concatenate([[0], np.cumsum(_exact_losses(known, c, total, vocabulary, word, pair, after))])
+                means.append((run_sum[first[1:]] - run_sum[first[:-1]]) / np.maximum(n, 1))
+            out.append(pa.table([docs.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(means[0]), pa.array(means[1]), pa.array(means[1] - means[0])], names=names))
+        return pa.concat_tables(out)
+
+    return by().cogroup(sums.groupBy("g")).applyInArrow(run, SCHEMA)
+
+
 def cross_entropy_difference(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents against a target of those labelled good."""
-    return score(documents, fit(documents, labels.where("quality = 1")))
+    return exact_scores(documents, labels.where("quality = 1"))

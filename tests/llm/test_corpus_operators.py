@@ -365,6 +365,40 @@ def test_cross_entropy_difference(spark):
     assert got[120].n_tokens == 0 and got[121].score == 0
 
 
+def brute_cross_entropy(rows, wanted):
+    counts = [(defaultdict(int), defaultdict(int)) for _ in range(2)]
+    tokens = {i: words(lower(t)) for i, t in rows}
+    for i, w in tokens.items():
+        for uni, pair in counts[: 1 + (i in wanted)]:  # all documents, then the target
+            for k, x in enumerate(w):
+                uni[x] += 1
+                pair[tuple(w[k - 1 : k + 1])] += k > 0
+    out = {}
+    for i, w in tokens.items():
+        means = []
+        for uni, pair in counts:
+            total = 0
+            for k, x in enumerate(w):
+                single = 0.95 * uni[x] / sum(uni.values()) + 0.05 / len(counts[0][0])
+                p = 0.7 * pair[w[k - 1], x] / uni[w[k - 1]] + 0.3 * single if k and uni[w[k - 1]] else single
+                total -= np.log(p)
+            means.append(total / max(1, len(w)))
+        out[i] = (len(w), means[1], means[0], means[0] - means[1])
+    return out
+
+
+@pytest.mark.parametrize("groups", [1, 5])
+def test_cross_entropy_counts_are_exact(spark, monkeypatch, groups):
+    monkeypatch.setattr(lm_scoring, "group_count", lambda b: groups)
+    rows = [(i, t) for i, t in corpus(4) if len(t or "") < 20_000]
+    docs = make(spark, rows)
+    labels = docs.selectExpr("doc_id", "int(doc_id % 4 = 0) AS quality")
+    got = {r[0]: tuple(r)[1:] for r in lm_scoring.cross_entropy_difference(docs, labels).collect()}
+    want = brute_cross_entropy(rows, {i for i, _ in rows if i % 4 == 0})
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[i], want[i]) for i in want)
+
+
 def test_separator_scan(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "SCAN_BLOCKS", 3)
     rng = np.random.default_rng(1)
