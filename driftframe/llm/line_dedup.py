@@ -3,8 +3,10 @@
 All documents' lines with a word, in the order of (doc_id, line), are one text of line IDs. Prefix doubling names
 the run of 1, 2, 4, ... lines at each position by the first position that has the same run: positions with one
 name are an interval of the suffix array whose common prefix is at least that long. A position that isn't its
-name's first starts a later copy. The union of such copies at all lengths is the union of the maximal repeated
-runs, and its lines are deleted. Positions whose run occurs once leave the doubling, so that it works on repeats only.
+name's first starts a later copy, which is deleted if it has enough words. Powers of two alone miss runs that have
+enough words only at a length between; with ``every_length`` those runs are named too, from two overlapping ones, and what is
+deleted is the union of all maximal repeated runs that have enough words. Positions whose run occurs once leave the doubling, so that it
+works on repeats only.
 """
 
 from __future__ import annotations
@@ -20,37 +22,49 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _named(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Positions (doc_id, n, words) whose run occurs twice at least, with the first position (fd, fn) that has it."""
+    """Positions (doc_id, n, before, upto: words before and to the end of the run) whose run occurs twice at least, with the first position (fd, fn) that has it."""
     classes = runs.groupBy(*keys).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "n")).alias("first")).where("times > 1")
-    return runs.join(classes, keys).select("doc_id", "n", "words", F.col("first.doc_id").alias("fd"), F.col("first.n").alias("fn"))
+    return runs.join(classes, keys).select("doc_id", "n", "before", "upto", F.col("first.doc_id").alias("fd"), F.col("first.n").alias("fn"))
 
 
-def copied_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def _longer(level: DataFrame, by: int) -> DataFrame:
+    """Named runs that are ``by`` lines longer than those of ``level``: each is one of them and the one that begins ``by`` lines later."""
+    ahead = level.select("doc_id", (F.col("n") - by).alias("n"), F.col("upto").alias("upto_b"), F.col("fd").alias("fd_b"), F.col("fn").alias("fn_b"))
+    pairs = level.join(ahead, ["doc_id", "n"]).withColumn("upto", F.col("upto_b"))
+    return materialize(_named(pairs, ["fd", "fn", "fd_b", "fn_b"]), "runs")
+
+
+def copied_lines(documents: DataFrame, min_words: int = MIN_WORDS, every_length: bool = False) -> DataFrame:
     """(doc_id, line): lines, counted from 0, that later copies of repeated runs cover.
 
     Runs longer than the doubling goes consist of runs that have ``min_words`` lines and so as many words,
-    so it ends there.
+    so it ends there. every_length: runs of all lengths to ``min_words``, not of powers of two only.
     """
     every = texts(documents).where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     words = every.withColumn("words", F.regexp_count("body", F.lit(WORD))).where("words > 0")
     # two independent 64-bit hashes are the line's ID; n counts lines with a word
     ids = words.select("doc_id", "line", "words", F.xxhash64("body").alias("a"), F.xxhash64(F.lit(1), "body").alias("b"))
-    ids = materialize(ids.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))), "lines", compact=False)
+    order = Window.partitionBy("doc_id").orderBy("line")
+    ids = ids.withColumn("n", F.row_number().over(order)).withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ids = materialize(ids.withColumn("before", F.col("upto") - F.col("words")).drop("words"), "lines", compact=False)
     level, length = materialize(_named(ids, ["a", "b"]), "runs"), 1
     later = F.col("fd").isNotNull() & (F.struct("fd", "fn") < F.struct("doc_id", "n"))
-    found = level.where(later & (F.col("words") >= min_words)).select("doc_id", "n", F.lit(length).alias("length"))
+    copies = lambda runs, length: runs.where(later & (F.col("upto") - F.col("before") >= min_words)).select("doc_id", "n", F.lit(length).alias("length"))
+    found = copies(level, length)
     while length < min_words:
-        ahead = level.select("doc_id", (F.col("n") - length).alias("n"), F.col("words").alias("words_b"), F.col("fd").alias("fd_b"), F.col("fn").alias("fn_b"))
-        pairs = level.join(ahead, ["doc_id", "n"]).withColumn("words", F.col("words") + F.col("words_b"))
-        level, length = materialize(_named(pairs, ["fd", "fn", "fd_b", "fn_b"]), "runs"), 2 * length
-        found = found.unionByName(level.where(later & (F.col("words") >= min_words)).select("doc_id", "n", F.lit(length).alias("length")))
+        for between in range(length + 1, min(2 * length, min_words + 1)) if every_length else ():
+            found = found.unionByName(copies(_longer(level, between - length), between))
+        if every_length and 2 * length > min_words:
+            break
+        level, length = _longer(level, length), 2 * length
+        found = found.unionByName(copies(level, length))
     covered = found.select("doc_id", F.explode(F.sequence("n", F.col("n") + F.col("length") - 1)).alias("n")).distinct()
     return covered.join(ids.select("doc_id", "n", "line"), ["doc_id", "n"]).select("doc_id", "line")
 
 
-def _copied_runs(documents: DataFrame, min_words: int) -> DataFrame:
+def _copied_runs(documents: DataFrame, min_words: int, every_length: bool = False) -> DataFrame:
     """(doc_id, runs): maximal deleted runs of each document that has any, as (first, last) lines in order."""
-    lines = copied_lines(documents, min_words).distinct()
+    lines = copied_lines(documents, min_words, every_length).distinct()
     run = F.col("line") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
     runs = lines.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"))
     return materialize(runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__runs")), "line-runs")
@@ -64,21 +78,21 @@ def _kept_text() -> F.Column:
     return F.when(runs.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
-def remove_repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, every_length: bool = False) -> DataFrame:
     """``documents`` (doc_id, text, ...) without later copies of repeated line runs; all rows and columns stay.
 
-    A run of 1, 2, 4, ... lines that has ``min_words`` words and also begins at an earlier line, by (doc_id, line), is
-    deleted, with runs that overlap. Lines without a word are never deleted and don't part a run. A null text stays null, an
+    A run of 1, 2, 4, ... lines, or with ``every_length`` of any number, that has ``min_words`` words and also begins at an earlier
+    line, by (doc_id, line), is deleted, with runs that overlap. Lines without a word are never deleted and don't part a run. A null text stays null, an
     empty one empty; a text of copies only becomes empty or its blank lines; rows with one doc_id
     count as one document, and rows without one keep their texts.
     """
     names = documents.columns
-    joined = documents.join(_copied_runs(documents, min_words).hint("merge"), "doc_id", "left")
+    joined = documents.join(_copied_runs(documents, min_words, every_length).hint("merge"), "doc_id", "left")
     return joined.withColumn("text", _kept_text()).select(*names)
 
 
 def line_dedup_report(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_runs, kept_sha256) of each document; kept_sha256 is of the remaining text, null as empty."""
+    """(doc_id, n_lines, n_removed, n_runs, kept_sha256) of each document, by runs of 1, 2, 4, ... lines as in LINE_DEDUP_SQL; kept_sha256 is of the remaining text, null as empty."""
     joined = texts(documents).join(_copied_runs(documents, min_words).hint("merge"), "doc_id", "left")
     removed = F.aggregate(F.coalesce("__runs", F.array()), F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
     return joined.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"), F.coalesce(removed, F.lit(0)).alias("n_removed"), F.coalesce(F.size("__runs"), F.lit(0)).alias("n_runs"), F.sha2(_kept_text(), 256).alias("kept_sha256"))

@@ -247,6 +247,34 @@ def test_line_dedup_matches_brute_force(spark):
     assert report == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in want.items()}
 
 
+def brute_maximal(rows, least=5):
+    """Runs of every length that begin earlier too and have the words."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        lines = (text or "").split("\n")
+        used = [k for k, x in enumerate(lines) if words(x)]
+        gone = set()
+        for s in range(len(used)):
+            for n in range(1, len(used) - s + 1):
+                run = tuple(lines[k] for k in used[s : s + n])
+                if run in seen and sum(len(words(x)) for x in run) >= least:
+                    gone.update(used[s : s + n])
+                seen.add(run)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_pipeline_drops_runs_of_every_length(spark):
+    import corpus_pipeline
+
+    blocks = ["a b\nc\nd e", *("\n".join("klmnopq"[:n]) for n in (5, 6, 7)), "r\ns t u v w\nx"]
+    rows = [(1000 + 100 * k + j, f"{j} own {k}\n{x}\n{j} more {k}") for k, x in enumerate(blocks) for j in range(2)] + lined(7)
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, make(spark, rows), "").collect()}
+    want = brute_maximal(rows)
+    assert want[1001] == "1 own 0\n1 more 0" and want != brute_lines(rows)
+    assert got == {i: None if t is None else want[i] for i, t in rows}
+
+
 def test_line_dedup_sql(spark):
     rows = lined(6)
     docs = make(spark, rows)
