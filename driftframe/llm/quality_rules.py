@@ -2,7 +2,8 @@
 
 A document's character-class and common-word histograms are compared with language references, counted by the
 lang column over all documents that pass the base rules, by Jensen-Shannon distance. A text is kept if some language is
-near in both; the limits are wider for short texts, and the shortest, too coarse to judge, pass.
+near in both; the limits are wider for short texts, and the shortest, too coarse to judge, pass. Every language with enough documents and
+words has a reference; a text of any other is judged by the references that there are, so that a few documents never vouch for themselves.
 """
 
 from __future__ import annotations
@@ -15,15 +16,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import materialize
 
 #: Base rules: least words; largest percent of words in repeated three-word windows.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 
-#: Words of a language's reference, and languages with the most words that have one.
+#: Words of a language's reference; documents and words, of those that pass the base rules, that a language must have for one.
 COMMON_WORDS = 100
+MIN_REFERENCE_DOCUMENTS = 10
+MIN_REFERENCE_WORDS = 2_000
+#: Languages that are compared at once, which bounds a task's arrays, and in one step, which bounds what is on the driver and broadcast (about 3 KB each).
 LANGUAGES = 64
+STEP_LANGUAGES = 8_192
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) of an endless text; what the root of the number of words, which shortens it, adds; least sizes.
 MAX_CHAR_DISTANCE, CHAR_SLACK = 0.18, 0.6
 MAX_WORD_DISTANCE, WORD_SLACK = 0.25, 2.0
@@ -134,33 +140,42 @@ class References:
         parts = [np.array(list(words.get(k, {}).values()), dtype=float) / totals[k] for k in self.languages]
         self.words = [np.append(p, max(0.0, 1 - p.sum())) for p in parts]
 
-    def distances(self, chars: np.ndarray, counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Character and word distance from the language that is nearest, against the limits of both."""
-        c, w = np.full(len(n), 1.0), np.full(len(n), 1.0)
+    def counts(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How often each document has each of the common words."""
+        n, width = len(first) - 1, len(self.hashes)
+        if not width:
+            return np.zeros((n, 1))
+        place = np.minimum(np.searchsorted(self.hashes, hashes), width - 1)
+        known = self.hashes[place] == hashes
+        return np.bincount((K.owner(first) * width + place)[known], minlength=n * width).reshape(n, width)
+
+    def nearer(self, chars: np.ndarray, counts: np.ndarray, n: np.ndarray, c: np.ndarray, w: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Character and word distance from the language that is nearest, against the limits of both; c, w and best are those so far."""
         char_limit, word_limit = limits(n)
-        best = np.full(len(n), np.inf)
         p = chars / np.maximum(1, chars.sum(axis=1, keepdims=True))
         for k in range(len(self.languages)):
             own = counts[:, self.places[k]] / np.maximum(1, n)[:, None]
             own = np.hstack([own, np.clip(1 - own.sum(axis=1, keepdims=True), 0, 1)])
             dc, dw = _distance(p, self.chars[k]), _distance(own, self.words[k])
             worst = np.maximum(dc / char_limit, dw / word_limit)
-            nearer = worst < best
-            c, w, best = np.where(nearer, dc, c), np.where(nearer, dw, w), np.minimum(best, worst)
-        return c, w
+            near = worst < best
+            c, w, best = np.where(near, dc, c), np.where(near, dw, w), np.minimum(best, worst)
+        return c, w, best
 
 
 def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By language: characters of each class, then documents, then words, of those that pass the base rules."""
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         language = batch.column("lang").to_pylist()
         data, offsets = K.buffers(batch.column("text"))
         for i, j, part, offs in K.pieces(data, offsets):
-            rows = _histogram(part, offs)
-            for d in np.flatnonzero(~Base(part, offs).failed):
+            base = Base(part, offs)
+            rows = np.hstack([_histogram(part, offs), np.ones((j - i, 1), dtype=np.int64), base.n[:, None]])
+            for d in np.flatnonzero(~base.failed):
                 sums[language[i + d]] = sums.get(language[i + d], 0) + rows[d]
     for lang, row in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * CLASSES), pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(row)], names=["lang", "class", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(row)), pa.array(np.arange(len(row), dtype=np.int32)), pa.array(row)], names=["lang", "class", "n"])
 
 
 def _sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,20 +192,29 @@ def _histogram(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount((doc + kind)[kind >= 0], minlength=(len(offsets) - 1) * CLASSES).reshape(-1, CLASSES)
 
 
-def references(documents: DataFrame) -> References:
-    """Of all documents that pass the base rules by lang, null as a language of its own."""
+def references(documents: DataFrame) -> Iterator[list[References]]:
+    """Of all documents that pass the base rules by lang, null as a language of its own: for each step, References of LANGUAGES languages each."""
     docs = documents.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    words = docs.mapInArrow(_sound, docs.schema).select("lang", F.explode(F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")).alias("word")).where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counted = docs.mapInArrow(_char_counts, "lang string, class int, n long").groupBy("lang", "class").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("n"))
+    counted = materialize(counted.where((F.col("n")[CLASSES] >= MIN_REFERENCE_DOCUMENTS) & (F.col("n")[CLASSES + 1] >= MIN_REFERENCE_WORDS)), "languages")
+    words = docs.mapInArrow(_sound, docs.schema).select("lang", F.explode(F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")).alias("word")).where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top: dict[str, dict[str, int]] = {}
-    for r in words.where(F.col("lang").isin(list(totals))).withColumn("at", F.row_number().over(rank)).where(F.col("at") <= COMMON_WORDS).collect():  # LANGUAGES * COMMON_WORDS rows at most
-        top.setdefault(r["lang"], {})[r["word"]] = r["n"]
-    words.unpersist()
-    chars: dict[str, np.ndarray] = {}
-    for r in docs.where(F.col("lang").isin(list(totals))).mapInArrow(_char_counts, "lang string, class int, n long").groupBy("lang", "class").agg(F.sum("n").alias("n")).collect():
-        chars.setdefault(r["lang"], np.zeros(CLASSES))[r["class"]] = r["n"]
-    return References(chars, top, totals)
+    common = words.join(counted.select("lang"), "lang", "left_semi").withColumn("at", F.row_number().over(rank)).where(F.col("at") <= COMMON_WORDS)
+    table = common.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("words")).join(counted, "lang")
+    steps = max(1, -(-counted.count() // STEP_LANGUAGES))
+    table = materialize(table.withColumn("step", F.pmod(F.xxhash64("lang"), F.lit(steps))), "references")
+    for step in range(steps):
+        rows = sorted(table.where(F.col("step") == step).collect(), key=lambda r: r["lang"])  # about STEP_LANGUAGES
+        out = []
+        for at in range(0, len(rows), LANGUAGES):
+            own = rows[at : at + LANGUAGES]
+            chars = {r["lang"]: np.array([r["n"].get(k, 0) for k in range(CLASSES)], dtype=float) for r in own}
+            out.append(References(chars, {r["lang"]: r["words"] for r in own}, {r["lang"]: r["n"][CLASSES + 1] for r in own}))
+        yield out
+
+
+CARRIED = "doc_id long, text string, c double, w double, best double"
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
@@ -198,29 +222,36 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word, equal to an earlier one),
     n_repeat_words (words in three-word windows that come twice or more, the first included), base_failed, kept, and the
-    distances from the nearest language. A null or empty text has no words and fails. Repeated rows get a row each;
+    distances from the nearest language, 1 where no language has a reference. A null or empty text has no words and fails. Repeated rows get a row each;
     other columns are ignored; an empty table gives no rows.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(references(documents))  # of bounded size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = shared.value
-        for batch in batches:
-            data, offsets = K.buffers(batch.column(1))
-            for i, j, part, offs in K.pieces(data, offsets):
-                base = Base(part, offs)
-                n, hashes, first = base.n, base.hashes, base.first
-                chars = _histogram(part, offs)
-                counts = np.zeros((j - i, max(1, len(refs.hashes))))
-                if len(refs.hashes):
-                    place = np.minimum(np.searchsorted(refs.hashes, hashes), len(refs.hashes) - 1)
-                    known = refs.hashes[place] == hashes
-                    width = len(refs.hashes)
-                    counts = np.bincount((K.owner(first) * width + place)[known], minlength=(j - i) * width).reshape(j - i, width)
-                by_char, by_word = refs.distances(chars, counts, n)
-                char_limit, word_limit = limits(n)
-                near = ((by_char <= char_limit) | (chars.sum(axis=1) < MIN_CHARS)) & ((by_word <= word_limit) | (n < MIN_COUNTED_WORDS))
-                columns = [n, base.word_chars, base.symbols, base.lines, base.repeat]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(base.failed), pa.array(~base.failed & near), pa.array(by_char), pa.array(by_word)], names=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+
+    def step(shared, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = K.buffers(batch.column(1))
+                for i, j, part, offs in K.pieces(data, offsets):
+                    base, chars = Base(part, offs), _histogram(part, offs)
+                    n = base.n
+                    found = tuple(batch.column(k).slice(i, j - i).to_numpy() for k in (2, 3, 4))
+                    for refs in shared.value:
+                        found = refs.nearer(chars, refs.counts(base.hashes, base.first), n, *found)
+                    if not last:
+                        yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (0, 1)), *map(pa.array, found)], names=[c.split()[0] for c in CARRIED.split(", ")])
+                        continue
+                    by_char, by_word, _ = found
+                    char_limit, word_limit = limits(n)
+                    near = ((by_char <= char_limit) | (chars.sum(axis=1) < MIN_CHARS)) & ((by_word <= word_limit) | (n < MIN_COUNTED_WORDS))
+                    columns = [n, base.word_chars, base.symbols, base.lines, base.repeat]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(base.failed), pa.array(~base.failed & near), pa.array(by_char), pa.array(by_word)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+        return run
+
+    one = F.lit(1.0)
+    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), one.alias("c"), one.alias("w"), F.lit(float("inf")).alias("best"))
+    context, before = documents.sparkSession.sparkContext, None
+    for refs in references(documents):  # each step's are of bounded size
+        if before is not None:
+            out = out.mapInArrow(step(before, False), CARRIED)
+        before = context.broadcast(refs)
+    return out.mapInArrow(step(before, True), SCHEMA)

@@ -337,6 +337,21 @@ def test_quality_rules_tell_junk(spark, sf_dir):
     assert sum(good) > 0.97 * len(good) and sum(bad) < 0.2 * len(bad)
 
 
+@pytest.mark.parametrize("at_once", [8192, 20])
+def test_quality_rules_know_every_language(spark, monkeypatch, at_once):
+    """More than 64 languages of other words each, the last ones smaller; junk that has a lang of its own."""
+    monkeypatch.setattr(quality_rules, "STEP_LANGUAGES", at_once)
+    rng, rows = random.Random(6), []
+    for k in range(70):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)]
+        rows += [(len(rows) + d, " ".join(rng.choice(own) for _ in range(250 if k < 64 else 220)), f"l{k:02d}") for d in range(12)]
+    junk = "".join(f"{rng.randrange(10**9)} " for _ in range(4000))
+    rows.append((5000, junk, "junk"))
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[5000].base_failed and not got[5000].kept
+    assert all(r.kept for i, r in got.items() if i != 5000)
+
+
 def brute_spans(text):
     out = []
     pattern = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
