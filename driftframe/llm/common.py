@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 GROUP_BYTES = 12 << 20
 #: Files that a compact table has at most where the cluster is small.
 FEWEST_FILES = 24
+#: A key that has more than this part of the rows to join, and more rows than HOT_LEAST, is hot.
+HOT_KEYS = 1_000
+HOT_LEAST = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one where that is unset (tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a new one where that is unset and all run in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="driftframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -35,7 +40,34 @@ def materialize(df: DataFrame, label: str, compact: bool = True) -> DataFrame:
     files = max(FEWEST_FILES, 3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
     out = df.coalesce(files) if compact else df
     out.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.shared_path = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
+    for df in tables:
+        if path := getattr(df, "shared_path", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with the one row that ``table``, a written table, has for each key; no key is gathered in one task.
+
+    weight: column of the number of rows of each key. Keys with more than one in HOT_KEYS of all rows, so HOT_KEYS at most, are sent
+    to every executor; the others are joined by shuffle.
+    """
+    total = table.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    hot = table.where(F.col(weight) * HOT_KEYS > max(total, HOT_LEAST * HOT_KEYS))
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    known = [F.col(k).alias(f"__{k}") for k in keys]
+    apart = F.broadcast(hot.select(*known))
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    cold = rows.join(apart, same, "left_anti").join(table, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 from driftframe.llm import (
+    common,
     decontamination,
     kernels,
     line_dedup,
@@ -207,25 +208,6 @@ def test_packing_holds_all_limits():
     assert sum(a for s in seq.values() for a, _ in s) == sum(len(x) for _, x in docs)
 
 
-def brute_lines(rows, least=5):
-    seq = []
-    for i, text in sorted(rows):
-        lines = (text or "").split("\n")
-        seq.append((i, lines, [k for k, x in enumerate(lines) if words(x)]))
-    seen, out = {n: set() for n in (1, 2, 4, 8)}, {}
-    for i, lines, used in seq:
-        gone = set()
-        for s in range(len(used)):
-            for n in (1, 2, 4, 8):
-                if s + n <= len(used):
-                    run = tuple(lines[k] for k in used[s : s + n])
-                    if run in seen[n] and sum(len(words(x)) for x in run) >= least:
-                        gone.update(used[s : s + n])
-                    seen[n].add(run)
-        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    return out
-
-
 def lined(seed=4):
     rng = random.Random(seed)
     pool = [sentence(rng, rng.choice((1, 2, 3, 6, 9))) for _ in range(40)] + ["", " "]
@@ -235,18 +217,6 @@ def lined(seed=4):
     return list(enumerate(texts))
 
 
-def test_line_dedup_matches_brute_force(spark):
-    rows = lined()
-    docs = make(spark, rows)
-    out = line_dedup.remove_repeated_lines(docs)
-    assert out.columns == docs.columns
-    want = brute_lines(rows)
-    got = {r.doc_id: r.text for r in out.collect()}
-    assert got == {i: None if t is None else want[i] for i, t in rows}
-    report = {r.doc_id: r.kept_sha256 for r in line_dedup.line_dedup_report(docs).collect()}
-    assert report == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in want.items()}
-
-
 def brute_maximal(rows, least=5):
     """Runs of every length that begin earlier too and have the words."""
     seen, out = set(), {}
@@ -264,19 +234,45 @@ def brute_maximal(rows, least=5):
     return out
 
 
-def test_pipeline_drops_runs_of_every_length(spark):
-    import corpus_pipeline
+def in_blocks():
+    """Passages whose words suffice only at lengths that are no power of two, among other lines."""
+    blocks = ["a b\nc\nd e", *("\n".join("klmnopq"[:n]) for n in (5, 6, 7)), "r\ns t u v w\nx", "aa bb\n \ncc\ndd ee"]
+    return [(1000 + 100 * k + j, f"{j} own {k}\n{x}\n{j} more {k}") for k, x in enumerate(blocks) for j in range(2)]
+
+
+@pytest.mark.parametrize(("least", "hot"), [(5, 1000), (1, 2), (9, 4)])
+def test_line_dedup_matches_brute_force(spark, monkeypatch, least, hot):
+    """With hot keys, that are sent to executors, and without; names of columns that the operator uses inside."""
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    monkeypatch.setattr(common, "HOT_LEAST", hot)
+    rows = lined(least) + in_blocks() + [(5000, "\n".join(f"line {k % 90} of many" for k in range(400)))]
+    docs = make(spark, rows).withColumnsRenamed({"h": "__runs", "n": "__id", "line": "__kept"})
+    out = line_dedup.remove_repeated_lines(docs, least)
+    assert out.columns == docs.columns
+    want = brute_maximal(rows, least)
+    assert {r.doc_id: r.text for r in out.collect()} == {i: None if t is None else want[i] for i, t in rows}
+    report = {r.doc_id: r.kept_sha256 for r in line_dedup.line_dedup_report(docs, least).collect()}
+    assert report == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in want.items()}
+    if least == 5:
+        assert want[1001] == "1 own 0\n1 more 0" and want[1501] == "1 own 5\n \n1 more 5"
+
 
-    blocks = ["a b\nc\nd e", *("\n".join("klmnopq"[:n]) for n in (5, 6, 7)), "r\ns t u v w\nx"]
-    rows = [(1000 + 100 * k + j, f"{j} own {k}\n{x}\n{j} more {k}") for k, x in enumerate(blocks) for j in range(2)] + lined(7)
-    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, make(spark, rows), "").collect()}
-    want = brute_maximal(rows)
-    assert want[1001] == "1 own 0\n1 more 0" and want != brute_lines(rows)
-    assert got == {i: None if t is None else want[i] for i, t in rows}
+def test_suffix_array_and_its_prefixes(spark):
+    """The order is that of the rank sequences, LCPs those of neighbours, over more than one range."""
+    rows = lined(3)
+    prefixes = line_dedup._prefixes(line_dedup._line_positions(make(spark, rows)), 6)
+    array = line_dedup._suffix_array(prefixes, 6).orderBy("rank").collect()
+    got = [list(r.prefix) for r in array]
+    assert got == sorted(got) and len({tuple(x) for x in got}) == len(got) and len({r.rank >> 33 for r in array}) > 1
+    for before, row in zip(array, array[1:], strict=False):
+        same = [a == b for a, b in zip(before.prefix, row.prefix, strict=False)] + [False]
+        assert row.lcp == same.index(False)
+    sizes = {len(x) for x in got}
+    assert max(sizes) == 6 and min(sizes) == 1
 
 
 def test_line_dedup_sql(spark):
-    rows = lined(6)
+    rows = lined(6) + in_blocks()
     docs = make(spark, rows)
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text").toPandas())
