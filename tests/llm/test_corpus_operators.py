@@ -151,24 +151,50 @@ def test_repeats_match_brute_force(spark, monkeypatch, groups):
     assert got == brute_repeats(rows)
 
 
-def test_long_texts_come_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(run_length_index, "SLICE", 700)
+def test_long_texts_come_in_slices(spark):
     rows = corpus(2)
-    got = {r[0]: tuple(r)[1:] for r in run_length_index.remove_repeats(make(spark, rows)).collect()}
+    got = {r[0]: tuple(r)[1:] for r in run_length_index.remove_repeats(make(spark, rows), run_length_index.Sizes(slice=700, index=2000)).collect()}
+    assert got == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("groups", [1, 4])
+def test_hot_anchors_are_split(spark, monkeypatch, groups):
+    """A passage in all documents, with other text around it each time: its anchors have a stretch for each document."""
+    monkeypatch.setattr(run_length_index, "group_count", lambda b: groups)
+    rng = random.Random(12)
+    passage, edge = sentence(rng, 12), sentence(rng, 3)
+    rows = [(i, f"{sentence(rng, 9)} {passage} {sentence(rng, 9)} {edge}{rng.choice('ab')}{rng.choice('cd')}{'ab ' * 40}{sentence(rng, 2)}") for i in range(120)]
+    rows += [(200 + i, t) for i, t in rows[:30]] + [(400 + i, t) for i, t in corpus(5)[:20]]
+    got = {r[0]: tuple(r)[1:] for r in run_length_index.remove_repeats(make(spark, rows), run_length_index.Sizes(hot_texts=20, hot_kinds=0)).collect()}
     assert got == brute_repeats(rows)
+    data = np.frombuffer(rows[0][1].encode(), dtype=np.uint8)
+    found = run_length_index.stretches(data, np.array([0, len(data)]))
+    split = run_length_index._with_split(data, np.array([0, len(data)]), np.unique(found[2]), found)
+    assert len(split[0]) > len(found[0]) and split[1].max() == 2 and split[1].sum() == found[1].sum() == len(data) - 49
 
 
-def test_run_length_index_walks_its_text():
+def test_matching_statistics_are_those_of_brute_force():
+    """Of strings that the index doesn't hold, with letters that it lacks."""
     rng = np.random.default_rng(3)
-    size = rng.integers(50, 90, 40)
-    text = rng.integers(0, 2, size.sum()).astype(np.uint8)
-    copy = text[: size[0]].copy()
-    text = np.concatenate([text, copy])
-    size = np.append(size, size[0])
-    index = run_length_index.RunLengthIndex(text, size, np.arange(41))
-    who, start = index.stream(np.arange(41))
-    assert sorted(start[who == 40]) == list(range(size[0] - 49)) and not len(who[who == 0])
-    assert index.runs < index.n
+    for letters, longest in ((2, 90), (3, 60), (40, 70)):
+        size = rng.integers(1, longest, 40)
+        text = rng.integers(65, 65 + letters, size.sum()).astype(np.uint8)
+        held = [bytes(x) for x in np.split(text, np.cumsum(size)[:-1])]
+        asked = [bytes(rng.integers(65, 66 + letters, n).astype(np.uint8)) for n in rng.integers(1, 50, 30)] + held[:5] + [held[7][3:] + held[8][:20] + b"zz" + held[9], b"z"]
+        index = run_length_index.RunLengthIndex(text, size, np.arange(40), 9)
+        flat = np.frombuffer(b"".join(asked), dtype=np.uint8)
+        length, place = index.matching_statistics(flat, np.array([len(x) for x in asked]))
+        whole = b"\n".join(held) + b"\n"
+        at = 0
+        for x in asked:
+            for k in range(len(x)):
+                want = max((n for n in range(len(x) - k + 1) if any(x[k : k + n] in h for h in held)), default=0)
+                assert length[at] == want
+                assert whole[place[at] : place[at] + want] == x[k : k + want]
+                if want >= 9:
+                    assert index.least[index.interval[place[at]]] == min(d for d, h in enumerate(held) if x[k : k + 9] in h)
+                at += 1
+        assert index.runs < index.n
 
 
 def test_packing_round_trip(spark):
@@ -482,8 +508,10 @@ def test_rows_without_an_id_and_repeated_rows(spark, sf_dir):
     docs = make(spark, rows)
     near = sorted(map(tuple, minhash_dedup.near_duplicates(docs).collect()))
     assert [r[0] for r in near] == [1, 1, 2, 2, 3] and sorted(r[2] for r in near) == [1, 1, 1, 1, 2]
-    repeats = sorted(map(tuple, run_length_index.remove_repeats(docs).collect()))
+    every = list(map(tuple, run_length_index.remove_repeats(docs).collect()))
+    repeats, lost = sorted(r for r in every if r[0] is not None), [r for r in every if r[0] is None]
     assert [(r[0], r[2] > 0) for r in repeats] == [(1, False), (1, False), (2, False), (2, True), (3, True)]
+    assert sorted(r[1] for r in lost) == [0, len(t)] and {r[2:4] for r in lost} == {(0, 0)} and hashlib.sha256(t.encode()).hexdigest() in {r[4] for r in lost}
     lines = line_dedup.remove_repeated_lines(docs).collect()
     assert len(lines) == len(rows) and {r.text for r in lines if r.doc_id is None} == {t, None}
     found = secret_scan.secrets(docs).collect()
