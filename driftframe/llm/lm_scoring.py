@@ -1,12 +1,10 @@
 """Cross-entropy difference of matched n-gram models.
 
-The target model is counted on documents of the wanted kind, the background model on all documents. Both have exact counts of
-all words and bigrams, by 64-bit hash, so the models grow with the corpus and never lie in one place: each group of documents sends its
-distinct keys with their counts, a range of keys is summed at once, and each group gets the sums of its own keys back. A key comes once
-from a group however common it is. A document's score is the mean over its tokens of the background's loss less the target's, in nats:
-higher is nearer to the target.
-
-``fit`` and ``score`` are models of a fixed size, of hashed classes, to score documents outside the corpus with.
+The target model is counted on documents of the wanted kind, the background model on all documents; they share one vocabulary, all words
+of these. Both have exact counts of all words and bigrams, by 64-bit hash, so the models grow with the corpus and never lie in one
+place: each group of documents sends its distinct keys with their counts, a range of keys is summed at once, and each group gets the
+sums of its own keys back. A key comes once from a group however common it is. A document's score is the mean over its tokens of the
+background's loss less the target's, in nats: higher is nearer to the target.
 """
 
 from __future__ import annotations
@@ -23,8 +21,6 @@ from . import kernels as K
 from .common import group_count, is_small, text_bytes, texts
 from .run_length_index import _bucket_edges, _column
 
-WORDS = 1 << 16
-PAIRS = 1 << 19
 #: Weight of the bigram in the interpolation with the unigram, and of the uniform floor.
 BIGRAM = 0.7
 FLOOR = 0.05
@@ -32,7 +28,6 @@ FLOOR = 0.05
 #: Ids (8 bytes each) of target documents that are sent to every executor; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
-COUNT_SCHEMA = "class int, target long, background long"
 SCHEMA = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
 
@@ -48,30 +43,6 @@ def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return word, pair, after, first
 
 
-def _classes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ``_hashes``, with word and pair classes."""
-    word, pair, after, first = _hashes(data, offsets)
-    return (word % K.U64(WORDS)).astype(np.int64), (pair % K.U64(PAIRS)).astype(np.int64), after, first
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's sums; classes from WORDS on are pairs."""
-    sums = np.zeros((2, WORDS + PAIRS), dtype=np.int64)
-    for batch in batches:
-        wanted = np.asarray(batch.column("wanted").to_numpy(zero_copy_only=False), dtype=bool)
-        data, offsets = K.buffers(batch.column("text"))
-        for i, j, part, offs in K.pieces(data, offsets):
-            word, pair, after, first = _classes(part, offs)
-            own = np.repeat(wanted[i:j], np.diff(first))
-            for k, mask in enumerate((own, np.ones_like(own))):
-                sums[k, :WORDS] += np.bincount(word[mask], minlength=WORDS)
-                sums[k, WORDS:] += np.bincount(pair[mask & after], minlength=PAIRS)
-    used = np.flatnonzero(sums[1])
-    for at in range(0, len(used), 50_000):
-        k = used[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(sums[0, k]), pa.array(sums[1, k])], names=["class", "target", "background"])
-
-
 def _marked(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, text, wanted) of all documents."""
     ids = wanted.select("doc_id").where("doc_id is not null").distinct().withColumn("wanted", F.lit(True))
@@ -79,52 +50,6 @@ def _marked(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
 
 
-def fit(documents: DataFrame, wanted: DataFrame) -> np.ndarray:
-    """(2, WORDS + PAIRS) counts of the target, documents of ``wanted`` (doc_id), and of the background, all documents."""
-    counts = _marked(documents, wanted).select("text", "wanted").mapInArrow(_count, COUNT_SCHEMA).groupBy("class").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    rows = counts.toArrow()  # at most WORDS + PAIRS rows
-    out = np.zeros((2, WORDS + PAIRS), dtype=np.int64)
-    at = rows.column("class").to_numpy()
-    out[0, at], out[1, at] = rows.column("target").to_numpy(), rows.column("background").to_numpy()
-    return out
-
-
-def _losses(counts: np.ndarray, word: np.ndarray, pair: np.ndarray, after: np.ndarray) -> np.ndarray:
-    uni = counts[:WORDS]
-    total = max(1, uni.sum())
-    single = (1 - FLOOR) * uni[word] / total + FLOOR / WORDS
-    before = np.zeros(len(word))
-    before[1:] = uni[word[:-1]]
-    double = np.where(after & (before > 0), np.minimum(counts[WORDS:][pair], before) / np.maximum(before, 1), 0)
-    weight = np.where(after & (before > 0), BIGRAM, 0)
-    return -np.log(weight * double + (1 - weight) * single)
-
-
-def score(documents: DataFrame, model: np.ndarray) -> DataFrame:
-    """(doc_id, n_tokens, loss_target, loss_background, score) of each document of ``documents`` (doc_id, text, ...).
-
-    A document without a word, or null, has no tokens and losses and score 0. Repeated rows are scored each; other columns
-    are ignored; an empty table gives no rows. Without target documents all scores compare with the uniform floor.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # of fixed size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value.astype(np.float64)
-        for batch in batches:
-            data, offsets = K.buffers(batch.column(1))
-            for i, j, part, offs in K.pieces(data, offsets):
-                word, pair, after, first = _classes(part, offs)
-                n = np.diff(first)
-                means = []
-                for k in range(2):
-                    run_sum = np.concatenate([[0], np.cumsum(_losses(m[k], word, pair, after))])
-                    means.append((run_sum[first[1:]] - run_sum[first[:-1]]) / np.maximum(n, 1))
-                columns = [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(means[0]), pa.array(means[1]), pa.array(means[1] - means[0])]
-                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return texts(documents).mapInArrow(run, SCHEMA)
-
-
 def _group(table: pa.Table) -> tuple[list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
     """A group's tokens by pieces, and its distinct words and pairs in order with how often target and all documents hold them."""
     data, offsets = K.buffers(table.column("text"))
@@ -212,8 +137,13 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "target", "background"])
 
 
-def exact_scores(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """As ``score``, by exact counts of the documents of ``wanted`` (doc_id) and of all ``documents``; the floor is uniform over all their words."""
+def scores(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, loss_target, loss_background, score) of each document of ``documents`` (doc_id, text, ...), the target being those of ``wanted`` (doc_id).
+
+    A document without a word, or null, has no tokens and losses and score 0; a very long one is scored whole. Rows that tie or repeat a
+    doc_id, or have none, count and are scored each; other columns are ignored, whatever their names; an empty table gives no rows. The
+    floor is uniform over the vocabulary; without target documents it is the target's whole model.
+    """
     marked = _marked(documents, wanted)
     words = marked.select("text", "wanted").mapInArrow(_word_counts, "word long, target long, background long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     size = words.agg(F.count("*").alias("words"), F.sum("target").alias("target"), F.sum("background").alias("background")).first()
@@ -246,4 +176,4 @@ def exact_scores(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def cross_entropy_difference(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents against a target of those labelled good."""
-    return exact_scores(documents, labels.where("quality = 1"))
+    return scores(documents, labels.where("quality = 1"))
