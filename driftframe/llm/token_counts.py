@@ -38,13 +38,8 @@ def separators(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
     return blocks.select("file", "block", "data").mapInArrow(run, "file long, block long, n_tokens long, ends array<long>")
 
 
-def separator_scan(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> DataFrame:
-    """(file, ordinal, start, n_tokens) of each document in the flat files of ``blocks`` (file, block, data binary).
-
-    Blocks of a file are numbered from 0 without gaps, tokens not split between them. n_tokens leaves the end-of-document id out; two
-    such ids side by side have an empty document between them; tokens after the last one are a document without an end.
-    Null or empty blocks have no tokens; an empty table gives no rows.
-    """
+def _placed(blocks: DataFrame, end_id: int, width: int) -> DataFrame:
+    """(file, block, n_tokens, ends, base, ordinal, open, final): tokens and documents before each block, where its first document begins, the file's last block."""
     found = materialize(separators(blocks, end_id, width), "separators")
     own = found.select("file", "block", "n_tokens", F.size("ends").alias("docs"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last")).withColumn("part", F.floor(F.col("block") / SCAN_BLOCKS))
     sums = lambda w, c: F.coalesce(F.sum(c).over(w), F.lit(0))
@@ -58,8 +53,13 @@ def separator_scan(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> D
     parts = parts.withColumn("open_before", F.coalesce(F.max(F.col("tokens_before") + F.col("open")).over(outer), F.lit(0)))
     parts = parts.withColumn("final", F.max("top").over(Window.partitionBy("file")))
     placed = near.join(parts.select("file", "part", "tokens_before", "docs_before", "open_before", "final"), ["file", "part"])
-    placed = placed.select("file", "block", "n_tokens", (F.col("tokens_in") + F.col("tokens_before")).alias("base"), (F.col("docs_in") + F.col("docs_before")).alias("ordinal"), F.coalesce(F.col("open_in") + F.col("tokens_before"), "open_before").alias("open"), "final")
-    joined = found.select("file", "block", "ends").join(placed, ["file", "block"]).withColumn("stops", F.transform("ends", lambda e: e + F.col("base")))
+    placed = placed.select("file", "block", (F.col("tokens_in") + F.col("tokens_before")).alias("base"), (F.col("docs_in") + F.col("docs_before")).alias("ordinal"), F.coalesce(F.col("open_in") + F.col("tokens_before"), "open_before").alias("open"), "final")
+    return found.join(placed, ["file", "block"])
+
+
+def _documents(placed: DataFrame) -> DataFrame:
+    """(file, ordinal, start, n_tokens) of each document that ends in one of the ``placed`` blocks, or with the file."""
+    joined = placed.withColumn("stops", F.transform("ends", lambda e: e + F.col("base")))
     document = "array<struct<ordinal:bigint,start:bigint,stop:bigint>>"
     start = lambda i: F.when(i == 0, F.col("open")).otherwise(F.get("stops", i - 1) + 1)
     whole = F.transform("stops", lambda e, i: F.struct((F.col("ordinal") + i).alias("ordinal"), start(i).alias("start"), e.alias("stop")))
@@ -69,6 +69,16 @@ def separator_scan(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> D
     return joined.select("file", F.explode(F.concat(whole.cast(document), rest)).alias("d")).select("file", "d.ordinal", "d.start", (F.col("d.stop") - F.col("d.start")).alias("n_tokens"))
 
 
+def separator_scan(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> DataFrame:
+    """(file, ordinal, start, n_tokens) of each document in the flat files of ``blocks`` (file, block, data binary).
+
+    Blocks of a file are numbered from 0 without gaps or repeats, tokens not split between them. n_tokens leaves the end-of-document id out;
+    two such ids side by side have an empty document between them; tokens after the last one are a document without an end; a document may
+    be longer than any number of blocks. Null or empty blocks have no tokens; an empty table gives no rows.
+    """
+    return _documents(_placed(blocks, end_id, width))
+
+
 def flat_files(documents: DataFrame) -> DataFrame:
     """(file, block, data, doc_ids): all documents as flat files of two-byte ids, one for each task, in blocks of BLOCK_TOKENS.
 
@@ -110,11 +120,11 @@ def flat_files(documents: DataFrame) -> DataFrame:
 def token_counts(documents: DataFrame) -> DataFrame:
     """(doc_id, file, ordinal, start, n_tokens) of each document of ``documents`` (doc_id, text, ...), counted in its flat files.
 
-    Null and empty texts have no tokens. Repeated rows are counted each; other columns are ignored; an empty table gives no rows.
+    Null and empty texts have no tokens; a very long one lies in several blocks. Rows that tie or repeat a doc_id, or have none, are counted
+    each; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     blocks = materialize(flat_files(documents), "tokens", compact=False)
-    counted = separator_scan(blocks)
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    named = blocks.select("file", "block", "doc_ids").withColumn("base", F.coalesce(F.sum(F.size("doc_ids")).over(before), F.lit(0)))
-    named = named.select("file", "base", F.posexplode("doc_ids").alias("at", "doc_id")).select("file", (F.col("base") + F.col("at")).alias("ordinal"), "doc_id")
-    return counted.join(named, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    placed = materialize(_placed(blocks, END_ID, 2), "placed")
+    named = blocks.select("file", "block", "doc_ids").join(placed.select("file", "block", "ordinal"), ["file", "block"])
+    named = named.select("file", "ordinal", F.posexplode("doc_ids").alias("at", "doc_id")).select("file", (F.col("ordinal") + F.col("at")).alias("ordinal"), "doc_id")
+    return _documents(placed).join(named, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
