@@ -74,12 +74,12 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)), offsets
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole documents (first, past last, bytes, offsets from 0) of about ``limit`` bytes; a longer document comes alone."""
+def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE_BYTES, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole documents (first, past last, bytes, offsets from 0) of about ``limit`` bytes, and ``rows`` at most; a longer document comes alone."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(n, max(i + 1, j))
+        j = min(n, i + rows if rows else n, max(i + 1, j))
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 

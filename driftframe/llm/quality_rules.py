@@ -30,6 +30,8 @@ MIN_REFERENCE_WORDS = 2_000
 #: Languages that are compared at once, which bounds a task's arrays, and in one step, which bounds what is on the driver and broadcast (about 3 KB each).
 LANGUAGES = 64
 STEP_LANGUAGES = 8_192
+#: Documents that are compared at once: with LANGUAGES * COMMON_WORDS counts of each, 26 MB.
+PIECE_ROWS = 512
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) of an endless text; what the root of the number of words, which shortens it, adds; least sizes.
 MAX_CHAR_DISTANCE, CHAR_SLACK = 0.18, 0.6
 MAX_WORD_DISTANCE, WORD_SLACK = 0.25, 2.0
@@ -222,15 +224,16 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word, equal to an earlier one),
     n_repeat_words (words in three-word windows that come twice or more, the first included), base_failed, kept, and the
-    distances from the nearest language, 1 where no language has a reference. A null or empty text has no words and fails. Repeated rows get a row each;
-    other columns are ignored; an empty table gives no rows.
+    distances from the nearest language, 1 where no language has a reference. A null or empty text has no words and fails; a very long one is
+    judged whole. Rows that tie or repeat a doc_id, or have none, are judged each; a null lang is a language; other columns are ignored, whatever
+    their names; an empty table gives no rows.
     """
 
     def step(shared, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = K.buffers(batch.column(1))
-                for i, j, part, offs in K.pieces(data, offsets):
+                for i, j, part, offs in K.pieces(data, offsets, rows=PIECE_ROWS):
                     base, chars = Base(part, offs), _histogram(part, offs)
                     n = base.n
                     found = tuple(batch.column(k).slice(i, j - i).to_numpy() for k in (2, 3, 4))
