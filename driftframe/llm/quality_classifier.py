@@ -1,7 +1,7 @@
 """Compression quality classifier.
 
 Zstandard dictionaries are trained on good and on bad labelled text. A document is compressed in blocks
-with either dictionary; the difference of the two sizes over their sum, so a long text counts as a short one,
+with either dictionary; the difference of the two sizes over the text's size, so that a long text counts as a short one,
 goes through a logistic calibration that is fitted on labelled documents the dictionaries haven't seen.
 """
 
@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import texts
 
-#: Labelled documents of each class that a fit reads at most, the part of them that trains dictionaries, and bytes of each that it keeps.
+#: Labelled documents of each class that a fit reads at most, the part of them that trains dictionaries, and bytes of each of these
+#: that it keeps, in blocks from all over the text.
 SAMPLE_DOCS = 1500
 DICTIONARY_PART = 0.6
-SAMPLE_BYTES = 8_000
-DICTIONARY_BYTES = 112 << 10
+SAMPLE_BYTES = 8_192
+DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
 #: Texts are compressed in blocks, as a dictionary helps only near a block's start.
-BLOCK = 2048
+BLOCK = 1024
 
 SCHEMA = "doc_id long, score double, predicted int"
 
@@ -49,15 +50,14 @@ def _compressors(good: bytes, bad: bytes) -> tuple[zstandard.ZstdCompressor, zst
     return tuple(made)
 
 
-def features(raw: bytes, good: bytes, bad: bytes) -> tuple[float, float, float]:
-    """1, the normalised difference of the compressed sizes, and the compressed part of the smaller one."""
+def difference(raw: bytes, good: bytes, bad: bytes) -> float:
+    """What the bad dictionary's compressed size exceeds the good one's by, over the size; 0 without text."""
     by_good, by_bad = _compressors(good, bad)
-    a = b = 0
+    more = 0
     for at in range(0, len(raw), BLOCK):
         block = raw[at : at + BLOCK]
-        a += len(by_good.compress(block))
-        b += len(by_bad.compress(block))
-    return 1.0, (b - a) / (a + b) if a + b else 0.0, min(a, b) / len(raw) if raw else 0.0
+        more += len(by_bad.compress(block)) - len(by_good.compress(block))
+    return more / len(raw) if len(raw) else 0.0
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> np.ndarray:
@@ -75,61 +75,84 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-
     return w
 
 
+def _blocks(raw: bytes, seed: int) -> list[bytes]:
+    """Blocks of at most SAMPLE_BYTES in all, from places of ``raw`` that the seed chooses."""
+    starts = np.arange(0, len(raw), BLOCK)
+    if len(starts) > SAMPLE_BYTES // BLOCK:
+        starts = np.sort(np.random.default_rng(seed & (2**63 - 1)).choice(starts, SAMPLE_BYTES // BLOCK, replace=False))
+    return [raw[a : a + BLOCK] for a in starts.tolist()]
+
+
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = [_blocks(t.encode(), h) for t, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("h"), batch.column("doc_id"), pa.array(kept, pa.list_(pa.binary()))], names=["quality", "h", "doc_id", "blocks"])
+
+
+def _differences(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Each batch of (doc_id, text, ...) with the differences of its whole texts."""
+    m = shared.value
+    for batch in batches:
+        data, offsets = K.buffers(batch.column("text"))
+        raw = memoryview(data)
+        yield batch, np.array([difference(raw[a:b], m.good, m.bad) for a, b in zip(offsets[:-1], offsets[1:], strict=True)] if m.good else [0.0] * len(batch), dtype=float)
+
+
+def _dictionary(blocks: list[bytes]) -> bytes:
+    total = sum(map(len, blocks))
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 8)), blocks).as_bytes()
+    except zstandard.ZstdError:  # too little text to choose from: the text itself
+        return b"".join(blocks)[-DICTIONARY_BYTES:]
+
+
 def fit(documents: DataFrame, labels: DataFrame, seed: int = 0) -> Model:
     """Fit on at most SAMPLE_DOCS documents of each class of ``labels`` (doc_id, quality), chosen by a hash of doc_id.
 
-    Rows with a null doc_id or quality are left out; of several labels of a document the largest counts. Without
-    both classes the score is 0.5 everywhere.
+    Rows with a null doc_id or quality are left out; of several labels of a document the largest counts, of several texts the least;
+    a document without text is none. Dictionaries read SAMPLE_BYTES of a text, the calibration whole texts, in tasks. Where a class has one
+    document, the calibration reads it too. Without a document of both classes the score is 0.5 everywhere.
     """
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    spark = documents.sparkSession
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     chosen = None
     for quality in (0, 1):
         own = known.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(SAMPLE_DOCS)
         chosen = own if chosen is None else chosen.unionByName(own)
-    rows = texts(documents).join(F.broadcast(chosen), "doc_id")  # at most 2 * SAMPLE_DOCS rows
-    rows = rows.select("doc_id", "quality", F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id", F.lit(seed + 1)).alias("h")).collect()
-    rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["h"], r["doc_id"]))
-    by = {q: [r["text"].encode()[:SAMPLE_BYTES] for r in rows if r["quality"] == q] for q in (0, 1)}
-    if min(map(len, by.values())) < 10:
-        return Model(b"", b"", (0.0, 0.0, 0.0))
-    cut = {q: max(5, int(len(by[q]) * DICTIONARY_PART)) for q in by}
-    least = min(sum(map(len, by[q][: cut[q]])) for q in by)
-
-    def dictionary(samples: list[bytes]) -> bytes:
-        kept, total = [], 0
-        for s in samples:  # as much text of either class
-            if total >= least:
-                break
-            kept += [s[at : at + BLOCK] for at in range(0, len(s), BLOCK)]
-            total += len(s)
-        try:
-            return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 8)), kept).as_bytes()
-        except zstandard.ZstdError:  # too little text to choose from: the text itself
-            return b"".join(kept)[-DICTIONARY_BYTES:]
-
-    good, bad = dictionary(by[1][: cut[1]]), dictionary(by[0][: cut[0]])
-    held = [(features(raw, good, bad), q) for q in by for raw in by[q][cut[q] :]]
-    weights = calibrate(np.array([x for x, _ in held]), np.array([q for _, q in held]))
-    return Model(good, bad, tuple(map(float, weights)))
+    labelled = texts(documents).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text")).where("text != ''")  # at most 2 * SAMPLE_DOCS rows
+    rows = labelled.withColumn("h", F.xxhash64("doc_id", F.lit(seed + 1))).mapInArrow(_samples, "quality int, h long, doc_id long, blocks array<binary>").collect()
+    by = {q: sorted(((r["h"], r["doc_id"], r["blocks"]) for r in rows if r["quality"] == q), key=lambda r: r[:2]) for q in (0, 1)}
+    if not all(by.values()):
+        return Model(b"", b"", (0.0, 0.0))
+    cut = {q: max(1, int(len(by[q]) * DICTIONARY_PART)) for q in by}
+    bad, good = (_dictionary([bytes(b) for _, _, blocks in by[q][: cut[q]] for b in blocks]) for q in (0, 1))
+    model = Model(good, bad, (0.0, 0.0))
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, x in _differences(shared, batches):
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(x)], names=["quality", "x"])
+
+    unseen = spark.createDataFrame([(d,) for q in by for _, d, _ in by[q][cut[q] :] or by[q]], "doc_id long")
+    held = labelled.join(F.broadcast(unseen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "quality int, x double").collect()
+    weights = calibrate(np.array([(1.0, r["x"]) for r in held]), np.array([r["quality"] for r in held]))
+    return Model(model.good, model.bad, tuple(map(float, weights)))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted) of each whole text of ``documents`` (doc_id, text, ...).
 
-    score is in [0, 1], higher for better; predicted is 1 from 0.5. Null and empty texts get the score of features
-    0; repeated rows are scored each; other columns are ignored; an empty table gives no rows.
+    score is in [0, 1], higher for better; predicted is 1 from 0.5. A null or empty text has the difference 0; a very long one is read
+    block by block. Rows are scored each for itself, so rows that tie or repeat get the same score, one without a doc_id too; other columns
+    are ignored, whatever their names; an empty table gives no rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            data, offsets = K.buffers(batch.column(1))
-            raw, out = memoryview(data), np.full(len(batch), 0.5)
-            if m.good:
-                x = np.array([features(raw[offsets[i] : offsets[i + 1]], m.good, m.bad) for i in range(len(batch))]).reshape(-1, 3)
-                out = 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        bias, slope = shared.value.weights
+        for batch, x in _differences(shared, batches):
+            out = 1 / (1 + np.exp(-np.clip(bias + slope * x, -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return texts(documents).mapInArrow(run, SCHEMA)
 

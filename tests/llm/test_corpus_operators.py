@@ -221,26 +221,46 @@ def test_packing_round_trip(spark):
         for r in sorted(own, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 2048 and len(own) <= packing.MAX_SEGMENTS
+        assert (at == 2048 or at & (at - 1) == 0) and at <= 2048 and len(own) <= packing.MAX_SEGMENTS  # no padding
 
 
-def test_packing_holds_all_limits():
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
+def test_packing_holds_all_limits(share):
+    """Loss of prompts and answers in turn, below the limit on tokens; little padding where the limits let it."""
     rng = random.Random(0)
-    docs = [(i, np.arange(rng.randrange(1, 300), dtype="<u4")) for i in range(500)]
+    docs = []
+    for i in range(500):
+        n = rng.randrange(1, 900 if i % 50 == 0 else 200)
+        bears = np.repeat(np.array([rng.random() < share for _ in range(n // 10 + 1)]), 10)[:n]
+        bears[0] = False
+        docs.append((i, np.arange(n, dtype="<u4"), bears))
     seq = defaultdict(list)
-    for doc, start, length, _, _, sequence, _ in packing.sequences(iter(docs), 0, 256, 5, 200):
-        seq[sequence].append((length, length - (start == 0)))
-    assert all(sum(a for a, _ in s) <= 256 and len(s) <= 5 and sum(b for _, b in s) <= 200 for s in seq.values())
-    assert sum(a for s in seq.values() for a, _ in s) == sum(len(x) for _, x in docs)
-
-
-def lined(seed=4):
-    rng = random.Random(seed)
-    pool = [sentence(rng, rng.choice((1, 2, 3, 6, 9))) for _ in range(40)] + ["", " "]
-    block = [rng.choice(pool) for _ in range(12)]
-    texts = [None, "", "\n\n", "a\nb\nc\nd\ne", "a\nb\nc\nd\ne", "\n".join(block), "\n".join(["x", *block, "y"]), "\n".join(block[3:9])]
-    texts += ["\n".join(rng.choice(pool) if rng.random() < 0.4 else sentence(rng, 4) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
-    return list(enumerate(texts))
+    for doc, start, length, _, _, sequence, _ in packing.sequences(iter(docs), 0, 256, 6, 150):
+        seq[sequence].append((length, int(docs[doc][2][start : start + length].sum())))
+    assert all(sum(a for a, _ in s) <= 256 and len(s) <= 6 and sum(b for _, b in s) <= 150 for s in seq.values())
+    tokens = sum(len(x) for _, x, _ in docs)
+    assert sum(a for s in seq.values() for a, _ in s) == tokens
+    assert max(sum(b for _, b in s) for s in seq.values()) == (0 if not share else 150)
+    assert len(seq) <= 1.06 * max(tokens / 256, sum(int(b.sum()) for *_, b in docs) / 150) + 9
+
+
+def test_packing_reads_loss_spans(spark):
+    """Ids bear loss where their word begins in a span of bytes; the limit binds then."""
+    text = "é " + " ".join(["question"] * 30) + " " + " ".join(["answer"] * 30)
+    at = text.encode().index(b"answer")
+    spans = "array<struct<start:int,stop:int>>"
+    docs = spark.createDataFrame([(i, text, [(at, 10**6)] if i % 3 else None if i else []) for i in range(40)], f"doc_id long, text string, loss {spans}")
+    own = packing.WordTokens(packing.public_tokenizers.path("word_bpe_49k.json"))
+    ids, _, places = own(np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text.encode())]))
+    bears = {0: packing.bearing(places, []), 1: packing.bearing(places, [{"start": at, "stop": 10**6}]), 3: packing.bearing(places, None)}
+    assert bears[0].sum() == 0 and bears[3].sum() == len(ids) and bears[1].sum() == sum(p >= at for p in places) + 1
+    seq = defaultdict(int)
+    for r in packing.pack_sequences(docs.coalesce(1), length=256, max_loss=90, loss="loss").collect():
+        mask = bears[0 if r.doc_id == 0 else 3 if r.doc_id % 3 == 0 else 1]
+        seq[r.sequence_id] += mask[r.start : r.start + r.length].sum()
+    assert max(seq.values()) == 90
+    with pytest.raises(ValueError):
+        packing.pack_sequences(docs, max_loss=0)
 
 
 def brute_maximal(rows, least=5):
@@ -409,7 +429,7 @@ def test_quality_classifier(spark):
     rows = scored.join(labels, "doc_id").where("held_out").collect()
     assert {r.held_out for r in rows} == {True} and all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
     right = [(r.predicted == r.quality) for r in rows]
-    assert sum(right) > 0.93 * len(right)
+    assert sum(right) > 0.95 * len(right)
     odd = make(spark, [(1, None), (2, ""), (3, "x"), (3, "x"), (4, "y" * 100_000)])
     model = quality_classifier.fit(docs, quality_classifier.training_labels(labels))
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in quality_classifier.score(odd, model).collect())
@@ -417,17 +437,18 @@ def test_quality_classifier(spark):
     assert {r.score for r in quality_classifier.score(odd, none).collect()} == {0.5}
 
 
-def test_cross_entropy_difference(spark):
-    rng = random.Random(3)
-    near = [" ".join(rng.choice(WORDS[:8]) for _ in range(60)) for _ in range(60)]
-    far = [" ".join(rng.choice(WORDS[8:]) for _ in range(60)) for _ in range(60)]
-    rows = [(i, t) for i, t in enumerate([*near, *far, None, ""])]
-    docs = make(spark, rows)
-    model = lm_scoring.fit(docs, docs.where("doc_id < 30"))
-    assert model[1, : lm_scoring.WORDS].sum() == 60 * 120 and model[0, : lm_scoring.WORDS].sum() == 60 * 30
-    got = {r.doc_id: r for r in lm_scoring.score(docs, model).collect()}
-    assert min(got[i].score for i in range(30, 60)) > max(got[i].score for i in range(60, 120))
-    assert got[120].n_tokens == 0 and got[121].score == 0
+def test_quality_classifier_learns_from_few(spark):
+    """One document of each class, one of them very long with its kind at the end; scores of others like them."""
+    rng = random.Random(1)
+    kinds = [[f"{rng.randrange(10**9)}" for _ in range(300)], [rng.choice(WORDS) for _ in range(300)]]
+    text = lambda q, n: " ".join(rng.choice(kinds[q]) for _ in range(n))
+    rows = [(0, text(0, 3000)), (1, text(1, 3000)), *((i, text(i % 2, 200)) for i in range(2, 30)), (30, None), (0, text(0, 10))]
+    model = quality_classifier.fit(make(spark, rows), spark.createDataFrame([(0, 0), (1, 1), (30, 1), (99, 0)], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality_classifier.score(make(spark, rows), model).where("doc_id between 2 and 29").collect()}
+    assert all((x >= 0.5) == (i % 2 == 1) for i, x in got.items()) and len(got) == 28
+    assert quality_classifier._blocks(b"x" * 2000, 1) == [b"x" * 1024, b"x" * 976]
+    long = b"".join(bytes([k]) * 1024 for k in range(100))
+    assert len(quality_classifier._blocks(long, 5)) == 8 and max(b[0] for b in quality_classifier._blocks(long, 5)) > 50
 
 
 def brute_cross_entropy(rows, wanted):
@@ -511,7 +532,7 @@ def test_rows_without_an_id_and_repeated_rows(spark, sf_dir):
     every = list(map(tuple, run_length_index.remove_repeats(docs).collect()))
     repeats, lost = sorted(r for r in every if r[0] is not None), [r for r in every if r[0] is None]
     assert [(r[0], r[2] > 0) for r in repeats] == [(1, False), (1, False), (2, False), (2, True), (3, True)]
-    assert sorted(r[1] for r in lost) == [0, len(t)] and {r[2:4] for r in lost} == {(0, 0)} and hashlib.sha256(t.encode()).hexdigest() in {r[4] for r in lost}
+    assert sorted(r[1] for r in lost) == [0, len(t.encode())] and {r[2:4] for r in lost} == {(0, 0)} and hashlib.sha256(t.encode()).hexdigest() in {r[4] for r in lost}
     lines = line_dedup.remove_repeated_lines(docs).collect()
     assert len(lines) == len(rows) and {r.text for r in lines if r.doc_id is None} == {t, None}
     found = secret_scan.secrets(docs).collect()
