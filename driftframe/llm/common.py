@@ -53,8 +53,8 @@ def discard(*tables: DataFrame | None) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def look_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Inner join of ``rows`` with the one row that ``table``, a written table, has for each key; no key is gathered in one task.
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` with the one row that ``table``, a written table, has for a key; no key is gathered in one task.
 
     weight: column of the number of rows of each key. Keys with more than one in HOT_KEYS of all rows, so HOT_KEYS at most, are sent
     to every executor; the others are joined by shuffle.
@@ -62,11 +62,9 @@ def look_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) ->
     total = table.agg(F.sum(weight).alias("n")).first()["n"] or 0
     hot = table.where(F.col(weight) * HOT_KEYS > max(total, HOT_LEAST * HOT_KEYS))
     if hot.isEmpty():
-        return rows.join(table, keys)
-    known = [F.col(k).alias(f"__{k}") for k in keys]
-    apart = F.broadcast(hot.select(*known))
-    same = [F.col(k) == F.col(f"__{k}") for k in keys]
-    cold = rows.join(apart, same, "left_anti").join(table, keys)
+        return rows.join(table, keys, how)
+    apart = F.broadcast(hot.select(*(F.col(k).alias(f"__{k}") for k in keys)))
+    cold = rows.join(apart, [F.col(k) == F.col(f"__{k}") for k in keys], "left_anti").join(table, keys, how)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 

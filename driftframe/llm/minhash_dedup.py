@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import is_small, materialize, texts
+from .common import discard, is_small, look_up, materialize, texts
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 4
@@ -122,7 +122,8 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable from each of ``nodes`` over the undirected ``links`` (a, b).
 
     Alternates star steps: every node passes the smallest neighbour to its larger ones, then to all, until
-    nothing changes. Per-node minima are sums that Spark combines before its shuffle; no neighbour lists are built.
+    nothing changes. Per-node minima are sums that Spark combines before its shuffle; no neighbour lists are built, and the
+    edges of a star's centre, however many, stay in the tasks that hold them.
     """
     edges = materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     if edges.isEmpty():
@@ -131,13 +132,15 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour of u is linked to the smallest of u and its neighbours
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree")), "least")
+        large = materialize(look_up(both.where("v > u"), least, ["u"], "degree").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: u and its smaller neighbours are linked to the smallest of them
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(smallest, "u")
+        smallest = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), "smallest")
+        joined = look_up(large, smallest, ["u"], "degree")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(smallest.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = materialize(small, "stars")
+        after = materialize(small, "stars")
+        discard(edges, least, large, smallest)
+        edges = after
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if before == state:
             break
@@ -232,19 +235,21 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set is its distinct runs of five
     words, with fewer words the whole sequence. Documents are linked from a Jaccard similarity of 0.75;
     component_id is the smallest doc_id reachable and kept marks it. A null or empty text has no set
-    and stays alone. Rows without a doc_id are left out; rows with one doc_id get a row each, by their own text; other columns are ignored; an empty table gives no rows.
+    and stays alone; a very long one is a set like any other. Rows with one doc_id get a row each, by their own text. A row without a doc_id
+    gets its set's size and kept, and is linked with nothing. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     docs = texts(documents).where("doc_id is not null")
     sketch = materialize(docs.mapInArrow(_sketch, SKETCH_SCHEMA), "sketch", compact=False)
     full = sketch.where("n_shingles > 0")
     sets = ["n_shingles", "set_hash_a", "set_hash_b"]
-    classes = full.groupBy(*sets).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    classes = materialize(full.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "copies")
     # each row with the smallest doc_id of its class; only those rows are looked up further
-    reps = materialize(full.join(classes.where("copies > 1").select(*sets, F.col("id").alias("rep")), sets, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.coalesce("rep", "doc_id") == F.col("doc_id"), F.col("bands")).alias("bands")), "classes", compact=False)
+    rep = F.coalesce("rep", "doc_id")
+    reps = materialize(look_up(full, classes, sets, "copies", "left").select("doc_id", "n_shingles", rep.alias("rep"), F.when(rep == F.col("doc_id"), F.col("bands")).alias("bands")), "classes", compact=False)
     alone = reps.where("doc_id = rep")
     rows = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    buckets = materialize(rows.join(shared, "key"), "buckets", compact=False)
+    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+    buckets = materialize(look_up(rows, shared, ["key"], "members"), "buckets", compact=False)
     nodes = buckets.select("id").distinct()
 
     links = tried = None
@@ -252,11 +257,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     for turn in range(PIVOT_ROUNDS):
         now = buckets.join(comps, "id")
         order = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.col("id"), "id")
-        split = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "n", "component"), order).alias("pivot")).where("lo < hi")
-        pairs = now.join(split.select("key", "pivot"), "key").where(F.col("component") != F.col("pivot.component")).where(_may_link("n", "pivot.n")).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
+        split = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "n", "component"), order).alias("pivot"), F.count("*").alias("size")).where("lo < hi")
+        split = materialize(split.select("key", "pivot", "size"), "pivots")
+        pairs = look_up(now, split, ["key"], "size").where(F.col("component") != F.col("pivot.component")).where(_may_link("n", "pivot.n")).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs.distinct(), "candidates")
+        discard(split)
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -267,10 +274,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     if not found.isEmpty():
         comps = materialize(components(found if links is None else links.unionByName(found), nodes), "components")
 
-    near = comps.select(F.col("id").alias("rep"), "component")
+    copies = classes.select("rep", "copies")
+    near = materialize(comps.select(F.col("id").alias("rep"), "component").join(copies, "rep", "left").withColumn("copies", F.coalesce("copies", F.lit(1))), "near")
     every = reps.select("doc_id", "n_shingles", "rep").unionByName(sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep")))
-    out = every.join(near, "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = look_up(every, near, ["rep"], "copies", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    lost = texts(documents).where("doc_id is null").mapInArrow(_sketch, SKETCH_SCHEMA)
+    return out.unionByName(lost.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 NEAR_DUPLICATES_SQL = r"""
