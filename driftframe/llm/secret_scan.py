@@ -1,8 +1,10 @@
 """Secret scan: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-The patterns give base spans of three kinds. Their values are the labelled samples of random strings, other long tokens
-of letters, - and _ those of ordinary identifiers; first-order character models of both are counted over the whole
-corpus, and tokens whose log-likelihood ratio speaks for a random string are further spans. DataFrame functions only.
+The patterns give base spans of three kinds. Labelled samples of both kinds train first-order character models, and tokens whose
+log-likelihood ratio speaks for a random string are further spans. Samples may be given; else they are labelled by rule over the whole
+corpus: the values of base spans are random strings, distinct other long tokens of letters, - and _ are ordinary identifiers. A third
+of the samples, by a hash of the value, is held out of the training, and ``sample_rates`` counts how many of these the models flag.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -67,38 +69,76 @@ def _ratios(counts: list[tuple[int, int, int]]) -> list[float]:
     return [r - i for r, i in zip(*logs, strict=True)]
 
 
-def secrets(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each document of ``documents`` (doc_id, text, ...).
-
-    Spans are kind:start:end in code points, the end exclusive, by start, then kind, joined by commas; base_sha256 is of
-    those of the three fixed kinds, spans holds all. Model spans that overlap a base span are left out. Null and empty
-    texts have none. Repeated rows get a result each; other columns are ignored; an empty table gives no rows.
-    """
-    docs = texts(documents).withColumn("h", F.xxhash64("text"))
+def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Base spans, and tokens that overlap none, of (doc_id, text, h): (doc_id, h, kind, size, value, start, stop)."""
     found = docs.select("doc_id", "h", F.explode(F.concat(*(_matches(k) for k in KINDS))).alias("m")).select("doc_id", "h", "m.*").distinct()
     before = Window.partitionBy("doc_id", "h", "kind").orderBy("nth")
     stop = F.sum(F.col("gap").cast("long") + F.col("size")).over(before)
-    spans = materialize(found.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("size")).drop("gap", "nth"), "spans", compact=False)
-
+    spans = found.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("size")).drop("gap", "nth")
     is_kind = lambda k: F.col("kind") == KINDS.index(k)
-    long_enough = F.when(is_kind("assign"), F.length("value") >= LEAST["assign"]).when(is_kind("access"), F.col("size") >= LEAST["access"]).otherwise(F.col("size") >= LEAST["hex"])
-    base = spans.where(~is_kind("markov") & long_enough)
-    tokens = spans.where(is_kind("markov")).alias("t")
-    b = base.select(F.col("doc_id").alias("b_doc"), F.col("h").alias("b_h"), F.col("start").alias("b_start"), F.col("stop").alias("b_stop")).alias("b")
-    apart = tokens.join(b, F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("h") == F.col("b_h")) & (F.col("start") < F.col("b_stop")) & (F.col("b_start") < F.col("stop")), "left_anti")
-
-    random_pairs = base.select(F.explode(_pairs("value")).alias("pair")).where(F.col("pair").between(0, CODES * CODES - 1)).groupBy("pair").agg(F.count("*").alias("good"), F.lit(0).cast("long").alias("bad"))
-    plain_pairs = apart.where(F.col("value").rlike(IDENTIFIER)).select(F.explode(_pairs("value")).alias("pair")).groupBy("pair").agg(F.lit(0).cast("long").alias("good"), F.count("*").alias("bad"))
-    counts = random_pairs.unionByName(plain_pairs).groupBy("pair").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    long_enough = F.when(is_kind("assign"), F.length("value") >= LEAST["assign"]).when(is_kind("access"), F.col("size") >= LEAST["access"]).when(is_kind("hex"), F.col("size") >= LEAST["hex"]).otherwise(True)
+    # base spans that begin no later reach to `reached`, and those that begin no earlier from `ahead` on: one pass over a text's spans in order
+    order = Window.partitionBy("doc_id", "h").orderBy("start")
+    own = lambda c: F.when(~is_kind("markov"), F.col(c))
+    near = spans.where(long_enough).withColumn("reached", F.max(own("stop")).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    near = near.withColumn("ahead", F.min(own("start")).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    apart = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.coalesce("ahead", "stop") >= F.col("stop"))
+    kept = materialize(near.where(~is_kind("markov") | apart).drop("reached", "ahead"), "spans", compact=False)
+    return kept.where(~is_kind("markov")), kept.where(is_kind("markov"))
+
+
+def labelled_samples(documents: DataFrame) -> DataFrame:
+    """(value, random) by rule: distinct values of base spans, and distinct long tokens apart from these that are letters, - and _ only."""
+    return _samples(*_spans(texts(documents).withColumn("h", F.xxhash64("text"))))
+
+
+def _samples(base: DataFrame, tokens: DataFrame) -> DataFrame:
+    plain = tokens.where(F.col("value").rlike(IDENTIFIER))
+    return base.select("value", F.lit(True).alias("random")).unionByName(plain.select("value", F.lit(False).alias("random"))).distinct()
+
+
+def is_held_out(value: str) -> F.Column:
+    return F.crc32(F.encode(F.col(value), "UTF-8")) % 3 == 1
+
+
+def train(samples: DataFrame) -> list[float] | None:
+    """Log-likelihood ratio of each character pair, from the samples (value, random) that aren't held out; None without random strings."""
+    pairs = samples.where(~is_held_out("value")).select("random", F.explode(_pairs("value")).alias("pair")).where(F.col("pair").between(0, CODES * CODES - 1))
+    counts = pairs.groupBy("pair").agg(F.count_if("random").alias("good"), F.count_if(~F.col("random")).alias("bad"))
     rows = [(r["pair"], r["good"], r["bad"]) for r in counts.collect()]  # at most CODES * CODES rows
-    added = apart.limit(0)
-    if any(good for _, good, _ in rows):
-        model = F.from_json(F.lit(json.dumps([round(x, 4) for x in _ratios(rows)])), "array<double>")
-        scored = apart.where(F.col("size") >= TOKEN_LEAST).withColumn("ratio", F.aggregate(_pairs("value"), F.lit(0.0), lambda total, pair: total + F.get(model, pair)))
-        added = scored.where((F.col("ratio") >= RATIO_LEAST) & (F.col("ratio") >= RATIO_EACH * (F.col("size") - 1))).drop("ratio")
+    return [round(x, 4) for x in _ratios(rows)] if any(good for _, good, _ in rows) else None
+
+
+def is_random(value: str, model: list[float]) -> F.Column:
+    """Whether a long token's log-likelihood ratio, in all and for each pair, speaks for a random string."""
+    table = F.from_json(F.lit(json.dumps(model)), "array<double>")
+    ratio = F.aggregate(_pairs(value), F.lit(0.0), lambda total, pair: total + F.coalesce(F.get(table, pair), F.lit(0.0)))
+    return (F.length(value) >= TOKEN_LEAST) & (ratio >= RATIO_LEAST) & (ratio >= RATIO_EACH * (F.length(value) - 1))
+
+
+def sample_rates(samples: DataFrame) -> DataFrame:
+    """(random, n, flagged): held-out samples of TOKEN_LEAST characters or more by label, and how many of them the models call random."""
+    model = train(samples)
+    flagged = is_random("value", model) if model else F.lit(False)
+    held = samples.where(is_held_out("value") & (F.length("value") >= TOKEN_LEAST))
+    return held.groupBy("random").agg(F.count("*").alias("n"), F.count_if(flagged).alias("flagged"))
 
+
+def secrets(documents: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each document of ``documents`` (doc_id, text, ...).
+
+    samples: labelled strings (value, random) that train the models; by rule from the documents if None. Spans are kind:start:end in code points,
+    the end exclusive, by start, then kind, joined by commas; base_sha256 is of those of the three fixed kinds, spans holds all. Model
+    spans that overlap a base span are left out; without random strings to learn from there are none. Null and empty texts have no spans; a
+    very long text is scanned whole. Rows that tie or repeat a doc_id get a result each, a row without a doc_id too; other columns are ignored,
+    whatever their names; an empty table gives no rows.
+    """
+    docs = texts(documents).withColumn("h", F.xxhash64("text"))
+    base, tokens = _spans(docs)
+    model = train(_samples(base, tokens) if samples is None else samples.select("value", "random"))
+    every = base.unionByName(tokens.where(is_random("value", model))) if model else base
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
-    every = base.unionByName(added).withColumn("span", F.struct("start", "kind", F.concat_ws(":", name, "start", "stop").alias("said")))
+    every = every.withColumn("span", F.struct("start", "kind", F.concat_ws(":", name, "start", "stop").alias("said")))
     said = lambda xs: F.array_join(F.transform(xs, lambda x: x["said"]), ",")
     listed = every.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("span")).alias("all"))
     count = lambda k: F.size(F.filter("all", lambda x: x["kind"] == KINDS.index(k))).cast("long")
