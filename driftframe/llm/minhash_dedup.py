@@ -79,7 +79,6 @@ def document_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WOR
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = K.buffers(batch.column(1))
         for i, j, part, offs in K.pieces(data, offsets):
             sets, starts = document_sets(part, offs)
@@ -93,7 +92,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b[full] = np.add.reduceat(K.mix(sets ^ K.U64(0x5851F42D4C957F2D)), starts[full])
             at = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), bands], names=["doc_id", "n_shingles", "set_hash_a", "set_hash_b", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), bands], names=["doc_id", "n_shingles", "set_hash_a", "set_hash_b", "bands"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
