@@ -21,6 +21,7 @@ from .common import look_up, materialize, texts
 #: Words that a copied run must have to be deleted.
 MIN_WORDS = 5
 WORD = r"[^\x20\x09-\x0D]+"
+DOC = ["doc_id", "h"]
 
 
 def _ordered(distinct: DataFrame, *columns: str) -> DataFrame:
@@ -30,33 +31,37 @@ def _ordered(distinct: DataFrame, *columns: str) -> DataFrame:
 
 
 def _line_positions(documents: DataFrame) -> DataFrame:
-    """(doc_id, line, n, before, upto, a, b) of lines with a word: number among them, words before the line and to its end, 128-bit ID."""
-    every = texts(documents).where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    worded = every.withColumn("words", F.regexp_count("body", F.lit(WORD))).where("words > 0")
-    ids = worded.select("doc_id", "line", "words", F.xxhash64("body").alias("a"), F.xxhash64(F.lit(1), "body").alias("b"))
-    order = Window.partitionBy("doc_id").orderBy("line", "a", "b")
+    """(doc_id, h, line, n, before, upto, a, b) of lines with a word: number among them, words before the line and to its end, 128-bit ID.
+
+    h is a hash of the text, so that other texts with one doc_id are other documents; a row that comes again counts once.
+    """
+    docs = texts(documents).where("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    worded = docs.select(*DOC, F.posexplode(F.split("text", "\n")).alias("line", "body")).withColumn("words", F.regexp_count("body", F.lit(WORD))).where("words > 0")
+    ids = worded.select(*DOC, "line", "words", F.xxhash64("body").alias("a"), F.xxhash64(F.lit(1), "body").alias("b"))
+    order = Window.partitionBy(*DOC).orderBy("line")
+    ids = ids.withColumn("last", F.lag("line").over(order)).where("last is null or last < line").drop("last")
     ids = ids.withColumn("n", F.row_number().over(order)).withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return materialize(ids.withColumn("before", F.col("upto") - F.col("words")).drop("words"), "lines", compact=False)
 
 
 def _prefixes(ids: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, n, before, prefix, ends): for each repeated line the ranks of it and the next, ``depth`` at most, and the words to the end of each."""
+    """(doc_id, h, n, before, prefix, ends): for each repeated line the ranks of it and the next, ``depth`` at most, and the words to the end of each."""
     lines = ids.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1")
     lines = materialize(_ordered(lines, "a", "b"), "line-ranks")
-    level = look_up(ids, lines, ["a", "b"], "times").select("doc_id", "n", "before", F.array("rank").alias("prefix"), F.array("upto").alias("ends"))
+    level = look_up(ids, lines, ["a", "b"], "times").select(*DOC, "n", "before", F.array("rank").alias("prefix"), F.array("upto").alias("ends"))
     level, length = materialize(level, "prefixes"), 1
     while length < depth:
-        ahead = level.select("doc_id", (F.col("n") - length).alias("n"), F.col("prefix").alias("next"), F.col("ends").alias("next_ends"))
-        both = level.join(ahead, ["doc_id", "n"], "left")
+        ahead = level.select(*DOC, (F.col("n") - length).alias("n"), F.col("prefix").alias("next"), F.col("ends").alias("next_ends"))
+        both = level.join(ahead, [*DOC, "n"], "left")
         longer = lambda own, more: F.when((F.size("prefix") == length) & F.col(more).isNotNull(), F.slice(F.concat(own, more), 1, depth)).otherwise(F.col(own))
-        level = materialize(both.select("doc_id", "n", "before", longer("prefix", "next").alias("prefix"), longer("ends", "next_ends").alias("ends")), "prefixes")
+        level = materialize(both.select(*DOC, "n", "before", longer("prefix", "next").alias("prefix"), longer("ends", "next_ends").alias("ends")), "prefixes")
         length *= 2
     return level
 
 
 def _suffix_array(prefixes: DataFrame, depth: int) -> DataFrame:
-    """(rank, prefix, times, first, lcp): distinct prefixes in order, with their first position (doc_id, n) and the LCP with the one before."""
-    classes = prefixes.groupBy("prefix").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "n")).alias("first"))
+    """(rank, prefix, times, first, lcp): distinct prefixes in order, with their first position (doc_id, h, n) and the LCP with the one before."""
+    classes = prefixes.groupBy("prefix").agg(F.count("*").alias("times"), F.min(F.struct(*DOC, "n")).alias("first"))
     classes = materialize(_ordered(classes, "prefix"), "suffixes").withColumn("range", F.shiftright("rank", 33))
     # the prefix before the first of a range is the last of a range before: one row for each range
     tails = classes.groupBy("range").agg(F.max_by("prefix", "rank").alias("tail")).withColumn("tail", F.lag("tail").over(Window.orderBy("range")))
@@ -91,25 +96,24 @@ def _earliest(array: DataFrame, depth: int) -> DataFrame:
 
 
 def copied_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line): lines, counted from 0, that later copies of maximal repeated runs of ``min_words`` words or more cover."""
+    """(doc_id, h, line): lines, counted from 0, that later copies of maximal repeated runs of ``min_words`` words or more cover."""
     depth = max(1, min_words)
     ids = _line_positions(documents)
     prefixes = _prefixes(ids, depth)
     classes = _earliest(_suffix_array(prefixes, depth), depth)
     held = look_up(prefixes, classes, ["prefix"], "times")
     # intervals of longer prefixes begin no earlier, so the maximal run is as long as the earliest positions before this one are many
-    length = F.size(F.filter("earliest", lambda first: first < F.struct("doc_id", "n")))
+    length = F.size(F.filter("earliest", lambda first: first < F.struct(*DOC, "n")))
     found = held.withColumn("length", length).where((F.col("length") > 0) & (F.get("ends", F.col("length") - 1) - F.col("before") >= min_words))
-    covered = found.select("doc_id", F.explode(F.sequence("n", F.col("n") + F.col("length") - 1)).alias("n")).distinct()
-    return covered.join(ids.select("doc_id", "n", "line"), ["doc_id", "n"]).select("doc_id", "line")
+    covered = found.select(*DOC, F.explode(F.sequence("n", F.col("n") + F.col("length") - 1)).alias("n")).distinct()
+    return covered.join(ids.select(*DOC, "n", "line"), [*DOC, "n"]).select(*DOC, "line")
 
 
 def _copied_runs(documents: DataFrame, min_words: int) -> DataFrame:
-    """(__id, __runs): unbroken deleted lines of each document that has any, as (first, last) in order."""
-    lines = copied_lines(documents, min_words).distinct()
-    run = F.col("line") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
-    runs = lines.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"))
-    return materialize(runs.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__runs")), "line-runs")
+    """(__id, __h, __runs): unbroken deleted lines of each text that has any, as (first, last) in order."""
+    run = F.col("line") - F.row_number().over(Window.partitionBy(*DOC).orderBy("line"))
+    runs = copied_lines(documents, min_words).withColumn("run", run).groupBy(*DOC, "run").agg(F.min("line").alias("first"), F.max("line").alias("last"))
+    return materialize(runs.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__runs")), "line-runs")
 
 
 def _kept_text() -> F.Column:
@@ -127,11 +131,11 @@ def remove_repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> D
     A run of any number of lines that has ``min_words`` words and also begins at an earlier line, by (doc_id, line), is deleted; runs
     may overlap. Lines without a word are never deleted and don't part a run. A null text stays null, an empty one empty; a text of
     copies only becomes empty or its blank lines. A very long text is lines like any other: its runs repeat within it too. Of rows that
-    tie, being equal, the first stays. Rows with one doc_id count as one document, whose line numbers are cut from each of them; rows
-    without one keep their texts. An empty table stays empty.
+    tie, being equal, the first stays. Other texts with one doc_id are documents of their own, in the order of a hash, and a row that comes
+    again counts once; rows without a doc_id keep their texts. An empty table stays empty.
     """
-    row = documents.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"))
-    joined = row.join(_copied_runs(documents, min_words).hint("merge"), "__id", "left").withColumn("__kept", _kept_text())
+    row = documents.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"), F.xxhash64("text").alias("__h"))
+    joined = row.join(_copied_runs(documents, min_words).hint("merge"), ["__id", "__h"], "left").withColumn("__kept", _kept_text())
     return joined.select(*(F.col("__kept").alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in documents.columns))
 
 
@@ -140,8 +144,8 @@ def line_dedup_report(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
 
     Odd rows have the results that ``remove_repeated_lines`` says; n_runs counts unbroken removed lines.
     """
-    own = texts(documents).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    joined = own.join(_copied_runs(documents, min_words).hint("merge"), "__id", "left")
+    own = texts(documents).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.xxhash64("text").alias("__h"))
+    joined = own.join(_copied_runs(documents, min_words).hint("merge"), ["__id", "__h"], "left")
     removed = F.aggregate(F.coalesce("__runs", F.array()), F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
     return joined.select(F.col("__id").alias("doc_id"), F.size(F.split("__text", "\n")).alias("n_lines"), F.coalesce(removed, F.lit(0)).alias("n_removed"), F.coalesce(F.size("__runs"), F.lit(0)).alias("n_runs"), F.sha2(_kept_text(), 256).alias("kept_sha256"))
 
