@@ -93,8 +93,11 @@ def test_near_duplicates_match_all_pairs(spark):
     assert got == brute_components(rows)
 
 
-def test_near_duplicates_of_a_dense_group(spark):
-    """Copies around the similarity, where pivots miss links, and a passage that all documents hold."""
+@pytest.mark.parametrize("hot", [1000, 5])
+def test_near_duplicates_of_a_dense_group(spark, monkeypatch, hot):
+    """Copies around the similarity, where pivots miss links, exact copies, and a passage that all documents hold; with hot keys and without."""
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    monkeypatch.setattr(common, "HOT_LEAST", hot)
     rng = random.Random(5)
     base, passage = sentence(rng, 120).split(), sentence(rng, 40)
     rows = []
@@ -104,6 +107,7 @@ def test_near_duplicates_of_a_dense_group(spark):
             own[rng.randrange(len(own))] = f"new{rng.randrange(10**6)}"
         rows.append((i, " ".join(own)))
     rows += [(i, f"{passage} {sentence(rng, 30)}") for i in range(200, 300)]
+    rows += [(i, rows[3][1]) for i in range(400, 440)]
     got = {r[0]: tuple(r)[1:] for r in minhash_dedup.near_duplicates(make(spark, rows)).collect()}
     assert got == brute_components(rows)
 
@@ -119,11 +123,15 @@ def test_signatures_are_circulant():
         assert list(got[:, k]) == [moved[:200].min(), moved[200:].min()]
 
 
-def test_components_of_chains(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
-    nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 200]], "id long")
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 10)
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    stars = [(300, 300 + i) for i in range(1, 60)] + [(499, 400 + i) for i in range(60)]
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)] + stars, "a long, b long")
+    ids = [*range(41), 100, 101, 200, *range(300, 360), *range(400, 460), 499]
+    nodes = spark.createDataFrame([(i,) for i in ids], "id long")
     got = dict(map(tuple, minhash_dedup.components(links, nodes).collect()))
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 200}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 200, **{i: i // 100 * 100 for i in ids if i >= 300}}
 
 
 def brute_repeats(rows, width=50):
@@ -263,6 +271,15 @@ def test_packing_reads_loss_spans(spark):
         packing.pack_sequences(docs, max_loss=0)
 
 
+def lined(seed=4):
+    rng = random.Random(seed)
+    pool = [sentence(rng, rng.choice((1, 2, 3, 6, 9))) for _ in range(40)] + ["", " "]
+    block = [rng.choice(pool) for _ in range(12)]
+    texts = [None, "", "\n\n", "a\nb\nc\nd\ne", "a\nb\nc\nd\ne", "\n".join(block), "\n".join(["x", *block, "y"]), "\n".join(block[3:9])]
+    texts += ["\n".join(rng.choice(pool) if rng.random() < 0.4 else sentence(rng, 4) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    return list(enumerate(texts))
+
+
 def brute_maximal(rows, least=5):
     """Runs of every length that begin earlier too and have the words."""
     seen, out = set(), {}
@@ -423,6 +440,27 @@ def test_secrets(spark):
     assert got[min(i for i, t in rows if t and len(t) > 20000)].spans == ""
 
 
+def test_secret_models_on_held_out_samples(spark):
+    samples = secret_scan.labelled_samples(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rates = {r.random: (r.n, r.flagged) for r in secret_scan.sample_rates(samples).collect()}
+    print(rates)
+    assert rates[True][0] >= 30 and rates[True][1] > 0.8 * rates[True][0]
+    assert False not in rates or rates[False][1] <= 0.02 * rates[False][0]
+
+
+def test_secrets_from_given_samples(spark):
+    """Overlaps with base spans, on both sides; models from samples that the user labelled."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["data", "table", "_", "file", "user", "name"]) for _ in range(6))
+    token = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30))
+    samples = spark.createDataFrame([(f"{word()}x", False) for _ in range(300)] + [(token(), True) for _ in range(300)], "value string, random boolean")
+    secret = token()
+    rows = [(1, f"a {secret} b"), (2, f"token={secret}"), (3, f"{'0123456789abcdef' * 2}{secret}"), (4, word() + word()), (5, None)]
+    got = {r.doc_id: r.spans for r in secret_scan.secrets(make(spark, rows), samples).collect()}
+    assert got[1] == "markov:2:32" and got[2] == "assign:0:36" and got[4] == got[5] == ""
+    assert got[3].startswith("hex:0:3") and "markov" not in got[3]
+
+
 def test_quality_classifier(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = quality_classifier.quality_scores(docs, labels)
@@ -527,7 +565,9 @@ def test_rows_without_an_id_and_repeated_rows(spark, sf_dir):
     t = sentence(rng, 80)
     rows = [(None, t), (None, None), (1, t), (1, t), (2, t), (2, "other " + sentence(rng, 70)), (3, f"{t} token=abcdefghijkl")]
     docs = make(spark, rows)
-    near = sorted(map(tuple, minhash_dedup.near_duplicates(docs).collect()))
+    every = list(map(tuple, minhash_dedup.near_duplicates(docs).collect()))
+    assert sorted(r for r in every if r[0] is None) == [(None, 0, None, True), (None, 76, None, True)]
+    near = sorted(r for r in every if r[0] is not None)
     assert [r[0] for r in near] == [1, 1, 2, 2, 3] and sorted(r[2] for r in near) == [1, 1, 1, 1, 2]
     every = list(map(tuple, run_length_index.remove_repeats(docs).collect()))
     repeats, lost = sorted(r for r in every if r[0] is not None), [r for r in every if r[0] is None]
@@ -584,5 +624,47 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, quality int, __row string, __kept boolean, key long, item_id long, score double, predicted int"
+
+
+def odd_documents(spark, rows):
+    return spark.createDataFrame([(i, t, None, None, len(t or ""), 1, "r", None, 7, 8, 0.5, 0) for i, t in rows], ODD)
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3, 4])
+def test_stages_on_odd_rows(spark, sf_dir, stage):
+    """Nulls, empty and very long texts, repeated rows and ids, columns with the operators' names, then an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    item = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").collect() if len(words(r.text)) > 12)
+    good = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("quality = 1").orderBy("doc_id").limit(4).collect()]
+    line = "this line of eight words comes here again"
+    long = " ".join(sentence(rng, 500) for _ in range(60))
+    rows = [(None, None), (None, good[0]), (1, None), (2, ""), (3, " \n "), (4, good[1]), (4, good[1]), (5, good[1]), (6, f"{line}\n{good[2]}"), (7, f"{good[3]}\n{line}\nend"), (8, long), (9, f"{item} {sentence(rng, 9)}"), (10, f"{sentence(rng, 400)} {item}"), (4, sentence(rng, 60))]
+    docs = odd_documents(spark, rows)
+    name, run = corpus_pipeline.STAGES[stage]
+    out = run(spark, docs, sf_dir)
+    none = run(spark, docs.limit(0), sf_dir)
+    assert none.count() == 0 and none.columns == out.columns
+    if name == "packing":
+        assert out.agg({"length": "sum"}).first()[0] > 30_000 and {r.doc_id for r in out.collect()} == {i for i, _ in rows}
+        return
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    left = sorted((r for r in rows if r not in got), key=str)
+    if name == "quality_classifier":
+        assert all(r in rows for r in got) and {(None, good[0]), (4, good[1]), (5, good[1])} <= set(got)
+    if name == "line_dedup":
+        want = brute_maximal([r for r in rows if r[0] not in (4, None)] + [(4, good[1])])
+        assert sorted(t for i, t in got if i == 4) == sorted(t for i, t in rows if i == 4)
+        assert len(got) == len(rows) and {i: t for i, t in got if i not in (4, None)} == {i: want[i] if t is not None else None for i, t in rows if i not in (4, None)}
+        assert out.where("n_chars != length(text)").isEmpty()
+    if name == "minhash_dedup":
+        assert left == [(5, good[1])]
+    if name == "decontamination":
+        assert [i for i, _ in left] == [10, 9]
+
+
 def test_queries_are_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
