@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,20 +28,37 @@ def canonical(log: DataFrame) -> F.Column:
     return F.concat(F.lit("["), F.concat_ws(",", *(F.coalesce(p, F.lit("null")) for p in parts)), F.lit("]"))
 
 
+LINKS = "connection_id long, day date, seq long, id long, prev_hash string, hash string"
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of (connection_id, day, id, body) that come sorted; what is kept from batch to batch is the last link."""
+    chain, seq, last = None, 0, GENESIS
+    for batch in batches:
+        keys = list(zip(batch.column("connection_id").to_pylist(), batch.column("day").to_pylist(), strict=True))
+        numbers, before, own = [], [], []
+        for key, body in zip(keys, batch.column("body").to_pylist(), strict=True):
+            if key != chain:
+                chain, seq, last = key, 0, GENESIS
+            seq += 1
+            before.append(last)
+            last = hashlib.sha256(f"{last}\n{body}".encode()).hexdigest()
+            numbers.append(seq)
+            own.append(last)
+        columns = [batch.column("connection_id"), batch.column("day"), pa.array(numbers, pa.int64()), batch.column("id"), pa.array(before, pa.string()), pa.array(own, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in LINKS.split(", ")])
+
+
 def with_chain(log: DataFrame) -> DataFrame:
-    """Entries with seq, prev_hash and hash: one chain for each connection and day, by id.
+    """Entries with day, seq, prev_hash and hash: one chain for each connection and day, by id.
 
-    A chain is a fold, so its key bounds what one task folds; entries of one key are gathered as small structs
-    of id and canonical text, not as rows.
+    A chain is a fold, so one task walks it, in time and rows that grow in proportion; of a chain it holds a batch and the last link only.
     """
-    day = F.to_date("event_ts")
-    rows = log.withColumn("day", day).withColumn("body", canonical(log))
-    chain = rows.groupBy("connection_id", "day").agg(F.sort_array(F.collect_list(F.struct("id", "body"))).alias("items"))
-    empty = F.array().cast("array<struct<id:bigint,prev_hash:string,hash:string>>")
-    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit(GENESIS))
-    folded = F.aggregate("items", empty, lambda acc, x: F.concat(acc, F.array(F.struct(x["id"].alias("id"), last(acc).alias("prev_hash"), F.sha2(F.concat(last(acc), F.lit("\n"), x["body"]), 256).alias("hash")))))
-    linked = chain.select("connection_id", "day", F.posexplode(folded).alias("at", "link")).select("connection_id", "day", (F.col("at") + 1).alias("seq"), "link.*")
-    return rows.join(linked, ["connection_id", "day", "id"])
+    rows = log.withColumn("day", F.to_date("event_ts"))
+    key = ["connection_id", "day"]
+    bodies = rows.select(F.col("connection_id").cast("long").alias("connection_id"), "day", F.col("id").cast("long").alias("id"), canonical(log).alias("body"))
+    links = bodies.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(_fold, LINKS)
+    return rows.join(links, [*key, "id"])
 
 
 def verify_chain(chain: DataFrame, issued: DataFrame) -> DataFrame:
@@ -93,12 +114,12 @@ def csv_field(c: F.Column) -> F.Column:
 
 
 def audit_csv_rows(log: DataFrame) -> DataFrame:
-    """(id, line): the export's lines, oldest first by id."""
+    """(id, line): the export's lines, oldest first: ranges of ids, each sorted."""
     fields = [F.col("id").cast("string"), F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss"), F.col("tool"), F.col("connection_id").cast("string"), F.col("connection_name"), outcome("outcome_raw"), F.col("reason"), F.col("row_count").cast("string"), F.col("bytes").cast("string"), F.col("duration_ms").cast("string"), target_summary(), F.col("arguments")]
-    return log.select("id", F.concat_ws(",", *(csv_field(F.coalesce(f, F.lit(""))) for f in fields)).alias("line"))
+    return log.select("id", F.concat_ws(",", *(csv_field(F.coalesce(f, F.lit(""))) for f in fields)).alias("line")).orderBy("id")
 
 
 def usage_digest(log: DataFrame) -> DataFrame:
-    """Calls, denials, errors, rows, bytes and duration by tool and connection."""
+    """Calls, denials, errors, rows, bytes and durations, with the 95th percentile, by tool and connection."""
     o = outcome("outcome_raw")
-    return log.groupBy("tool", "connection_id").agg(F.count("*").alias("calls"), F.count_if(o == "denied").alias("denials"), F.count_if(o == "error").alias("errors"), F.sum("row_count").alias("n_rows"), F.sum("bytes").alias("n_bytes"), F.sum("duration_ms").alias("duration_ms"), F.max("duration_ms").alias("longest_ms"))
+    return log.groupBy("tool", "connection_id").agg(F.count("*").alias("calls"), F.count_if(o == "denied").alias("denials"), F.count_if(o == "error").alias("errors"), F.sum("row_count").alias("n_rows"), F.sum("bytes").alias("n_bytes"), F.sum("duration_ms").alias("duration_ms"), F.percentile("duration_ms", F.lit(0.95)).alias("p95_ms"), F.max("duration_ms").alias("longest_ms"))

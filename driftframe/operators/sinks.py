@@ -15,8 +15,12 @@ NAME_CHARACTERS = 31
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftframe-")
+    """A new folder in the one that driver and executors share; a local one only where all run in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="driftframe-")
     return f"{base}/driftframe/{uuid.uuid4().hex}"
 
 

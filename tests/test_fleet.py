@@ -2,12 +2,16 @@
 
 import datetime
 import decimal
+import hashlib
 import math
+import time
 
 import duckdb
 import pytest
 from driftframe.operators import audit, drift, lob, rules, sinks, text
 from driftframe.plans import registry, surface  # noqa: F401
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -124,6 +128,43 @@ def test_diff_rebuilds_both_texts(spark, sf_dir):
     assert got[1] == (2, 1, 1)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), max_size=14), st.lists(st.sampled_from("abcde"), max_size=14))
+def test_diff_keeps_a_longest_common_subsequence(a, b):
+    ops = text._operations(a, b)
+    side = lambda drop: [line for op, line in zip(ops["op"], ops["line"], strict=True) if op != drop]
+    assert side("+") == a and side("-") == b
+    best = [0] * (len(b) + 1)  # lengths for the walked part of a, by part of b
+    for x in a:
+        row = [0]
+        for k, y in enumerate(b):
+            row.append(best[k] + 1 if x == y else max(best[k + 1], row[k]))
+        best = row
+    assert (ops["op"] == " ").sum() == best[-1]
+
+
+def test_diff_of_texts_with_many_equal_lines(monkeypatch):
+    monkeypatch.setattr(text, "EXACT_PAIRS", 50)
+    a, b = [*"x" * 40, "end"], ["new", *"x" * 40, "end"]
+    ops = text._operations(a, b)
+    assert [x for o, x in zip(ops["op"], ops["line"], strict=True) if o != "+"] == a and [x for o, x in zip(ops["op"], ops["line"], strict=True) if o != "-"] == b
+    assert ops["op"].iloc[-1] == " "
+
+
+def test_a_long_chain_takes_time_in_proportion(spark):
+    log = spark.range(100_000).selectExpr("id + 1 AS id", "timestamp_ntz'2024-01-01 00:00:00' AS event_ts", "'view' AS tool", "1L AS connection_id", "'c' AS connection_name", "'{}' AS arguments", "'allowed' AS outcome_raw", "'' AS reason", "1L AS row_count", "2L AS bytes", "3L AS duration_ms")
+    began = time.time()
+    chain = audit.with_chain(log)
+    last = chain.orderBy(F.desc("seq")).first()
+    assert (last.seq, last.id) == (100_000, 100_000) and time.time() - began < 60
+    hashes = [r.hash for r in chain.where("seq <= 3").orderBy("seq").collect()]
+    bodies = [r[0] for r in log.where("id <= 3").orderBy("id").select(audit.canonical(log)).collect()]
+    own = audit.GENESIS
+    for body, got in zip(bodies, hashes, strict=True):
+        own = hashlib.sha256(f"{own}\n{body}".encode()).hexdigest()
+        assert own == got
+
+
 def test_grep_groups(spark):
     lines = text.text_lines(spark.createDataFrame([(1, "a\nhit\nb\nc\nd\nhit\ne")], "doc_id long, text string"))
     got = [(r.line_no, r.hit, r.grp) for r in text.grep_context(lines, "HIT", 1).orderBy("line_no").collect()]
