@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftframe.operators.shared import few, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ATTRIBUTES = ("data_type", "data_length", "data_default", "comments", "index_name")
 ELEMENTS = ("TABLE", "COLUMN", "COLUMN_NAME", *(a.upper() for a in ATTRIBUTES))
@@ -20,25 +22,34 @@ def differs(a: F.Column, b: F.Column) -> F.Column:
 
 
 def labelled(df: DataFrame, servers: DataFrame) -> DataFrame:
-    """With server_name, ``#id`` where the server is unknown. The dimension has a row for each server and is small."""
-    names = F.broadcast(servers.select("server_id", "server_name"))
+    """With server_name, ``#id`` where the server is unknown."""
+    names = few(servers.select("server_id", "server_name"))
     return df.join(names, "server_id", "left").withColumn("server_name", F.coalesce("server_name", F.concat(F.lit("#"), "server_id")))
 
 
-def compare(columns: DataFrame, servers: DataFrame, reference: int, tables: bool = True, cols: bool = True, comments: bool = True, indexes: bool = True) -> DataFrame:
+def _others(servers: DataFrame, reference: int) -> DataFrame:
+    """Ids of all servers but the reference, which must be one of them; a server counts even where its catalog is empty."""
+    if servers.where(F.col("server_id") == reference).isEmpty():
+        raise ValueError(f"the reference server {reference} is not in the server list")
+    return servers.where(F.col("server_id") != reference).select("server_id").distinct()
+
+
+def compare(columns: DataFrame, servers: DataFrame, reference: int, tables: bool = True, cols: bool = True, comments: bool = True, indexes: bool = True, key: str = "column_name") -> DataFrame:
     """(server_id, server_name, difference, element, table_name, column_name, details) of all differences from ``reference``.
 
-    A table missing on one side gives one row and no column rows; two real index names never differ. Rows of the
-    catalog are partitioned by server and table once, for the join and the windows over it.
+    A table missing on one side gives one row and no column rows, a server without rows lacks all tables; two real index names never differ.
+    Columns meet by ``key``; where that isn't column_name, names are compared too. Rows of the catalog are partitioned by server and table
+    once, for the join and the windows over it.
     """
-    key = ["server_id", "table_name", "column_name"]
-    others = F.broadcast(columns.where(F.col("server_id") != reference).select("server_id").distinct())
-    ref = columns.where(F.col("server_id") == reference).select("table_name", "column_name", F.struct(*ATTRIBUTES).alias("r")).crossJoin(others)
-    cur = columns.where(F.col("server_id") != reference).select(*key, F.struct(*ATTRIBUTES).alias("c"))
+    by = ["server_id", "table_name", "key"]
+    kept = columns.withColumn("key", F.col(key))
+    fields = F.struct("column_name", *ATTRIBUTES)
+    ref = kept.where(F.col("server_id") == reference).select("table_name", "key", fields.alias("r")).crossJoin(few(_others(servers, reference)))
+    cur = kept.where(F.col("server_id") != reference).select(*by, fields.alias("c"))
     table = Window.partitionBy("server_id", "table_name")
-    both = ref.join(cur, key, "full_outer")
+    both = ref.join(cur, by, "full_outer")
     both = both.withColumn("has_ref", F.max(F.col("r").isNotNull()).over(table)).withColumn("has_cur", F.max(F.col("c").isNotNull()).over(table))
-    both = both.withColumn("first", F.row_number().over(table.orderBy("column_name")) == 1)
+    both = both.withColumn("first", F.row_number().over(table.orderBy("key")) == 1)
     reference_name = servers.where(F.col("server_id") == reference).select(F.upper("server_name").alias("ref_name"))
     both = labelled(both, servers).crossJoin(F.broadcast(reference_name.limit(1)))
     here, there = F.upper("server_name"), F.col("ref_name")
@@ -53,9 +64,9 @@ def compare(columns: DataFrame, servers: DataFrame, reference: int, tables: bool
     null = lambda c: F.coalesce(c, F.lit("NULL"))
     rows = [
         row(tables, no_table & F.col("first"), "MISSING", "TABLE", F.when(F.col("has_ref"), F.concat(F.lit("Table"), absent)).otherwise(F.concat(F.lit("Table "), "table_name", extra))),
-        row(cols, ~no_table & ~paired, "MISSING", "COLUMN", F.when(F.col("c").isNull(), F.concat(F.lit("Column"), absent)).otherwise(F.concat(F.lit("Column "), "column_name", extra))),
+        row(cols, ~no_table & ~paired, "MISSING", "COLUMN", F.when(F.col("c").isNull(), F.concat(F.lit("Column"), absent)).otherwise(F.concat(F.lit("Column "), "key", extra))),
     ]
-    for a in ATTRIBUTES:
+    for a in ATTRIBUTES if key == "column_name" else ("column_name", *ATTRIBUTES):
         r, c = F.col(f"r.{a}"), F.col(f"c.{a}")
         on, when = cols, paired & differs(r, c)
         details = F.concat(F.lit(f"{a.upper()}: "), null(r), F.lit(" != "), null(c))
@@ -69,17 +80,17 @@ def compare(columns: DataFrame, servers: DataFrame, reference: int, tables: bool
             real = lambda x: x.isNotNull() & (x != "") & (ascii_lower(x) != "none")
             when = when & ~(real(r) & real(c))
         rows.append(row(on, when, "DIFFERENT", a.upper(), details))
-    found = both.select("server_id", "server_name", "table_name", "column_name", F.explode(F.array_compact(F.array(*rows))).alias("d"))
-    column = F.when(F.col("d.element") == "TABLE", "").otherwise(F.col("column_name"))
+    found = both.select("server_id", "server_name", "table_name", "key", F.explode(F.array_compact(F.array(*rows))).alias("d"))
+    column = F.when(F.col("d.element") == "TABLE", "").otherwise(F.col("key"))
     return found.select("server_id", "server_name", "d.difference", "d.element", "table_name", column.alias("column_name"), "d.details")
 
 
 def missing_tables(columns: DataFrame, servers: DataFrame, reference: int) -> DataFrame:
-    """(server_id, table_name, side): absent on the server, or extra there."""
+    """(server_id, table_name, side): absent on the server, which may have no rows at all, or extra there."""
     tables = columns.select("server_id", "table_name").distinct()
     ref = tables.where(F.col("server_id") == reference).select("table_name")
     others = tables.where(F.col("server_id") != reference)
-    expected = expected_tables(ref, others.select("server_id").distinct())
+    expected = expected_tables(ref, _others(servers, reference))
     absent = expected.join(others, ["server_id", "table_name"], "left_anti").withColumn("side", F.lit("absent"))
     extra = others.join(ref, "table_name", "left_anti").select("server_id", "table_name", F.lit("extra").alias("side"))
     return absent.select("server_id", "table_name", "side").unionByName(extra)
@@ -87,7 +98,7 @@ def missing_tables(columns: DataFrame, servers: DataFrame, reference: int) -> Da
 
 def expected_tables(ref: DataFrame, servers: DataFrame) -> DataFrame:
     """Each reference table on each server; servers are few."""
-    return ref.crossJoin(F.broadcast(servers)).select("server_id", "table_name")
+    return ref.crossJoin(few(servers)).select("server_id", "table_name")
 
 
 def missing_columns(columns: DataFrame, reference: int) -> DataFrame:
@@ -102,11 +113,16 @@ def missing_columns(columns: DataFrame, reference: int) -> DataFrame:
 
 
 def numbered(discrepancies: DataFrame) -> DataFrame:
-    """With id from 1 in the order of table, server, element and column; numbers come from ranges of tables, not from one task's sort."""
+    """With id from 1 in the order of table, server, element and column.
+
+    Ranges of that order are numbered each by itself, after the rows of the ranges before; no task sorts all rows, or all of a table.
+    """
     rank = F.array_position(F.array(*map(F.lit, ELEMENTS)), F.col("element"))
-    order = ["table_name", "server_id", rank, "column_name"]
-    counts = discrepancies.groupBy("table_name").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("table_name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each table
-    offsets = counts.withColumn("before", before).drop("n")
-    own = F.row_number().over(Window.partitionBy("table_name").orderBy(*order[1:]))
-    return discrepancies.withColumn("own", own).join(offsets, "table_name").withColumn("id", F.col("before") + F.col("own")).drop("own", "before")
+    order = ["table_name", "server_id", "rank", "column_name"]
+    ranges = int(discrepancies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = discrepancies.withColumn("rank", rank).repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    placed = written(placed.drop("rank"), "numbered").withColumn("range", F.shiftright("place", 33))
+    counts = placed.groupBy("range").agg(F.count("*").alias("n"))  # one row for each range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.col("place").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(counts.withColumn("before", before).drop("n")), "range").withColumn("id", F.col("before") + own + 1).drop("range", "place", "before")

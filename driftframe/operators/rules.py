@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rule and connection tables of at most this many rows are sent to every executor; larger ones are left to the optimizer.
-SMALL_ROWS = 10_000
-
-
-def few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
-
+from driftframe.operators.shared import few
 
 def rule_like(match_type: str = "match_type", pattern: str = "pattern") -> F.Column:
     """LIKE pattern of a name rule; ``_`` in a rule matches any character, as it isn't escaped."""
@@ -128,3 +121,112 @@ def history_issues(columns: DataFrame, rules: DataFrame, servers: DataFrame) ->
     postgres = F.when(issue == "MISSING", F.format_string("ALTER TABLE %s ADD COLUMN IF NOT EXISTS %s %s;", "history", "column_name", "main_type")).otherwise(F.format_string("ALTER TABLE %s ALTER COLUMN %s TYPE %s USING %s::%s;", "history", "column_name", "main_type", "column_name", "main_type"))
     rows = both.withColumn("issue_type", issue).where("issue_type is not null").withColumn("statement", F.when(F.col("engine") == "oracle", oracle).otherwise(postgres))
     return rows.select("server_id", F.col("history").alias("history_table"), "column_name", "issue_type", "main_type", "history_type", "statement")
+
+
+#: The agent's tools in their order, whether each reads data, and the settings that must all be on.
+TOOLS = (
+    ("list_schema_objects", False, ("allow_schema_list",)),
+    ("get_object_ddl", False, ("allow_ddl_read",)),
+    ("save_migration_script", False, ("allow_save_scripts",)),
+    ("compare_schemas", False, ("allow_compare_fix",)),
+    ("generate_fix_script", False, ("allow_compare_fix",)),
+    ("compare_object", False, ("allow_compare_object", "allow_ddl_read")),
+    ("query_table", True, ()),
+    ("run_query", True, ("allow_raw_sql",)),
+    ("list_invalid_objects", False, ("allow_invalid_objects", "allow_schema_list")),
+    ("get_object_errors", False, ("allow_invalid_objects", "allow_ddl_read")),
+    ("apply_ddl", False, ("allow_apply_ddl",)),
+)
+#: Limits of a policy.
+DEFAULT_ROWS, MOST_ROWS, DEFAULT_SECONDS, MOST_SECONDS = 200, 10_000, 30, 600
+MOST_RULES, MOST_PATTERN_BYTES, MOST_ACCOUNT_BYTES = 500, 128, 128
+FLAGS = ("mcp_enabled", "allow_schema_list", "allow_ddl_read", "allow_save_scripts", "allow_compare_fix", "allow_invalid_objects", "allow_compare_object", "allow_raw_sql", "allow_apply_ddl")
+
+
+def with_default_policies(connections: DataFrame, policies: DataFrame) -> DataFrame:
+    """(connection_id, flags, data_access, max_rows, query_timeout_secs) of every connection (server_id): all off where it has no policy; limits within bounds."""
+    own = connections.select(F.col("server_id").alias("connection_id")).join(policies, "connection_id", "left")
+    bounded = lambda c, usual, most: F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(c, F.lit(usual)))).alias(c)
+    return own.select("connection_id", *(F.coalesce(f, F.lit(False)).alias(f) for f in FLAGS), F.coalesce("data_access", F.lit("none")).alias("data_access"), bounded("max_rows", DEFAULT_ROWS, MOST_ROWS), bounded("query_timeout_secs", DEFAULT_SECONDS, MOST_SECONDS))
+
+
+def capability_matrix(policies: DataFrame, rules: DataFrame, data_tools_disabled: bool = False) -> DataFrame:
+    """(connection_id, tool, allowed, reason_code, settings) of each connection with a policy and each tool.
+
+    The first reason counts: access off, no data access, a setting off (settings names those needed), the global switch, no allow rule.
+    """
+    granted = rules.where("action = 'allow'").select("connection_id").distinct().withColumn("granted", F.lit(True))
+    p = policies.join(granted, "connection_id", "left")
+    verdicts = []
+    for tool, reads, needs in TOOLS:
+        code = F.when(~F.col("mcp_enabled"), "mcp_disabled")
+        if reads:
+            code = code.when(F.col("data_access") != "allowlist", "data_access_none")
+        for need in needs:
+            code = code.when(~F.col(need), "policy_disabled")
+        if reads:
+            code = code.when(F.lit(data_tools_disabled), "kill_switch").when(F.col("granted").isNull(), "table_allowlist_empty")
+        verdicts.append(F.struct(F.lit(tool).alias("tool"), code.alias("reason_code"), F.lit(" and ".join(needs)).alias("needs")))
+    rows = p.select("connection_id", F.explode(F.array(*verdicts)).alias("v"))
+    return rows.select("connection_id", "v.tool", F.col("v.reason_code").isNull().alias("allowed"), "v.reason_code", F.when(F.col("v.reason_code") == "policy_disabled", F.col("v.needs")).alias("settings"))
+
+
+def policy_violations(policies: DataFrame, rules: DataFrame, denies: DataFrame) -> DataFrame:
+    """(connection_id, subject, value, violation) of what a policy must not have: too many rules, bad patterns or types, a long account name."""
+    trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    good = lambda c: (F.octet_length(trimmed(c)) <= MOST_PATTERN_BYTES) & trimmed(c).rlike(r"^[\p{L}\p{N}_$#*?-]+$")
+    empty = lambda c: trimmed(c) == ""
+
+    def found(df: DataFrame, subject: str, value: str, when: F.Column, violation: str) -> DataFrame:
+        return df.where(when).select("connection_id", F.lit(subject).alias("subject"), F.col(value).cast("string").alias("value"), F.lit(violation).alias("violation"))
+
+    count = lambda df: df.groupBy("connection_id").agg(F.count("*").alias("n"))
+    parts = [
+        found(count(rules), "table rules", "n", F.col("n") > MOST_RULES, "too many"),
+        found(count(denies), "object rules", "n", F.col("n") > MOST_RULES, "too many"),
+        found(rules, "table", "table_pattern", ~good("table_pattern"), "bad pattern"),
+        found(rules, "column", "column_pattern", ~empty("column_pattern") & ~good("column_pattern"), "bad pattern"),
+        found(denies, "object", "name_pattern", ~good("name_pattern"), "bad pattern"),
+        found(denies, "type", "object_type", (trimmed("object_type") != "*") & ~empty("object_type") & ~good("object_type"), "bad type"),
+        found(policies, "account", "account", F.octet_length("account") > MOST_ACCOUNT_BYTES, "too long"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def servers_by_group(servers: DataFrame, none: str = "(no group)") -> DataFrame:
+    """(grp, n, engines, servers): connections of each group, a blank one named ``none``, names in the order of their lower case; engines counts kinds."""
+    grp = F.coalesce(F.nullif(F.trim("group_name"), F.lit("")), F.lit(none))
+    names = F.transform(F.array_sort(F.collect_list(F.struct(F.lower("server_name").alias("k"), F.col("server_name").alias("v")))), lambda x: x["v"])
+    return servers.groupBy(grp.alias("grp")).agg(F.count("*").alias("n"), F.count_distinct("engine").alias("engines"), F.array_join(names, ", ").alias("servers"))
+
+
+def search_servers(servers: DataFrame, text: str, fields: tuple[str, ...] = ("server_name", "engine", "group_name", "schema_name")) -> DataFrame:
+    """Servers with ``text``, blind to case, in one of the fields."""
+    hit = F.lit(False)
+    for f in fields:
+        hit = hit | F.coalesce(F.lower(f).contains(text.strip().lower()), F.lit(False))
+    return servers.where(hit)
+
+
+def readable_columns(columns: DataFrame, access: DataFrame, column_access: DataFrame, asked: DataFrame) -> DataFrame:
+    """(connection_id, table_name, asked, column_name, verdict, n_omitted) of requests for columns of tables.
+
+    asked: (connection_id, table_name, asked), a column's name in any case or null for all columns. A name is found exactly, else blind to case, the
+    first in order. A table that can't be read, an unknown or an unreadable column is a denial; for all columns, one row of each that can
+    be read, and the number left out.
+    """
+    keys = ["connection_id", "table_name"]
+    readable = columns.join(column_access.withColumnRenamed("allowed", "readable"), [*keys, "column_name"], "left").select(*keys, "column_name", F.coalesce("readable", F.lit(False)).alias("readable"))
+    table = asked.join(access.select(*keys, "allowed"), keys, "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    one = table.where("allowed and asked is not null").join(readable.withColumn("low", F.lower("column_name")), [*keys], "left").where(F.col("low").isNull() | (F.col("low") == F.lower("asked")))
+    best = F.min_by(F.struct("column_name", "readable"), F.struct(F.col("column_name") != F.col("asked"), "column_name"))
+    named = table.where("allowed and asked is not null").join(one.groupBy(*keys, "asked").agg(best.alias("b")), [*keys, "asked"], "left")
+    verdict = F.when(F.col("b.column_name").isNull(), "unknown column").when(~F.col("b.readable"), "column denied").otherwise("allowed")
+    out = named.select(*keys, "asked", F.col("b.column_name").alias("column_name"), verdict.alias("verdict"), F.lit(0).cast("long").alias("n_omitted"))
+    every = table.where("allowed and asked is null").join(readable, keys)
+    omitted = every.groupBy(*keys).agg(F.count_if(~F.col("readable")).alias("n_omitted"))
+    out = out.unionByName(every.where("readable").join(omitted, keys).select(*keys, "asked", "column_name", F.lit("allowed").alias("verdict"), "n_omitted"))
+    return out.unionByName(table.where("not allowed").select(*keys, "asked", F.lit(None).cast("string").alias("column_name"), F.lit("table denied").alias("verdict"), F.lit(0).cast("long").alias("n_omitted")))

@@ -3,27 +3,17 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftframe.operators.shared import few
+
 CELL_CHARACTERS = 32_767
 NAME_CHARACTERS = 31
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; a local one only where all run in one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="driftframe-")
-    return f"{base}/driftframe/{uuid.uuid4().hex}"
-
-
 def write_csv(result: DataFrame, path: str) -> DataFrame:
     """Write a fleet result as CSV and read it back; ``Server`` leads only if several servers gave rows."""
     several = result.select("server_id").distinct().limit(2).count() > 1
@@ -42,14 +32,20 @@ def sheet_names(servers: DataFrame) -> DataFrame:
 
 
 def write_per_server(result: DataFrame, path: str) -> DataFrame:
-    named = result.join(F.broadcast(sheet_names(result.select("server_id", "server_name").distinct())), "server_id")
+    named = result.join(few(sheet_names(result.select("server_id", "server_name").distinct())), "server_id")
     named.write.partitionBy("sheet_name").parquet(path)
     return result.sparkSession.read.parquet(path)
 
 
 def write_combined(result: DataFrame, path: str) -> DataFrame:
-    """All servers in one table, ``Server`` first; texts are clipped."""
-    clipped = [F.substring(c, 1, CELL_CHARACTERS).alias(c) if t == "string" else F.col(c) for c, t in result.dtypes if c not in ("server_id", "server_name")]
+    """All servers in one table, ``Server`` first; texts are clipped, and those that look like a number have it beside them."""
+    clipped = []
+    for c, t in result.dtypes:
+        if c in ("server_id", "server_name"):
+            continue
+        clipped.append(F.substring(c, 1, CELL_CHARACTERS).alias(c) if t == "string" else F.col(c))
+        if t == "string":
+            clipped.append(F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(f"{c}_number"))
     result.select(F.col("server_name").alias("Server"), *clipped).write.parquet(path)
     return result.sparkSession.read.parquet(path)
 
@@ -81,13 +77,13 @@ def deploy(ddls: DataFrame, servers: DataFrame) -> DataFrame:
     bare = F.regexp_replace("ddl", r"[;/\s]+$", "")
     guarded = F.concat(F.lit("BEGIN\n  EXECUTE IMMEDIATE '"), F.replace(bare, F.lit("'"), F.lit("''")), F.lit("';\nEXCEPTION\n  WHEN OTHERS THEN\n    IF SQLCODE <> -955 THEN RAISE; END IF;\nEND;\n/"))
     plain = F.concat(F.regexp_replace(bare, "^CREATE TABLE ", "CREATE TABLE IF NOT EXISTS "), F.lit(";"))
-    joined = ddls.join(F.broadcast(servers.select("server_id", "engine")), "server_id")
+    joined = ddls.join(few(servers.select("server_id", "engine")), "server_id")
     return joined.select("server_id", "table_name", F.when(F.col("engine") == "oracle", guarded).otherwise(plain).alias("script"))
 
 
 def plan_files(ddls: DataFrame, servers: DataFrame) -> DataFrame:
     """(kind, path, name, sha256): one code file for each table and one migration for each that isn't history."""
-    s = F.broadcast(servers.select("server_id", "schema_name"))
+    s = few(servers.select("server_id", "schema_name"))
     kinds = F.when(F.col("table_name").contains("HIST"), F.array(F.lit("code"))).otherwise(F.array(F.lit("code"), F.lit("migration")))
     rows = ddls.join(s, "server_id").withColumn("kind", F.explode(kinds))
     name = F.concat(F.when(F.col("kind") == "migration", "V1__").otherwise(""), F.lower("table_name"), F.lit(".sql"))

@@ -41,7 +41,8 @@ def bound(name: str, make: Callable[..., DataFrame], views: str, text: str | Non
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _attribute(a: str) -> str:
+def attribute_rows(a: str, table: str = "fleet_columns", key: str = "column_name") -> str:
+    """Differences of one attribute in SQL, columns meeting by ``key``."""
     low = _LOW.format
     details = f"concat('{a.upper()}: ', coalesce(r.{a}, 'NULL'), ' != ', coalesce(c.{a}, 'NULL'))"
     real = ""
@@ -50,8 +51,8 @@ def _attribute(a: str) -> str:
     if a == "index_name":
         named = lambda s: f"({s}.index_name IS NOT NULL AND {s}.index_name <> '' AND lower({s}.index_name) <> 'none')"
         real = f" AND NOT ({named('r')} AND {named('c')})"
-    return f"""SELECT c.server_id, 'DIFFERENT' AS difference, '{a.upper()}' AS element, c.table_name, c.column_name, {details} AS details
- FROM fleet_columns c JOIN fleet_columns r ON r.server_id = 0 AND c.server_id <> 0 AND r.table_name = c.table_name AND r.column_name = c.column_name
+    return f"""SELECT c.server_id, 'DIFFERENT' AS difference, '{a.upper()}' AS element, c.table_name, c.{key} AS column_name, {details} AS details
+ FROM {table} c JOIN {table} r ON r.server_id = 0 AND c.server_id <> 0 AND r.table_name = c.table_name AND r.{key} = c.{key}
  WHERE {low(f'r.{a}')} IS DISTINCT FROM {low(f'c.{a}')}{real}"""
 
 
@@ -68,7 +69,7 @@ UNION ALL SELECT c.server_id, 'MISSING', 'COLUMN', c.table_name, c.column_name,
  FROM fleet_columns c JOIN fleet_servers s ON s.server_id = c.server_id WHERE c.server_id <> 0
  AND EXISTS (SELECT 1 FROM fleet_columns r WHERE r.server_id = 0 AND r.table_name = c.table_name)
  AND NOT EXISTS (SELECT 1 FROM fleet_columns r WHERE r.server_id = 0 AND r.table_name = c.table_name AND r.column_name = c.column_name)"""
-VIEWS["discrepancies"] = "SELECT d.server_id, server_name, difference, element, table_name, column_name, details FROM (" + "\nUNION ALL ".join([_MISSING_TABLE, _MISSING_COLUMN, *map(_attribute, drift.ATTRIBUTES)]) + ") d JOIN fleet_servers s ON s.server_id = d.server_id"
+VIEWS["discrepancies"] = "SELECT d.server_id, server_name, difference, element, table_name, column_name, details FROM (" + "\nUNION ALL ".join([_MISSING_TABLE, _MISSING_COLUMN, *map(attribute_rows, drift.ATTRIBUTES)]) + ") d JOIN fleet_servers s ON s.server_id = d.server_id"
 fixtures.BUILDERS["discrepancies"] = lambda spark, sf_dir: drift.compare(view(spark, sf_dir, "fleet_columns"), view(spark, sf_dir, "fleet_servers"), 0)
 _RANK = "CASE element WHEN 'TABLE' THEN 1 WHEN 'COLUMN' THEN 2 WHEN 'COLUMN_NAME' THEN 3 WHEN 'DATA_TYPE' THEN 4 WHEN 'DATA_LENGTH' THEN 5 WHEN 'DATA_DEFAULT' THEN 6 WHEN 'COMMENTS' THEN 7 ELSE 8 END"
 VIEWS["numbered"] = f"SELECT *, row_number() OVER (ORDER BY table_name, server_id, {_RANK}, column_name) AS id FROM discrepancies"
@@ -77,7 +78,6 @@ fixtures.BUILDERS["numbered"] = lambda spark, sf_dir: drift.numbered(view(spark,
 bound("jn1", lambda fc, s: drift.compare(fc, s, 0), "fleet_columns fleet_servers", "SELECT * FROM discrepancies")
 bound("jn2", lambda fc, s: drift.missing_tables(fc, s, 0), "fleet_columns fleet_servers", "SELECT server_id, table_name, CASE WHEN details LIKE 'Table found%' THEN 'absent' ELSE 'extra' END AS side FROM discrepancies WHERE element = 'TABLE'")
 bound("jn3", lambda fc: drift.missing_columns(fc, 0), "fleet_columns", "SELECT server_id, table_name, column_name, CASE WHEN details LIKE 'Column found%' THEN 'absent' ELSE 'extra' END AS side FROM discrepancies WHERE element = 'COLUMN'")
-bound("jn4", lambda fc, s: drift.compare(fc, s, 0, tables=False).where("difference = 'DIFFERENT'"), "fleet_columns fleet_servers", "SELECT * FROM discrepancies WHERE difference = 'DIFFERENT'")
 bound("jn11", lambda log, s: drift.labelled(log.select("id", F.col("connection_id").alias("server_id")), s.where("server_id < 3")), "audit_log fleet_servers", "SELECT l.id, l.connection_id AS server_id, coalesce(s.server_name, concat('#', l.connection_id)) AS server_name FROM audit_log l LEFT JOIN fleet_servers s ON s.server_id = l.connection_id AND s.server_id < 3")
 bound("jn12", lambda fc, s: drift.expected_tables(fc.where("server_id = 0").select("table_name").distinct(), s.select("server_id")), "fleet_columns fleet_servers", "SELECT server_id, table_name FROM (SELECT DISTINCT table_name FROM fleet_columns WHERE server_id = 0) t CROSS JOIN (SELECT server_id FROM fleet_servers) s")
 bound("wn6", drift.numbered, "discrepancies", "SELECT * FROM numbered")
@@ -93,7 +93,6 @@ sql("ag2", "SELECT table_name, count(*) AS n FROM discrepancies GROUP BY table_n
 sql("ag3", "SELECT count(DISTINCT table_name) AS n_tables FROM discrepancies")
 sql("ag4", "SELECT count(*) AS n_before, sum(CASE WHEN table_name LIKE 'TMP\\_%' ESCAPE '\\' THEN 1 ELSE 0 END) AS n_hidden FROM discrepancies", "SELECT count(*) AS n_before, sum(CASE WHEN startswith(table_name, 'TMP_') THEN 1 ELSE 0 END) AS n_hidden FROM discrepancies")
 sql("ag5", "SELECT table_name, index_name, string_agg(column_name, ', ' ORDER BY column_name) AS columns FROM fleet_columns WHERE server_id = 0 AND index_name IS NOT NULL GROUP BY table_name, index_name", "SELECT table_name, index_name, array_join(array_sort(collect_list(column_name)), ', ') AS columns FROM fleet_columns WHERE server_id = 0 AND index_name IS NOT NULL GROUP BY table_name, index_name")
-sql("ag6", "SELECT coalesce(nullif(trim(group_name), ''), '(no group)') AS grp, string_agg(server_name, ', ' ORDER BY lower(server_name)) AS servers FROM fleet_servers GROUP BY 1", "SELECT coalesce(nullif(trim(group_name), ''), '(no group)') AS grp, array_join(transform(array_sort(collect_list(struct(lower(server_name) AS k, server_name AS v))), x -> x.v), ', ') AS servers FROM fleet_servers GROUP BY 1")
 sql("ag10", "SELECT count(*) AS n FROM audit_log WHERE outcome_raw = 'denied' AND connection_id = 2")
 sql("ag9", "SELECT max(CAST(regexp_extract(name, '^V([0-9]+)__', 1) AS INT)) + 1 AS next_version FROM (SELECT concat('V', event_id % 40, '__x') AS name FROM events) v")
 _FIRST_SEEN = "SELECT connection_id, count(DISTINCT tool) AS n_total, {} AS names FROM (SELECT connection_id, tool, min(id) AS pos FROM audit_log GROUP BY connection_id, tool) t GROUP BY connection_id"
@@ -129,21 +128,13 @@ VIEWS["shown_objects"] = f"SELECT server_id, name, object_type FROM objects o WH
 fixtures.BUILDERS["shown_objects"] = lambda spark, sf_dir: rules.hide_objects(view(spark, sf_dir, "objects").select("server_id", "name", "object_type"), view(spark, sf_dir, "policy_object_deny"))
 bound("fl7", lambda o: o, "shown_objects", "SELECT * FROM shown_objects")
 bound("fl8", lambda q, d: rules.texts_mentioning_hidden(q.select(F.col("id").alias("doc_id"), F.col("sql_text").alias("text")), d, 0), "query_log policy_object_deny", f"SELECT id AS doc_id, count(*) AS hits FROM (SELECT DISTINCT id, unnest(regexp_split_to_array(sql_text, '[^\\p{{L}}\\p{{N}}_$#]+')) AS word FROM query_log) w WHERE word <> '' AND EXISTS (SELECT 1 FROM policy_object_deny d WHERE d.connection_id = 0 AND {_UP('w.word', 'd.name_pattern')}) GROUP BY id")
-_TOOLS = "(VALUES ('list_objects', 'allow_schema_list'), ('get_ddl', 'allow_ddl_read'), ('save_script', 'allow_save_scripts'), ('compare', 'allow_compare_fix'), ('invalid_objects', 'allow_invalid_objects'), ('compare_object', 'allow_compare_object'), ('query_table', 'data'), ('lob_files', 'data'), ('run_query', 'allow_raw_sql'), ('apply_ddl', 'allow_apply_ddl'), ('list_connections', 'always')) AS t(tool, needs)"
-_ON = "CASE t.needs WHEN 'allow_schema_list' THEN p.allow_schema_list WHEN 'allow_ddl_read' THEN p.allow_ddl_read WHEN 'allow_save_scripts' THEN p.allow_save_scripts WHEN 'allow_compare_fix' THEN p.allow_compare_fix WHEN 'allow_invalid_objects' THEN p.allow_invalid_objects WHEN 'allow_compare_object' THEN p.allow_compare_object WHEN 'allow_raw_sql' THEN p.allow_raw_sql WHEN 'allow_apply_ddl' THEN p.allow_apply_ddl ELSE true END"
-sql("fl9", f"SELECT connection_id, tool, reason_code IS NULL AS allowed, reason_code FROM (SELECT p.connection_id, t.tool, CASE WHEN NOT p.mcp_enabled THEN 'mcp_disabled' WHEN NOT ({_ON}) THEN 'policy_disabled' WHEN t.needs IN ('data', 'allow_raw_sql') AND p.data_access = 'none' THEN 'data_access_none' WHEN t.needs = 'data' AND coalesce(r.n, 0) = 0 THEN 'table_allowlist_empty' END AS reason_code FROM policies p CROSS JOIN {_TOOLS} LEFT JOIN (SELECT connection_id, count(*) AS n FROM policy_table_rules WHERE action = 'allow' GROUP BY connection_id) r ON r.connection_id = p.connection_id) m")
-sql("fl10", "SELECT s.server_id AS connection_id, coalesce(p.mcp_enabled, false) AS mcp_enabled, coalesce(p.data_access, 'none') AS data_access, greatest(1, least(10000, coalesce(p.max_rows, 200))) AS max_rows, greatest(1, least(600, coalesce(p.query_timeout_secs, 30))) AS query_timeout_secs FROM fleet_servers s LEFT JOIN policies p ON p.connection_id = s.server_id")
-sql("fl11", "SELECT connection_id, table_pattern, CASE WHEN length(table_pattern) > 128 THEN 'too long' WHEN NOT regexp_matches(table_pattern, '^[A-Za-z0-9_$#*?-]+$') THEN 'bad characters' END AS violation FROM (SELECT connection_id, table_pattern FROM policy_table_rules UNION ALL SELECT event_id % 5 AS connection_id, props AS table_pattern FROM events WHERE event_id % 50 = 0) r", "SELECT connection_id, table_pattern, CASE WHEN length(table_pattern) > 128 THEN 'too long' WHEN NOT table_pattern RLIKE '^[A-Za-z0-9_$#*?-]+$' THEN 'bad characters' END AS violation FROM (SELECT connection_id, table_pattern FROM policy_table_rules UNION ALL SELECT event_id % 5 AS connection_id, props AS table_pattern FROM events WHERE event_id % 50 = 0) r")
-sql("fl14", "SELECT c.table_name, count(*) FILTER (WHERE a.allowed) AS n_readable, count(*) FILTER (WHERE NOT a.allowed) AS n_omitted FROM fleet_columns c JOIN column_access a ON a.connection_id = c.server_id AND a.table_name = c.table_name AND a.column_name = c.column_name JOIN access t ON t.connection_id = c.server_id AND t.table_name = c.table_name AND t.allowed WHERE c.server_id = 0 GROUP BY c.table_name")
 sql("fl15", "SELECT * FROM discrepancies WHERE server_id = 2 AND (contains(lower(table_name), 't1') OR contains(lower(column_name), 't1') OR contains(lower(server_name), 't1') OR contains(lower(difference), 't1') OR contains(lower(details), 't1'))")
 sql("fl16", "SELECT * FROM discrepancies WHERE contains(lower(table_name), lower(trim(' HIST '))) AND contains(lower(details), 'null')")
 bound("fl17", lambda log: audit.filter_audit(log, connection=2, result="error", target="t3", start="2024-01-03", stop="2024-01-20").select("id", "tool", "outcome_raw"), "audit_log", "SELECT id, tool, outcome_raw FROM audit_log WHERE connection_id = 2 AND outcome_raw NOT IN ('allowed', 'denied') AND contains(lower(CAST(json_extract(arguments, '$.target.names') AS VARCHAR)), 't3') AND strftime(event_ts, '%Y-%m-%d %H:%M:%S') >= '2024-01-03' AND strftime(event_ts, '%Y-%m-%d') <= '2024-01-20'")
 sql("fl18", "SELECT id, favorite FROM query_log WHERE contains(lower(sql_text), 'count') AND created_at >= CAST('2024-01-24' AS TIMESTAMP) AND (favorite OR pinned)")
 sql("fl19", "SELECT server_id, table_name, column_name, element, CASE WHEN difference = 'MISSING' AND details LIKE '%found in reference server%' THEN 'missing' WHEN difference = 'MISSING' THEN 'extra' ELSE replace(regexp_replace(details, '^[A-Z_]+: ', ''), ' != ', ' -> ') END AS change_text FROM discrepancies")
 sql("fl20", "SELECT DISTINCT table_name FROM discrepancies WHERE upper(trim(table_name)) IN ('T1', 'T25', 'HIST_T2', 'T121') OR element = 'TABLE'")
-sql("fl21", "SELECT count(DISTINCT engine) AS engines, count(DISTINCT engine) = 1 AS ok FROM fleet_servers WHERE server_id IN (0, 1, 3)")
 sql("fl23", "SELECT o.server_id AS connection_id, o.name, CASE WHEN o.object_type <> 'TABLE' THEN 'n/a' WHEN a.allowed AND a.column_rules THEN 'restricted' WHEN a.allowed THEN 'allowed' ELSE 'denied' END AS data_access FROM shown_objects o JOIN policies p ON p.connection_id = o.server_id LEFT JOIN access a ON a.connection_id = o.server_id AND a.table_name = o.name")
-sql("fl24", "SELECT coalesce(nullif(trim(group_name), ''), 'Default') AS grp, count(*) AS n FROM fleet_servers WHERE contains(lower(server_name), 'a') OR contains(lower(engine), 'a') GROUP BY 1")
 VIEWS["history_pairs"] = "SELECT m.server_id, m.table_name AS main, coalesce(h1.table_name, h2.table_name) AS history, CASE WHEN h1.table_name IS NOT NULL THEN 1 ELSE 2 END AS rule_id FROM (SELECT DISTINCT server_id, table_name FROM fleet_columns WHERE table_name NOT LIKE '%HIST%') m LEFT JOIN (SELECT DISTINCT server_id, table_name FROM fleet_columns) h1 ON h1.server_id = m.server_id AND lower(h1.table_name) = lower(concat('HIST_', m.table_name)) LEFT JOIN (SELECT DISTINCT server_id, table_name FROM fleet_columns) h2 ON h2.server_id = m.server_id AND lower(h2.table_name) = lower(concat(m.table_name, '_HIST')) WHERE coalesce(h1.table_name, h2.table_name) IS NOT NULL"
 bound("jn7", lambda fc, n: rules.history_pairs(fc.select("server_id", "table_name").distinct(), n), "fleet_columns naming_rules", "SELECT server_id, main, history, rule_id FROM history_pairs")
 _TYPE = lambda s: f"CASE WHEN {s}.data_length IS NOT NULL THEN concat({s}.data_type, '(', {s}.data_length, ')') ELSE {s}.data_type END"
@@ -155,7 +146,6 @@ bound("jn9", lambda fc, r: rules.match_rules(fc.select("table_name").distinct(),
 sql("jn5", "SELECT DISTINCT server_id, table_name FROM fleet_columns WHERE table_name NOT IN (SELECT name FROM objects WHERE object_type = 'VIEW' UNION ALL SELECT name FROM objects WHERE object_type = 'MATERIALIZED VIEW')")
 sql("jn6", "SELECT DISTINCT server_id, table_id, index_name FROM fleet_index_columns i WHERE NOT EXISTS (SELECT 1 FROM fleet_index_columns c WHERE c.server_id = i.server_id AND c.table_id = i.table_id AND c.column_name = 'C1' AND c.index_name = i.index_name)")
 sql("jn10", "SELECT k.key, min(r.table_name) AS matched, min(CASE WHEN r.table_name = k.key THEN 1 WHEN r.table_name = upper(k.key) THEN 2 WHEN r.table_name = lower(k.key) THEN 3 ELSE 4 END) AS priority FROM (SELECT DISTINCT CASE WHEN server_id = 1 THEN lower(table_name) WHEN server_id = 2 THEN initcap_(table_name) ELSE table_name END AS key FROM fleet_columns WHERE server_id < 3) k LEFT JOIN (SELECT DISTINCT table_name FROM fleet_columns WHERE server_id = 0) r ON lower(r.table_name) = lower(k.key) GROUP BY k.key".replace("initcap_(table_name)", "concat(substr(table_name, 1, 1), lower(substr(table_name, 2)))"))
-sql("jn13", "SELECT doc_id, CASE WHEN server_norm = file_norm THEN 'equal' ELSE 'different' END AS status FROM (SELECT doc_id, rtrim(replace(server_text, chr(13), '')) AS server_norm, rtrim(replace(file_text, chr(13), '')) AS file_norm FROM ddl_pairs) p")
 
 # ---------------------------------------------------------------- repair statements
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftframe.operators import audit, lob, sinks, text
+from driftframe.operators.shared import scratch
+from driftframe.plans import fleet  # noqa: F401  (views that this module reads)
 from driftframe.plans.registry import QUERIES, bound, sql
 from driftframe.sources import fanout, fixtures
 from driftframe.sources.fixtures import VIEWS, query, view
@@ -16,20 +18,7 @@ from driftframe.streaming import audit_stream
 VIEWS["index_choice"] = "SELECT server_id, table_id, column_name, max(index_name) AS last_name, min(index_name) AS first_name, max(index_position) AS index_position FROM fleet_index_columns GROUP BY server_id, table_id, column_name"
 sql("sc1", "SELECT c.server_id, c.table_name, c.column_name, c.data_type, c.data_length, nullif(trim(replace(replace(c.comments, chr(10), ''), chr(13), '')), '') AS comments, i.last_name AS index_name FROM fleet_columns c LEFT JOIN index_choice i ON i.server_id = c.server_id AND i.table_id = CAST(nullif(regexp_replace(c.table_name, '[^0-9]', '', 'g'), '') AS BIGINT) AND i.column_name = c.column_name WHERE c.table_name NOT IN (SELECT name FROM objects WHERE object_type IN ('VIEW', 'MATERIALIZED VIEW'))", "SELECT c.server_id, c.table_name, c.column_name, c.data_type, c.data_length, nullif(trim(replace(replace(c.comments, chr(10), ''), chr(13), '')), '') AS comments, i.last_name AS index_name FROM fleet_columns c LEFT JOIN index_choice i ON i.server_id = c.server_id AND i.table_id = CAST(nullif(regexp_replace(c.table_name, '[^0-9]', ''), '') AS BIGINT) AND i.column_name = c.column_name LEFT ANTI JOIN (SELECT server_id, name FROM objects WHERE object_type IN ('VIEW', 'MATERIALIZED VIEW')) o ON o.name = c.table_name")
 sql("sc2", "SELECT server_id, table_id, column_name, first_name AS index_name FROM index_choice")
-sql("sc3", "SELECT server_id, name, object_type FROM objects WHERE status = 'VALID'")
-sql("sc4", "SELECT server_id, name, object_type, n > 300 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY object_type, name) AS rn, count(*) OVER (PARTITION BY server_id) AS n FROM shown_objects) o WHERE rn <= 300")
-sql("sc5", "SELECT server_id, table_name AS name, CASE WHEN table_name LIKE 'TMP%' THEN 'VIEW' WHEN table_name LIKE 'HIST%' THEN 'MATERIALIZED VIEW' ELSE 'TABLE' END AS kind, string_agg(concat(column_name, ' ', data_type), ', ' ORDER BY column_id) AS columns FROM fleet_columns GROUP BY server_id, table_name", "SELECT server_id, table_name AS name, CASE WHEN table_name LIKE 'TMP%' THEN 'VIEW' WHEN table_name LIKE 'HIST%' THEN 'MATERIALIZED VIEW' ELSE 'TABLE' END AS kind, array_join(transform(array_sort(collect_list(struct(column_id, concat(column_name, ' ', data_type) AS said))), x -> x.said), ', ') AS columns FROM fleet_columns GROUP BY server_id, table_name")
 sql("sc6", "SELECT column_name, column_id FROM fleet_columns WHERE server_id = 0 AND table_name = 'T1'")
-_MODEL = "SELECT c.server_id, c.table_name, {0} AS columns, count(c.comments) AS n_comments, {1} AS indexed, CASE WHEN max(CASE WHEN c.column_name = 'C1' THEN 1 ELSE 0 END) = 1 THEN 'P:C1' ELSE '' END AS constraints FROM fleet_columns c GROUP BY c.server_id, c.table_name"
-sql("sc7", _MODEL.format("string_agg(concat(c.column_name, ' ', c.data_type, CASE WHEN c.data_length IS NULL THEN '' ELSE concat('(', c.data_length, ')') END), ', ' ORDER BY c.column_id)", "coalesce(string_agg(c.index_name, ',' ORDER BY c.column_id), '')"), _MODEL.format("array_join(transform(array_sort(collect_list(struct(c.column_id AS k, concat(c.column_name, ' ', c.data_type, CASE WHEN c.data_length IS NULL THEN '' ELSE concat('(', c.data_length, ')') END) AS v))), x -> x.v), ', ')", "array_join(transform(array_sort(collect_list(CASE WHEN c.index_name IS NOT NULL THEN struct(c.column_id AS k, c.index_name AS v) END)), x -> x.v), ',')"))
-sql("sc8", "SELECT o.server_id, o.name, o.object_type, s.engine <> 'postgres' AS applicable FROM objects o JOIN fleet_servers s ON s.server_id = o.server_id WHERE o.status = 'INVALID' AND s.engine <> 'postgres'")
-sql("sc9", "SELECT id, coalesce(nullif(row_count % 50, 0), 0) AS line, 0 AS pos, CASE WHEN upper(trim(reason)) = '' THEN 'ERROR' ELSE upper(trim(reason)) END AS attribute, substr(reason, 1, 10) AS message, CASE WHEN outcome_raw = 'denied' THEN 'valid' WHEN row_count > 50 THEN 'has errors' ELSE 'none' END AS note FROM audit_log WHERE outcome_raw IN ('denied', 'error')")
-_DDLS = "SELECT server_id, table_name, concat('CREATE TABLE ', table_name, ' (', chr(10), '  ', defs, chr(10), ');') AS ddl FROM ({}) m"
-_DEFS = "SELECT server_id, table_name, {} AS defs FROM fleet_columns GROUP BY server_id, table_name"
-_DEF = "concat(column_name, ' ', data_type, CASE WHEN data_length IS NULL THEN '' ELSE concat('(', data_length, ')') END)"
-VIEWS["table_ddls"] = _DDLS.format(_DEFS.format(f"string_agg({_DEF}, concat(',', chr(10), '  ') ORDER BY column_id)"))
-_SPARK_DDLS = _DDLS.format(_DEFS.format(f"array_join(transform(array_sort(collect_list(struct(column_id AS k, {_DEF} AS v))), x -> x.v), concat(',', chr(10), '  '))"))
-fixtures.BUILDERS["table_ddls"] = lambda spark, sf_dir: query(spark, sf_dir, _SPARK_DDLS)
 sql("sc10", "SELECT server_id, table_name, ddl FROM table_ddls WHERE table_name IN (SELECT table_name FROM discrepancies WHERE element = 'TABLE')")
 sql("sc13", "SELECT array_to_string((list(DISTINCT said ORDER BY said))[1:3], ' | ') AS digest, count(*) AS n FROM (SELECT concat(connection_name, ': ', tool, ' ', duration_ms % 4) AS said FROM audit_log WHERE outcome_raw = 'error') e", "SELECT array_join(slice(array_sort(collect_set(said)), 1, 3), ' | ') AS digest, count(*) AS n FROM (SELECT concat(connection_name, ': ', tool, ' ', duration_ms % 4) AS said FROM audit_log WHERE outcome_raw = 'error') e")
 
@@ -45,7 +34,7 @@ QUERIES["sc11"] = lambda spark, sf_dir: _fleet(spark, sf_dir)[0]
 QUERIES["sc12"] = lambda spark, sf_dir: _fleet(spark, sf_dir)[0].groupBy("server_name").agg(F.count("*").alias("n")).withColumn("error", F.lit(None).cast("string")).unionByName(_fleet(spark, sf_dir)[1].select("server_name", F.lit(0).cast("long").alias("n"), "error"))
 fixtures.BUILDERS["fleet_result"] = QUERIES["sc11"]
 for _id, _write in (("sk1", sinks.write_csv), ("sk2", sinks.write_per_server), ("sk3", sinks.write_combined)):
-    QUERIES[_id] = lambda spark, sf_dir, w=_write: w(_fleet(spark, sf_dir)[0], sinks.scratch(spark))
+    QUERIES[_id] = lambda spark, sf_dir, w=_write: w(_fleet(spark, sf_dir)[0], scratch(spark))
 QUERIES["sk5"] = lambda spark, sf_dir: sinks.json_lines(view(spark, sf_dir, "customer"), "c_custkey", 20_000)
 QUERIES["sk6"] = lambda spark, sf_dir: view(spark, sf_dir, "discrepancies").select(F.to_json(F.struct("*")).alias("line"))
 fixtures.BUILDERS["cells"] = lambda spark, sf_dir: sinks.cells(spark, view(spark, sf_dir, "documents"), view(spark, sf_dir, "pages"))
@@ -107,15 +96,15 @@ bound("sk7", audit.audit_csv_rows, "audit_log", f"SELECT id, concat_ws(',', id,
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sinks.scratch(spark)
+    out = scratch(spark)
     audit_stream.forward(audit_stream.as_log(audit_stream.event_stream(spark, f"{sf_dir}/events.parquet*")), f"{out}/rows", f"{out}/state")
     return spark.read.text(f"{out}/rows")
 
 
 def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sinks.scratch(spark)
-    stream = audit_stream.screen(audit_stream.as_log(audit_stream.event_stream(spark, f"{sf_dir}/events.parquet*")), view(spark, sf_dir, "policies"))
-    rows = stream.select("id", "connection_id", "allowed", "reason_code")
+    out = scratch(spark)
+    stream = audit_stream.screen(audit_stream.as_requests(audit_stream.event_stream(spark, f"{sf_dir}/events.parquet*")), view(spark, sf_dir, "connection_policies"), view(spark, sf_dir, "connection_rules"))
+    rows = stream.select("id", "connection_id", "tool", "allowed", "reason_code")
     rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{out}/rows")
 
@@ -132,16 +121,11 @@ bound("tx1", lambda m: m.select("doc_id", F.sha2(text.normalize("file_text"), 25
 QUERIES["tx2"] = lambda spark, sf_dir: view(spark, sf_dir, "objects").select("server_id", F.format_string('create or replace  editionable Procedure "app"."%s" as begin null; end;', "name").alias("ddl")).withColumn("canonical", text.canonical_header("ddl", "app"))
 sql("tx3", "SELECT server_id, table_name, column_name, nullif(nullif(trim(replace(replace(comments, chr(10), ''), chr(13), '')), ''), 'null') AS cleaned FROM fleet_columns")
 sql("tx4", "SELECT DISTINCT concat(chr(39), replace(reason, chr(39), concat(chr(39), chr(39))), chr(39)) AS literal, concat(chr(34), replace(reason, chr(34), concat(chr(34), chr(34))), chr(34)) AS identifier, upper(trim(tool)) AS tool_key FROM audit_log")
-sql("tx5", "SELECT DISTINCT data_type, data_length, CASE WHEN data_length IS NULL THEN data_type WHEN upper(data_type) = 'VARCHAR2' THEN concat(data_type, '(', data_length, ' CHAR)') ELSE concat(data_type, '(', data_length, ')') END AS shown FROM fleet_columns")
 sql("tx6", "SELECT DISTINCT c.server_id, c.table_name, CASE WHEN s.engine = 'oracle' THEN upper(lower(c.table_name)) ELSE lower(c.table_name) END AS folded FROM fleet_columns c JOIN fleet_servers s ON s.server_id = c.server_id")
 _KIND = "CASE WHEN word IN ('select', 'with') THEN 'select' WHEN word IN ('insert', 'update', 'delete', 'merge') THEN 'dml' WHEN word IN ('create', 'alter', 'drop', 'truncate') THEN 'ddl' ELSE 'other' END"
 sql("tx7", f"SELECT id, {_KIND} AS kind FROM (SELECT id, lower(regexp_extract(regexp_replace(sql_text, '--[^\\n]*|/\\*.*?\\*/', '', 'g'), '^\\s*([A-Za-z]+)', 1)) AS word FROM query_log) q", f"SELECT id, {_KIND} AS kind FROM (SELECT id, lower(regexp_extract(regexp_replace(sql_text, '--[^\\\\n]*|/\\\\*.*?\\\\*/', ''), '^\\\\s*([A-Za-z]+)', 1)) AS word FROM query_log) q")
 sql("tx8", "SELECT doc_id, CASE WHEN length(text) > 500 THEN concat(substr(text, 1, 500), '…') ELSE text END AS shown, octet_length(encode(text)) > 16000 AS over FROM documents", "SELECT doc_id, CASE WHEN length(text) > 500 THEN concat(substr(text, 1, 500), '…') ELSE text END AS shown, octet_length(text) > 16000 AS over FROM documents")
 sql("tx9", "SELECT doc_id, sha256(text) AS sha FROM documents", "SELECT doc_id, sha2(text, 256) AS sha FROM documents")
-QUERIES["tx11"] = lambda spark, sf_dir: view(spark, sf_dir, "table_ddls")
-sql("tx12", "SELECT server_id, table_name, regexp_replace(regexp_replace(ddl, '\\s+', ' ', 'g'), '^CREATE TABLE', 'CREATE OR REPLACE TABLE') AS cleaned FROM table_ddls", "SELECT server_id, table_name, regexp_replace(regexp_replace(ddl, '\\\\s+', ' '), '^CREATE TABLE', 'CREATE OR REPLACE TABLE') AS cleaned FROM table_ddls")
-QUERIES["tx13"] = lambda spark, sf_dir: view(spark, sf_dir, "table_ddls").select("server_id", "table_name", F.posexplode(F.split("ddl", r"\n(?=create |comment on|alter table)")).alias("at", "statement"))
-QUERIES["gn11"] = lambda spark, sf_dir: sinks.deploy(view(spark, sf_dir, "table_ddls"), view(spark, sf_dir, "fleet_servers"))
 VIEWS["script_lines"] = "SELECT id AS doc_id, generate_subscripts(string_split(statement, chr(10)), 1) AS line_no, unnest(string_split(statement, chr(10))) AS line FROM fix_rows WHERE statement IS NOT NULL AND kind = 'missing_column' AND id % 5 = 0"
 bound("tx14", text.outline, "script_lines", "SELECT doc_id, line_no, upper(regexp_extract(line, '(?i)^\\s*(create(?:\\s+or\\s+replace)?\\s+\\w+|alter\\s+\\w+|procedure|function)\\s+\"?([\\w.$#\"]+)', 1)) AS kind, regexp_extract(line, '(?i)^\\s*(create(?:\\s+or\\s+replace)?\\s+\\w+|alter\\s+\\w+|procedure|function)\\s+\"?([\\w.$#\"]+)', 2) AS name FROM script_lines WHERE regexp_matches(line, '(?i)^\\s*(create(?:\\s+or\\s+replace)?\\s+\\w+|alter\\s+\\w+|procedure|function)\\s+\"?([\\w.$#\"]+)')")
 fixtures.BUILDERS["script_lines"] = lambda spark, sf_dir: text.text_lines(view(spark, sf_dir, "fix_rows").where("statement IS NOT NULL AND kind = 'missing_column' AND id % 5 = 0").select(F.col("id").alias("doc_id"), F.col("statement").alias("text")))
@@ -170,9 +154,6 @@ bound("wn7", lambda t: text.grep_context(t, "token", 1), "text_lines", _GREP)
 _SPEC = {"columns": ["o_orderkey", "o_custkey", "o_orderstatus"], "filters": [("o_orderstatus", "in", ["O", "P"]), ("o_totalprice", "ge", 1000), ("o_orderpriority", "like", "%HIGH%"), ("o_custkey", "is_not_null", None)], "order_by": [("o_orderkey", "asc")], "limit": 200}
 bound("fl12", lambda o: sinks.table_query(o, **_SPEC), "orders", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_totalprice >= 1000 AND o_orderpriority LIKE '%HIGH%' AND o_custkey IS NOT NULL ORDER BY o_orderkey LIMIT 201")
 QUERIES["fl13"] = lambda spark, sf_dir: view(spark, sf_dir, "fleet_columns").select("table_name", "column_name").distinct().select("table_name", "column_name", F.when(~F.col("table_name").rlike("^[A-Za-z_][A-Za-z0-9_$#]{0,127}$"), "bad identifier").alias("violation"))
-_BARE = {"duck": "regexp_replace(regexp_replace(lower(sql_text), '''[^'']*''', '', 'g'), '--[^\\n]*', '', 'g')", "spark": "regexp_replace(regexp_replace(lower(sql_text), concat(chr(39), '[^', chr(39), ']*', chr(39)), ''), '--[^\\\\n]*', '')"}
-_SCREEN = "SELECT id, 'forbidden word' AS violation, regexp_extract(bare, '(delete|update|insert|create|drop|alter)', 1) AS token FROM ({0}) q WHERE regexp_extract(bare, '(delete|update|insert|create|drop|alter)', 1) <> '' UNION ALL SELECT id, 'forbidden call' AS violation, regexp_extract(bare, '(pg_sleep|dbms_[a-z]+)', 1) AS token FROM ({0}) q WHERE regexp_extract(bare, '(pg_sleep|dbms_[a-z]+)', 1) <> '' UNION ALL SELECT id, 'more than one statement' AS violation, ';' AS token FROM ({0}) q WHERE contains(bare, ';')"
-sql("fl22", _SCREEN.format(f"SELECT id, {_BARE['duck']} AS bare FROM query_log"), _SCREEN.format(f"SELECT id, {_BARE['spark']} AS bare FROM query_log"))
 
 # ---------------------------------------------------------------- SQL functions
 

@@ -37,7 +37,8 @@ SELECT DISTINCT CAST(l_suppkey % 5 AS INT) AS server_id, CAST(l_partkey AS BIGIN
 FROM lineitem WHERE l_linenumber <= 3""",
     "fleet_servers": """
 SELECT * FROM (VALUES (0, 'alpha', 'oracle', 'north', 'APP'), (1, 'Bravo', 'oracle', 'north', 'APP'), (2, 'charlie', 'oracle', '', 'APP'),
- (3, 'delta', 'postgres', 'south', 'app'), (4, 'Echo', 'postgres', ' ', 'app')) AS t(server_id, server_name, engine, group_name, schema_name)""",
+ (3, 'delta', 'postgres', 'south', 'app'), (4, 'Echo', 'postgres', ' ', 'app'), (5, 'Foxtrot', 'postgres', 'south', 'app')) AS t(server_id, server_name, engine, group_name, schema_name)""",
+    # fixed values: the 14 rules that are enabled by default
     "filter_rules": """
 SELECT * FROM (VALUES ('exclude','prefix','V_',true), ('exclude','prefix','VW_',true), ('exclude','prefix','HIST_',true), ('exclude','prefix','TEST_',true),
  ('exclude','prefix','TEMP_',true), ('exclude','prefix','TMP_',true), ('exclude','suffix','_VW',true), ('exclude','suffix','_HIST',true), ('exclude','suffix','_TEST',true),
@@ -86,14 +87,13 @@ def used(sql: str) -> list[str]:
     """Names of views in a text, those they need first."""
     found: list[str] = []
 
-    def walk(text: str) -> None:
+    def walk(text: str, within: tuple[str, ...]) -> None:
         for name in re.findall(r"\b[a-z_]+\b", text):
-            if name in VIEWS and name not in found:
-                walk(VIEWS[name])
-                if name not in found:
-                    found.append(name)
+            if name in VIEWS and name not in found and name not in within:
+                walk(VIEWS[name], (*within, name))
+                found.append(name)
 
-    walk(sql)
+    walk(sql, ())
     return found
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftframe.operators.audit import outcome
+from driftframe.operators.rules import TOOLS, capability_matrix
+from driftframe.operators.shared import few
 
 
 def audit_lines(log: DataFrame) -> DataFrame:
@@ -19,11 +21,14 @@ def forward(log: DataFrame, out: str, checkpoint: str) -> None:
     audit_lines(log).writeStream.format("text").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def screen(requests: DataFrame, policies: DataFrame) -> DataFrame:
-    """Requests with the verdict of their connection's policy; stateless, against a small static table."""
-    p = F.broadcast(policies.select("connection_id", "mcp_enabled", "data_access"))
-    reason = F.when(F.col("mcp_enabled").isNull(), "no_policy").when(~F.col("mcp_enabled"), "mcp_disabled").when(F.col("data_access") == "none", "data_access_none")
-    return requests.join(p, "connection_id", "left").withColumn("reason_code", reason).withColumn("allowed", F.col("reason_code").isNull())
+def screen(requests: DataFrame, policies: DataFrame, rules: DataFrame, data_tools_disabled: bool = False) -> DataFrame:
+    """Requests (connection_id, tool, ...) with the verdict of their connection's policy on their tool; stateless, against a static table.
+
+    A connection without a policy, or a tool that none knows, is refused.
+    """
+    verdicts = few(capability_matrix(policies, rules, data_tools_disabled).select("connection_id", "tool", "allowed", "reason_code"))
+    known = requests.join(verdicts, ["connection_id", "tool"], "left")
+    return known.withColumn("reason_code", F.when(F.col("allowed").isNull(), "no_policy").otherwise(F.col("reason_code"))).withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -35,3 +40,9 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 def as_log(events: DataFrame) -> DataFrame:
     raw = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "denied").when(F.col("event_type") == "purchase", "bogus").otherwise("allowed")
     return events.select((F.col("event_id") + 1).alias("id"), F.col("event_type").alias("tool"), (F.col("user_id") % 5).alias("connection_id"), raw.alias("outcome_raw"), F.lit('{"target":{"object_type":"TABLE"}}').alias("arguments"))
+
+
+def as_requests(events: DataFrame) -> DataFrame:
+    """(id, connection_id, tool): each event as a request for one of the tools."""
+    tools = F.array(*(F.lit(t) for t, _, _ in TOOLS))
+    return events.select((F.col("event_id") + 1).alias("id"), (F.col("user_id") % 100).cast("int").alias("connection_id"), F.element_at(tools, (F.col("event_id") % len(TOOLS) + 1).cast("int")).alias("tool"))
