@@ -1 +1,22 @@
-"""Column functions."""
+"""SQL functions of the source databases that Spark lacks, as temporary SQL functions that the optimizer inlines."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+#: Name, arguments, result and body of each.
+FUNCTIONS = (
+    ("trunc_number", "x DOUBLE, digits INT", "DOUBLE", "sign(x) * floor(abs(x) * pow(10, digits) + 1e-9) / pow(10, digits)"),
+    ("nanvl_number", "x DOUBLE, other DOUBLE", "DOUBLE", "CASE WHEN isnan(x) THEN other ELSE x END"),
+    ("remainder_number", "a DOUBLE, b DOUBLE", "DOUBLE", "a - b * rint(a / b)"),
+    ("instr_from", "s STRING, part STRING, start INT, nth INT", "INT", "coalesce(try_element_at(filter(sequence(start, greatest(start, length(s))), i -> substr(s, i, length(part)) = part), nth), 0)"),
+    ("to_number_text", "s STRING", "DOUBLE", "try_cast(regexp_replace(trim(s), '[,$]', '') AS DOUBLE)"),
+    ("to_date_text", "s STRING, form STRING", "DATE", "to_date(s, replace(replace(replace(form, 'YYYY', 'yyyy'), 'DD', 'dd'), 'MON', 'MMM'))"),
+)
+
+
+def register(spark: SparkSession) -> list[str]:
+    """Create the functions in the session; their names."""
+    for name, arguments, result, body in FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
+    return [f[0] for f in FUNCTIONS]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftframe.operators.shared import few, written
+from driftframe.operators.shared import few, in_ranges, with_running_sum
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ATTRIBUTES = ("data_type", "data_length", "data_default", "comments", "index_name")
@@ -119,10 +119,5 @@ def numbered(discrepancies: DataFrame) -> DataFrame:
     """
     rank = F.array_position(F.array(*map(F.lit, ELEMENTS)), F.col("element"))
     order = ["table_name", "server_id", "rank", "column_name"]
-    ranges = int(discrepancies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = discrepancies.withColumn("rank", rank).repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    placed = written(placed.drop("rank"), "numbered").withColumn("range", F.shiftright("place", 33))
-    counts = placed.groupBy("range").agg(F.count("*").alias("n"))  # one row for each range
-    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.col("place").bitwiseAND((1 << 33) - 1)
-    return placed.join(F.broadcast(counts.withColumn("before", before).drop("n")), "range").withColumn("id", F.col("before") + own + 1).drop("range", "place", "before")
+    placed = in_ranges(discrepancies.withColumn("rank", rank).withColumn("one", F.lit(1)), *order)
+    return with_running_sum(placed, "one", "id").drop("range", "place", "rank", "one")

@@ -6,31 +6,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Magic bytes in hex and their types, tried in this order.
-MAGIC = (("255044462D", "pdf"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpg"), ("474946383761", "gif"), ("474946383961", "gif"), ("504B0304", "zip"), ("1F8B", "gz"))
+#: Magic bytes in hex and their types, tried in this order; of zip files, parts whose names tell office files.
+MAGIC = (("255044462D", "pdf"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpg"), ("474946383761", "gif"), ("474946383961", "gif"), ("1F8B", "gz"), ("D0CF11E0A1B11AE1", "doc"), ("424D", "bmp"))
+OFFICE = (("word/", "docx"), ("xl/", "xlsx"), ("ppt/", "pptx"))
 CELLS, EACH_BYTES, TOTAL_BYTES = 50, 32_000_000, 64_000_000
 
 
+def is_text(c: str = "bytes") -> F.Column:
+    """Valid UTF-8 without a NUL."""
+    return F.is_valid_utf8(F.col(c).cast("string")) & ~F.contains(F.col(c), F.lit(bytearray(b"\0")))
+
+
 def sniff(c: str = "bytes") -> F.Column:
-    """Type by magic bytes, else by the head of the text."""
+    """Type by magic bytes, of zip files also by the names of their parts, else by the head of the text; JSON only if it parses."""
     head = F.hex(F.substring(c, 1, 12))
-    out = None
+    out = F.when(F.col(c).isNull(), "bin")
     for magic, kind in MAGIC:
-        test = head.startswith(magic)
-        out = F.when(test, kind) if out is None else out.when(test, kind)
+        # the two letters of a bitmap may begin a text
+        out = out.when(head.startswith(magic) & (~is_text(c) if kind == "bmp" else F.lit(True)), kind)
     out = out.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp")
-    text = F.ltrim(F.substring(F.col(c).cast("string"), 1, 512))
+    zipped = F.when(F.lit(False), "")
+    for part, kind in OFFICE:
+        zipped = zipped.when(F.contains(F.substring(c, 1, 1 << 20), F.lit(bytearray(part.encode()))) | F.contains(F.substring(c, -(1 << 18), 1 << 18), F.lit(bytearray(part.encode()))), kind)
+    out = out.when(head.startswith("504B0304"), zipped.otherwise("zip")).when(~is_text(c), "bin")
+    text = F.regexp_replace(F.substring(F.regexp_replace(F.col(c).cast("string"), "^\ufeff", ""), 1, 1024), r"^\s+", "")
     low = F.lower(text)
-    out = out.when(F.col(c).isNull() | ~F.is_valid_utf8(F.col(c).cast("string")), "bin")
-    out = out.when(low.startswith("<svg"), "svg").when(low.startswith("<!doctype html") | low.startswith("<html"), "html").when(low.startswith("<?xml"), "xml")
-    return out.when(text.rlike(r"^[\[{]"), "json").otherwise("txt")
+    out = out.when(low.startswith("<svg") | (low.startswith("<?xml") & low.contains("<svg")), "svg").when(low.startswith("<!doctype html") | low.startswith("<html"), "html").when(low.startswith("<"), "xml")
+    parses = text.rlike(r"^[\[{]") & F.try_parse_json(F.when(text.rlike(r"^[\[{]"), F.concat(F.lit("["), F.col(c).cast("string"), F.lit("]")))).isNotNull()  # a list, so that nothing may follow
+    return out.when(low.startswith("{\\rtf"), "rtf").when(parses, "json").otherwise("txt")
 
 
 def display(c: str = "bytes", cap: int = 40) -> F.Column:
     """UTF-8 text as it is, else capped hex with the length."""
     n = F.octet_length(c)
     short = F.concat(F.hex(F.substring(c, 1, cap)), F.when(n > cap, F.concat(F.lit("… ("), n.cast("string"), F.lit(" bytes)"))).otherwise(""))
-    return F.when(F.is_valid_utf8(F.col(c).cast("string")), F.col(c).cast("string")).otherwise(short)
+    return F.when(is_text(c), F.col(c).cast("string")).otherwise(short)
 
 
 def capture(cells: DataFrame, cells_most: int = CELLS, each: int = EACH_BYTES, total: int = TOTAL_BYTES) -> DataFrame:

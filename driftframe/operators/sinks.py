@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftframe.operators.shared import few
+from driftframe.operators.shared import few, in_ranges, with_running_sum
 
 CELL_CHARACTERS = 32_767
 NAME_CHARACTERS = 31
@@ -63,31 +63,59 @@ def json_lines(df: DataFrame, key: str, cap: int) -> DataFrame:
     return head.unionByName(rows.where(F.col("bytes") <= cap).select("seq", "line"))
 
 
-def cells(spark: SparkSession, documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """(row_id, column_name, source_type, bytes) of texts, pages and inline samples by magic bytes."""
-    samples = ("255044462D", "89504E470D0A1A0A", "FFD8FF", "474946383961", "504B0304", "1F8B", "00FF")
-    inline = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "row_id long, h string").select("row_id", F.lit("BLOB").alias("column_name"), F.lit("BLOB").alias("source_type"), F.unhex("h").alias("bytes"))
+def cells(customers: DataFrame, documents: DataFrame, pages: DataFrame, heads: tuple[str, ...]) -> DataFrame:
+    """(row_id, column_name, source_type, bytes) of texts, pages, and names behind magic bytes, given in hex."""
+    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("c_custkey") % len(heads) + 1).cast("int"))
+    binary = customers.select(F.col("c_custkey").alias("row_id"), F.lit("BLOB").alias("column_name"), F.lit("BLOB").alias("source_type"), F.concat(F.unhex(head), F.encode("c_name", "UTF-8")).alias("bytes"))
     text = documents.select(F.col("doc_id").alias("row_id"), F.lit("TEXT").alias("column_name"), F.lit("TEXT").alias("source_type"), F.encode("text", "UTF-8").alias("bytes"))
     html = pages.select(F.col("page_id").alias("row_id"), F.lit("CLOB").alias("column_name"), F.lit("CLOB").alias("source_type"), F.encode("html", "UTF-8").alias("bytes"))
-    return text.unionByName(html).unionByName(inline)
+    return text.unionByName(html).unionByName(binary)
 
 
-def deploy(ddls: DataFrame, servers: DataFrame) -> DataFrame:
-    """(server_id, table_name, script): statements that can run again; Oracle in a guard block, PostgreSQL with IF NOT EXISTS."""
-    bare = F.regexp_replace("ddl", r"[;/\s]+$", "")
-    guarded = F.concat(F.lit("BEGIN\n  EXECUTE IMMEDIATE '"), F.replace(bare, F.lit("'"), F.lit("''")), F.lit("';\nEXCEPTION\n  WHEN OTHERS THEN\n    IF SQLCODE <> -955 THEN RAISE; END IF;\nEND;\n/"))
-    plain = F.concat(F.regexp_replace(bare, "^CREATE TABLE ", "CREATE TABLE IF NOT EXISTS "), F.lit(";"))
-    joined = ddls.join(few(servers.select("server_id", "engine")), "server_id")
-    return joined.select("server_id", "table_name", F.when(F.col("engine") == "oracle", guarded).otherwise(plain).alias("script"))
+def discrepancy_report(discrepancies: DataFrame, sample: int = 20, top: int = 50) -> DataFrame:
+    """(part, key, line): every discrepancy as a JSON line, the first ``sample`` in order, and a summary: counts by difference, of tables, and of the ``top`` tables."""
+    line = F.to_json(F.struct("difference", "element", F.col("table_name").alias("table"), F.col("column_name").alias("column"), "server_id", F.col("server_name").alias("server"), "details"))
+    order = ["table_name", "server_id", "element", "column_name"]
+    part = lambda df, name, key, value: df.select(F.lit(name).alias("part"), key.cast("string").alias("key"), value.cast("string").alias("line"))
+    every = part(discrepancies, "lines", F.lit(None), line)
+    first = part(discrepancies.orderBy(*order).limit(sample), "sample", F.lit(None), line)
+    kinds = part(discrepancies.groupBy("difference").count(), "by difference", F.col("difference"), F.col("count"))
+    tables = part(discrepancies.agg(F.count_distinct("table_name").alias("n")), "tables", F.lit(None), F.col("n"))
+    most = part(discrepancies.groupBy("table_name").count().orderBy(F.desc("count"), "table_name").limit(top), "top tables", F.col("table_name"), F.col("count"))
+    return every.unionByName(first).unionByName(kinds).unionByName(tables).unionByName(most)
 
 
-def plan_files(ddls: DataFrame, servers: DataFrame) -> DataFrame:
-    """(kind, path, name, sha256): one code file for each table and one migration for each that isn't history."""
-    s = few(servers.select("server_id", "schema_name"))
-    kinds = F.when(F.col("table_name").contains("HIST"), F.array(F.lit("code"))).otherwise(F.array(F.lit("code"), F.lit("migration")))
-    rows = ddls.join(s, "server_id").withColumn("kind", F.explode(kinds))
-    name = F.concat(F.when(F.col("kind") == "migration", "V1__").otherwise(""), F.lower("table_name"), F.lit(".sql"))
-    return rows.select("kind", F.concat_ws("/", "kind", F.lower("schema_name"), F.col("server_id").cast("string")).alias("path"), name.alias("name"), F.sha2("ddl", 256).alias("sha256"))
+def plan_files(objects: DataFrame, defaults: DataFrame, overrides: DataFrame, existing: DataFrame) -> DataFrame:
+    """(kind, path, name, sha256, exists) of the files that definitions (schema_name, object_type, name, ddl) are saved as.
+
+    Options are storage_mode (code, migration, else both), extension and folder, of ``defaults`` by object_type, and of ``overrides`` by schema, in lower
+    case, and type, blank for all types; the most special one that is set counts. A migration's version follows the
+    largest of its folder in ``existing`` (path, name).
+    """
+    rows = objects.withColumn("schema", F.lower("schema_name"))
+    wide = few(defaults.select("object_type", *(F.col(c).alias(f"d_{c}") for c in ("storage_mode", "extension", "folder"))))
+    own = few(overrides.where("object_type != ''").select(F.col("schema_name").alias("schema"), "object_type", *(F.col(c).alias(f"o_{c}") for c in ("storage_mode", "extension", "folder"))))
+    every = few(overrides.where("object_type = ''").select(F.col("schema_name").alias("schema"), *(F.col(c).alias(f"s_{c}") for c in ("storage_mode", "extension", "folder"))))
+    rows = rows.join(wide, "object_type", "left").join(own, ["schema", "object_type"], "left").join(every, "schema", "left")
+    option = lambda c, usual: F.coalesce(*(F.nullif(F.trim(f"{k}_{c}"), F.lit("")) for k in "osd"), F.lit(usual))
+    mode = option("storage_mode", "both")
+    kinds = F.when(mode.isin("code", "migration"), F.array(mode)).otherwise(F.array(F.lit("code"), F.lit("migration")))
+    rows = rows.withColumn("kind", F.explode(kinds)).withColumn("path", F.concat_ws("/", option("folder", "sql"), "schema", "kind"))
+    version = F.regexp_extract("name", r"^V(\d+)__", 1).try_cast("int")
+    top = existing.groupBy("path").agg((F.coalesce(F.max(version), F.lit(0)) + 1).alias("version"))
+    rows = rows.join(few(top), "path", "left")
+    ending = F.concat(F.lit("."), F.regexp_replace(option("extension", "sql"), r"^\.+", ""))
+    name = F.concat(F.when(F.col("kind") == "migration", F.concat(F.lit("V"), F.coalesce("version", F.lit(1)).cast("string"), F.lit("__"), F.col("schema"), F.lit("_"))).otherwise(""), F.lower("name"), ending)
+    named = rows.select("kind", "path", name.alias("name"), F.sha2("ddl", 256).alias("sha256"))
+    return named.join(existing.select("path", "name").distinct().withColumn("exists", F.lit(True)), ["path", "name"], "left").select("kind", "path", "name", "sha256", F.coalesce("exists", F.lit(False)).alias("exists"))
+
+
+def byte_capped(df: DataFrame, key: str, cap: int) -> DataFrame:
+    """``df`` with running_bytes, rows in the order of ``key`` while their cells, with two bytes more each and four where null, stay within ``cap``; and truncated."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")) + 2, F.lit(4)) for c in df.columns), F.lit(0)).cast("long")
+    placed = with_running_sum(in_ranges(df.withColumn("size", size), key), "size", "running_bytes")
+    more = placed.agg((F.max("running_bytes") > cap).alias("truncated"))
+    return placed.where(F.col("running_bytes") <= cap).drop("size", "place", "range").crossJoin(F.broadcast(more))  # one row
 
 
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_$#]{0,127}")
@@ -123,3 +151,24 @@ def table_query(df: DataFrame, columns: Sequence[str], filters: Sequence[tuple]
     if order_by:
         df = df.orderBy(*(getattr(F.col(c), d)() for c, d in order_by))
     return df.limit(limit + 1).select(*columns)
+
+
+def spec_violations(specs: DataFrame) -> DataFrame:
+    """(spec_id, violation) of filters of structured queries given as rows (spec_id, column_name, op, value, n_values): what ``check_spec`` would raise, each once.
+
+    n_values is the number of values where they are a list, else null.
+    """
+    listed, none = F.col("n_values").isNotNull(), F.col("op").isin("is_null", "is_not_null")
+    known = F.col("op").isin(*OPERATORS)
+    rules = (
+        ("bad identifier", ~F.coalesce(F.col("column_name").rlike(f"^{IDENTIFIER.pattern}$"), F.lit(False))),
+        ("unknown operator", ~F.coalesce(known, F.lit(False))),
+        ("wrong shape", known & ((F.col("op") == "in") != listed)),
+        ("wrong number of values", (F.col("op") == "in") & listed & ~F.col("n_values").between(1, 100)),
+        ("no value", known & ~none & ~listed & F.col("value").isNull()),
+        ("value too long", F.length("value") > 4000),
+        ("NUL in a value", F.col("value").contains("\0")),
+    )
+    found = specs.select("spec_id", F.explode(F.array_compact(F.array(*(F.when(when, why) for why, when in rules)))).alias("violation")).distinct()
+    many = specs.groupBy("spec_id").agg(F.count("*").alias("n")).where("n > 20").select("spec_id", F.lit("too many filters").alias("violation"))
+    return found.unionByName(many)

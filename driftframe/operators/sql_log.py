@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftframe.operators.shared import in_ranges, with_previous
+
 # Words, functions and prefixes that are refused, and functions that are allowed, in all engines and by engine.
 MOST_CHARACTERS = 20_000
 FORBIDDEN_WORDS = "INSERT UPDATE DELETE MERGE DROP ALTER CREATE TRUNCATE GRANT REVOKE EXECUTE EXEC CALL COPY LOCK INTO TABLE".split()
@@ -84,3 +86,31 @@ def screen_sql(log: DataFrame, engine: str = "postgres", allowed: list[str] | No
         each(F.array_except(F.array_except(F.array_distinct(calls), listed([*known, *SYNTAX_WORDS, *FORBIDDEN_WORDS])), F.array_union(refused, named)), "function not allowed"),
     )
     return log.select("id", F.explode(found).alias("v")).select("id", "v.violation", "v.token")
+
+
+def statement_kind(c: str = "sql_text") -> F.Column:
+    """select, dml, ddl or other, by the first word after comments."""
+    word = F.lower(F.regexp_extract(F.regexp_replace(c, _COMMENTS, " "), r"^\s*([A-Za-z]+)", 1))
+    return F.when(word.isin("select", "with"), "select").when(word.isin("insert", "update", "delete", "merge"), "dml").when(word.isin("create", "alter", "drop", "truncate"), "ddl").otherwise("other")
+
+
+def filter_log(log: DataFrame, text: str = "", kind: str | None = None, favorites: bool = False, days: int | None = None, now: str | None = None) -> DataFrame:
+    """Entries (sql_text, description, favorite, created_at, ...) with the text, blind to case, of the kind, the favourites, since some days before ``now``; 0 days is that day."""
+    needle = text.strip().lower()
+    if needle:
+        log = log.where(F.lower("sql_text").contains(needle) | F.coalesce(F.lower("description").contains(needle), F.lit(False)))
+    if kind:
+        log = log.where(statement_kind() == kind)
+    if favorites:
+        log = log.where("favorite")
+    if days is not None:
+        end = F.to_timestamp_ntz(F.lit(now)) if now else F.localtimestamp()
+        since = end - F.make_dt_interval(F.lit(days)) if days else F.to_timestamp_ntz(F.to_date(end).cast("string"))
+        log = log.where(F.col("created_at") >= since)
+    return log
+
+
+def drop_repeats(log: DataFrame) -> DataFrame:
+    """Entries (id, sql_text, ...) whose text isn't that of the entry before, in one log by id."""
+    placed = with_previous(in_ranges(log, "id"), "sql_text", "before")
+    return placed.where("before is null or before != sql_text").drop("place", "range", "before")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.operators import catalog, drift, rules, sql_log
-from driftframe.plans.registry import attribute_rows, bound
+from driftframe.operators import catalog, drift, repair, rules, sql_log
+from driftframe.plans.registry import ORACLE_TEXT, attribute_rows, bound, sql  # noqa: F401
 from driftframe.sources import fixtures
 from driftframe.sources.fixtures import VIEWS, view
 
@@ -146,18 +146,20 @@ SELECT server_id, table_name, row_number() OVER (PARTITION BY server_id, table_n
 bound("tx13", catalog.statements, "table_ddls", "SELECT server_id, table_name, CAST(seq AS INT) AS seq, statement FROM ddl_statements")
 _BARE = "rtrim(statement, chr(10) || ' ;/')"
 _NAME = """regexp_extract(statement, '(?i)^(?:create\\s+(?:unique\\s+)?index|create\\s+table|alter\\s+table\\s+\\S+\\s+add\\s+constraint)\\s+"?([^\\s"(]+)', 1)"""
+VIEWS["deploy_parts"] = f"""
+SELECT server_id, table_name, CAST(seq AS INT) AS seq, statement, {_BARE} AS bare, {_NAME} AS name,
+ CASE WHEN statement LIKE 'create table%' THEN 'table' WHEN statement LIKE 'create%index%' THEN 'index' WHEN statement LIKE 'alter table%' THEN 'constraint' ELSE 'comment' END AS kind FROM ddl_statements"""
+_AGAIN = """CASE kind WHEN 'table' THEN replace(statement, 'create table', 'create table if not exists') WHEN 'index' THEN replace(statement, ' index ', ' index if not exists ')
+ WHEN 'constraint' THEN concat('do $$ begin', chr(10), '  if not exists (select 1 from pg_constraint where conname = ', chr(39), name, chr(39), ') then', chr(10), '    ', bare, ';', chr(10), '  end if;', chr(10), 'end $$;') ELSE statement END"""
 bound(
     "gn11",
     catalog.deploy_tables,
     "table_ddls fleet_servers",
     f"""
-SELECT server_id, table_name, seq, CASE
+SELECT d.server_id, table_name, seq, CASE
  WHEN engine = 'oracle' AND kind = 'comment' THEN concat('begin', chr(10), '  execute immediate q', chr(39), '[', bare, ']', chr(39), ';', chr(10), 'end;', chr(10), '/')
  WHEN engine = 'oracle' THEN concat('begin', chr(10), '  for x in (select 1 from dual where not exists (select 1 from ', CASE kind WHEN 'table' THEN 'user_tables where table_name = ' WHEN 'index' THEN 'user_indexes where index_name = ' ELSE 'user_constraints where constraint_name = ' END, chr(39), CASE kind WHEN 'table' THEN table_name ELSE name END, chr(39), ')) loop', chr(10), '    execute immediate q', chr(39), '[', bare, ']', chr(39), ';', chr(10), '  end loop;', chr(10), 'end;', chr(10), '/')
- WHEN kind = 'table' THEN replace(statement, 'create table', 'create table if not exists') WHEN kind = 'index' THEN replace(statement, ' index ', ' index if not exists ')
- WHEN kind = 'constraint' THEN concat('do $$ begin', chr(10), '  if not exists (select 1 from pg_constraint where conname = ', chr(39), name, chr(39), ') then', chr(10), '    ', bare, ';', chr(10), '  end if;', chr(10), 'end $$;') ELSE statement END AS block
-FROM (SELECT d.server_id, d.table_name, CAST(seq AS INT) AS seq, statement, engine, {_BARE} AS bare, {_NAME} AS name, CASE WHEN statement LIKE 'create table%' THEN 'table' WHEN statement LIKE 'create%index%' THEN 'index' WHEN statement LIKE 'alter table%' THEN 'constraint' ELSE 'comment' END AS kind
- FROM ddl_statements d JOIN fleet_servers s ON s.server_id = d.server_id) x""",
+ ELSE {_AGAIN} END AS block FROM deploy_parts d JOIN fleet_servers s ON s.server_id = d.server_id""",
 )
 VIEWS["sequence_ddls"] = """
 SELECT CAST(s_suppkey % 5 AS INT) AS server_id, concat('SEQ_', s_suppkey) AS name, CASE s_suppkey % 4 WHEN 0 THEN 'MATERIALIZED VIEW' WHEN 1 THEN 'TRIGGER' WHEN 2 THEN 'VIEW' ELSE 'SEQUENCE' END AS object_type,
@@ -275,3 +277,74 @@ _SCREENED["postgres"][9] = [("blocked function", "UTL_INADDR")]
 for _engine, _id in (("postgres", "fl22"), ("oracle", "fl22_oracle")):
     _rows = ", ".join(f"({k}, '{v}', '{t}')" for k, found in _SCREENED[_engine].items() for v, t in found)
     bound(_id, lambda q, e=_engine: sql_log.screen_sql(q, e), "logged_sql", f"SELECT event_id AS id, violation, token FROM events JOIN (VALUES {_rows}) AS v(k, violation, token) ON event_id % 12 = k")
+
+# ---------------------------------------------------------------- repair
+
+_Q = lambda c: f"concat(chr(34), replace({c}, chr(34), concat(chr(34), chr(34))), chr(34))"
+_LIT = lambda c: f"concat(chr(39), replace({c}, chr(39), concat(chr(39), chr(39))), chr(39))"
+_GUARD = lambda condition, statement: f"concat('BEGIN', chr(10), '  FOR x IN (SELECT 1 FROM dual WHERE ', {condition}, ') LOOP', chr(10), '    EXECUTE IMMEDIATE ', {_LIT(statement)}, ';', chr(10), '  END LOOP;', chr(10), 'END;', chr(10), '/')"
+_HELD = lambda view, column, name, more="": f"concat('EXISTS (SELECT 1 FROM {view} WHERE {column} = ', {_LIT(f'upper(trim({name}))')}{more}, ')')"
+_TYPE_OF = lambda r: f"concat(trim({r}.data_type), CASE WHEN coalesce(trim({r}.data_length), '') = '' THEN '' ELSE concat('(', trim({r}.data_length), ')') END)"
+_DEFAULT_OF = lambda r: f"CASE WHEN coalesce(trim({r}.data_default), '') = '' THEN '' ELSE concat(' DEFAULT ', trim({r}.data_default)) END"
+_COLUMN_HELD = lambda t, c: _HELD("user_tab_columns", "table_name", t, f", ' AND column_name = ', {_LIT(f'upper(trim({c}))')}")
+_NOTE = lambda t, c, note: f"concat('COMMENT ON COLUMN ', {_Q(t)}, '.', {_Q(c)}, ' IS ', {_LIT(note)})"
+_RANK_KIND = "CASE element WHEN 'TABLE' THEN 'missing_table' WHEN 'COLUMN' THEN 'missing_column' ELSE lower(element) END"
+VIEWS["classified"] = f"SELECT *, {_RANK_KIND} AS kind FROM numbered"
+fixtures.BUILDERS["classified"] = lambda spark, sf_dir: repair.classify(view(spark, sf_dir, "numbered"))
+VIEWS["reference_ddls"] = "SELECT table_name, CASE WHEN table_name LIKE '%3' THEN ' ;/ ' ELSE ddl END AS ddl FROM table_ddls WHERE server_id = 0 AND table_name NOT LIKE '%1'"
+VIEWS["reference_columns"] = f"""
+SELECT table_name, string_agg(concat({_Q('column_name')}, ' ', {_TYPE_OF('c')}, {_DEFAULT_OF('c')}), ', ' ORDER BY column_name) AS defs,
+ string_agg(CASE WHEN trim(comments) <> '' THEN concat(chr(10), chr(10), {_GUARD(_COLUMN_HELD('table_name', 'column_name'), _NOTE('table_name', 'column_name', 'trim(comments)'))}) END, '' ORDER BY column_name) AS oracle_notes,
+ string_agg(CASE WHEN trim(comments) <> '' THEN concat(chr(10), {_NOTE('table_name', 'column_name', 'trim(comments)')}, ';') END, '' ORDER BY column_name) AS postgres_notes FROM fleet_columns c WHERE server_id = 0 GROUP BY table_name"""
+_INDEX = f"concat({_Q('index_name')}, ' ON ', {_Q('table_name')}, ' (', columns, ')')"
+VIEWS["reference_indexes"] = f"""
+SELECT table_name, string_agg(concat(chr(10), chr(10), {_GUARD("concat('NOT ', " + _HELD('user_indexes', 'index_name', 'index_name') + ")", f"concat('CREATE INDEX ', {_INDEX})")}), '' ORDER BY index_name) AS oracle_indexes,
+ string_agg(concat(chr(10), 'CREATE INDEX IF NOT EXISTS ', {_INDEX}, ';'), '' ORDER BY index_name) AS postgres_indexes FROM (
+ SELECT table_name, trim(index_name) AS index_name, string_agg({_Q('column_name')}, ', ' ORDER BY column_name) AS columns FROM fleet_columns WHERE server_id = 0 AND trim(index_name) <> '' GROUP BY table_name, trim(index_name)) i GROUP BY table_name"""
+_NO_TABLE = f"concat('NOT ', {_HELD('user_tables', 'table_name', 'c.table_name')})"
+_WHY = "concat('-- the definition ', CASE WHEN d.table_name IS NULL THEN 'is not known' ELSE 'can' || chr(39) || 't run' END, ', so this one is made from the columns', chr(10))"
+_SUFFIX = "coalesce(oracle_notes, ''), coalesce(oracle_indexes, '')"
+VIEWS["created_tables"] = f"""
+SELECT c.table_name, CASE WHEN rtrim(d.ddl, chr(10) || ' ;/') <> '' THEN concat({_GUARD(_NO_TABLE, 'p.bare')}, {_SUFFIX})
+ ELSE concat({_WHY}, {_GUARD(_NO_TABLE, f"concat('CREATE TABLE ', {_Q('c.table_name')}, ' (', defs, ')')")}, {_SUFFIX}) END AS oracle,
+ CASE WHEN rtrim(d.ddl, chr(10) || ' ;/') <> '' THEN (SELECT string_agg({_AGAIN}, chr(10) || chr(10) ORDER BY seq) FROM deploy_parts q WHERE q.server_id = 0 AND q.table_name = c.table_name)
+ ELSE concat({_WHY}, 'CREATE TABLE IF NOT EXISTS ', {_Q('c.table_name')}, ' (', defs, ');', coalesce(postgres_notes, ''), coalesce(postgres_indexes, '')) END AS postgres
+FROM reference_columns c LEFT JOIN reference_indexes i ON i.table_name = c.table_name LEFT JOIN reference_ddls d ON d.table_name = c.table_name LEFT JOIN deploy_parts p ON p.server_id = 0 AND p.seq = 1 AND p.table_name = c.table_name"""
+_T, _C = _Q("d.table_name"), _Q("d.column_name")
+_HERE = _COLUMN_HELD("d.table_name", "d.column_name")
+_ALTER = f"'ALTER TABLE ', {_T}"
+_SAID_NOTE = _NOTE("d.table_name", "d.column_name", "coalesce(trim(r.comments), '')")
+_MADE = {
+    ("missing_table", "oracle"): "f.oracle",
+    ("missing_table", "postgres"): "f.postgres",
+    ("missing_column", "oracle"): f"concat({_GUARD(f'concat({_HELD("user_tables", "table_name", "d.table_name")}, {chr(39)} AND NOT {chr(39)}, {_HERE})', f'concat({_ALTER}, {chr(39)} ADD ({chr(39)}, {_C}, {chr(39)} {chr(39)}, {_TYPE_OF("r")}, {_DEFAULT_OF("r")}, {chr(39)}){chr(39)})')}, CASE WHEN coalesce(trim(r.comments), '') = '' THEN '' ELSE concat(chr(10), chr(10), {_GUARD(_HERE, _SAID_NOTE)}) END)",
+    ("missing_column", "postgres"): f"concat({_ALTER}, ' ADD COLUMN IF NOT EXISTS ', {_C}, ' ', {_TYPE_OF('r')}, {_DEFAULT_OF('r')}, ';', CASE WHEN coalesce(trim(r.comments), '') = '' THEN '' ELSE concat(chr(10), {_SAID_NOTE}, ';') END)",
+    ("data_type", "oracle"): _GUARD(_HERE, f"concat({_ALTER}, ' MODIFY (', {_C}, ' ', {_TYPE_OF('r')}, ')')"),
+    ("data_type", "postgres"): f"concat({_ALTER}, ' ALTER COLUMN ', {_C}, ' TYPE ', {_TYPE_OF('r')}, ' USING ', {_C}, '::', {_TYPE_OF('r')}, ';')",
+    ("data_default", "oracle"): _GUARD(_HERE, f"concat({_ALTER}, ' MODIFY (', {_C}, ' DEFAULT ', coalesce(nullif(trim(r.data_default), ''), 'NULL'), ')')"),
+    ("data_default", "postgres"): f"concat({_ALTER}, ' ALTER COLUMN ', {_C}, CASE WHEN coalesce(trim(r.data_default), '') = '' THEN ' DROP DEFAULT' ELSE concat(' SET DEFAULT ', trim(r.data_default)) END, ';')",
+    ("comments", "oracle"): _GUARD(_HERE, _SAID_NOTE),
+    ("comments", "postgres"): f"concat({_SAID_NOTE}, ';')",
+}
+_BY_KIND = "\n".join(f"WHEN replace(d.kind, 'data_length', 'data_type') = '{kind}' AND s.engine = '{engine}' THEN {made}" for (kind, engine), made in _MADE.items())
+_SKIP = "CASE WHEN d.kind = 'index_name' THEN 'index composition is not known' WHEN d.kind = 'column_name' THEN 'a rename is unsafe' WHEN d.kind = 'missing_table' AND f.table_name IS NULL OR d.kind <> 'missing_table' AND r.table_name IS NULL THEN 'no reference metadata' END"
+VIEWS["fix_rows"] = f"""
+SELECT d.id, d.server_id AS target, d.table_name, d.column_name, d.kind, CASE WHEN {_SKIP} IS NOT NULL THEN NULL {_BY_KIND} END AS statement, {_SKIP} AS skip_reason
+FROM classified d JOIN fleet_servers s ON s.server_id = d.server_id LEFT JOIN fleet_columns r ON r.server_id = 0 AND r.table_name = d.table_name AND r.column_name = d.column_name LEFT JOIN created_tables f ON f.table_name = d.table_name"""
+fixtures.BUILDERS["fix_rows"] = lambda spark, sf_dir: repair.fix_rows(*(view(spark, sf_dir, v) for v in ("numbered", "fleet_columns", "fleet_servers", "reference_ddls")), 0)
+bound("gn1", lambda c: c.select("id", "kind"), "classified", "SELECT id, kind FROM classified")
+sql("gn2", "SELECT d.id, coalesce(s.server_id, d.server_id) AS target FROM (SELECT id, server_id, regexp_extract(details, 'found in server (.*) but not in reference server', 1) AS named FROM numbered) d LEFT JOIN fleet_servers s ON upper(s.server_name) = upper(d.named)")
+for _id, _kinds in (("gn3", ["missing_column"]), ("gn4", ["data_type", "data_length"]), ("gn5", ["data_default"]), ("gn6", ["comments"]), ("gn7", ["missing_table"])):
+    bound(_id, lambda f, k=_kinds: f.where(F.col("kind").isin(*k)).select("id", "target", "statement"), "fix_rows", "SELECT id, target, statement FROM fix_rows WHERE kind IN ({})".format(", ".join(f"'{k}'" for k in _kinds)))
+bound("gn8", lambda f: f.where("skip_reason is not null").select("id", "target", "skip_reason"), "fix_rows", "SELECT id, target, skip_reason FROM fix_rows WHERE skip_reason IS NOT NULL")
+bound(
+    "gn9",
+    lambda f, s: repair.script_blocks(f, s, 0),
+    "fix_rows fleet_servers",
+    """
+SELECT DISTINCT target, 0 AS part, 0 AS id, concat('-- reference: alpha', chr(10), '-- target: ', server_name, chr(10), '-- review before it runs') AS block FROM fix_rows f JOIN fleet_servers s ON s.server_id = f.target
+UNION ALL SELECT target, 1, min(id), concat('-- discrepancy #', min(id), chr(10), '-- table: ', table_name, chr(10), '-- column: ', CASE WHEN column_name = '' THEN '(table-level)' ELSE column_name END, chr(10), statement) FROM fix_rows WHERE statement IS NOT NULL GROUP BY target, table_name, column_name, kind, statement
+UNION ALL SELECT target, 2, id, concat('-- #', id, ': ', skip_reason) FROM fix_rows WHERE skip_reason IS NOT NULL""",
+)
+sql("ag8", "SELECT target, sum(CASE WHEN statement IS NOT NULL THEN 1 ELSE 0 END) AS generated, sum(CASE WHEN skip_reason IS NOT NULL THEN 1 ELSE 0 END) AS skipped FROM fix_rows GROUP BY target")
+sql("wn5", "SELECT id, target, kind FROM (SELECT *, row_number() OVER (PARTITION BY target, table_name, column_name, kind, statement ORDER BY id) AS rn FROM (SELECT * FROM fix_rows UNION ALL SELECT id + 1000000, target, table_name, column_name, kind, statement, skip_reason FROM fix_rows WHERE id % 7 = 0) u WHERE statement IS NOT NULL) x WHERE rn = 1")

@@ -17,6 +17,8 @@ from driftframe.sources.fixtures import VIEWS, oracle, query, view
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The equivalents without the views they use.
+ORACLE_TEXT: dict[str, str] = {}
 
 
 def sql(name: str, text: str, spark_text: str | None = None) -> None:
@@ -33,6 +35,7 @@ def bound(name: str, make: Callable[..., DataFrame], views: str, text: str | Non
 
     QUERIES[name] = run
     if text:
+        ORACLE_TEXT[name] = text
         ORACLE_SQL[name] = oracle(text)
 
 
@@ -131,7 +134,6 @@ bound("fl8", lambda q, d: rules.texts_mentioning_hidden(q.select(F.col("id").ali
 sql("fl15", "SELECT * FROM discrepancies WHERE server_id = 2 AND (contains(lower(table_name), 't1') OR contains(lower(column_name), 't1') OR contains(lower(server_name), 't1') OR contains(lower(difference), 't1') OR contains(lower(details), 't1'))")
 sql("fl16", "SELECT * FROM discrepancies WHERE contains(lower(table_name), lower(trim(' HIST '))) AND contains(lower(details), 'null')")
 bound("fl17", lambda log: audit.filter_audit(log, connection=2, result="error", target="t3", start="2024-01-03", stop="2024-01-20").select("id", "tool", "outcome_raw"), "audit_log", "SELECT id, tool, outcome_raw FROM audit_log WHERE connection_id = 2 AND outcome_raw NOT IN ('allowed', 'denied') AND contains(lower(CAST(json_extract(arguments, '$.target.names') AS VARCHAR)), 't3') AND strftime(event_ts, '%Y-%m-%d %H:%M:%S') >= '2024-01-03' AND strftime(event_ts, '%Y-%m-%d') <= '2024-01-20'")
-sql("fl18", "SELECT id, favorite FROM query_log WHERE contains(lower(sql_text), 'count') AND created_at >= CAST('2024-01-24' AS TIMESTAMP) AND (favorite OR pinned)")
 sql("fl19", "SELECT server_id, table_name, column_name, element, CASE WHEN difference = 'MISSING' AND details LIKE '%found in reference server%' THEN 'missing' WHEN difference = 'MISSING' THEN 'extra' ELSE replace(regexp_replace(details, '^[A-Z_]+: ', ''), ' != ', ' -> ') END AS change_text FROM discrepancies")
 sql("fl20", "SELECT DISTINCT table_name FROM discrepancies WHERE upper(trim(table_name)) IN ('T1', 'T25', 'HIST_T2', 'T121') OR element = 'TABLE'")
 sql("fl23", "SELECT o.server_id AS connection_id, o.name, CASE WHEN o.object_type <> 'TABLE' THEN 'n/a' WHEN a.allowed AND a.column_rules THEN 'restricted' WHEN a.allowed THEN 'allowed' ELSE 'denied' END AS data_access FROM shown_objects o JOIN policies p ON p.connection_id = o.server_id LEFT JOIN access a ON a.connection_id = o.server_id AND a.table_name = o.name")
@@ -146,46 +148,3 @@ bound("jn9", lambda fc, r: rules.match_rules(fc.select("table_name").distinct(),
 sql("jn5", "SELECT DISTINCT server_id, table_name FROM fleet_columns WHERE table_name NOT IN (SELECT name FROM objects WHERE object_type = 'VIEW' UNION ALL SELECT name FROM objects WHERE object_type = 'MATERIALIZED VIEW')")
 sql("jn6", "SELECT DISTINCT server_id, table_id, index_name FROM fleet_index_columns i WHERE NOT EXISTS (SELECT 1 FROM fleet_index_columns c WHERE c.server_id = i.server_id AND c.table_id = i.table_id AND c.column_name = 'C1' AND c.index_name = i.index_name)")
 sql("jn10", "SELECT k.key, min(r.table_name) AS matched, min(CASE WHEN r.table_name = k.key THEN 1 WHEN r.table_name = upper(k.key) THEN 2 WHEN r.table_name = lower(k.key) THEN 3 ELSE 4 END) AS priority FROM (SELECT DISTINCT CASE WHEN server_id = 1 THEN lower(table_name) WHEN server_id = 2 THEN initcap_(table_name) ELSE table_name END AS key FROM fleet_columns WHERE server_id < 3) k LEFT JOIN (SELECT DISTINCT table_name FROM fleet_columns WHERE server_id = 0) r ON lower(r.table_name) = lower(k.key) GROUP BY k.key".replace("initcap_(table_name)", "concat(substr(table_name, 1, 1), lower(substr(table_name, 2)))"))
-
-# ---------------------------------------------------------------- repair statements
-
-_Q = lambda c: f"concat(chr(34), replace({c}, chr(34), concat(chr(34), chr(34))), chr(34))"
-_LIT = lambda c: f"concat(chr(39), replace({c}, chr(39), concat(chr(39), chr(39))), chr(39))"
-_WANTED = "concat(trim(r.data_type), CASE WHEN trim(coalesce(r.data_length, '')) <> '' THEN concat('(', trim(r.data_length), ')') ELSE '' END)"
-_DEFAULT = "CASE WHEN trim(coalesce(r.data_default, '')) <> '' THEN concat(' DEFAULT ', trim(r.data_default)) ELSE '' END"
-_T, _C = _Q("d.table_name"), _Q("d.column_name")
-_COMMENT = f"concat('COMMENT ON COLUMN ', {_T}, '.', {_C}, ' IS ', {_LIT('trim(coalesce(r.comments, {}))'.format(chr(39) * 2))})"
-VIEWS["classified"] = "SELECT *, CASE WHEN element = 'TABLE' THEN 'missing_table' WHEN element = 'COLUMN' THEN 'missing_column' ELSE lower(element) END AS kind FROM numbered"
-#: Guard of a statement for a server without IF NOT EXISTS: it runs where the condition holds.
-_GUARD = lambda condition, statement: f"concat('BEGIN', chr(10), '  FOR x IN (SELECT 1 FROM dual WHERE ', {condition}, ') LOOP', chr(10), '    EXECUTE IMMEDIATE ', {_LIT(statement)}, ';', chr(10), '  END LOOP;', chr(10), 'END;', chr(10), '/')"
-_HELD = f"concat('EXISTS (SELECT 1 FROM user_tab_columns WHERE table_name = UPPER(', {_LIT('upper(trim(d.table_name))')}, ') AND column_name = UPPER(', {_LIT('upper(trim(d.column_name))')}, '))')"
-_ORACLE = {
-    "missing_column": _GUARD(f"concat('NOT ', {_HELD})", f"concat('ALTER TABLE ', {_T}, ' ADD (', {_C}, ' ', {_WANTED}, {_DEFAULT}, ')')"),
-    "data_type": _GUARD(_HELD, f"concat('ALTER TABLE ', {_T}, ' MODIFY (', {_C}, ' ', {_WANTED}, ')')"),
-    "data_default": _GUARD(_HELD, f"concat('ALTER TABLE ', {_T}, ' MODIFY (', {_C}, ' DEFAULT ', coalesce(nullif(trim(r.data_default), ''), 'NULL'), ')')"),
-    "comments": _GUARD(_HELD, _COMMENT),
-}
-_POSTGRES = {
-    "missing_column": f"concat('ALTER TABLE ', {_T}, ' ADD COLUMN IF NOT EXISTS ', {_C}, ' ', {_WANTED}, {_DEFAULT}, ';', CASE WHEN trim(coalesce(r.comments, '')) <> '' THEN concat(chr(10), {_COMMENT}, ';') ELSE '' END)",
-    "data_type": f"concat('ALTER TABLE ', {_T}, ' ALTER COLUMN ', {_C}, ' TYPE ', {_WANTED}, ' USING ', {_C}, '::', {_WANTED}, ';')",
-    "data_default": f"concat('ALTER TABLE ', {_T}, ' ALTER COLUMN ', {_C}, CASE WHEN trim(coalesce(r.data_default, '')) <> '' THEN concat(' SET DEFAULT ', trim(r.data_default)) ELSE ' DROP DEFAULT' END, ';')",
-    "comments": f"concat({_COMMENT}, ';')",
-}
-_BY_KIND = " ".join(f"WHEN d.kind = '{k}' AND s.engine = '{e}' THEN {x}" for e, m in (("oracle", _ORACLE), ("postgres", _POSTGRES)) for k, x in m.items())
-_BY_KIND += " " + " ".join(f"WHEN d.kind = 'data_length' AND s.engine = '{e}' THEN {m['data_type']}" for e, m in (("oracle", _ORACLE), ("postgres", _POSTGRES)))
-_SKIP = "CASE WHEN d.kind = 'index_name' THEN 'index composition is not known' WHEN d.kind = 'column_name' THEN 'a rename is unsafe' WHEN d.kind = 'missing_table' AND f.table_name IS NULL THEN 'no reference metadata' WHEN d.kind <> 'missing_table' AND r.table_name IS NULL THEN 'no reference metadata' END"
-_COLUMN_DEFS = f"concat({_Q('c.column_name')}, ' ', trim(c.data_type), CASE WHEN trim(coalesce(c.data_length, '')) <> '' THEN concat('(', trim(c.data_length), ')') ELSE '' END, CASE WHEN trim(coalesce(c.data_default, '')) <> '' THEN concat(' DEFAULT ', trim(c.data_default)) ELSE '' END)"
-VIEWS["reference_tables"] = f"SELECT table_name, string_agg(def, ', ' ORDER BY column_name) AS defs FROM (SELECT c.table_name, c.column_name, {_COLUMN_DEFS} AS def FROM fleet_columns c WHERE c.server_id = 0) x GROUP BY table_name"
-fixtures.BUILDERS["reference_tables"] = lambda spark, sf_dir: query(spark, sf_dir, f"SELECT c.table_name, c.column_name, {_COLUMN_DEFS} AS def FROM fleet_columns c WHERE c.server_id = 0").groupBy("table_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column_name", "def"))), lambda x: x["def"]), ", ").alias("defs"))
-_CREATE = f"WHEN d.kind = 'missing_table' AND s.engine = 'postgres' THEN concat('CREATE TABLE IF NOT EXISTS ', {_T}, ' (', f.defs, ');') WHEN d.kind = 'missing_table' THEN {_GUARD('concat({}, {}, {})'.format(repr('NOT EXISTS (SELECT 1 FROM user_tables WHERE table_name = UPPER('), _LIT('upper(trim(d.table_name))'), repr('))')), f'concat({chr(39)}CREATE TABLE {chr(39)}, {_T}, {chr(39)} ({chr(39)}, f.defs, {chr(39)}){chr(39)})')}"
-VIEWS["fix_rows"] = f"SELECT d.id, d.server_id AS target, d.table_name, d.column_name, d.kind, CASE WHEN {_SKIP.replace('CASE WHEN', 'CASE WHEN', 1)} IS NOT NULL THEN NULL {_CREATE} {_BY_KIND} END AS statement, {_SKIP} AS skip_reason FROM classified d JOIN fleet_servers s ON s.server_id = d.server_id LEFT JOIN fleet_columns r ON r.server_id = 0 AND r.table_name = d.table_name AND r.column_name = d.column_name LEFT JOIN reference_tables f ON f.table_name = d.table_name"
-sql("gn1", "SELECT id, kind FROM classified")
-sql("gn2", "SELECT d.id, coalesce(s.server_id, d.server_id) AS target FROM (SELECT id, server_id, regexp_extract(details, 'found in server (.*) but not in reference server', 1) AS named FROM numbered) d LEFT JOIN fleet_servers s ON upper(s.server_name) = upper(d.named)")
-for _id, _kind in (("gn3", "missing_column"), ("gn4", "data_type"), ("gn5", "data_default"), ("gn6", "comments"), ("gn7", "missing_table")):
-    sql(_id, f"SELECT id, target, statement FROM fix_rows WHERE kind = '{_kind}'" + (" OR kind = 'data_length'" if _id == "gn4" else ""))
-sql("gn8", "SELECT id, target, skip_reason FROM fix_rows WHERE skip_reason IS NOT NULL")
-_SCRIPT = "SELECT target, {} AS script, count(DISTINCT statement) AS n_statements, count(*) FILTER (WHERE skip_reason IS NOT NULL) AS n_skipped FROM fix_rows GROUP BY target"
-_BLOCK = "concat('-- discrepancy #', id, chr(10), '-- table: ', table_name, chr(10), '-- column: ', CASE WHEN column_name = '' THEN '(table-level)' ELSE column_name END, chr(10), statement)"
-sql("gn9", _SCRIPT.format(f"sha256(string_agg(CASE WHEN statement IS NOT NULL THEN {_BLOCK} END, concat(chr(10), chr(10)) ORDER BY id))"), _SCRIPT.format(f"sha2(array_join(transform(array_sort(collect_list(CASE WHEN statement IS NOT NULL THEN struct(id, {_BLOCK} AS block) END)), x -> x.block), concat(chr(10), chr(10))), 256)"))
-sql("ag8", "SELECT target, sum(CASE WHEN statement IS NOT NULL THEN 1 ELSE 0 END) AS generated, sum(CASE WHEN skip_reason IS NOT NULL THEN 1 ELSE 0 END) AS skipped FROM fix_rows GROUP BY target")
-sql("wn5", "SELECT id, target, kind FROM (SELECT *, row_number() OVER (PARTITION BY target, table_name, column_name, kind, statement ORDER BY id) AS rn FROM (SELECT * FROM fix_rows UNION ALL SELECT id + 1000000, target, table_name, column_name, kind, statement, skip_reason FROM fix_rows WHERE id % 7 = 0) u WHERE statement IS NOT NULL) x WHERE rn = 1")

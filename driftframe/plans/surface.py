@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.operators import audit, lob, sinks, text
+from driftframe import functions
+from driftframe.operators import audit, rules, sinks, text
 from driftframe.operators.shared import scratch
 from driftframe.plans import fleet  # noqa: F401  (views that this module reads)
-from driftframe.plans.registry import QUERIES, bound, sql
+from driftframe.plans.registry import ORACLE_SQL, ORACLE_TEXT, QUERIES, bound, sql
 from driftframe.sources import fanout, fixtures
 from driftframe.sources.fixtures import VIEWS, query, view
 from driftframe.streaming import audit_stream
@@ -24,35 +25,34 @@ sql("sc13", "SELECT array_to_string((list(DISTINCT said ORDER BY said))[1:3], '
 
 
 def _fleet(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts, a fifth on each of five servers, and a sixth server that can't be read."""
     part = lambda k: lambda: spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_partkey") % 5 == k)
-    readers = {(k, n): part(k) for k, n in enumerate(("alpha", "Bravo", "charlie", "delta"))}
-    readers[(4, "Echo")] = lambda: spark.read.parquet(f"{sf_dir}/no_such_table.parquet")
-    return fanout.fan_out(spark, readers, lambda df: df.where("p_size > 10").select("p_partkey", "p_name", "p_size"))
+    readers = {(k, n): part(k) for k, n in enumerate(("alpha", "Bravo", "charlie", "delta", "Echo"))}
+    readers[(5, "Foxtrot")] = lambda: spark.read.parquet(f"{sf_dir}/no_such_table.parquet")
+    return fanout.fan_out(spark, readers, lambda df: df.select("p_partkey", "p_name", "p_size"))
 
 
 QUERIES["sc11"] = lambda spark, sf_dir: _fleet(spark, sf_dir)[0]
 QUERIES["sc12"] = lambda spark, sf_dir: _fleet(spark, sf_dir)[0].groupBy("server_name").agg(F.count("*").alias("n")).withColumn("error", F.lit(None).cast("string")).unionByName(_fleet(spark, sf_dir)[1].select("server_name", F.lit(0).cast("long").alias("n"), "error"))
+_NAMES_OF = "list_extract(['alpha', 'Bravo', 'charlie', 'delta', 'Echo'], CAST(p_partkey % 5 + 1 AS INT))"
+ORACLE_SQL["sc11"] = f"SELECT CAST(p_partkey % 5 AS INT) AS server_id, {_NAMES_OF} AS server_name, p_partkey, p_name, p_size FROM part"
+ORACLE_SQL["sc12"] = f"SELECT {_NAMES_OF} AS server_name, count(*) AS n, NULL AS error FROM part GROUP BY 1 UNION ALL SELECT 'Foxtrot', 0, 'AnalysisException'"
+ORACLE_SQL["sk1"] = f"SELECT {_NAMES_OF} AS \"Server\", p_partkey, p_name, p_size FROM part"
+ORACLE_SQL["sk2"] = f"SELECT CAST(p_partkey % 5 AS INT) AS server_id, {_NAMES_OF} AS server_name, p_partkey, p_name, p_size, {_NAMES_OF} AS sheet_name FROM part"
+ORACLE_SQL["sk3"] = f"SELECT {_NAMES_OF} AS \"Server\", p_partkey, p_name, TRY_CAST(p_name AS DOUBLE) AS p_name_number, p_size FROM part"
 fixtures.BUILDERS["fleet_result"] = QUERIES["sc11"]
 for _id, _write in (("sk1", sinks.write_csv), ("sk2", sinks.write_per_server), ("sk3", sinks.write_combined)):
     QUERIES[_id] = lambda spark, sf_dir, w=_write: w(_fleet(spark, sf_dir)[0], scratch(spark))
+ORACLE_SQL["sk5"] = """
+SELECT 0 AS seq, '{"columns":["c_custkey","c_name","c_nationkey","c_acctbal","c_mktsegment"]}' AS line
+UNION ALL SELECT seq, line FROM (SELECT seq, line, sum(octet_length(encode(line)) + 1) OVER (ORDER BY seq) AS bytes FROM (
+ SELECT row_number() OVER (ORDER BY c_custkey) AS seq, concat('["', c_custkey, '","', c_name, '","', c_nationkey, '","', c_acctbal, '","', c_mktsegment, '"]') AS line FROM customer) l) b WHERE bytes <= 20000"""
 QUERIES["sk5"] = lambda spark, sf_dir: sinks.json_lines(view(spark, sf_dir, "customer"), "c_custkey", 20_000)
-QUERIES["sk6"] = lambda spark, sf_dir: view(spark, sf_dir, "discrepancies").select(F.to_json(F.struct("*")).alias("line"))
-fixtures.BUILDERS["cells"] = lambda spark, sf_dir: sinks.cells(spark, view(spark, sf_dir, "documents"), view(spark, sf_dir, "pages"))
-_SQL_MIME = "CASE WHEN kind <> '' THEN kind WHEN lower(ltrim(substr(t, 1, 512))) LIKE '<svg%' THEN 'svg' WHEN lower(ltrim(substr(t, 1, 512))) LIKE '<!doctype html%' OR lower(ltrim(substr(t, 1, 512))) LIKE '<html%' THEN 'html' WHEN lower(ltrim(substr(t, 1, 512))) LIKE '<?xml%' THEN 'xml' WHEN regexp_matches(ltrim(substr(t, 1, 512)), '^[\\[{]') THEN 'json' ELSE 'txt' END"
-VIEWS["cells"] = f"SELECT row_id, column_name, {_SQL_MIME} AS mime, n_bytes, digest, shown FROM (SELECT doc_id AS row_id, 'TEXT' AS column_name, '' AS kind, text AS t, CAST(octet_length(encode(text)) AS INT) AS n_bytes, sha256(text) AS digest, text AS shown FROM documents UNION ALL SELECT page_id, 'CLOB', '', html, CAST(octet_length(encode(html)) AS INT), sha256(html), html FROM pages UNION ALL SELECT * FROM (VALUES (1, 'BLOB', 'pdf', NULL, 5, 'd4bf6a0e2b62c8fd4b5f5bf5ba2dcd9fcb37fe0c8a7cb51c7bb1e6b1d3c1ab06', '')) v WHERE false) c"
-bound("sk8", lambda c: lob.lob_objects(c.where("column_name <> 'BLOB'")), "cells", "SELECT concat('cells-', column_name, '-row', row_id) AS label, mime AS ext, n_bytes, digest AS sha256, substr(shown, 1, 200) AS preview FROM cells")
-bound("lb1", lambda c: c.where("column_name <> 'BLOB'").groupBy("column_name", lob.sniff().alias("mime")).agg(F.count("*").alias("n")), "cells", "SELECT column_name, mime, count(*) AS n FROM cells GROUP BY column_name, mime")
 sql("lb2", "SELECT data_type, CASE WHEN upper(data_type) IN ('CLOB', 'NCLOB', 'LONG') THEN 'text_lob' WHEN upper(data_type) IN ('BLOB', 'BFILE', 'LONG RAW') THEN 'binary_lob' WHEN upper(data_type) = 'RAW' THEN 'raw' ELSE 'text' END AS kind, count(*) AS n FROM fleet_columns GROUP BY data_type")
-sql("lb3", "SELECT c_custkey, CASE WHEN octet_length(encode(c_name)) > 8 THEN concat(substr(hex(encode(c_name)), 1, 16), '… (', octet_length(encode(c_name)), ' bytes)') ELSE hex(encode(c_name)) END AS shown FROM customer", "SELECT c_custkey, CASE WHEN octet_length(c_name) > 8 THEN concat(substr(hex(c_name), 1, 16), '… (', octet_length(c_name), ' bytes)') ELSE hex(c_name) END AS shown FROM customer")
 sql("lb4", "SELECT c_custkey, decode(unhex(substr(concat('\\x', hex(encode(c_name))), 3))) AS back FROM customer", "SELECT c_custkey, decode(unhex(substr(concat('_x', hex(c_name)), 3)), 'UTF-8') AS back FROM customer")
-QUERIES["lb5"] = lambda spark, sf_dir: lob.capture(view(spark, sf_dir, "cells").where("column_name <> 'BLOB'").withColumn("call_id", F.col("row_id") % 7), each=20_000, total=120_000)
-QUERIES["ud2"] = QUERIES["lb5"]
-bound("lb6", lambda c: lob.profile(c.where("column_name <> 'BLOB'")), "cells", "SELECT column_name, mime, count(*) AS n, sum(n_bytes) AS n_bytes, max(n_bytes) AS longest, count(*) FILTER (WHERE n_bytes > 4000) AS n_over FROM cells GROUP BY column_name, mime")
 
 # ---------------------------------------------------------------- windows, order, paging
 
-sql("wn2", "SELECT id, sql_text FROM (SELECT id, sql_text, lag(sql_text) OVER (PARTITION BY CAST(created_at AS DATE) ORDER BY id) AS prev FROM query_log) q WHERE prev IS NULL OR prev <> sql_text")
-sql("wn3", "SELECT c_custkey, running_bytes, running_bytes <= 20000 AS kept FROM (SELECT c_custkey, CAST(sum(length(CAST(c_custkey AS VARCHAR(20))) + 2 + length(c_name) + 2) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_bytes FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 10001) c) r WHERE running_bytes <= 20000")
 sql("wn4", "SELECT server_id, table_id, column_name, index_name FROM (SELECT *, row_number() OVER (PARTITION BY server_id, table_id, column_name ORDER BY index_name DESC) AS rn FROM fleet_index_columns) i WHERE rn = 1")
 sql("wn9", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd, ntile(4) OVER w AS nt, lag(o_orderkey) OVER w AS lg, lead(o_orderkey) OVER w AS ld, first_value(o_orderkey) OVER w AS fv, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lv, nth_value(o_orderkey, 2) OVER w AS nv FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 sql("sf3", "SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER w, 4) AS running, round(avg(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS near, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
@@ -110,6 +110,9 @@ def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["sr1"], QUERIES["sr2"] = _streamed, _screened
+ORACLE_SQL["sr1"] = ORACLE_SQL["tx25"]
+_TOOL_LIST = ", ".join(f"'{t}'" for t, _, _ in rules.TOOLS)
+ORACLE_SQL["sr2"] = fixtures.oracle(f"SELECT e.id, e.connection_id, e.tool, coalesce(m.allowed, false) AS allowed, CASE WHEN m.tool IS NULL THEN 'no_policy' ELSE m.reason_code END AS reason_code FROM (SELECT event_id + 1 AS id, CAST(user_id % 100 AS INT) AS connection_id, list_extract([{_TOOL_LIST}], CAST(event_id % {len(rules.TOOLS)} + 1 AS INT)) AS tool FROM events) e LEFT JOIN ({ORACLE_TEXT['fl9']}) m ON m.connection_id = e.connection_id AND m.tool = e.tool")
 
 # ---------------------------------------------------------------- texts
 
@@ -118,21 +121,14 @@ VIEWS["text_lines"] = "SELECT doc_id, generate_subscripts(string_split(text, chr
 fixtures.BUILDERS["text_lines"] = lambda spark, sf_dir: text.text_lines(view(spark, sf_dir, "documents"))
 VIEWS["messy"] = "SELECT doc_id, text, concat(replace(text, chr(10), concat(' ', chr(13), chr(10))), ';') AS file_text FROM documents"
 bound("tx1", lambda m: m.select("doc_id", F.sha2(text.normalize("file_text"), 256).alias("sha"), (text.normalize("file_text") == text.normalize("text")).alias("same")), "messy", f"SELECT doc_id, sha256({_NORM.format('file_text')}) AS sha, {_NORM.format('file_text')} = {_NORM.format('text')} AS same FROM messy")
-QUERIES["tx2"] = lambda spark, sf_dir: view(spark, sf_dir, "objects").select("server_id", F.format_string('create or replace  editionable Procedure "app"."%s" as begin null; end;', "name").alias("ddl")).withColumn("canonical", text.canonical_header("ddl", "app"))
 sql("tx3", "SELECT server_id, table_name, column_name, nullif(nullif(trim(replace(replace(comments, chr(10), ''), chr(13), '')), ''), 'null') AS cleaned FROM fleet_columns")
 sql("tx4", "SELECT DISTINCT concat(chr(39), replace(reason, chr(39), concat(chr(39), chr(39))), chr(39)) AS literal, concat(chr(34), replace(reason, chr(34), concat(chr(34), chr(34))), chr(34)) AS identifier, upper(trim(tool)) AS tool_key FROM audit_log")
 sql("tx6", "SELECT DISTINCT c.server_id, c.table_name, CASE WHEN s.engine = 'oracle' THEN upper(lower(c.table_name)) ELSE lower(c.table_name) END AS folded FROM fleet_columns c JOIN fleet_servers s ON s.server_id = c.server_id")
 _KIND = "CASE WHEN word IN ('select', 'with') THEN 'select' WHEN word IN ('insert', 'update', 'delete', 'merge') THEN 'dml' WHEN word IN ('create', 'alter', 'drop', 'truncate') THEN 'ddl' ELSE 'other' END"
 sql("tx7", f"SELECT id, {_KIND} AS kind FROM (SELECT id, lower(regexp_extract(regexp_replace(sql_text, '--[^\\n]*|/\\*.*?\\*/', '', 'g'), '^\\s*([A-Za-z]+)', 1)) AS word FROM query_log) q", f"SELECT id, {_KIND} AS kind FROM (SELECT id, lower(regexp_extract(regexp_replace(sql_text, '--[^\\\\n]*|/\\\\*.*?\\\\*/', ''), '^\\\\s*([A-Za-z]+)', 1)) AS word FROM query_log) q")
-sql("tx8", "SELECT doc_id, CASE WHEN length(text) > 500 THEN concat(substr(text, 1, 500), '…') ELSE text END AS shown, octet_length(encode(text)) > 16000 AS over FROM documents", "SELECT doc_id, CASE WHEN length(text) > 500 THEN concat(substr(text, 1, 500), '…') ELSE text END AS shown, octet_length(text) > 16000 AS over FROM documents")
 sql("tx9", "SELECT doc_id, sha256(text) AS sha FROM documents", "SELECT doc_id, sha2(text, 256) AS sha FROM documents")
-VIEWS["script_lines"] = "SELECT id AS doc_id, generate_subscripts(string_split(statement, chr(10)), 1) AS line_no, unnest(string_split(statement, chr(10))) AS line FROM fix_rows WHERE statement IS NOT NULL AND kind = 'missing_column' AND id % 5 = 0"
-bound("tx14", text.outline, "script_lines", "SELECT doc_id, line_no, upper(regexp_extract(line, '(?i)^\\s*(create(?:\\s+or\\s+replace)?\\s+\\w+|alter\\s+\\w+|procedure|function)\\s+\"?([\\w.$#\"]+)', 1)) AS kind, regexp_extract(line, '(?i)^\\s*(create(?:\\s+or\\s+replace)?\\s+\\w+|alter\\s+\\w+|procedure|function)\\s+\"?([\\w.$#\"]+)', 2) AS name FROM script_lines WHERE regexp_matches(line, '(?i)^\\s*(create(?:\\s+or\\s+replace)?\\s+\\w+|alter\\s+\\w+|procedure|function)\\s+\"?([\\w.$#\"]+)')")
-fixtures.BUILDERS["script_lines"] = lambda spark, sf_dir: text.text_lines(view(spark, sf_dir, "fix_rows").where("statement IS NOT NULL AND kind = 'missing_column' AND id % 5 = 0").select(F.col("id").alias("doc_id"), F.col("statement").alias("text")))
-sql("tx15", "SELECT doc_id, string_agg(substr(line, 1, 100), chr(10) ORDER BY line_no) AS preview FROM text_lines WHERE line_no <= 5 GROUP BY doc_id", "SELECT doc_id, array_join(transform(array_sort(collect_list(struct(line_no, substr(line, 1, 100) AS v))), x -> x.v), chr(10)) AS preview FROM text_lines WHERE line_no <= 5 GROUP BY doc_id")
 bound("tx16", lambda t: t.where(text.matches(r"(token|secret)\s*=", regex=True)), "text_lines", "SELECT doc_id, line_no, line FROM text_lines WHERE regexp_matches(line, '(?i)(token|secret)\\s*=')")
 sql("tx17", "SELECT doc_id, line_no, line, n > 6 AS more FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM text_lines) t WHERE line_no BETWEEN 3 AND 6")
-sql("tx18", "SELECT DISTINCT server_id, table_name, concat(concat_ws('_', CASE WHEN server_id = 3 THEN NULL ELSE '20240131' END, concat('S', server_id), table_name), '.sql') AS file_name, upper(table_name) IN ('CON', 'NUL', 'PRN', 'AUX') AS reserved FROM fleet_columns")
 sql("tx19", "SELECT doc_id, sha256(replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10), concat(chr(13), chr(10)))) AS sha FROM documents", "SELECT doc_id, sha2(replace(regexp_replace(text, '\\\\r\\\\n?', chr(10)), chr(10), concat(chr(13), chr(10))), 256) AS sha FROM documents")
 bound("tx20", text.diff_counts, "ddl_pairs", "SELECT doc_id, CAST(sum(greatest(n, 0)) AS BIGINT) AS added, CAST(sum(greatest(-n, 0)) AS BIGINT) AS removed FROM (SELECT doc_id, line, sum(n) AS n FROM (SELECT doc_id, unnest(string_split(file_text, chr(10))) AS line, 1 AS n FROM ddl_pairs UNION ALL SELECT doc_id, unnest(string_split(server_text, chr(10))), -1 FROM ddl_pairs) l GROUP BY doc_id, line) m GROUP BY doc_id")
 bound("tx21", text.unified, "ddl_pairs")
@@ -140,11 +136,8 @@ bound("ud1", text.diff_operations, "ddl_pairs")
 VIEWS["changed_lines"] = "SELECT doc_id, line_no AS seq, CASE WHEN contains(lower(line), 'token') THEN '-' ELSE ' ' END AS op, line FROM text_lines"
 _SHOWN = "SELECT * FROM (SELECT *, bool_or(op <> ' ') OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM changed_lines) n WHERE near"
 bound("wn8", text.hunks, "changed_lines", f"SELECT doc_id, sum(gap) OVER (PARTITION BY doc_id ORDER BY seq) AS hunk, seq, op, line FROM (SELECT *, CASE WHEN seq - coalesce(lag(seq) OVER (PARTITION BY doc_id ORDER BY seq), -1) > 1 THEN 1 ELSE 0 END AS gap FROM ({_SHOWN}) s) g")
-sql("tx22", "SELECT id, regexp_matches(lower(sql_text), 'create|select') AS has_spec, regexp_matches(lower(sql_text), 'from') AS has_body, concat(sql_text, chr(10), '/', chr(10), sql_text) AS combined FROM query_log", "SELECT id, lower(sql_text) RLIKE 'create|select' AS has_spec, lower(sql_text) RLIKE 'from' AS has_body, concat(sql_text, chr(10), '/', chr(10), sql_text) AS combined FROM query_log")
 bound("tx23", lambda log: log.select("id", audit.csv_field(F.col("reason")).alias("field")), "audit_log", "SELECT id, CASE WHEN reason = '' THEN '' ELSE concat(chr(34), chr(39), replace(reason, chr(34), concat(chr(34), chr(34))), chr(34)) END AS field FROM audit_log")
 sql("tx24", "SELECT doc_id, concat_ws(chr(9), doc_id, lang, regexp_replace(text, '[\\t\\r\\n]+', ' ', 'g')) AS row_text FROM documents", "SELECT doc_id, concat_ws(chr(9), doc_id, lang, regexp_replace(text, '[\\\\t\\\\r\\\\n]+', ' ')) AS row_text FROM documents")
-sql("tx26", "SELECT doc_id, file_text IS NOT NULL AS overwrites, length(server_text) AS size, sha256(server_text) AS sha, length(server_text) - length(replace(server_text, chr(10), '')) + 1 AS n_lines, server_text = file_text AS identical FROM ddl_pairs", "SELECT doc_id, file_text IS NOT NULL AS overwrites, length(server_text) AS size, sha2(server_text, 256) AS sha, length(server_text) - length(replace(server_text, chr(10), '')) + 1 AS n_lines, server_text = file_text AS identical FROM ddl_pairs")
-QUERIES["sk9"] = lambda spark, sf_dir: sinks.plan_files(view(spark, sf_dir, "table_ddls"), view(spark, sf_dir, "fleet_servers"))
 _HITS = "SELECT *, contains(lower(line), 'token') AS hit FROM text_lines"
 _GREP = f"SELECT doc_id, line_no, hit, line, sum(gap) OVER (PARTITION BY doc_id ORDER BY line_no) AS grp FROM (SELECT *, CASE WHEN line_no - coalesce(lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no), -1) > 1 THEN 1 ELSE 0 END AS gap FROM (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM ({_HITS}) h) n WHERE near) g"
 bound("wn7", lambda t: text.grep_context(t, "token", 1), "text_lines", _GREP)
@@ -153,7 +146,6 @@ bound("wn7", lambda t: text.grep_context(t, "token", 1), "text_lines", _GREP)
 
 _SPEC = {"columns": ["o_orderkey", "o_custkey", "o_orderstatus"], "filters": [("o_orderstatus", "in", ["O", "P"]), ("o_totalprice", "ge", 1000), ("o_orderpriority", "like", "%HIGH%"), ("o_custkey", "is_not_null", None)], "order_by": [("o_orderkey", "asc")], "limit": 200}
 bound("fl12", lambda o: sinks.table_query(o, **_SPEC), "orders", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_totalprice >= 1000 AND o_orderpriority LIKE '%HIGH%' AND o_custkey IS NOT NULL ORDER BY o_orderkey LIMIT 201")
-QUERIES["fl13"] = lambda spark, sf_dir: view(spark, sf_dir, "fleet_columns").select("table_name", "column_name").distinct().select("table_name", "column_name", F.when(~F.col("table_name").rlike("^[A-Za-z_][A-Za-z0-9_$#]{0,127}$"), "bad identifier").alias("violation"))
 
 # ---------------------------------------------------------------- SQL functions
 
@@ -178,4 +170,20 @@ sql("sf19", "SELECT event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%
 sql("sf20", "SELECT n_nationkey, len(string_split(n_name, 'A')) AS n, array_to_string(string_split(n_name, 'A'), '|') AS j, coalesce(list_position(string_split(n_name, 'A'), 'N'), 0) AS p, len(list_append(string_split(n_name, 'A'), 'x')) AS ap FROM nation", "SELECT n_nationkey, size(split(n_name, 'A')) AS n, array_join(split(n_name, 'A'), '|') AS j, array_position(split(n_name, 'A'), 'N') AS p, size(array_append(split(n_name, 'A'), 'x')) AS ap FROM nation")
 sql("sf21", "SELECT r_regionkey, json_array_length('[1,2,3]') AS n, concat('{\"k\":', r_regionkey, ',\"n\":\"', r_name, '\"}') AS obj FROM region", "SELECT r_regionkey, json_array_length('[1,2,3]') AS n, to_json(named_struct('k', r_regionkey, 'n', r_name)) AS obj FROM region")
 sql("sf22", "WITH big(k, n) AS (SELECT o_custkey, count(*) FILTER (WHERE o_totalprice > 1000) FROM orders GROUP BY o_custkey) SELECT c_custkey, CASE WHEN n BETWEEN 1 AND 5 THEN 'few' WHEN n > 5 THEN 'many' ELSE 'none' END AS size, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS has_f FROM customer LEFT JOIN big ON k = c_custkey ORDER BY c_custkey LIMIT 500 OFFSET 10")
-sql("ud3", "SELECT o_orderkey, trunc(o_totalprice / 100) AS hundreds FROM orders", "SELECT o_orderkey, sign(o_totalprice) * floor(abs(o_totalprice / 100)) AS hundreds FROM orders")
+
+
+def _inlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    functions.register(spark)
+    return view(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "trunc_number(o_totalprice / 100, 0) AS hundreds", "trunc_number(-o_totalprice, 1) AS tenths", "nanvl_number(IF(o_orderkey % 3 = 0, double('NaN'), 1.0D), 0.0D) AS filled",
+        "remainder_number(o_orderkey, 7) AS rest", "instr_from(o_orderpriority, 'I', 2, 1) AS place", "to_number_text(concat(' $', o_custkey, ',000 ')) AS number", "to_date_text(date_format(o_orderdate, 'dd-MM-yyyy'), 'DD-MM-YYYY') AS day",
+    )
+
+
+QUERIES["ud3"] = _inlined
+ORACLE_SQL["ud3"] = """
+SELECT o_orderkey, trunc(o_totalprice / 100) AS hundreds, -floor(o_totalprice * 10 + 1e-9) / 10 AS tenths, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE 1.0 END AS filled, CAST(CASE WHEN o_orderkey % 7 > 3 THEN o_orderkey % 7 - 7 ELSE o_orderkey % 7 END AS DOUBLE) AS rest,
+ CASE WHEN contains(substr(o_orderpriority, 2), 'I') THEN position('I' IN substr(o_orderpriority, 2)) + 1 ELSE 0 END AS place, CAST(o_custkey * 1000 AS DOUBLE) AS number, CAST(o_orderdate AS DATE) AS day FROM orders"""
+VIEWS["headers"] = """
+SELECT server_id, name, CASE server_id WHEN 0 THEN concat('create or replace  editionable Procedure "app"."', name, '" as begin null; end;') WHEN 1 THEN concat('  CREATE package   body App . ', name, ' as x') WHEN 2 THEN concat('create noneditionable type body ', name, ' as y') ELSE concat('select create view ', name) END AS ddl FROM objects"""
+bound("tx2", lambda h: h.withColumn("canonical", text.canonical_header("ddl", "app")), "headers", "SELECT *, CASE server_id WHEN 0 THEN concat('CREATE OR REPLACE PROCEDURE ', name, ' as begin null; end;') WHEN 1 THEN concat('CREATE OR REPLACE PACKAGE BODY ', name, ' as x') WHEN 2 THEN concat('CREATE OR REPLACE TYPE BODY ', name, ' as y') ELSE ddl END AS canonical FROM headers")

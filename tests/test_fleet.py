@@ -8,8 +8,8 @@ import time
 
 import duckdb
 import pytest
-from driftframe.operators import audit, drift, lob, rules, sinks, text
-from driftframe.plans import registry, surface  # noqa: F401
+from driftframe.operators import audit, drift, lob, repair, rules, sinks, sql_log, text
+from driftframe.plans import content, fleet, registry, surface  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -73,6 +73,72 @@ def test_applied_fixes_leave_no_difference(spark, servers):
     assert len(before) == 2 and compared(spark, servers, fixed) == []
 
 
+def test_a_server_without_rows_lacks_all_tables(spark, servers):
+    more = servers.union(spark.createDataFrame([(2, "Empty", "oracle")], servers.schema))
+    rows = [(0, "T", "A", ("X",)), (0, "S", "A", ("X",)), (1, "T", "A", ("X",)), (1, "S", "A", ("X",))]
+    got = sorted((r.server_name, r.element, r.table_name) for r in drift.compare(catalog(spark, rows), more, 0).collect())
+    assert got == [("Empty", "TABLE", "S"), ("Empty", "TABLE", "T")]
+    assert sorted(map(tuple, drift.missing_tables(catalog(spark, rows), more, 0).collect())) == [(2, "S", "absent"), (2, "T", "absent")]
+    for call in (drift.compare, drift.missing_tables):
+        with pytest.raises(ValueError, match="reference server 9"):
+            call(catalog(spark, rows), more, 9)
+
+
+def test_a_column_of_another_name(spark, servers):
+    rows = catalog(spark, [(0, "T", "Ab", ("X",)), (1, "T", "aB", ("X",)), (0, "T", "C", ("X",)), (1, "T", "D", ("X",))]).withColumn("place", F.when(F.col("column_name").isin("Ab", "aB"), "1").otherwise("2"))
+    got = [(r.element, r.column_name, r.details) for r in drift.compare(rows, servers, 0, key="place").collect()]
+    assert got == [("COLUMN_NAME", "2", "COLUMN_NAME: C != D")]
+
+
+def test_repairs_look_before_they_alter(spark, servers):
+    """An Oracle column is added where the table is and the column isn't, with its comment; what can't be repaired says why."""
+    rows = [(0, "T", "A", ("NUMBER", "5", None, "it's", "I1")), (0, "T", "B", ("DATE",)), (0, "U", "A", ("DATE",)), (1, "T", "B", ("DATE", None, None, None, "I2")), (1, "X", "A", ("DATE",))]
+    fleet = catalog(spark, rows)
+    fixes = repair.fix_rows(drift.numbered(drift.compare(fleet, servers, 0)), fleet, servers, spark.createDataFrame([], "table_name string, ddl string"), 0)
+    got = {(r.table_name, r.kind): r for r in fixes.collect()}
+    added = got["T", "missing_column"].statement
+    assert added.index("FROM user_tables WHERE table_name = 'T') AND NOT EXISTS (SELECT 1 FROM user_tab_columns WHERE table_name = 'T' AND column_name = 'A')") < added.index("ALTER TABLE")
+    assert added.count("EXECUTE IMMEDIATE") == 2 and "COMMENT ON COLUMN" in added
+    assert got["T", "index_name"].skip_reason == "index composition is not known" and got["X", "missing_table"].skip_reason == "no reference metadata"
+    assert got["U", "missing_table"].statement.startswith("-- the definition is not known")
+    blocks = repair.script_blocks(fixes, servers, 0).orderBy("target", "part", "id").collect()
+    assert [b.part for b in blocks] == [0, 1, 1, 2, 2]
+
+
+def test_scripts_are_written_in_order(spark, servers, tmp_path):
+    blocks = spark.createDataFrame([(t, p, i, f"{t}-{p}-{i:03d}") for t in (1, 2) for p in (0, 1) for i in range(50)], "target int, part int, id long, block string").repartition(5)
+    repair.write_scripts(blocks, str(tmp_path / "scripts"))
+    for t in (1, 2):
+        names = sorted((tmp_path / "scripts" / f"target={t}").glob("part-*"))
+        lines = [x for n in names for x in n.read_text().split()]
+        assert lines == sorted(lines) and len(lines) == 100
+
+
+def test_sql_screening(spark):
+    texts = ["select created_at, count (*) from t", "with x as (select 1) select * from x;", "select 'a;b -- drop' /* ; */ from t -- end", "select f(1) from t", 'select "DBMS_LOB"(a) from t', "delete from t", "select 1; select 2", "select utl_x.y from dual", "select a into b from t", "select upper(a) filter (where b)"]
+    log = spark.createDataFrame(list(enumerate(texts)), "id int, sql_text string")
+    got = {i: set() for i in range(len(texts))}
+    for r in sql_log.screen_sql(log, "oracle").collect():
+        got[r.id].add((r.violation, r.token))
+    assert not got[0] and not got[1] and not got[2] and not got[9]
+    assert got[3] == {("function not allowed", "F")} and got[4] == {("blocked function", "DBMS_LOB")} and got[5] == {("start", "DELETE"), ("forbidden word", "DELETE")}
+    assert got[6] == {("several statements", ";")} and got[7] == {("blocked function", "UTL_X")} and got[8] == {("forbidden word", "INTO")}
+
+
+@pytest.mark.parametrize("bad", ["", "a b", "{x}", "{date", "x" * 121])
+def test_file_name_templates_are_checked(spark, bad):
+    with pytest.raises((ValueError, KeyError)):
+        text.file_name(bad, {"date": F.lit("d")})
+
+
+def test_file_names(spark):
+    values = {"date": F.lit(""), "schema": F.lit("APP"), "description": F.lit(" "), "ext": F.lit(".sql"), "type": F.lit("Package Body"), "version": F.lit(3)}
+    row = spark.range(1).select(text.file_name("{date}_{schema}${description}{ext}", values).alias("a"), text.file_name("V{version}__{schema}_{description}{ext}", values).alias("b"), text.file_name("{type}.{ext}", values).alias("c"))
+    assert tuple(row.first()) == ("app.sql", "V3__app.sql", "package_body.sql")
+    bad = spark.createDataFrame([(x,) for x in ("ok.sql", "", "a/b", "a..b", ".a", " a", "con.sql", "LPT9", "LPT0")], "n string")
+    assert [r[0] for r in bad.select(text.bad_file_name(F.col("n"))).collect()] == [None, "empty", "bad character", "dots", "dots", "space at an end", "reserved", "reserved", None]
+
+
 def test_name_rules_do_not_escape_the_underscore(spark):
     names = spark.createDataFrame([("V_A",), ("VXA",), ("A",), ("x_test",), ("KEEP",)], "table_name string")
     r = spark.createDataFrame([("exclude", "prefix", "V_", True), ("exclude", "suffix", "_TEST", True), ("include", "exact", "A", False)], "action string, match_type string, pattern string, enabled boolean")
@@ -172,10 +238,10 @@ def test_grep_groups(spark):
 
 
 def test_sniff_and_display(spark):
-    rows = [(bytes.fromhex(m) + b"..", k) for m, k in lob.MAGIC] + [(b"RIFF1234WEBPxx", "webp"), (b"  <svg>", "svg"), (b"<!DOCTYPE html>", "html"), (b"<?xml", "xml"), (b'{"a":1}', "json"), ("é".encode() * 400, "txt"), (b"\x00\xff", "bin"), (None, "bin")]
+    rows = [(bytes.fromhex(m) + b"\x00..", k) for m, k in lob.MAGIC] + [(b"PK\x03\x04" + b"\x00" * 90 + p.encode(), k) for p, k in lob.OFFICE] + [(b"PK\x03\x04", "zip"), (b"BM is text", "txt"), (b"{\\rtf1", "rtf"), (b"[1] no", "txt"), (b"<a/>", "xml"), (b'<?xml version="1.0"?>\n<svg/>', "svg"), (b"a\x00", "bin"), (b"RIFF1234WEBPxx", "webp"), (b"  <svg>", "svg"), (b"<!DOCTYPE html>", "html"), (b"<?xml", "xml"), (b'{"a":1}', "json"), ("é".encode() * 400, "txt"), (b"\x00\xff", "bin"), (None, "bin")]
     df = spark.createDataFrame([(None if b is None else bytearray(b), k) for b, k in rows], "bytes binary, k string")
     assert all(r[0] == r[1] for r in df.select(lob.sniff(), "k").collect())
-    assert [r[0] for r in df.where("k = 'bin' and bytes is not null").select(lob.display()).collect()] == ["00FF"]
+    assert [r[0] for r in df.where("k = 'bin' and bytes is not null").select(lob.display()).collect()] == ["6100", "00FF"]
 
 
 def test_capture_lets_a_later_smaller_cell_in(spark):
