@@ -49,7 +49,8 @@ POSTGRES_FUNCTIONS = (
 #: Words that stand before a bracket without being a call.
 SYNTAX_WORDS = "IN AND OR NOT EXISTS ON WHERE SELECT FROM AS WHEN THEN ELSE CASE VALUES UNION INTERSECT EXCEPT MINUS ALL ANY SOME DISTINCT USING BETWEEN IS JOIN WITH HAVING GROUP ARRAY ROW OVER FILTER BY LIMIT OFFSET WITHIN LATERAL PARTITION ORDER".split()
 
-_STRINGS = r"'[^']*(?:''[^']*)*'"
+#: Strings and comments, which are cut, or quoted names, which stay: whichever begins first.
+_CUT = r"""'[^']*(?:''[^']*)*'|("[^"]*")|--[^\n]*|/\*(?s:.*?)\*/"""
 _COMMENTS = r"--[^\n]*|/\*(?s:.*?)\*/"
 
 
@@ -64,7 +65,7 @@ def screen_sql(log: DataFrame, engine: str = "postgres", allowed: list[str] | No
     not on the list of ``allowed`` ones. Quoted names are functions too, but no keywords; names of WITH clauses with columns are no calls.
     """
     known = allowed_functions(engine) if allowed is None else allowed
-    bare = F.regexp_replace(F.regexp_replace("sql_text", _COMMENTS, " "), _STRINGS, "''")
+    bare = F.regexp_replace("sql_text", _CUT, "$1 ")
     body = F.regexp_replace(F.trim(bare), r"\s*;\s*$", "")
     log = log.select("id", "sql_text", body.alias("body")).withColumn("plain", F.regexp_replace("body", r'"[^"]*"', '""'))
     words = F.array_distinct(F.transform(F.regexp_extract_all("plain", F.lit(r"([A-Za-z_][A-Za-z0-9_$#]*)"), 1), F.upper))
