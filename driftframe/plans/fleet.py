@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.operators import catalog, drift, repair, rules, sql_log
+from driftframe.operators import catalog, drift, repair, rules, sql_log, summary
 from driftframe.plans.registry import ORACLE_TEXT, attribute_rows, bound, sql  # noqa: F401
 from driftframe.sources import fixtures
 from driftframe.sources.fixtures import VIEWS, view
@@ -346,5 +346,5 @@ SELECT DISTINCT target, 0 AS part, 0 AS id, concat('-- reference: alpha', chr(10
 UNION ALL SELECT target, 1, min(id), concat('-- discrepancy #', min(id), chr(10), '-- table: ', table_name, chr(10), '-- column: ', CASE WHEN column_name = '' THEN '(table-level)' ELSE column_name END, chr(10), statement) FROM fix_rows WHERE statement IS NOT NULL GROUP BY target, table_name, column_name, kind, statement
 UNION ALL SELECT target, 2, id, concat('-- #', id, ': ', skip_reason) FROM fix_rows WHERE skip_reason IS NOT NULL""",
 )
-sql("ag8", "SELECT target, sum(CASE WHEN statement IS NOT NULL THEN 1 ELSE 0 END) AS generated, sum(CASE WHEN skip_reason IS NOT NULL THEN 1 ELSE 0 END) AS skipped FROM fix_rows GROUP BY target")
-sql("wn5", "SELECT id, target, kind FROM (SELECT *, row_number() OVER (PARTITION BY target, table_name, column_name, kind, statement ORDER BY id) AS rn FROM (SELECT * FROM fix_rows UNION ALL SELECT id + 1000000, target, table_name, column_name, kind, statement, skip_reason FROM fix_rows WHERE id % 7 = 0) u WHERE statement IS NOT NULL) x WHERE rn = 1")
+bound("ag8", summary.fix_counts, "fix_rows", "SELECT target, sum(CASE WHEN statement IS NOT NULL THEN 1 ELSE 0 END) AS generated, sum(CASE WHEN skip_reason IS NOT NULL THEN 1 ELSE 0 END) AS skipped FROM fix_rows GROUP BY target")
+bound("wn5", lambda f: summary.first_fixes(f.unionByName(f.where("id % 7 = 0").withColumn("id", F.col("id") + 1_000_000))).select("id", "target", "kind"), "fix_rows", "SELECT id, target, kind FROM (SELECT *, row_number() OVER (PARTITION BY target, table_name, column_name, kind, statement ORDER BY id) AS rn FROM (SELECT * FROM fix_rows UNION ALL SELECT id + 1000000, target, table_name, column_name, kind, statement, skip_reason FROM fix_rows WHERE id % 7 = 0) u WHERE statement IS NOT NULL) x WHERE rn = 1")

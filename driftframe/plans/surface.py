@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftframe import functions
-from driftframe.operators import audit, rules, sinks, text
+from driftframe.operators import audit, rules, sinks, summary, text
 from driftframe.operators.shared import scratch
 from driftframe.plans import fleet  # noqa: F401  (views that this module reads)
 from driftframe.plans.registry import ORACLE_SQL, ORACLE_TEXT, QUERIES, bound, sql
@@ -53,15 +53,15 @@ sql("lb4", "SELECT c_custkey, decode(unhex(substr(concat('\\x', hex(encode(c_nam
 
 # ---------------------------------------------------------------- windows, order, paging
 
-sql("wn4", "SELECT server_id, table_id, column_name, index_name FROM (SELECT *, row_number() OVER (PARTITION BY server_id, table_id, column_name ORDER BY index_name DESC) AS rn FROM fleet_index_columns) i WHERE rn = 1")
+bound("wn4", lambda i: summary.last_per_key(i, ["server_id", "table_id", "column_name"], "index_name"), "fleet_index_columns", "SELECT server_id, table_id, column_name, index_name FROM (SELECT *, row_number() OVER (PARTITION BY server_id, table_id, column_name ORDER BY index_name DESC) AS rn FROM fleet_index_columns) i WHERE rn = 1")
 sql("wn9", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd, ntile(4) OVER w AS nt, lag(o_orderkey) OVER w AS lg, lead(o_orderkey) OVER w AS ld, first_value(o_orderkey) OVER w AS fv, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lv, nth_value(o_orderkey, 2) OVER w AS nv FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 sql("sf3", "SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER w, 4) AS running, round(avg(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS near, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 sql("sl1", "SELECT o_orderkey, max(rn) OVER () > 100 AS truncated FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 101) p) q")
-sql("sl2", "SELECT id, tool FROM audit_log ORDER BY id DESC LIMIT 500 OFFSET 200")
-sql("sl3", "SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(p_name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '') AS k FROM part", "SELECT p_partkey, array_join(transform(regexp_extract_all(lower(p_name), '([0-9]+|[^0-9]+)', 1), x -> CASE WHEN x RLIKE '^[0-9]' THEN lpad(x, 20, '0') ELSE x END), '') AS k FROM part")
-sql("sl4", "SELECT id, favorite, sort_order, pinned FROM query_log ORDER BY favorite DESC, sort_order, pinned DESC, id DESC LIMIT 300")
+bound("sl2", lambda log: summary.page(log, [F.desc("id")], 500, 200).select("id", "tool"), "audit_log", "SELECT id, tool FROM audit_log ORDER BY id DESC LIMIT 500 OFFSET 200")
+bound("sl3", lambda p: p.select("p_partkey", summary.natural_key("p_name").alias("k")), "part", "SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(p_name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '') AS k FROM part")
+bound("sl4", lambda q: summary.page(q, summary.log_order(), 300).select("id", "favorite", "sort_order", "pinned"), "query_log", "SELECT id, favorite, sort_order, pinned FROM query_log ORDER BY favorite DESC, sort_order, pinned DESC, id DESC LIMIT 300")
 sql("sl5", "SELECT id FROM query_log WHERE pinned OR favorite")
-sql("sl6", "SELECT id, table_name, element FROM numbered ORDER BY id LIMIT 20")
+bound("sl6", lambda n: summary.page(n, [F.asc("id")], 20).select("id", "table_name", "element"), "numbered", "SELECT id, table_name, element FROM numbered ORDER BY id LIMIT 20")
 
 # ---------------------------------------------------------------- audit
 
