@@ -204,22 +204,23 @@ def _rest_links(docs: DataFrame, now: DataFrame) -> DataFrame:
     order by frequency), so a passage that many documents hold joins nobody. Documents that meet there are gathered
     by the largest component at their shingle and compared on full sets in cells of bounded size; no pair is a row.
     """
-    split = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = now.join(split, "key", "left_semi").select("id", "component").distinct()
+    split = materialize(now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size"), "split")
+    rest = look_up(now, split, ["key"], "size").select("id", "component").distinct()
     some = _only(docs, rest.select("id")).join(rest.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "component", "text")
     sets = materialize(some.mapInArrow(_set_rows, "id long, component long, shingles array<long>"), "rest")
     rows = sets.select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-    met = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    met = materialize(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "met")
     own = Window.partitionBy("id")
     # of a set, the shingles that others hold too must suffice; the rest of the rarest ones come first in the order
-    ranked = rows.join(met, "key").withColumn("common", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("members", "key")))
+    ranked = look_up(rows, met, ["key"], "members").withColumn("common", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("members", "key")))
     prefix = ranked.where(F.col("at") <= F.col("common") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("key", "id", "component", "n")
     prefix = materialize(prefix, "prefix")
-    hub = prefix.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("hub"), F.count("*").alias("parts")).where("parts > 1")
-    held = materialize(prefix.join(hub.select("key", "hub"), "key").select("hub", "id", "component", "n").distinct(), "held")
+    hub = prefix.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("hub"), F.count("*").alias("parts"), F.sum("size").alias("size")).where("parts > 1")
+    hub = materialize(hub.select("key", "hub", "size"), "hubs")
+    held = materialize(look_up(prefix, hub, ["key"], "size").select("hub", "id", "component", "n").distinct(), "held")
     outside = F.when(F.col("component") != F.col("hub"), F.col("n"))
-    cells = held.groupBy("hub").agg(F.ceil(F.sum(outside) / CELL).alias("down"), F.ceil(F.sum("n") / CELL).alias("across"))
-    laid = held.join(cells, "hub").join(sets.select("id", "shingles"), "id")
+    cells = materialize(held.groupBy("hub").agg(F.ceil(F.sum(outside) / CELL).alias("down"), F.ceil(F.sum("n") / CELL).alias("across"), F.count("*").alias("size")), "cells")
+    laid = look_up(held, cells, ["hub"], "size").join(sets.select("id", "shingles"), "id")
     place = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("long")
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
     left = laid.where("component != hub").withColumn("i", place("down")).withColumn("j", every("across"))
