@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -396,6 +396,64 @@ def test_quality_rules_tell_junk(spark, sf_dir):
     assert sum(good) > 0.97 * len(good) and sum(bad) < 0.2 * len(bad)
 
 
+def brute_verdicts(rows):
+    """Kept and distances of (doc_id, text, lang), with plain counts of everything."""
+    kinds = [("abcdefghijklmnopqrstuvwxyz", 0), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), ("0123456789", 2), (" \t\n\x0b\x0c\r", 3), (".,;:!?'\"()-", 4), ("#*$%&|<>", 5)]
+    kind = lambda c: next((k for chars, k in kinds if c in chars), 6 if ord(c) < 128 else 7)
+
+    def base(text):
+        w = words(text)
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        marked = {k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(i, i + 3)}
+        return len(w) < 50 or 100 * len(marked) > 50 * len(w)
+
+    def shares(counts, keys):
+        total = max(1, sum(counts.values()))
+        return [counts[k] / total for k in keys]
+
+    def distance(p, q):
+        term = lambda a, m: a * np.log2(a / m) if a else 0
+        return np.sqrt(min(1, max(0, sum(term(a, (a + b) / 2) + term(b, (a + b) / 2) for a, b in zip(p, q, strict=True)) / 2)))
+
+    languages = defaultdict(list)
+    for _, text, lang in rows:
+        if not base(text or ""):
+            languages[lang or ""].append(text)
+    refs = []
+    for own in languages.values():
+        counted = Counter(x for t in own for x in words(t))
+        if len(own) >= quality_rules.MIN_REFERENCE_DOCUMENTS and sum(counted.values()) >= quality_rules.MIN_REFERENCE_WORDS:
+            common = [w for w, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON_WORDS]]
+            refs.append((shares(Counter(kind(c) for t in own for c in t), range(8)), common, [counted[w] / sum(counted.values()) for w in common]))
+    out = {}
+    for i, text, _ in rows:
+        w, best = words(text), (np.inf, 1.0, 1.0)
+        limits = [float(x[0]) for x in quality_rules.limits(np.array([len(w)]))]
+        for chars, common, freq in refs:
+            dc = distance(shares(Counter(kind(c) for c in text or ""), range(8)), chars)
+            own = [w.count(x) / max(1, len(w)) for x in common]
+            dw = distance([*own, max(0, 1 - sum(own))], [*freq, max(0, 1 - sum(freq))])
+            best = min(best, (max(dc / limits[0], dw / limits[1]), dc, dw), key=lambda x: x[0])
+        near = (best[1] <= limits[0] or len(text or "") < quality_rules.MIN_CHARS) and (best[2] <= limits[1] or len(w) < quality_rules.MIN_COUNTED_WORDS)
+        out[i] = (not base(text or "") and near, best[1], best[2])
+    return out
+
+
+def test_quality_verdicts_match_plain_counts(spark):
+    rng, rows = random.Random(16), []
+    pools = {"aa": WORDS[:14], "bb": WORDS[14:], None: ["Ä1", "b#", "c.", "ddd", "e-e", "fff", "é"]}
+    for lang, pool in pools.items():
+        for _ in range(14):
+            rows.append((len(rows), " ".join(rng.choice(pool) + rng.choice(("", "", ",", str(rng.randrange(9)))) for _ in range(rng.randrange(60, 260))), lang))
+    mixed = sum(pools.values(), [])
+    rows += [(len(rows) + k, " ".join(f"{rng.choice(mixed)}{rng.randrange(10**k)}" for _ in range(120)), "aa") for k in range(7)] + [(900, None, "aa"), (901, "", None)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    want = brute_verdicts(rows)
+    assert {r.kept for r in got.values()} == {True, False}
+    for i, (kept, by_char, by_word) in want.items():
+        assert got[i].kept == kept and np.allclose((got[i].char_distance, got[i].word_distance), (by_char, by_word))
+
+
 @pytest.mark.parametrize("at_once", [8192, 20])
 def test_quality_rules_know_every_language(spark, monkeypatch, at_once):
     """More than 64 languages of other words each, the last ones smaller; junk that has a lang of its own."""
