@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftframe.operators.catalog import deploy_tables, statements
 from driftframe.operators.drift import ELEMENTS
-from driftframe.operators.shared import few
+from driftframe.operators.shared import few, written
 
 KINDS = {"TABLE": "missing_table", "COLUMN": "missing_column", **{e: e.lower() for e in ELEMENTS[2:]}}
 
@@ -139,6 +139,7 @@ def script_blocks(fixes: DataFrame, servers: DataFrame, reference: int) -> DataF
 
     A script is rows, so none is gathered in one place; ``write_scripts`` writes them in order.
     """
+    fixes = written(fixes, "fixes")  # read three times
     name = servers.where(F.col("server_id") == reference).select("server_name").first()
     head = fixes.select("target").distinct().join(few(servers.select(F.col("server_id").alias("target"), "server_name")), "target", "left")
     head = head.select("target", F.lit(0).alias("part"), F.lit(0).cast("long").alias("id"), _text(f"-- reference: {name[0] if name else reference}\n-- target: ", F.coalesce("server_name", F.col("target").cast("string")), "\n-- review before it runs").alias("block"))
