@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,13 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTE_VALUE = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
+def release() -> None:
+    """Give free memory back to the system, so that an idle worker, which Spark keeps for other tasks, holds little."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values (the splitmix64 finaliser)."""
     x = x ^ (x >> U64(30))

@@ -93,6 +93,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), bands], names=["doc_id", "n_shingles", "set_hash_a", "set_hash_b", "bands"])
+    K.release()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +116,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep[i:j] = (100 * shared >= PERCENT * (found[0][1] + found[1][1] - shared)) & (shared > 0)
             i = j
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+    K.release()
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -172,6 +174,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets, starts = document_sets(part, offs)
             kept = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("component").slice(i, j - i), kept], names=["id", "component", "shingles"])
+    K.release()
 
 
 def _compare_cell(left: pa.Table, right: pa.Table) -> pa.Table:

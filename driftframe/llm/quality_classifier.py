@@ -96,6 +96,7 @@ def _differences(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa
         data, offsets = K.buffers(batch.column("text").fill_null(""))
         raw = memoryview(data)
         yield batch, np.array([difference(raw[a:b], m.good, m.bad) for a, b in zip(offsets[:-1], offsets[1:], strict=True)] if m.good else [0.0] * len(batch), dtype=float)
+    K.release()
 
 
 def _dictionary(blocks: list[bytes]) -> bytes:
