@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftframe.operators.catalog import deploy_tables, statements
@@ -143,8 +143,7 @@ def script_blocks(fixes: DataFrame, servers: DataFrame, reference: int) -> DataF
     name = servers.where(F.col("server_id") == reference).select("server_name").first()
     head = fixes.select("target").distinct().join(few(servers.select(F.col("server_id").alias("target"), "server_name")), "target", "left")
     head = head.select("target", F.lit(0).alias("part"), F.lit(0).cast("long").alias("id"), _text(f"-- reference: {name[0] if name else reference}\n-- target: ", F.coalesce("server_name", F.col("target").cast("string")), "\n-- review before it runs").alias("block"))
-    same = Window.partitionBy("target", "table_name", "column_name", "kind", F.xxhash64("statement"), "statement").orderBy("id")
-    done = fixes.where("statement is not null").withColumn("nth", F.row_number().over(same)).where("nth = 1")
+    done = fixes.where("statement is not null").groupBy("target", "table_name", "column_name", "kind", "statement").agg(F.min("id").alias("id"))
     column = F.when(F.trim("column_name") == "", "(table-level)").otherwise(F.col("column_name"))
     done = done.select("target", F.lit(1).alias("part"), "id", _text("-- discrepancy #", F.col("id").cast("string"), "\n-- table: ", F.col("table_name"), "\n-- column: ", column, "\n", F.col("statement")).alias("block"))
     skipped = fixes.where("skip_reason is not null").select("target", F.lit(2).alias("part"), "id", _text("-- #", F.col("id").cast("string"), ": ", F.col("skip_reason")).alias("block"))
