@@ -63,6 +63,7 @@ def created_tables(columns: DataFrame, ddls: DataFrame) -> DataFrame:
 
     A definition is used where there is one, else the columns; comments and indexes come from the columns, but for PostgreSQL from the definition.
     """
+    ddls = written(ddls.select("table_name", "ddl"), "definitions")  # read three times
     rows = columns.select("table_name", F.struct("*").alias("c"))
     t, name = F.col("table_name"), F.col("c.column_name")
     definition = _text(identifier(name), " ", _type("c"), _default("c"))
