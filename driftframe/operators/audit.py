@@ -122,4 +122,4 @@ def audit_csv_rows(log: DataFrame) -> DataFrame:
 def usage_digest(log: DataFrame) -> DataFrame:
     """Calls, denials, errors, rows, bytes and durations, with the 95th percentile, by tool and connection."""
     o = outcome("outcome_raw")
-    return log.groupBy("tool", "connection_id").agg(F.count("*").alias("calls"), F.count_if(o == "denied").alias("denials"), F.count_if(o == "error").alias("errors"), F.sum("row_count").alias("n_rows"), F.sum("bytes").alias("n_bytes"), F.sum("duration_ms").alias("duration_ms"), F.percentile("duration_ms", F.lit(0.95)).alias("p95_ms"), F.max("duration_ms").alias("longest_ms"))
+    return log.groupBy("tool", "connection_id").agg(F.count("*").alias("calls"), F.count_if(o == "denied").alias("denials"), F.count_if(o == "error").alias("errors"), F.sum("row_count").alias("n_rows"), F.sum("bytes").alias("n_bytes"), F.sum("duration_ms").alias("duration_ms"), F.round(F.percentile("duration_ms", F.lit(0.95)), 6).alias("p95_ms"), F.max("duration_ms").alias("longest_ms"))

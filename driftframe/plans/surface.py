@@ -85,7 +85,7 @@ _FOUND = "SELECT connection_id, day, problem IS NULL AS ok, CASE problem WHEN 'm
 bound("au3", _tampered, "audit_log", _FOUND)
 bound("wn1", lambda log: audit.with_chain(log).select("connection_id", "day", "seq", "id", (F.col("prev_hash") == audit.GENESIS).alias("first")), "audit_log", "SELECT connection_id, CAST(event_ts AS DATE) AS day, row_number() OVER (PARTITION BY connection_id, CAST(event_ts AS DATE) ORDER BY id) AS seq, id, row_number() OVER (PARTITION BY connection_id, CAST(event_ts AS DATE) ORDER BY id) = 1 AS first FROM audit_log")
 sql("au4", "SELECT id, tool, outcome_raw FROM audit_log WHERE connection_id = 1 ORDER BY id DESC LIMIT 100 OFFSET 10")
-bound("au5", audit.usage_digest, "audit_log", "SELECT tool, connection_id, count(*) AS calls, count(*) FILTER (WHERE outcome_raw = 'denied') AS denials, count(*) FILTER (WHERE outcome_raw NOT IN ('allowed', 'denied')) AS errors, sum(row_count) AS n_rows, sum(bytes) AS n_bytes, sum(duration_ms) AS duration_ms, quantile_cont(duration_ms, 0.95) AS p95_ms, max(duration_ms) AS longest_ms FROM audit_log GROUP BY tool, connection_id")
+bound("au5", audit.usage_digest, "audit_log", "SELECT tool, connection_id, count(*) AS calls, count(*) FILTER (WHERE outcome_raw = 'denied') AS denials, count(*) FILTER (WHERE outcome_raw NOT IN ('allowed', 'denied')) AS errors, sum(row_count) AS n_rows, sum(bytes) AS n_bytes, sum(duration_ms) AS duration_ms, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms, max(duration_ms) AS longest_ms FROM audit_log GROUP BY tool, connection_id")
 bound("au6", lambda log: log.groupBy("outcome_raw", audit.outcome("outcome_raw").alias("outcome")).agg(F.count("*").alias("n")), "audit_log", "SELECT outcome_raw, CASE WHEN outcome_raw IN ('allowed', 'denied') THEN outcome_raw ELSE 'error' END AS outcome, count(*) AS n FROM audit_log GROUP BY outcome_raw")
 _NAMES = "json_extract_string(arguments, '$.target.names[*]')"
 bound("tx10", lambda log: log.select("id", audit.target_summary(shown=1).alias("target")), "audit_log", f"SELECT id, concat(json_extract_string(arguments, '$.target.object_type'), ' ', {_NAMES}[1], ' (+', len({_NAMES}) - 1, ' more)') AS target FROM audit_log")
