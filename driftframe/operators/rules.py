@@ -25,6 +25,12 @@ def wildcard_match(text: F.Column | str, pattern: F.Column | str, ci: bool = Tru
     return F.like(F.upper(text), wildcard_like(F.upper(pattern))) if ci else F.like(text, wildcard_like(pattern))
 
 
+def match_patterns(names: DataFrame, patterns: DataFrame, column: str = "table_name", pattern: str = "table_pattern") -> DataFrame:
+    """(name, pattern, exact): each name with each wildcard that matches it, blind to case, and whether it does so with case."""
+    own = few(patterns.select(pattern).distinct())
+    return names.join(own, wildcard_match(column, pattern)).select(column, pattern, wildcard_match(column, pattern, ci=False).alias("exact"))
+
+
 def _rules(rules: DataFrame, action: str) -> DataFrame:
     return few(rules.where(F.col("enabled") & (F.col("action") == action)).select(rule_like().alias("__like")))
 

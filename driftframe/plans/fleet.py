@@ -272,8 +272,8 @@ _FOUND = {
     8: [("too long", "20010")],
     11: [("start", "EXPLAIN")],
 }
-_SCREENED = {"postgres": _FOUND | {9: [("blocked function", "UTL_INADDR")][:0], 10: [("function not allowed", "NVL"), ("forbidden word", "INTO")]}, "oracle": _FOUND | {9: [("blocked function", "UTL_INADDR")], 10: [("function not allowed", "DATE_TRUNC"), ("forbidden word", "INTO")]}}
-_SCREENED["postgres"][9] = [("blocked function", "UTL_INADDR")]
+_FOUND[9] = [("blocked function", "UTL_INADDR")]
+_SCREENED = {e: _FOUND | {10: [("function not allowed", f), ("forbidden word", "INTO")]} for e, f in (("postgres", "NVL"), ("oracle", "DATE_TRUNC"))}
 for _engine, _id in (("postgres", "fl22"), ("oracle", "fl22_oracle")):
     _rows = ", ".join(f"({k}, '{v}', '{t}')" for k, found in _SCREENED[_engine].items() for v, t in found)
     bound(_id, lambda q, e=_engine: sql_log.screen_sql(q, e), "logged_sql", f"SELECT event_id AS id, violation, token FROM events JOIN (VALUES {_rows}) AS v(k, violation, token) ON event_id % 12 = k")

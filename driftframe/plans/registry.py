@@ -116,7 +116,7 @@ bound("fl2", lambda c, r: summary.rule_reach(c, rules.match_rules(c.select("tabl
 _WILD = "replace(replace(replace({}, '_', '^_'), '*', '%'), '?', '_')"
 _UP = lambda text, pattern: f"upper({text}) LIKE {_WILD.format(f'upper({pattern})')} ESCAPE '^'"
 _CS = lambda text, pattern: f"{text} LIKE {_WILD.format(pattern)} ESCAPE '^'"
-bound("fl3", lambda fc, p: fc.select("table_name").distinct().crossJoin(F.broadcast(p.select("table_pattern").distinct())).select("table_name", "table_pattern", rules.wildcard_match("table_name", "table_pattern").alias("ci"), rules.wildcard_match("table_name", "table_pattern", ci=False).alias("exact")), "fleet_columns policy_table_rules", f"SELECT table_name, table_pattern, {_UP('table_name', 'table_pattern')} AS ci, {_CS('table_name', 'table_pattern')} AS exact FROM (SELECT DISTINCT table_name FROM fleet_columns) t CROSS JOIN (SELECT DISTINCT table_pattern FROM policy_table_rules) p")
+bound("fl3", lambda fc, p: rules.match_patterns(fc.select("table_name").distinct(), p), "fleet_columns policy_table_rules", f"SELECT table_name, table_pattern, {_CS('table_name', 'table_pattern')} AS exact FROM (SELECT DISTINCT table_name FROM fleet_columns) t JOIN (SELECT DISTINCT table_pattern FROM policy_table_rules) p ON {_UP('table_name', 'table_pattern')}")
 VIEWS["connection_tables"] = "SELECT DISTINCT server_id AS connection_id, table_name FROM fleet_columns"
 _HIT = f"(CASE WHEN r.action = 'deny' OR s.engine = 'oracle' THEN {_UP('t.table_name', 'r.table_pattern')} ELSE {_CS('t.table_name', 'r.table_pattern')} END)"
 VIEWS["access"] = f"SELECT t.connection_id, t.table_name, p.data_access = 'allowlist' AND NOT coalesce(bool_or(r.action = 'deny' AND r.column_pattern = ''), false) AND coalesce(bool_or(r.action = 'allow'), false) AS allowed, coalesce(bool_or(r.column_pattern <> ''), false) AS column_rules FROM connection_tables t JOIN policies p ON p.connection_id = t.connection_id LEFT JOIN fleet_servers s ON s.server_id = t.connection_id LEFT JOIN policy_table_rules r ON r.connection_id = t.connection_id AND {_HIT} GROUP BY t.connection_id, t.table_name, p.data_access"
