@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 GENESIS = "0" * 64
 
@@ -18,21 +19,33 @@ def outcome(raw: str | F.Column) -> F.Column:
     return F.when(raw.isin("allowed", "denied"), raw).otherwise(F.lit("error"))
 
 
-def _json(c: str) -> F.Column:
-    return F.concat(F.lit('"'), F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+#: Characters that JSON escapes: a short form for some, the code point in four small hexadecimal digits for all others below the space.
+ESCAPES = {chr(c): f"\\u{c:04x}" for c in range(32)} | {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", '"': '\\"', "\\": "\\\\"}
+
+
+def json_text(c: str | F.Column) -> F.Column:
+    """A text as a JSON string."""
+    c = F.col(c) if isinstance(c, str) else c
+    table = F.create_map(*(F.lit(x) for pair in ESCAPES.items() for x in pair))
+    escaped = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    return F.concat(F.lit('"'), F.when(c.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(c), F.lit('"'))
 
 
 def canonical(log: DataFrame) -> F.Column:
-    """JSON array text of an entry's fields, built part by part so that it is the same in every engine."""
-    parts = [F.col("id").cast("string"), F.concat(F.lit('"'), F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss"), F.lit('"')), _json("tool"), F.col("connection_id").cast("string"), _json("connection_name"), _json("arguments"), _json("outcome_raw"), _json("reason"), F.col("row_count").cast("string"), F.col("bytes").cast("string"), F.col("duration_ms").cast("string")]
+    """JSON array text of an entry's twelve fields, built part by part so that it is the same in every engine; what is null is ``null``."""
+    number = lambda c: F.col(c).cast("string")
+    when = F.concat(F.lit('"'), F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('"'))
+    parts = [number("id"), when, json_text("tool"), number("connection_id"), json_text("connection_name"), json_text("arguments"), json_text(outcome("outcome_raw")), json_text("reason"), number("row_count"), number("bytes"), number("duration_ms"), json_text("client_name")]
     return F.concat(F.lit("["), F.concat_ws(",", *(F.coalesce(p, F.lit("null")) for p in parts)), F.lit("]"))
 
 
-LINKS = "connection_id long, day date, seq long, id long, prev_hash string, hash string"
+def link(before: str, body: str) -> str:
+    """The hash of an entry after another."""
+    return hashlib.sha256(f"{before}\n{body}".encode()).hexdigest()
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of (connection_id, day, id, body) that come sorted; what is kept from batch to batch is the last link."""
+    """Entries with their links. They come sorted, with their text in the last column; what is kept from batch to batch is the last link."""
     chain, seq, last = None, 0, GENESIS
     for batch in batches:
         keys = list(zip(batch.column("connection_id").to_pylist(), batch.column("day").to_pylist(), strict=True))
@@ -42,23 +55,25 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 chain, seq, last = key, 0, GENESIS
             seq += 1
             before.append(last)
-            last = hashlib.sha256(f"{last}\n{body}".encode()).hexdigest()
+            last = link(last, body)
             numbers.append(seq)
             own.append(last)
-        columns = [batch.column("connection_id"), batch.column("day"), pa.array(numbers, pa.int64()), batch.column("id"), pa.array(before, pa.string()), pa.array(own, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in LINKS.split(", ")])
+        columns = [*batch.columns[:-1], pa.array(numbers, pa.int64()), pa.array(before, pa.string()), pa.array(own, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "seq", "prev_hash", "hash"])
 
 
 def with_chain(log: DataFrame) -> DataFrame:
     """Entries with day, seq, prev_hash and hash: one chain for each connection and day, by id.
 
-    A chain is a fold, so one task walks it, in time and rows that grow in proportion; of a chain it holds a batch and the last link only.
+    Entries without a connection are a chain of their own for each day; of those that repeat an id the one with the smaller text comes first, so
+    every entry has one link. A chain is a fold, so one task walks it, in time and rows that grow in proportion, and holds a batch and
+    the last link; the entries' columns go through it, so that nothing is joined back.
     """
     rows = log.withColumn("day", F.to_date("event_ts"))
     key = ["connection_id", "day"]
-    bodies = rows.select(F.col("connection_id").cast("long").alias("connection_id"), "day", F.col("id").cast("long").alias("id"), canonical(log).alias("body"))
-    links = bodies.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(_fold, LINKS)
-    return rows.join(links, [*key, "id"])
+    ready = rows.withColumn("body", canonical(log)).repartition(*key).sortWithinPartitions(*key, "id", "body")
+    schema = StructType(rows.schema.fields).add("seq", "long").add("prev_hash", "string").add("hash", "string")
+    return ready.mapInArrow(_fold, schema)
 
 
 def verify_chain(chain: DataFrame, issued: DataFrame) -> DataFrame:
@@ -73,7 +88,9 @@ def verify_chain(chain: DataFrame, issued: DataFrame) -> DataFrame:
     problem = F.when(F.col("seq") != F.coalesce(F.lag("seq").over(w), F.lit(0)) + 1, "missing").when(F.col("prev_hash") != before, "broken link").when(own != F.col("hash"), "modified")
     rows = chain.withColumn("problem", problem)
     bad = F.min(F.when(F.col("problem").isNotNull(), F.struct("seq", "problem")))
-    found = rows.groupBy("connection_id", "day").agg(bad.alias("bad"), F.count("*").alias("n")).join(issued, ["connection_id", "day"], "full_outer")
+    found = rows.groupBy("connection_id", "day").agg(bad.alias("bad"), F.count("*").alias("n"))
+    both = found.unionByName(issued.select("connection_id", "day", "issued"), allowMissingColumns=True)  # grouped, as a null connection is one too
+    found = both.groupBy("connection_id", "day").agg(F.max("bad").alias("bad"), F.max("n").alias("n"), F.max("issued").alias("issued"))
     n = F.coalesce("n", F.lit(0))
     first = F.coalesce(F.col("bad.seq"), F.when(F.col("issued") > n, n + 1))
     text = F.coalesce(F.col("bad.problem"), F.when(F.col("issued") > n, "truncated"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftframe import functions
 from driftframe.operators import audit, rules, sinks, summary, text
-from driftframe.operators.shared import scratch
+from driftframe.operators.shared import scratch, written
 from driftframe.plans import fleet  # noqa: F401  (views that this module reads)
 from driftframe.plans.registry import ORACLE_SQL, ORACLE_TEXT, QUERIES, bound, sql
 from driftframe.sources import fanout, fixtures
@@ -65,31 +65,48 @@ bound("sl6", lambda n: summary.page(n, [F.asc("id")], 20).select("id", "table_na
 
 # ---------------------------------------------------------------- audit
 
-_ESC = lambda c: f"concat(chr(34), replace(replace({c}, chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34))), chr(34))"
-_BODY = f"concat('[', concat_ws(',', CAST(id AS VARCHAR), concat(chr(34), strftime(event_ts, '%Y-%m-%d %H:%M:%S'), chr(34)), {_ESC('tool')}, CAST(connection_id AS VARCHAR), {_ESC('connection_name')}, {_ESC('arguments')}, {_ESC('outcome_raw')}, {_ESC('reason')}, CAST(row_count AS VARCHAR), CAST(bytes AS VARCHAR), CAST(duration_ms AS VARCHAR)), ']')"
-bound("au1", lambda log: log.select("id", F.sha2(F.concat(F.lit(audit.GENESIS), F.lit("\n"), audit.canonical(log)), 256).alias("hash")), "audit_log", f"SELECT id, sha256(concat(repeat('0', 64), chr(10), {_BODY})) AS hash FROM audit_log")
-bound("au2", lambda log: audit.with_chain(log).groupBy("connection_id", "day").agg(F.count("*").alias("n"), F.max_by("hash", "seq").alias("last_hash")), "audit_log", f"SELECT connection_id, CAST(event_ts AS DATE) AS day, count(*) AS n, list_reduce(list_prepend(repeat('0', 64), list({_BODY} ORDER BY id)), lambda a, x: sha256(concat(a, chr(10), x))) AS last_hash FROM audit_log GROUP BY connection_id, CAST(event_ts AS DATE)")
+_OUTCOME = "CASE WHEN outcome_raw IN ('allowed', 'denied') THEN outcome_raw ELSE 'error' END"
+
+
+def _json_sql(c: str) -> str:
+    """A JSON string in DuckDB, with a replacement for each character that the fixtures have."""
+    text = f"replace({c}, chr(92), concat(chr(92), chr(92)))"
+    for code, short in ((34, "chr(34)"), (9, "'t'"), (10, "'n'"), (1, "'u0001'"), (31, "'u001f'")):
+        text = f"replace({text}, chr({code}), concat(chr(92), {short}))"
+    return f"concat(chr(34), {text}, chr(34))"
+
 
+def _body_sql() -> str:
+    number = lambda c: f"CAST({c} AS VARCHAR)"
+    text = lambda c, of=None: f"CASE WHEN {c} IS NOT NULL THEN {_json_sql(of or c)} END"
+    fields = [number("id"), "concat(chr(34), strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%gZ'), chr(34))", text("tool"), number("connection_id"), text("connection_name"), text("arguments"), _json_sql(_OUTCOME), text("reason"), number("row_count"), number("bytes"), number("duration_ms"), text("client_name")]
+    return "concat('[', concat_ws(',', " + ", ".join(f"coalesce({f}, 'null')" for f in fields) + "), ']')"
 
-def _tampered(log: DataFrame) -> DataFrame:
-    chain = audit.with_chain(log)
+
+VIEWS["audit_bodies"] = f"SELECT *, CAST(event_ts AS DATE) AS day, {_body_sql()} AS body FROM audit_entries"
+fixtures.BUILDERS["audit_chain"] = lambda spark, sf_dir: written(audit.with_chain(view(spark, sf_dir, "audit_entries")), "chain")
+VIEWS["audit_chain"] = "SELECT *, row_number() OVER (PARTITION BY connection_id, day ORDER BY id, body) AS seq FROM audit_bodies"
+bound("au1", lambda log: log.select("id", F.sha2(F.concat(F.lit(audit.GENESIS), F.lit("\n"), audit.canonical(log)), 256).alias("hash")), "audit_entries", "SELECT id, sha256(concat(repeat('0', 64), chr(10), body)) AS hash FROM audit_bodies")
+bound("au2", lambda chain: chain.groupBy("connection_id", "day").agg(F.count("*").alias("n"), F.max_by("hash", "seq").alias("last_hash")), "audit_chain", "SELECT connection_id, day, count(*) AS n, list_reduce(list_prepend(repeat('0', 64), list(body ORDER BY id, body)), lambda a, x: sha256(concat(a, chr(10), x))) AS last_hash FROM audit_bodies GROUP BY connection_id, day")
+
+
+def _tampered(chain: DataFrame) -> DataFrame:
+    """Verified after an entry of connection 1 was edited, one of 2 and the last of 3 were deleted."""
     issued = chain.groupBy("connection_id", "day").agg(F.max("seq").cast("long").alias("issued"))
     edited = chain.withColumn("reason", F.when((F.col("connection_id") == 1) & (F.col("seq") == 3), "edited").otherwise(F.col("reason")))
-    edited = edited.where(~((F.col("connection_id") == 2) & (F.col("seq") == 4)))
-    last = issued.withColumnRenamed("issued", "top")
-    edited = edited.join(last, ["connection_id", "day"]).where(~((F.col("connection_id") == 3) & (F.col("seq") == F.col("top")))).drop("top")
-    return audit.verify_chain(edited, issued)
+    edited = edited.where(~F.col("connection_id").eqNullSafe(2) | (F.col("seq") != 4))
+    last = issued.where("connection_id = 3").select("connection_id", "day", F.col("issued").alias("seq"))
+    return audit.verify_chain(edited.join(last, ["connection_id", "day", "seq"], "left_anti"), issued)
 
 
-_FOUND = "SELECT connection_id, day, problem IS NULL AS ok, CASE problem WHEN 'modified' THEN 2 WHEN 'missing' THEN 4 WHEN 'truncated' THEN n - 1 ELSE n END AS entries, CASE problem WHEN 'modified' THEN 3 WHEN 'missing' THEN 5 WHEN 'truncated' THEN n END AS first_bad, problem FROM (SELECT connection_id, CAST(event_ts AS DATE) AS day, count(*) AS n, CASE WHEN connection_id = 1 AND count(*) >= 3 THEN 'modified' WHEN connection_id = 2 AND count(*) >= 5 THEN 'missing' WHEN connection_id = 2 AND count(*) = 4 THEN 'truncated' WHEN connection_id = 3 THEN 'truncated' END AS problem FROM audit_log GROUP BY connection_id, CAST(event_ts AS DATE)) c"
-bound("au3", _tampered, "audit_log", _FOUND)
-bound("wn1", lambda log: audit.with_chain(log).select("connection_id", "day", "seq", "id", (F.col("prev_hash") == audit.GENESIS).alias("first")), "audit_log", "SELECT connection_id, CAST(event_ts AS DATE) AS day, row_number() OVER (PARTITION BY connection_id, CAST(event_ts AS DATE) ORDER BY id) AS seq, id, row_number() OVER (PARTITION BY connection_id, CAST(event_ts AS DATE) ORDER BY id) = 1 AS first FROM audit_log")
-sql("au4", "SELECT id, tool, outcome_raw FROM audit_log WHERE connection_id = 1 ORDER BY id DESC LIMIT 100 OFFSET 10")
+_FOUND = "SELECT connection_id, day, problem IS NULL AS ok, CASE problem WHEN 'modified' THEN 2 WHEN 'missing' THEN 4 WHEN 'truncated' THEN n - 1 ELSE n END AS entries, CASE problem WHEN 'modified' THEN 3 WHEN 'missing' THEN 5 WHEN 'truncated' THEN n END AS first_bad, problem FROM (SELECT connection_id, day, count(*) AS n, CASE WHEN connection_id = 1 AND count(*) >= 3 THEN 'modified' WHEN connection_id = 2 AND count(*) >= 5 THEN 'missing' WHEN connection_id = 2 AND count(*) = 4 THEN 'truncated' WHEN connection_id = 3 THEN 'truncated' END AS problem FROM audit_chain GROUP BY connection_id, day) c"
+bound("au3", _tampered, "audit_chain", _FOUND)
+bound("wn1", lambda chain: chain.select("connection_id", "day", "seq", "id", (F.col("prev_hash") == audit.GENESIS).alias("first")), "audit_chain", "SELECT connection_id, day, seq, id, seq = 1 AS first FROM audit_chain")
+bound("au4", lambda log: summary.page(audit.filter_audit(log, connection=1), [F.desc("id")], 100, 10).select("id", "tool", "outcome_raw"), "audit_log", "SELECT id, tool, outcome_raw FROM audit_log WHERE connection_id = 1 ORDER BY id DESC LIMIT 100 OFFSET 10")
 bound("au5", audit.usage_digest, "audit_log", "SELECT tool, connection_id, count(*) AS calls, count(*) FILTER (WHERE outcome_raw = 'denied') AS denials, count(*) FILTER (WHERE outcome_raw NOT IN ('allowed', 'denied')) AS errors, sum(row_count) AS n_rows, sum(bytes) AS n_bytes, sum(duration_ms) AS duration_ms, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms, max(duration_ms) AS longest_ms FROM audit_log GROUP BY tool, connection_id")
 bound("au6", lambda log: log.groupBy("outcome_raw", audit.outcome("outcome_raw").alias("outcome")).agg(F.count("*").alias("n")), "audit_log", "SELECT outcome_raw, CASE WHEN outcome_raw IN ('allowed', 'denied') THEN outcome_raw ELSE 'error' END AS outcome, count(*) AS n FROM audit_log GROUP BY outcome_raw")
 _NAMES = "json_extract_string(arguments, '$.target.names[*]')"
 bound("tx10", lambda log: log.select("id", audit.target_summary(shown=1).alias("target")), "audit_log", f"SELECT id, concat(json_extract_string(arguments, '$.target.object_type'), ' ', {_NAMES}[1], ' (+', len({_NAMES}) - 1, ' more)') AS target FROM audit_log")
-_OUTCOME = "CASE WHEN outcome_raw IN ('allowed', 'denied') THEN outcome_raw ELSE 'error' END"
 bound("tx25", audit_stream.audit_lines, "audit_log", f"SELECT concat('{{\"id\":', id, ',\"tool\":\"', tool, '\",\"connection_id\":', connection_id, ',\"outcome\":\"', {_OUTCOME}, '\",\"severity\":', CASE WHEN outcome_raw = 'allowed' THEN 6 ELSE 4 END, ',\"target\":\"TABLE\"}}') AS value FROM audit_log")
 _QUOTED = lambda c: f"concat(chr(34), replace({c}, chr(34), concat(chr(34), chr(34))), chr(34))"
 bound("sk7", audit.audit_csv_rows, "audit_log", f"SELECT id, concat_ws(',', id, strftime(event_ts, '%Y-%m-%d %H:%M:%S'), tool, connection_id, connection_name, {_OUTCOME}, CASE WHEN reason = '' THEN '' ELSE concat(chr(34), chr(39), replace(reason, chr(34), concat(chr(34), chr(34))), chr(34)) END, row_count, bytes, duration_ms, concat(chr(34), 'TABLE ', {_NAMES}[1], ', ', {_NAMES}[2], chr(34)), {_QUOTED('arguments')}) AS line FROM audit_log")

@@ -61,6 +61,11 @@ SELECT event_id + 1 AS id, ts AS event_ts, event_type AS tool, user_id % 5 AS co
  CASE WHEN event_type = 'signup' THEN '=denied, "policy"' ELSE '' END AS reason,
  CAST(floor(value) AS BIGINT) AS row_count, CAST(length(props) AS BIGINT) AS bytes, event_id % 1000 AS duration_ms
 FROM events""",
+    # entries that repeat an id, that have no connection, no row count, and characters that JSON escapes
+    "audit_entries": """
+SELECT *, concat('client-', id % 3) AS client_name FROM audit_log
+UNION ALL SELECT id, event_ts, tool, connection_id, connection_name, arguments, outcome_raw, reason, CAST(NULL AS BIGINT), bytes, duration_ms + 1, 'client-9' FROM audit_log WHERE id % 77 = 0
+UNION ALL SELECT id, event_ts, tool, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR(9)), arguments, outcome_raw, concat('two', chr(10), chr(9), 'lines ', chr(1), chr(31), chr(34), chr(92), 'é'), row_count, bytes, duration_ms, '' FROM audit_log WHERE id % 50 = 0""",
     "query_log": """
 SELECT event_id AS id, ts AS created_at, event_id % 11 = 0 AS pinned, event_id % 13 = 0 AS favorite, event_id % 5 AS sort_order,
  CASE event_id % 8 WHEN 0 THEN 'SELECT COUNT(*) FROM T1' WHEN 1 THEN concat('-- note: x', chr(10), 'select upper(a), dbms_lob.getlength(b) from T2')

@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import hashlib
+import json
 import math
 import time
 
@@ -155,8 +156,8 @@ def test_wildcards_escape_like_characters(spark):
 
 def test_chain_finds_each_kind_of_tampering(spark):
     start = datetime.datetime(2024, 1, 1)
-    rows = [(i, start, "view", c, f"c{c}", "{}", "allowed", "", 1, 2, 3) for c in range(5) for i in range(c * 10 + 1, c * 10 + 7)]
-    schema = "id long, event_ts timestamp_ntz, tool string, connection_id long, connection_name string, arguments string, outcome_raw string, reason string, row_count long, bytes long, duration_ms long"
+    rows = [(i, start, "view", c, f"c{c}", "{}", "allowed", "", 1, 2, 3, "x") for c in range(5) for i in range(c * 10 + 1, c * 10 + 7)]
+    schema = "id long, event_ts timestamp_ntz, tool string, connection_id long, connection_name string, arguments string, outcome_raw string, reason string, row_count long, bytes long, duration_ms long, client_name string"
     chain = audit.with_chain(spark.createDataFrame(rows, schema)).cache()
     issued = chain.groupBy("connection_id", "day").agg(F.max("seq").cast("long").alias("issued"))
     assert all(r.ok and r.entries == 6 for r in audit.verify_chain(chain, issued).collect())
@@ -167,6 +168,30 @@ def test_chain_finds_each_kind_of_tampering(spark):
     assert got == {0: (False, 2, 3, "modified"), 1: (False, 4, 5, "missing"), 2: (False, 5, 6, "truncated"), 3: (False, 1, 2, "broken link"), 4: (True, 6, None, None)}
 
 
+ENTRY = "id long, event_ts timestamp_ntz, tool string, connection_id long, connection_name string, arguments string, outcome_raw string, reason string, row_count long, bytes long, duration_ms long, client_name string"
+
+
+def test_chain_keeps_entries_that_repeat_an_id_or_lack_a_connection(spark):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start, "view", c, None, "{}", "allowed", why, None, 2, 3, "x") for i, c, why in ((1, 7, "a"), (2, 7, "c"), (2, 7, "b"), (3, None, "d"), (4, None, "e"), (None, 7, "f"))]
+    chain = audit.with_chain(spark.createDataFrame(rows, ENTRY)).cache()
+    got = sorted(((r.connection_id or 0), r.seq, r.id, r.reason) for r in chain.collect())
+    assert got == [(0, 1, 3, "d"), (0, 2, 4, "e"), (7, 1, None, "f"), (7, 2, 1, "a"), (7, 3, 2, "b"), (7, 4, 2, "c")]
+    issued = chain.groupBy("connection_id", "day").agg(F.max("seq").cast("long").alias("issued"))
+    found = {r.connection_id: (r.ok, r.entries) for r in audit.verify_chain(chain, issued).collect()}
+    assert found == {None: (True, 2), 7: (True, 4)}
+    lost = chain.where("reason <> 'e'")
+    assert {r.connection_id: r.problem for r in audit.verify_chain(lost, issued).collect()} == {None: "truncated", 7: None}
+
+
+def test_canonical_entries_are_json(spark):
+    odd = "".join(map(chr, range(1, 128))) + "é\u2028😀"
+    row = (1, datetime.datetime(2024, 1, 2, 3, 4, 5, 6000), odd, 2, None, odd, "bogus", "", None, 4, 5, 'c"\\')
+    body = spark.createDataFrame([row], ENTRY).select(audit.canonical(spark.createDataFrame([row], ENTRY))).first()[0]
+    assert json.loads(body) == [1, "2024-01-02T03:04:05.006Z", odd, 2, None, odd, "error", "", None, 4, 5, 'c"\\']
+    assert body == json.dumps(json.loads(body), ensure_ascii=False, separators=(",", ":"))
+
+
 def test_csv_guard(spark):
     values = ["=1+1", "a,b", 'say "x"', "plain", "", "-5"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
@@ -218,7 +243,7 @@ def test_diff_of_texts_with_many_equal_lines(monkeypatch):
 
 
 def test_a_long_chain_takes_time_in_proportion(spark):
-    log = spark.range(100_000).selectExpr("id + 1 AS id", "timestamp_ntz'2024-01-01 00:00:00' AS event_ts", "'view' AS tool", "1L AS connection_id", "'c' AS connection_name", "'{}' AS arguments", "'allowed' AS outcome_raw", "'' AS reason", "1L AS row_count", "2L AS bytes", "3L AS duration_ms")
+    log = spark.range(100_000).selectExpr("id + 1 AS id", "timestamp_ntz'2024-01-01 00:00:00' AS event_ts", "'view' AS tool", "1L AS connection_id", "'c' AS connection_name", "'{}' AS arguments", "'allowed' AS outcome_raw", "'' AS reason", "1L AS row_count", "2L AS bytes", "3L AS duration_ms", "'x' AS client_name")
     began = time.time()
     chain = audit.with_chain(log)
     last = chain.orderBy(F.desc("seq")).first()
