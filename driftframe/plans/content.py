@@ -39,10 +39,18 @@ QUERIES["ud2"] = QUERIES["lb5"]
 _BLOCKS = fleet.ORACLE_TEXT["gn9"]
 VIEWS["script_rows"] = f"SELECT CASE part WHEN 0 THEN -1 - target ELSE id END AS doc_id, block AS text FROM ({_BLOCKS}) b"
 fixtures.BUILDERS["script_rows"] = lambda spark, sf_dir: QUERIES["gn9"](spark, sf_dir).select(F.when(F.col("part") == 0, -1 - F.col("target")).otherwise(F.col("id")).cast("long").alias("doc_id"), F.col("block").alias("text"))
-_RE = [h.replace("'", "''") for _, h in text.HEADS]
-_KIND = "CASE " + " ".join(f"WHEN regexp_matches(line, '{h}') THEN concat('{b}', upper(regexp_replace(regexp_extract(line, '{h}', 1), '\\s+', ' ', 'g')))" for (b, _), h in zip(text.HEADS, _RE, strict=True)) + " END"
-_CALLED = "CASE " + " ".join(f"WHEN regexp_matches(line, '{h}') THEN regexp_extract(line, '{h}', 2)" for h in _RE) + " END"
-bound("tx14", lambda s: text.outline(text.text_lines(s)), "script_rows", f"SELECT doc_id, CAST(line_no AS INT) AS line_no, kind, name, false AS truncated FROM (SELECT doc_id, line_no, {_KIND} AS kind, {_CALLED} AS name FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM script_rows) l) k WHERE kind IS NOT NULL")
+#: Heads in SQL: the words of a line, without those that may stand before a kind or a name.
+_WORDS = "list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '')"
+_BARE = "list_filter(w[2:], lambda x: upper(x) NOT IN ('OR', 'REPLACE', 'EDITIONABLE', 'NONEDITIONABLE', 'GLOBAL', 'TEMPORARY', 'UNIQUE', 'MATERIALIZED', 'IF', 'NOT', 'EXISTS'))"
+_MADE = "upper(b[1]) IN ('TABLE', 'INDEX', 'VIEW', 'PACKAGE', 'TYPE', 'SEQUENCE', 'PROCEDURE', 'FUNCTION', 'TRIGGER', 'SYNONYM')"
+_FIRST = "regexp_extract({}, '^(\"[^\"]+\"|[A-Za-z0-9_$#]+)(\\.(\"[^\"]+\"|[A-Za-z0-9_$#]+))?', 0)"
+_HEADED = f"""SELECT doc_id, line_no, CASE
+ WHEN upper(w[1]) = 'CREATE' AND {_MADE} THEN {{'kind': upper(b[1]), 'name': {_FIRST.format("b[2]")}}}
+ WHEN upper(w[1]) = 'ALTER' AND upper(w[2]) = 'TABLE' THEN {{'kind': 'ALTER TABLE', 'name': {_FIRST.format("w[3]")}}}
+ WHEN upper(w[1]) IN ('PROCEDURE', 'FUNCTION') THEN {{'kind': upper(w[1]), 'name': {_FIRST.format("w[2]")}}}
+ WHEN w[1] = '--' AND lower(w[2]) IN ('target:', 'table:') THEN {{'kind': upper(rtrim(w[2], ':')), 'name': trim(substr(line, strpos(line, ':') + 1))}} END AS head
+ FROM (SELECT *, {_BARE} AS b FROM (SELECT *, {_WORDS} AS w FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM script_rows) l) m) n"""
+bound("tx14", lambda s: text.outline(text.text_lines(s)), "script_rows", f"SELECT doc_id, CAST(line_no AS INT) AS line_no, head.kind AS kind, head.name AS name, false AS truncated FROM ({_HEADED}) h WHERE head.name <> ''")
 bound("tx14_capped", lambda t: text.outline(t.withColumn("line", F.concat(F.lit("alter table "), F.regexp_replace("line", "[^A-Za-z]", ""))), 2), "text_lines", "SELECT doc_id, line_no, 'ALTER TABLE' AS kind, name, n > 2 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS at_, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT doc_id, line_no, CASE WHEN length(r) > 2000 THEN concat(substr(r, 1, 2000), '…') ELSE r END AS name FROM (SELECT doc_id, line_no, regexp_replace(line, '[^A-Za-z]', '', 'g') AS r FROM text_lines) x WHERE r <> '') y) z WHERE at_ <= 2")
 _CUT = "CASE WHEN length(line) > 2000 THEN concat(substr(line, 1, 2000), '…') ELSE line END"
 bound("tx15", text.preview, "text_lines", f"SELECT doc_id, coalesce(string_agg(concat(line, chr(10)), '' ORDER BY line_no) FILTER (bytes <= 4096), '') AS preview FROM (SELECT doc_id, line_no, line, sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS bytes FROM (SELECT doc_id, line_no, {_CUT} AS line FROM text_lines WHERE line_no <= 40) c) r GROUP BY doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.operators import catalog, drift, repair, rules, sql_log, summary
+from driftframe.operators import catalog, drift, heads, repair, rules, sql_log, summary
 from driftframe.plans.registry import ORACLE_TEXT, attribute_rows, bound, sql  # noqa: F401
 from driftframe.sources import fixtures
 from driftframe.sources.fixtures import VIEWS, view
@@ -165,7 +165,25 @@ VIEWS["sequence_ddls"] = """
 SELECT CAST(s_suppkey % 5 AS INT) AS server_id, concat('SEQ_', s_suppkey) AS name, CASE s_suppkey % 4 WHEN 0 THEN 'MATERIALIZED VIEW' WHEN 1 THEN 'TRIGGER' WHEN 2 THEN 'VIEW' ELSE 'SEQUENCE' END AS object_type,
  CASE s_suppkey % 4 WHEN 0 THEN concat('CREATE MATERIALIZED VIEW SEQ_', s_suppkey, ' AS SELECT 1 FROM dual;') WHEN 1 THEN concat('CREATE TRIGGER SEQ_', s_suppkey, ' x') WHEN 2 THEN 'CREATE OR REPLACE VIEW v AS SELECT 1'
   ELSE concat('CREATE SEQUENCE "APP"."SEQ_', s_suppkey, '"  START WITH ', s_nationkey + 7, ' INCREMENT BY 1   NOORDER  NOCYCLE noscale GLOBAL ;') END AS ddl FROM supplier"""
-bound("tx12", lambda d: d.where("object_type = 'SEQUENCE'").select("server_id", "name", catalog.clean_sequence("ddl").alias("cleaned")), "sequence_ddls", "SELECT CAST(s_suppkey % 5 AS INT) AS server_id, concat('SEQ_', s_suppkey) AS name, concat('CREATE SEQUENCE SEQ_', s_suppkey, ' START WITH 1 INCREMENT BY 1') AS cleaned FROM supplier WHERE s_suppkey % 4 = 3")
+#: Definitions as a catalog gives them: sequences and others, and code objects with schemas, quotes and words that scripts leave out.
+_CODE_DDL = {
+    "PROCEDURE": ("concat('CREATE OR REPLACE EDITIONABLE PROCEDURE \"APP\".\"', name, '\" AS BEGIN EDITIONABLE; END;')", "concat('CREATE OR REPLACE PROCEDURE APP.\"', name, '\" AS BEGIN EDITIONABLE; END;')"),
+    "PACKAGE BODY": ("concat('  CREATE NONEDITIONABLE  PACKAGE BODY \"', name, '\" AS', chr(10), 'x  ')", "concat('CREATE OR REPLACE PACKAGE BODY ', name, ' AS', chr(10), 'x')"),
+    "VIEW": ("concat('CREATE OR REPLACE FORCE EDITIONABLE VIEW ', name, ' (a) AS SELECT 1')", "concat('CREATE OR REPLACE FORCE VIEW ', name, ' (a) AS SELECT 1')"),
+    "SYNONYM": ("concat('create public synonym ', name, ' for app.x')", "concat('CREATE OR REPLACE PUBLIC SYNONYM ', name, ' for app.x')"),
+    "FUNCTION": ("concat('-- ', name, ' is wrapped')", "concat('-- ', name, ' is wrapped')"),
+}
+_CODE_KIND = "CASE (ascii(substr(name, length(name), 1)) + length(name)) % 5 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_CODE_DDL)) + " END"
+VIEWS["raw_ddls"] = f"""
+SELECT server_id, name, object_type, ddl FROM sequence_ddls WHERE object_type <> 'VIEW'
+UNION ALL SELECT server_id, name, kind, CASE kind {" ".join(f"WHEN '{k}' THEN {raw}" for k, (raw, _) in _CODE_DDL.items())} END FROM (SELECT server_id, name, {_CODE_KIND} AS kind FROM objects) o"""
+bound(
+    "tx12",
+    lambda d: d.select("server_id", "name", "object_type", heads.clean_definition("ddl", "object_type").alias("cleaned")),
+    "raw_ddls",
+    f"""SELECT server_id, name, object_type, CASE object_type {" ".join(f"WHEN '{k}' THEN {made}" for k, (_, made) in _CODE_DDL.items())}
+ WHEN 'SEQUENCE' THEN concat('CREATE SEQUENCE ', name, ' START WITH 1 INCREMENT BY 1') WHEN 'TRIGGER' THEN replace(ddl, 'CREATE TRIGGER', 'CREATE OR REPLACE TRIGGER') ELSE trim(ddl) END AS cleaned FROM raw_ddls""",
+)
 bound(
     "gn11_objects",
     catalog.deploy_objects,

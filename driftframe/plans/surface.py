@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftframe import functions
-from driftframe.operators import audit, rules, sinks, summary, text
+from driftframe.operators import audit, heads, rules, sinks, summary, text
 from driftframe.operators.shared import scratch, written
 from driftframe.plans import fleet  # noqa: F401  (views that this module reads)
 from driftframe.plans.registry import ORACLE_SQL, ORACLE_TEXT, QUERIES, bound, sql
@@ -201,6 +201,20 @@ QUERIES["ud3"] = _inlined
 ORACLE_SQL["ud3"] = """
 SELECT o_orderkey, trunc(o_totalprice / 100) AS hundreds, -floor(o_totalprice * 10 + 1e-9) / 10 AS tenths, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE 1.0 END AS filled, CAST(CASE WHEN o_orderkey % 7 > 3 THEN o_orderkey % 7 - 7 ELSE o_orderkey % 7 END AS DOUBLE) AS rest,
  CASE WHEN contains(substr(o_orderpriority, 2), 'I') THEN position('I' IN substr(o_orderpriority, 2)) + 1 ELSE 0 END AS place, CAST(o_custkey * 1000 AS DOUBLE) AS number, CAST(o_orderdate AS DATE) AS day FROM orders"""
-VIEWS["headers"] = """
-SELECT server_id, name, CASE server_id WHEN 0 THEN concat('create or replace  editionable Procedure "app"."', name, '" as begin null; end;') WHEN 1 THEN concat('  CREATE package   body App . ', name, ' as x') WHEN 2 THEN concat('create noneditionable type body ', name, ' as y') ELSE concat('select create view ', name) END AS ddl FROM objects"""
-bound("tx2", lambda h: h.withColumn("canonical", text.canonical_header("ddl", "app")), "headers", "SELECT *, CASE server_id WHEN 0 THEN concat('CREATE OR REPLACE PROCEDURE ', name, ' as begin null; end;') WHEN 1 THEN concat('CREATE OR REPLACE PACKAGE BODY ', name, ' as x') WHEN 2 THEN concat('CREATE OR REPLACE TYPE BODY ', name, ' as y') ELSE ddl END AS canonical FROM headers")
+#: Headers with what they become: spelling, own and other schemas, quotes, words that differ in meaning, kinds of every sort, no header.
+_HEADERS = (
+    ("concat('create or replace  editionable Procedure \"app\".\"', name, '\"  is begin null; end;')", "concat('CREATE PROCEDURE ', name, ' IS begin null; end;')"),
+    ("concat('  CREATE package   body App.', lower(name), chr(10), 'as x')", "concat('CREATE PACKAGE BODY ', name, chr(10), 'as x')"),
+    ("concat('create noneditionable type body \"Other\".', name, ' as y')", "concat('CREATE NONEDITIONABLE TYPE BODY \"Other\".', name, ' AS y')"),
+    ("concat('create or replace force view app.\"my', name, '\"(a) as select 1')", "concat('CREATE FORCE VIEW \"my', name, '\" (a) as select 1')"),
+    ("concat('Create Global Temporary Table ', name, '(a int)')", "concat('CREATE GLOBAL TEMPORARY TABLE ', name, ' (a int)')"),
+    ("concat('create unique index app . ', name, ' on t(a)')", "concat('CREATE UNIQUE INDEX APP . ', name, ' on t(a)')"),
+    ("concat('create or replace public synonym ', name, ' for x.y;')", "concat('CREATE PUBLIC SYNONYM ', name, ' for x.y;')"),
+    ("concat('CREATE SEQUENCE ', name)", "concat('CREATE SEQUENCE ', name)"),
+    ("concat('create or view ', name)", "concat('create or view ', name)"),
+    ("concat('create view ', name, '. as select 1')", "concat('create view ', name, '. as select 1')"),
+    ("concat('select create view ', name)", "concat('select create view ', name)"),
+)
+_WHICH = f"(ascii(substr(name, length(name), 1)) + server_id) % {len(_HEADERS)}"
+VIEWS["headers"] = f"SELECT server_id, name, CASE {_WHICH} " + " ".join(f"WHEN {i} THEN {raw}" for i, (raw, _) in enumerate(_HEADERS)) + " END AS ddl FROM objects"
+bound("tx2", lambda h: h.withColumn("canonical", heads.canonical_header("ddl", "app")), "headers", f"SELECT *, CASE {_WHICH} " + " ".join(f"WHEN {i} THEN {made}" for i, (_, made) in enumerate(_HEADERS)) + " END AS canonical FROM headers")

@@ -9,7 +9,7 @@ import time
 
 import duckdb
 import pytest
-from driftframe.operators import audit, drift, lob, repair, rules, sinks, sql_log, text
+from driftframe.operators import audit, drift, heads, lob, repair, rules, sinks, sql_log, text
 from driftframe.plans import content, fleet, registry, surface  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -205,9 +205,77 @@ def test_normal_form_is_idempotent(spark):
     assert once.select(text.normalize("t", "oracle").alias("t")).collect() == once.collect()
 
 
-def test_canonical_header(spark):
-    df = spark.createDataFrame([('create  editionable package  body "APP"."Pk" as\n x',), ("select 1",)], "t string")
-    assert [r[0] for r in df.select(text.canonical_header("t", "app")).collect()] == ["CREATE OR REPLACE PACKAGE BODY PK as\n x", "select 1"]
+@pytest.mark.parametrize(
+    ("ddl", "want"),
+    [
+        ('create  editionable package  body "APP"."PK" as\n x', "CREATE PACKAGE BODY PK AS\n x"),
+        ('noneditionable procedure "MyProc"', 'noneditionable procedure "MyProc"'),
+        ('create or replace noneditionable procedure "MyProc" is', 'CREATE NONEDITIONABLE PROCEDURE "MyProc" IS'),
+        ("create force view app.V1", "CREATE FORCE VIEW V1"),
+        ("create or replace editioning view v as select 1", "CREATE EDITIONING VIEW V AS select 1"),
+        ("create\ntable\tother.t1(a int)", "CREATE TABLE OTHER.T1 (a int)"),
+        ("create bitmap index i on t(a)", "CREATE BITMAP INDEX I on t(a)"),
+        ("create private temporary table t", "CREATE PRIVATE TEMPORARY TABLE T"),
+        ("create sequence s", "CREATE SEQUENCE S"),
+        ("create or replace public synonym s for t", "CREATE PUBLIC SYNONYM S for t"),
+        ("create materialized view mv\n as x", "CREATE MATERIALIZED VIEW MV\n as x"),
+        ('create trigger "A B"."C" before', 'CREATE TRIGGER "A B".C before'),
+        ("create type body", "create type body"),
+        ("create package body", "create package body"),
+        ("create type bodyguard as object", "CREATE TYPE BODYGUARD AS object"),
+        ("create table 1t", "create table 1t"),
+        ('create table ""', 'create table ""'),
+        ("create or table t", "create or table t"),
+        ("create user u", "create user u"),
+        ("select 1", "select 1"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_canonical_header(spark, ddl, want):
+    df = spark.createDataFrame([(ddl,)], "t string")
+    assert df.select(heads.canonical_header("t", " app ")).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("CREATE OR REPLACE EDITIONABLE PACKAGE BODY app.pk AS", ("PACKAGE BODY", "app.pk")),
+        ("  create unique index \"I x\" on t", ("INDEX", '"I x"')),
+        ("create global temporary table if not exists t1(a int)", ("TABLE", "t1")),
+        ("create table if not t1", ("TABLE", "if")),
+        ("create package body", ("PACKAGE", "body")),
+        ("alter table a.b add c int", ("ALTER TABLE", "a.b")),
+        ("alter index i rebuild", None),
+        ("  procedure p(a int) is", ("PROCEDURE", "p")),
+        ("function f return int", ("FUNCTION", "f")),
+        ("-- Table:  my table  ", ("TABLE", "my table")),
+        ("--target data source: x:y", ("TARGET DATA SOURCE", "x:y")),
+        ("-- table:", None),
+        ("create view", None),
+        ("create force view v", None),
+        ("select 1", None),
+        ("", None),
+    ],
+)
+def test_line_heads(spark, line, want):
+    got = spark.createDataFrame([(line,)], "t string").select(heads.line_head("t")).first()[0]
+    assert (got and tuple(got)) == want
+
+
+def test_clean_definitions(spark):
+    rows = [
+        ('CREATE SEQUENCE "APP"."S1"  MINVALUE 1 START WITH 4711 CACHE 20 NOORDER  NOCYCLE NOKEEP NOSCALE GLOBAL;', "SEQUENCE", "CREATE SEQUENCE S1 MINVALUE 1 START WITH 1 CACHE 20"),
+        ("create sequence s\n start with 5\n nocycle;\n", "SEQUENCE", "create sequence s\n start with 1"),
+        (' CREATE OR REPLACE EDITIONABLE TRIGGER "TR" BEFORE x\n', "TRIGGER", "CREATE OR REPLACE TRIGGER TR BEFORE x"),
+        ("CREATE TYPE BODY t AS x", "TYPE BODY", "CREATE OR REPLACE TYPE BODY T AS x".replace("T AS", "t AS")),
+        ("CREATE MATERIALIZED VIEW m", "MATERIALIZED VIEW", "CREATE MATERIALIZED VIEW m"),
+        (None, "VIEW", None),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "d string, k string")
+    assert [r[0] for r in df.select(heads.clean_definition("d", "k")).collect()] == [r[2] for r in rows]
+    conditions = spark.createDataFrame([('"A_1" is NOT  null',), (" b IS NOT NULL ",), ("c is not null or d",), ("f(x) is not null",), ("",)], "c string")
+    assert [r[0] for r in conditions.select(heads.not_null_column("c")).collect()] == ["A_1", "b", "", "", ""]
 
 
 def test_diff_rebuilds_both_texts(spark, sf_dir):
