@@ -21,7 +21,7 @@ from .vectors import grid, matrix, numbers, one_size, usable
 QUERY_STEP = 20
 NEIGHBOURS = 20
 #: By how much the pruning is relaxed; one searches exactly.
-FACTOR = 2.0
+FACTOR = 1.5
 #: Rows of a leaf. Rows of which a vantage point is chosen, the one that spreads the others most, and on how many of these that is measured.
 LEAF = 256
 CANDIDATES, SPREAD = 4, 64

@@ -34,12 +34,20 @@ def usable(row):
     return row[0] is not None and row[1] and all(x is not None and math.isfinite(x) for x in row[1])
 
 
+def added(a, b):
+    """Component by component; ``sum`` would round otherwise."""
+    total = 0.0
+    for x, y in zip(a, b, strict=True):
+        total += x * y
+    return total
+
+
 def brute_neighbours(rows, n=20):
     own = [(i, np.array(v, dtype=float)) for i, v, _ in filter(usable, rows) if any(v)]
     out = []
     for q, a in own:
         if q % 20 == 0:
-            found = sorted((-sum(x * y for x, y in zip(a.tolist(), b.tolist(), strict=True)), i) for i, b in own if i != q)[:n]
+            found = sorted((-added(a.tolist(), b.tolist()), i) for i, b in own if i != q)[:n]
             out += [(q, k, i, -s) for k, (s, i) in enumerate(found, 1)]
     return sorted(out)
 
