@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe import functions
 from driftframe.operators import audit, heads, rules, sinks, summary, text
 from driftframe.operators.shared import scratch, written
 from driftframe.plans import fleet  # noqa: F401  (views that this module reads)
@@ -21,22 +20,38 @@ sql("sc1", "SELECT c.server_id, c.table_name, c.column_name, c.data_type, c.data
 sql("sc2", "SELECT server_id, table_id, column_name, first_name AS index_name FROM index_choice")
 sql("sc6", "SELECT column_name, column_id FROM fleet_columns WHERE server_id = 0 AND table_name = 'T1'")
 sql("sc10", "SELECT server_id, table_name, ddl FROM table_ddls WHERE table_name IN (SELECT table_name FROM discrepancies WHERE element = 'TABLE')")
-sql("sc13", "SELECT array_to_string((list(DISTINCT said ORDER BY said))[1:3], ' | ') AS digest, count(*) AS n FROM (SELECT concat(connection_name, ': ', tool, ' ', duration_ms % 4) AS said FROM audit_log WHERE outcome_raw = 'error') e", "SELECT array_join(slice(array_sort(collect_set(said)), 1, 3), ' | ') AS digest, count(*) AS n FROM (SELECT concat(connection_name, ': ', tool, ' ', duration_ms % 4) AS said FROM audit_log WHERE outcome_raw = 'error') e")
+bound(
+    "sc13",
+    lambda log: fanout.error_digest(log.where("outcome_raw = 'error'").select("connection_name", F.concat("tool", F.lit(" "), F.col("duration_ms") % 4).alias("why")), "connection_name", "why", 3),
+    "audit_log",
+    "SELECT array_to_string((list(DISTINCT said ORDER BY said))[1:3], ' | ') AS digest, count(*) AS n FROM (SELECT concat(connection_name, ': ', tool, ' ', duration_ms % 4) AS said FROM audit_log WHERE outcome_raw = 'error') e",
+)
 
 
 def _fleet(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts, a fifth on each of five servers, and a sixth server that can't be read."""
-    part = lambda k: lambda: spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_partkey") % 5 == k)
-    readers = {(k, n): part(k) for k, n in enumerate(("alpha", "Bravo", "charlie", "delta", "Echo"))}
-    readers[(5, "Foxtrot")] = lambda: spark.read.parquet(f"{sf_dir}/no_such_table.parquet")
-    return fanout.fan_out(spark, readers, lambda df: df.select("p_partkey", "p_name", "p_size"))
+    """Parts, a fifth on each of five servers, and four servers that can't be read: none there, no Parquet, other columns, broken after good files."""
+    out = scratch(spark)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part.withColumn("server", F.col("p_partkey") % 5).write.partitionBy("server").parquet(f"{out}/parts")
+    part.select(F.concat("p_name", F.lit("\n")).alias("text")).write.text(f"{out}/corrupt")
+    part.select("p_partkey").write.parquet(f"{out}/other")
+    sources = [fanout.Source(k, n, (f"{out}/parts/server={k}",)) for k, n in enumerate(("alpha", "Bravo", "charlie", "delta", "Echo"))]
+    sources += [fanout.Source(5, "Foxtrot", (f"{out}/none",)), fanout.Source(6, "Golf", (f"{out}/corrupt",)), fanout.Source(7, "Hotel", (f"{out}/other",)), fanout.Source(8, "India", (f"{out}/parts/server=0", f"{out}/corrupt"))]
+    return fanout.fan_out(spark, sources, "p_partkey long, p_name string, p_size int")
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, or the error, of each server."""
+    rows, errors = _fleet(spark, sf_dir)
+    told = rows.groupBy("server_name").agg(F.count("*").alias("n")).withColumn("error", F.lit(None).cast("string"))
+    return told.unionByName(errors.select("server_name", F.lit(0).cast("long").alias("n"), "error"))
 
 
 QUERIES["sc11"] = lambda spark, sf_dir: _fleet(spark, sf_dir)[0]
-QUERIES["sc12"] = lambda spark, sf_dir: _fleet(spark, sf_dir)[0].groupBy("server_name").agg(F.count("*").alias("n")).withColumn("error", F.lit(None).cast("string")).unionByName(_fleet(spark, sf_dir)[1].select("server_name", F.lit(0).cast("long").alias("n"), "error"))
+QUERIES["sc12"] = _outcomes
 _NAMES_OF = "list_extract(['alpha', 'Bravo', 'charlie', 'delta', 'Echo'], CAST(p_partkey % 5 + 1 AS INT))"
 ORACLE_SQL["sc11"] = f"SELECT CAST(p_partkey % 5 AS INT) AS server_id, {_NAMES_OF} AS server_name, p_partkey, p_name, p_size FROM part"
-ORACLE_SQL["sc12"] = f"SELECT {_NAMES_OF} AS server_name, count(*) AS n, NULL AS error FROM part GROUP BY 1 UNION ALL SELECT 'Foxtrot', 0, 'AnalysisException'"
+ORACLE_SQL["sc12"] = f"SELECT {_NAMES_OF} AS server_name, count(*) AS n, NULL AS error FROM part GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('Foxtrot', 0, 'FileNotFoundError'), ('Golf', 0, 'ArrowInvalid'), ('Hotel', 0, 'ArrowInvalid'), ('India', 0, 'ArrowInvalid')) e"
 ORACLE_SQL["sk1"] = f"SELECT {_NAMES_OF} AS \"Server\", p_partkey, p_name, p_size FROM part"
 ORACLE_SQL["sk2"] = f"SELECT CAST(p_partkey % 5 AS INT) AS server_id, {_NAMES_OF} AS server_name, p_partkey, p_name, p_size, {_NAMES_OF} AS sheet_name FROM part"
 ORACLE_SQL["sk3"] = f"SELECT {_NAMES_OF} AS \"Server\", p_partkey, p_name, TRY_CAST(p_name AS DOUBLE) AS p_name_number, p_size FROM part"
@@ -169,7 +184,6 @@ bound("fl12", lambda o: sinks.table_query(o, **_SPEC), "orders", "SELECT o_order
 sql("sf1", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 4) AS s, round(avg(l_quantity), 6) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi, round(stddev(l_quantity), 6) AS sd, round(stddev_pop(l_quantity), 6) AS sp, round(var_pop(l_quantity), 5) AS vp, round(var_samp(l_quantity), 5) AS vs, round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_pop(l_quantity, l_discount), 6) AS cp, round(covar_samp(l_quantity, l_discount), 6) AS cs, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS pc FROM lineitem GROUP BY l_returnflag")
 sql("sf2", "SELECT n_regionkey, n_nationkey, count(*) AS n, CAST(grouping(n_regionkey) * 2 + grouping(n_nationkey) AS INT) AS gid FROM nation GROUP BY ROLLUP (n_regionkey, n_nationkey)")
 sql("sf4", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS seg, greatest(c_nationkey, 10) AS g, least(c_nationkey, 10) AS l, CAST(c_nationkey AS VARCHAR(10)) AS t FROM customer")
-sql("sf5", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS shown, CAST(substr(CAST(o_orderkey AS VARCHAR), 1, 2) AS INT) AS num FROM orders", "SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') AS shown, CAST(substr(CAST(o_orderkey AS STRING), 1, 2) AS INT) AS num FROM orders")
 sql("sf6", "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l, trim(concat(' ', n_name, ' ')) AS t, lpad(n_name, 12, '*') AS lp, rpad(n_name, 12, '*') AS rp, substr(n_name, 2, 3) AS s, length(n_name) AS n, replace(n_name, 'A', 'x') AS r, translate(n_name, 'AE', 'ae') AS tr, ascii(n_name) AS a, chr(65) AS c, position('A' IN n_name) AS p FROM nation")
 sql("sf7", "SELECT p_partkey, abs(-p_size) AS a, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, round(p_retailprice, 1) AS r, p_size % 7 AS m, round(sqrt(p_size), 6) AS sq, round(exp(p_size / 50.0), 6) AS e, round(ln(p_size + 1), 6) AS l, round(log10(p_size + 1), 6) AS lg, sign(p_size - 25) AS sg, round(sin(p_size), 6) AS si, round(atan2(p_size, 2), 6) AS at2, CAST(floor(p_size / 10.0) AS INT) + 1 AS bucket FROM part")
 sql("sf8", "SELECT o_orderkey, extract(year FROM o_orderdate) AS y, extract(month FROM o_orderdate) AS m, extract(day FROM o_orderdate) AS d, current_date IS NOT NULL AS has_now FROM orders")
@@ -177,30 +191,14 @@ sql("sf9", "SELECT p_partkey, CAST(p_retailprice AS DECIMAL(12, 2)) AS d, CAST(p
 sql("sf10", "SELECT c_nationkey, median(c_acctbal) AS med, string_agg(c_mktsegment, ',' ORDER BY c_mktsegment) AS segs, round(sum(c_acctbal) / (SELECT sum(c_acctbal) FROM customer), 9) AS share FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, median(c_acctbal) AS med, listagg(c_mktsegment, ',') WITHIN GROUP (ORDER BY c_mktsegment) AS segs, round(sum(c_acctbal) / (SELECT sum(c_acctbal) FROM customer), 9) AS share FROM customer GROUP BY c_nationkey")
 sql("sf11", "SELECT id, CASE WHEN reason = '' THEN 'none' ELSE reason END AS nvl, CASE tool WHEN 'view' THEN 'v' WHEN 'click' THEN 'c' ELSE 'x' END AS dec FROM audit_log", "SELECT id, nvl(nullif(reason, ''), 'none') AS nvl, decode(tool, 'view', 'v', 'click', 'c', 'x') AS dec FROM audit_log")
 sql("sf12", "SELECT n_nationkey, instr(n_name, 'A') AS i, octet_length(encode(n_name)) AS b, regexp_extract(n_name, '[AEIOU]+') AS sub, len(regexp_extract_all(n_name, '[AEIOU]')) AS cnt, regexp_matches(n_name, '^[A-M]') AS lk FROM nation", "SELECT n_nationkey, instr(n_name, 'A') AS i, octet_length(n_name) AS b, regexp_extract(n_name, '[AEIOU]+', 0) AS sub, regexp_count(n_name, '[AEIOU]') AS cnt, n_name RLIKE '^[A-M]' AS lk FROM nation")
-sql("sf13", "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + INTERVAL 2 MONTH, '%Y-%m-%d') AS am, strftime(last_day(CAST(o_orderdate AS DATE)), '%Y-%m-%d') AS ld, o_orderkey & 7 AS ba FROM orders", "SELECT o_orderkey, date_format(add_months(CAST(o_orderdate AS DATE), 2), 'yyyy-MM-dd') AS am, date_format(last_day(CAST(o_orderdate AS DATE)), 'yyyy-MM-dd') AS ld, o_orderkey & 7 AS ba FROM orders")
 sql("sf14", "SELECT n_nationkey, hex(encode(n_name)) AS h, decode(unhex(hex(encode(n_name)))) AS back, CAST(n_nationkey AS DOUBLE) AS d FROM nation", "SELECT n_nationkey, hex(n_name) AS h, decode(unhex(hex(n_name)), 'UTF-8') AS back, CAST(n_nationkey AS DOUBLE) AS d FROM nation")
-sql("sf15", "SELECT event_id, json_extract_string(props, '$.k') AS v, json_extract_string(props, '$.k') IS NOT NULL AS ex, concat('{\"id\":', event_id, '}') AS obj FROM events", "SELECT event_id, get_json_object(props, '$.k') AS v, get_json_object(props, '$.k') IS NOT NULL AS ex, to_json(named_struct('id', event_id)) AS obj FROM events")
 sql("sf16", "SELECT c_nationkey, bool_and(c_acctbal > -900) AS ba, bool_or(c_acctbal > 9000) AS bo, bit_and(c_custkey) AS bi, bit_or(c_custkey) AS br, count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY c_nationkey")
 sql("sf17", "SELECT n_nationkey, left(n_name, 2) AS l, right(n_name, 2) AS r, split_part(n_name, 'A', 1) AS sp, reverse(n_name) AS rv, md5(n_name) AS m, concat_ws('-', n_name, n_nationkey) AS cw, strpos(n_name, 'A') AS st, starts_with(n_name, 'A') AS sw FROM nation", "SELECT n_nationkey, left(n_name, 2) AS l, right(n_name, 2) AS r, split_part(n_name, 'A', 1) AS sp, reverse(n_name) AS rv, md5(n_name) AS m, concat_ws('-', n_name, n_nationkey) AS cw, locate('A', n_name) AS st, startswith(n_name, 'A') AS sw FROM nation")
 sql("sf18", "SELECT p_partkey, ceiling(p_retailprice) AS c, round(cbrt(p_size), 6) AS cb, round(degrees(p_size), 5) AS dg, round(radians(p_size), 9) AS rd, round(pi(), 9) AS pi, p_size // 3 AS dv FROM part", "SELECT p_partkey, ceiling(p_retailprice) AS c, round(cbrt(p_size), 6) AS cb, round(degrees(p_size), 5) AS dg, round(radians(p_size), 9) AS rd, round(pi(), 9) AS pi, p_size div 3 AS dv FROM part")
-sql("sf19", "SELECT event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS h, date_part('dow', ts) AS dow, strftime(make_date(2024, 1, CAST(1 + event_id % 28 AS INT)), '%Y-%m-%d') AS md, now() IS NOT NULL AS n FROM events", "SELECT event_id, date_format(date_trunc('hour', ts), 'yyyy-MM-dd HH:mm:ss') AS h, dayofweek(ts) - 1 AS dow, date_format(make_date(2024, 1, CAST(1 + event_id % 28 AS INT)), 'yyyy-MM-dd') AS md, now() IS NOT NULL AS n FROM events")
 sql("sf20", "SELECT n_nationkey, len(string_split(n_name, 'A')) AS n, array_to_string(string_split(n_name, 'A'), '|') AS j, coalesce(list_position(string_split(n_name, 'A'), 'N'), 0) AS p, len(list_append(string_split(n_name, 'A'), 'x')) AS ap FROM nation", "SELECT n_nationkey, size(split(n_name, 'A')) AS n, array_join(split(n_name, 'A'), '|') AS j, array_position(split(n_name, 'A'), 'N') AS p, size(array_append(split(n_name, 'A'), 'x')) AS ap FROM nation")
-sql("sf21", "SELECT r_regionkey, json_array_length('[1,2,3]') AS n, concat('{\"k\":', r_regionkey, ',\"n\":\"', r_name, '\"}') AS obj FROM region", "SELECT r_regionkey, json_array_length('[1,2,3]') AS n, to_json(named_struct('k', r_regionkey, 'n', r_name)) AS obj FROM region")
 sql("sf22", "WITH big(k, n) AS (SELECT o_custkey, count(*) FILTER (WHERE o_totalprice > 1000) FROM orders GROUP BY o_custkey) SELECT c_custkey, CASE WHEN n BETWEEN 1 AND 5 THEN 'few' WHEN n > 5 THEN 'many' ELSE 'none' END AS size, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS has_f FROM customer LEFT JOIN big ON k = c_custkey ORDER BY c_custkey LIMIT 500 OFFSET 10")
 
 
-def _inlined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    functions.register(spark)
-    return view(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey", "trunc_number(o_totalprice / 100, 0) AS hundreds", "trunc_number(-o_totalprice, 1) AS tenths", "nanvl_number(IF(o_orderkey % 3 = 0, double('NaN'), 1.0D), 0.0D) AS filled",
-        "remainder_number(o_orderkey, 7) AS rest", "instr_from(o_orderpriority, 'I', 2, 1) AS place", "to_number_text(concat(' $', o_custkey, ',000 ')) AS number", "to_date_text(date_format(o_orderdate, 'dd-MM-yyyy'), 'DD-MM-YYYY') AS day",
-    )
-
-
-QUERIES["ud3"] = _inlined
-ORACLE_SQL["ud3"] = """
-SELECT o_orderkey, trunc(o_totalprice / 100) AS hundreds, -floor(o_totalprice * 10 + 1e-9) / 10 AS tenths, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE 1.0 END AS filled, CAST(CASE WHEN o_orderkey % 7 > 3 THEN o_orderkey % 7 - 7 ELSE o_orderkey % 7 END AS DOUBLE) AS rest,
- CASE WHEN contains(substr(o_orderpriority, 2), 'I') THEN position('I' IN substr(o_orderpriority, 2)) + 1 ELSE 0 END AS place, CAST(o_custkey * 1000 AS DOUBLE) AS number, CAST(o_orderdate AS DATE) AS day FROM orders"""
 #: Headers with what they become: spelling, own and other schemas, quotes, words that differ in meaning, kinds of every sort, no header.
 _HEADERS = (
     ("concat('create or replace  editionable Procedure \"app\".\"', name, '\"  is begin null; end;')", "concat('CREATE PROCEDURE ', name, ' IS begin null; end;')"),

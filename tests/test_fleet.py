@@ -10,7 +10,8 @@ import time
 import duckdb
 import pytest
 from driftframe.operators import audit, drift, heads, lob, repair, rules, sinks, sql_log, text
-from driftframe.plans import content, fleet, registry, surface  # noqa: F401
+from driftframe.plans import content, dialects, fleet, registry, surface  # noqa: F401
+from driftframe.sources import fanout
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -192,6 +193,50 @@ def test_canonical_entries_are_json(spark):
     assert body == json.dumps(json.loads(body), ensure_ascii=False, separators=(",", ":"))
 
 
+def _numbers():
+    """A reader of sources of two batches that may break before, between or after them; made here, so that it is sent by its code."""
+
+    def read(path, names):
+        import pyarrow as pa
+
+        if path == "none":
+            raise ConnectionError("no such host")
+        yield pa.RecordBatch.from_pydict({"a": [1, 2], "b": ["x", None]})
+        if path == "breaks":
+            raise TimeoutError("too slow " * 1000)
+        yield pa.RecordBatch.from_pydict({"a": [3], "b": ["y"]})
+        if path == "late":
+            raise ValueError("at the end")
+        if path == "other":
+            yield pa.RecordBatch.from_pydict({"a": ["not a number"], "b": ["z"]})
+
+    return read
+
+
+def test_sources_fail_for_themselves(spark):
+    kinds = ["good", "none", "breaks", "late", "other"]
+    sources = [fanout.Source(k, n, (n,)) for k, n in enumerate(kinds)] + [fanout.Source(9, "mixed", ("good", "late")), fanout.Source(10, "twice", ("good", "good"))]
+    rows, errors = fanout.fan_out(spark, sources, "a long, b string", _numbers())
+    got = sorted((r.server_id, r.server_name, r.a, r.b) for r in rows.collect())
+    assert got == sorted([(k, n, a, b) for k, n, times in ((0, "good", 1), (10, "twice", 2)) for a, b in ((1, "x"), (2, None), (3, "y")) * times], key=lambda r: (r[0], r[2]))
+    said = {r.server_name: (r.error, len(r.message)) for r in errors.collect()}
+    assert said == {"none": ("ConnectionError", 12), "breaks": ("TimeoutError", 2000), "late": ("ValueError", 10), "other": ("ArrowInvalid", said["other"][1]), "mixed": ("ValueError", 10)}
+    many, _ = fanout.fan_out(spark, [fanout.Source(k, f"s{k}", ("good",)) for k in range(60)], "a long, b string", _numbers())
+    assert many.count() == 180
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert size(many) == size(rows)
+
+
+def test_no_source_no_rows(spark):
+    rows, errors = fanout.fan_out(spark, [fanout.Source(1, "x", ("none",))], "a long, b string", _numbers())
+    assert rows.count() == 0 and errors.count() == 1
+
+
+def test_error_digest_shows_the_first(spark):
+    errors = spark.createDataFrame([("b", "late"), ("a", "late"), ("a", "late"), ("c", "gone")], "name string, error string")
+    assert tuple(fanout.error_digest(errors, "name", "error", 2).first()) == ("a: late | b: late", 4)
+
+
 def test_csv_guard(spark):
     values = ["=1+1", "a,b", 'say "x"', "plain", "", "-5"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
