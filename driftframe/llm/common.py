@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one group of documents holds in a task's memory, on average.
 GROUP_BYTES = 12 << 20
+#: Shuffle partitions that groups are dealt to at most.
+MOST_PARTITIONS = 20_000
 #: Files that a compact table has at most where the cluster is small.
 FEWEST_FILES = 24
 #: A key that has more than this part of the rows to join, and more rows than HOT_LEAST, is hot.
@@ -87,6 +89,11 @@ def group_count(total_bytes: int, each: int = GROUP_BYTES) -> int:
     return max(1, math.ceil(total_bytes / each))
 
 
+def partitions(groups: int) -> int:
+    """Shuffle partitions that groups are dealt to, one for each group up to a bound; a task works on one group after the other."""
+    return min(groups, MOST_PARTITIONS)
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; stops counting beyond them."""
     return df.limit(rows + 1).count() <= rows

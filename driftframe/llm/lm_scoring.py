@@ -5,6 +5,10 @@ of these. Both have exact counts of all words and bigrams, by 64-bit hash, so th
 place: each group of documents sends its distinct keys with their counts, a range of keys is summed at once, and each group gets the
 sums of its own keys back. A key comes once from a group however common it is. A document's score is the mean over its tokens of the
 background's loss less the target's, in nats: higher is nearer to the target.
+
+The models are matched. Each document is scored by models without it: its own counts are taken out of both, so that having been counted
+is no merit. The background's counts are scaled to the target's number of tokens, as if it were an even sample of that size, and both
+models back off alike, from bigrams to words to the uniform, so that what neither has seen says nothing.
 """
 
 from __future__ import annotations
@@ -18,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import group_count, is_small, text_bytes, texts
-from .run_length_index import _bucket_edges, _column
+from .common import group_count, is_small, partitions, text_bytes, texts
+from .run_length_index import _column, cuts
 
-#: Weight of the bigram in the interpolation with the unigram, and of the uniform floor.
-BIGRAM = 0.7
-FLOOR = 0.05
+#: Added to the count of each word; occurrences of a word that its model of what follows it is backed off by.
+WORD_PRIOR = 0.5
+BIGRAM_PRIOR = 5.0
 
 #: Ids (8 bytes each) of target documents that are sent to every executor; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -88,9 +92,8 @@ def _uses(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         """For each bucket of the key space, the group's distinct keys and their counts."""
         _, known, target, background = _group(table)
-        edge, g = _bucket_edges(known, buckets), table.column("g")[0].as_py()
-        cuts = [(int(b), slice(edge[b], edge[b + 1])) for b in np.flatnonzero(np.diff(edge))]
-        return _rows([(b, g, known[s].tobytes(), _pack(target[s]), _pack(background[s])) for b, s in cuts], *_USES[1:])
+        g = table.column("g")[0].as_py()
+        return _rows([(b, g, known[s].tobytes(), _pack(target[s]), _pack(background[s])) for b, s in cuts(known, buckets)], *_USES[1:])
 
     return run
 
@@ -112,15 +115,25 @@ def _sums(table: pa.Table) -> pa.Table:
     return _rows(list(zip(table.column("bucket").to_pylist(), table.column("g").to_pylist(), *out, strict=True)), *_SUMS[1:])
 
 
-def _exact_losses(known: np.ndarray, counts: np.ndarray, total: int, vocabulary: int, word: np.ndarray, pair: np.ndarray, after: np.ndarray) -> np.ndarray:
-    uni = counts[np.searchsorted(known, word)].astype(np.float64)
-    single = (1 - FLOOR) * uni / max(1, total) + FLOOR / max(1, vocabulary)
-    before = np.zeros(len(word))
-    before[1:] = uni[:-1]
-    both = np.zeros(len(word))
-    both[after] = counts[np.searchsorted(known, pair[after])]
-    weight = np.where(after & (before > 0), BIGRAM, 0)
-    return -np.log(weight * both / np.maximum(before, 1) + (1 - weight) * single)
+def _within(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often each token's document has it."""
+    _, at, times = np.unique(K.keyed(hashes, doc), return_inverse=True, return_counts=True)
+    return times[at]
+
+
+def _losses(counts: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], total: np.ndarray, scale: float, vocabulary: int, after: np.ndarray) -> np.ndarray:
+    """The loss of each token in a model without its document.
+
+    counts: of the word, and of it with the one before, in all documents of the model; own: in the token's document, 0 if that is not of the
+    model; total: tokens of the model's other documents; scale: by which all are multiplied.
+    """
+    words = scale * (counts[0] - own[0])
+    single = (words + WORD_PRIOR) / (scale * total + WORD_PRIOR * max(1, vocabulary))
+    before = np.zeros(len(words))
+    before[1:] = words[:-1]
+    pairs = np.where(after, scale * (counts[1] - own[1]), 0)
+    both = (pairs + BIGRAM_PRIOR * single) / (before + BIGRAM_PRIOR)
+    return -np.log(np.where(after, both, single))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,15 +154,15 @@ def scores(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score) of each document of ``documents`` (doc_id, text, ...), the target being those of ``wanted`` (doc_id).
 
     A document without a word, or null, has no tokens and losses and score 0; a very long one is scored whole. Rows that tie or repeat a
-    doc_id, or have none, count and are scored each; other columns are ignored, whatever their names; an empty table gives no rows. The
-    floor is uniform over the vocabulary; without target documents it is the target's whole model.
+    doc_id, or have none, count and are scored each, each without itself only; other columns are ignored, whatever their names; an empty table
+    gives no rows. Without target documents both models are uniform and all scores 0.
     """
     marked = _marked(documents, wanted)
     words = marked.select("text", "wanted").mapInArrow(_word_counts, "word long, target long, background long").groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     size = words.agg(F.count("*").alias("words"), F.sum("target").alias("target"), F.sum("background").alias("background")).first()
     vocabulary, totals = size["words"], (size["target"] or 0, size["background"] or 0)
     groups = group_count(text_bytes(texts(documents)))
-    docs = marked.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long")).repartition(groups, "g")
+    docs = marked.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long")).repartition(partitions(groups), "g")
     by = lambda: docs.select(*(F.col(c).alias(c) for c in ("doc_id", "text", "wanted", "g"))).groupBy("g")
     sums = by().applyInArrow(_uses(groups), _USES[0]).groupBy("bucket").applyInArrow(_sums, _SUMS[0])
 
@@ -162,11 +175,19 @@ def scores(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             models.append((own, np.concatenate([np.zeros(0, np.int64), *_numbers(by_bucket, name)])))
         shared = models[1][1] > 0  # else the group's own counts are all
         counts = [np.where(shared, everywhere, own) for own, everywhere in models]
+        wanted = np.asarray(docs.column("wanted").to_numpy(), dtype=bool)
+        scales = (1.0, totals[0] / max(1, totals[1]))
         out = []
         for i, j, word, pair, after, first in parts:
-            n, means = np.diff(first), []
-            for c, total in zip(counts, totals, strict=True):
-                run_sum = np.concatenate([[0], np.cumsum(_exact_losses(known, c, total, vocabulary, word, pair, after))])
+            n, doc, means = np.diff(first), K.owner(first), []
+            at, both = np.searchsorted(known, word), np.zeros(len(word), dtype=np.int64)
+            both[after] = np.searchsorted(known, pair[after])
+            within = _within(word, doc), np.zeros(len(word), dtype=np.int64)
+            within[1][after] = _within(pair[after], doc[after])
+            for c, total, scale, counted in zip(counts, totals, scales, (wanted[i:j], np.ones(j - i, bool)), strict=True):
+                of_model = counted[doc]
+                loss = _losses((c[at], c[both]), tuple(np.where(of_model, x, 0) for x in within), total - np.where(of_model, n[doc], 0), scale, vocabulary, after)
+                run_sum = np.concatenate([[0], np.cumsum(loss)])
                 means.append((run_sum[first[1:]] - run_sum[first[:-1]]) / np.maximum(n, 1))
             out.append(pa.table([docs.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(means[0]), pa.array(means[1]), pa.array(means[1] - means[0])], names=names))
         return pa.concat_tables(out)

@@ -3,7 +3,8 @@
 A document's character-class and common-word histograms are compared with language references, counted by the
 lang column over all documents that pass the base rules, by Jensen-Shannon distance. A text is kept if some language is
 near in both; the limits are wider for short texts, and the shortest, too coarse to judge, pass. Every language with enough documents and
-words has a reference; a text of any other is judged by the references that there are, so that a few documents never vouch for themselves.
+words has a reference. A text of any other is not judged by what it resembles, as a few documents can't vouch for themselves and other languages
+say nothing of them: the base rules alone decide, and ``judged`` says so.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ CLASSES = 8
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double, judged boolean"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -216,7 +217,7 @@ def references(documents: DataFrame) -> Iterator[list[References]]:
         yield out
 
 
-CARRIED = "doc_id long, text string, c double, w double, best double"
+CARRIED = "doc_id long, text string, lang string, judged boolean, c double, w double, best double"
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
@@ -224,7 +225,8 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word, equal to an earlier one),
     n_repeat_words (words in three-word windows that come twice or more, the first included), base_failed, kept, and the
-    distances from the nearest language, 1 where no language has a reference. A null or empty text has no words and fails; a very long one is
+    distances from the nearest language, 1 where no language has a reference; judged says whether the row's lang has one, else the base rules
+    alone decide. A null or empty text has no words and fails; a very long one is
     judged whole. Rows that tie or repeat a doc_id, or have none, are judged each; a null lang is a language; other columns are ignored, whatever
     their names; an empty table gives no rows.
     """
@@ -233,25 +235,27 @@ def quality_rules(documents: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = K.buffers(batch.column(1))
+                language = np.array(batch.column(2).to_pylist(), dtype=object)
+                judged = batch.column(3).to_numpy(zero_copy_only=False).astype(bool) | np.isin(language, [k for refs in shared.value for k in refs.languages])
                 for i, j, part, offs in K.pieces(data, offsets, rows=PIECE_ROWS):
                     base, chars = Base(part, offs), _histogram(part, offs)
                     n = base.n
-                    found = tuple(batch.column(k).slice(i, j - i).to_numpy() for k in (2, 3, 4))
+                    found = tuple(batch.column(k).slice(i, j - i).to_numpy() for k in (4, 5, 6))
                     for refs in shared.value:
                         found = refs.nearer(chars, refs.counts(base.hashes, base.first), n, *found)
                     if not last:
-                        yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (0, 1)), *map(pa.array, found)], names=[c.split()[0] for c in CARRIED.split(", ")])
+                        yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (0, 1, 2)), pa.array(judged[i:j]), *map(pa.array, found)], names=[c.split()[0] for c in CARRIED.split(", ")])
                         continue
                     by_char, by_word, _ = found
                     char_limit, word_limit = limits(n)
-                    near = ((by_char <= char_limit) | (chars.sum(axis=1) < MIN_CHARS)) & ((by_word <= word_limit) | (n < MIN_COUNTED_WORDS))
+                    near = ~judged[i:j] | ((by_char <= char_limit) | (chars.sum(axis=1) < MIN_CHARS)) & ((by_word <= word_limit) | (n < MIN_COUNTED_WORDS))
                     columns = [n, base.word_chars, base.symbols, base.lines, base.repeat]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(base.failed), pa.array(~base.failed & near), pa.array(by_char), pa.array(by_word)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(base.failed), pa.array(~base.failed & near), pa.array(by_char), pa.array(by_word), pa.array(judged[i:j])], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         return run
 
     one = F.lit(1.0)
-    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), one.alias("c"), one.alias("w"), F.lit(float("inf")).alias("best"))
+    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), F.lit(False).alias("judged"), one.alias("c"), one.alias("w"), F.lit(float("inf")).alias("best"))
     context, before = documents.sparkSession.sparkContext, None
     for refs in references(documents):  # each step's are of bounded size
         if before is not None:

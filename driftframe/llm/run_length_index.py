@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import group_count, text_bytes, texts
+from .common import group_count, partitions, text_bytes, texts
 
 WIDTH = 50
 ANCHOR = 20
@@ -176,18 +176,19 @@ def _group(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.asarray(table.column("doc_id").to_numpy(), dtype=np.int64), data, offsets
 
 
-def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """For sorted keys, where each bucket of an equal share of the key space begins."""
-    bounds = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).astype(np.int64)
+def cuts(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """The buckets of equal shares of the key space that sorted keys lie in, each with its run of keys; work and memory are in the keys, not in the buckets."""
+    bucket = ((keys >> K.U64(32)) * K.U64(buckets)) >> K.U64(32)
+    head = _heads(bucket)
+    return [(int(bucket[a]), slice(int(a), int(b))) for a, b in zip(head, np.append(head, len(keys))[1:], strict=True)]
 
 
 def _small(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.astype(np.uint8).tobytes(), 1)
+    return zstandard.compress(values.astype(np.uint16).tobytes(), 1)
 
 
 def _smalls(table: pa.Table, name: str) -> list[np.ndarray]:
-    return [np.frombuffer(zstandard.decompress(x.as_py()), dtype=np.uint8) for c in table.column(name).chunks for x in c]
+    return [np.frombuffer(zstandard.decompress(x.as_py()), dtype=np.uint16) for c in table.column(name).chunks for x in c]
 
 
 def _heads(*columns: np.ndarray) -> np.ndarray:
@@ -206,9 +207,10 @@ def _rows(rows: list[tuple], names: list[str], kinds: tuple) -> pa.Table:
 
 def _anchor_rows(buckets: int, sizes: Sizes):
     def run(table: pa.Table) -> pa.Table:
-        """For each bucket, the group's distinct anchors with a byte each.
+        """For each bucket, the group's distinct anchors with two bytes each.
 
-        Its bits: whether several documents have the anchor, the logarithm of how many distinct stretches it has, four bits of a hash of all these.
+        Their bits: whether several documents have the anchor, the logarithm of how many distinct stretches it has (five bits, enough for any), four
+        bits of a hash of all these.
         """
         ids, data, offsets = _group(table)
         parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
@@ -222,10 +224,10 @@ def _anchor_rows(buckets: int, sizes: Sizes):
         several = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head) if len(head) else np.zeros(0, bool)
         held = np.searchsorted(texts, np.append(head, len(key)))
         mark = K.mix(np.add.reduceat(value[texts], held[:-1]) if len(head) else value) & K.U64(15)
-        power = np.minimum(np.ceil(np.log2(np.maximum(np.diff(held), 1))), 7)
-        said, key = several + 2 * power.astype(np.int64) + 16 * mark.astype(np.int64), key[head]
-        g, edge = table.column("g")[0].as_py(), _bucket_edges(key, buckets)
-        rows = [(int(b), g, key[edge[b] : edge[b + 1]].tobytes(), _small(said[edge[b] : edge[b + 1]])) for b in np.flatnonzero(np.diff(edge))]
+        power = np.ceil(np.log2(np.maximum(np.diff(held), 1)))
+        said, key = several + 2 * power.astype(np.int64) + 64 * mark.astype(np.int64), key[head]
+        g = table.column("g")[0].as_py()
+        rows = [(b, g, key[s].tobytes(), _small(said[s])) for b, s in cuts(key, buckets)]
         return _rows(rows, ["bucket", "g", "keys", "said"], (pa.int64(), pa.int64(), pa.binary(), pa.binary()))
 
     return run
@@ -248,11 +250,12 @@ def _repeated(sizes: Sizes):
         order = np.argsort(key, kind="stable")
         head = _heads(key[order])
         width = np.diff(np.append(head, len(key)))
-        held = np.add.reduceat(1 << ((told[order] >> 1) & 7).astype(np.int64), head)
-        kinds = np.bitwise_count(np.bitwise_or.reduceat(1 << (told[order] >> 4).astype(np.int64), head))  # one where all groups have the same stretches
+        own = 1 << ((told[order] >> 1) & 31).astype(np.int64)
+        held, most = np.add.reduceat(own, head), np.maximum.reduceat(own, head)
+        kinds = np.bitwise_count(np.bitwise_or.reduceat(1 << (told[order] >> 6).astype(np.int64), head))  # one where all groups have the same stretches
         shared, hot = np.empty(len(key), dtype=bool), np.empty(len(key), dtype=bool)
         shared[order] = np.repeat((width > 1) | (np.maximum.reduceat(told[order] & 1, head) > 0), width)
-        hot[order] = np.repeat((held > sizes.hot_texts) & (kinds > sizes.hot_kinds), width)
+        hot[order] = np.repeat((most > sizes.hot_texts) | (held > sizes.hot_texts) & (kinds > sizes.hot_kinds), width)
         rows = []
         for g, a, b in zip(table.column("g").to_pylist(), size[:-1], size[1:], strict=True):
             own = shared[a:b]
@@ -292,14 +295,13 @@ def _stretch_rows(buckets: int, sizes: Sizes):
         head = _heads(key, value)
         several = (np.maximum.reduceat(doc, head) != doc[head]) if len(head) else np.zeros(0, bool)
         key, value, doc, size, first = (x[head] for x in (key, value, doc, size, first))
-        g, edge, rows = docs.column("g")[0].as_py(), _bucket_edges(key, buckets), []
+        g, rows = docs.column("g")[0].as_py(), []
         if len(hot):
             rows.append((-1 - g, g, hot.tobytes(), *[b""] * 5))
-        for b in np.flatnonzero(np.diff(edge)):
-            s = slice(edge[b], edge[b + 1])
+        for b, s in cuts(key, buckets):
             total = np.concatenate([[0], np.cumsum(size[s])])
             own = raw[np.repeat(first[s] - total[:-1], size[s]) + np.arange(total[-1])]
-            rows.append((int(b), g, key[s].tobytes(), value[s].tobytes(), doc[s].astype(np.uint64).tobytes(), several[s].tobytes(), size[s].astype(np.uint8).tobytes(), zstandard.compress(own.tobytes(), 3)))
+            rows.append((b, g, key[s].tobytes(), value[s].tobytes(), doc[s].astype(np.uint64).tobytes(), several[s].tobytes(), size[s].astype(np.uint8).tobytes(), zstandard.compress(own.tobytes(), 3)))
         return _rows(rows, list(_STRETCHES), kinds)
 
     return run
@@ -589,7 +591,7 @@ def remove_repeats(documents: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     every = texts(documents)
     docs, lost = every.where("doc_id is not null"), every.where("doc_id is null")
     groups = group_count(text_bytes(docs))
-    docs = docs.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long")).repartition(groups, "g")
+    docs = docs.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long")).repartition(partitions(groups), "g")
     by = lambda: docs.select(*(F.col(c).alias(c) for c in ("doc_id", "text", "g"))).groupBy("g")
     anchors = docs.groupBy("g").applyInArrow(_anchor_rows(groups, sizes), "bucket long, g long, keys binary, said binary")
     shared = anchors.groupBy("bucket").applyInArrow(_repeated(sizes), "g long, anchors binary, hot binary")

@@ -25,6 +25,8 @@ from driftframe.llm import (
     token_counts,
 )
 
+from pyspark.sql import functions as F
+
 WHITE = re.compile(r"[^\x20\x09-\x0D]+")
 #: Extra columns have the names that operators use inside.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, n int, line string, rep int, g int, w string, component string"
@@ -181,6 +183,31 @@ def test_hot_anchors_are_split(spark, monkeypatch, groups):
     assert len(split[0]) > len(found[0]) and split[1].max() == 2 and split[1].sum() == found[1].sum() == len(data) - 49
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_an_anchor_of_many_stretches_is_hot_in_any_number_of_groups(groups):
+    """One passage with other text around it in each document: as many stretches as documents, known of one group as of several."""
+    import pyarrow as pa
+
+    rng, sizes = random.Random(3), run_length_index.Sizes(hot_texts=64)
+    rows = []
+    for g in range(groups):
+        texts = [f"{rng.randrange(10**20):020d}the quick brown fox jumps over it{rng.randrange(10**20):020d}{rng.randrange(10**20):020d}" for _ in range(300 // groups)]
+        ids = list(range(1000 * g, 1000 * g + len(texts)))
+        rows.append(run_length_index._anchor_rows(1, sizes)(pa.table({"doc_id": ids, "text": texts, "g": [g] * len(ids)})))
+    found = run_length_index._repeated(sizes)(pa.concat_tables(rows))
+    same = run_length_index._repeated(run_length_index.Sizes(hot_texts=512))(pa.concat_tables(rows))
+    assert all(len(x) > 0 for x in found.column("hot").to_pylist())
+    assert all(len(x) == 0 for x in same.column("hot").to_pylist())
+
+
+def test_cuts_are_the_buckets_that_have_keys():
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64))
+    for buckets in (1, 7, 10**6):
+        got = run_length_index.cuts(keys, buckets)
+        assert [(b, keys[s].tolist()) for b, s in got] == [(b, [k for k in keys.tolist() if ((k >> 32) * buckets) >> 32 == b]) for b in sorted({((k >> 32) * buckets) >> 32 for k in keys.tolist()})]
+    assert run_length_index.cuts(keys[:0], 5) == []
+
+
 def test_matching_statistics_are_those_of_brute_force():
     """Of strings that the index doesn't hold, with letters that it lacks."""
     rng = np.random.default_rng(3)
@@ -397,7 +424,7 @@ def test_quality_rules_tell_junk(spark, sf_dir):
 
 
 def brute_verdicts(rows):
-    """Kept and distances of (doc_id, text, lang), with plain counts of everything."""
+    """Kept, distances and whether judged by them of (doc_id, text, lang), with plain counts of everything."""
     kinds = [("abcdefghijklmnopqrstuvwxyz", 0), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), ("0123456789", 2), (" \t\n\x0b\x0c\r", 3), (".,;:!?'\"()-", 4), ("#*$%&|<>", 5)]
     kind = lambda c: next((k for chars, k in kinds if c in chars), 6 if ord(c) < 128 else 7)
 
@@ -426,7 +453,8 @@ def brute_verdicts(rows):
             common = [w for w, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON_WORDS]]
             refs.append((shares(Counter(kind(c) for t in own for c in t), range(8)), common, [counted[w] / sum(counted.values()) for w in common]))
     out = {}
-    for i, text, _ in rows:
+    known = {lang for lang, own in languages.items() if len(own) >= quality_rules.MIN_REFERENCE_DOCUMENTS and sum(len(words(t)) for t in own) >= quality_rules.MIN_REFERENCE_WORDS}
+    for i, text, lang in rows:
         w, best = words(text), (np.inf, 1.0, 1.0)
         limits = [float(x[0]) for x in quality_rules.limits(np.array([len(w)]))]
         for chars, common, freq in refs:
@@ -435,7 +463,8 @@ def brute_verdicts(rows):
             dw = distance([*own, max(0, 1 - sum(own))], [*freq, max(0, 1 - sum(freq))])
             best = min(best, (max(dc / limits[0], dw / limits[1]), dc, dw), key=lambda x: x[0])
         near = (best[1] <= limits[0] or len(text or "") < quality_rules.MIN_CHARS) and (best[2] <= limits[1] or len(w) < quality_rules.MIN_COUNTED_WORDS)
-        out[i] = (not base(text or "") and near, best[1], best[2])
+        judged = (lang or "") in known
+        out[i] = (not base(text or "") and (near or not judged), best[1], best[2], judged)
     return out
 
 
@@ -447,26 +476,29 @@ def test_quality_verdicts_match_plain_counts(spark):
             rows.append((len(rows), " ".join(rng.choice(pool) + rng.choice(("", "", ",", str(rng.randrange(9)))) for _ in range(rng.randrange(60, 260))), lang))
     mixed = sum(pools.values(), [])
     rows += [(len(rows) + k, " ".join(f"{rng.choice(mixed)}{rng.randrange(10**k)}" for _ in range(120)), "aa") for k in range(7)] + [(900, None, "aa"), (901, "", None)]
+    rows += [(910 + k, " ".join(rng.choice(["xyz", "zzz", "9", "#!"]) + str(rng.randrange(10**3)) for _ in range(300)), "small") for k in range(9)]
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     want = brute_verdicts(rows)
     assert {r.kept for r in got.values()} == {True, False}
-    for i, (kept, by_char, by_word) in want.items():
-        assert got[i].kept == kept and np.allclose((got[i].char_distance, got[i].word_distance), (by_char, by_word))
+    assert all(r.kept and not r.judged for i, r in got.items() if i >= 910)
+    for i, (kept, by_char, by_word, judged) in want.items():
+        assert got[i].kept == kept and got[i].judged == judged and np.allclose((got[i].char_distance, got[i].word_distance), (by_char, by_word))
 
 
 @pytest.mark.parametrize("at_once", [8192, 20])
 def test_quality_rules_know_every_language(spark, monkeypatch, at_once):
-    """More than 64 languages of other words each, the last ones smaller; junk that has a lang of its own."""
+    """More than 64 languages of other words each, the last ones smaller; junk in one of them, and in a lang of its own, which has no reference."""
     monkeypatch.setattr(quality_rules, "STEP_LANGUAGES", at_once)
     rng, rows = random.Random(6), []
     for k in range(70):
         own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)]
         rows += [(len(rows) + d, " ".join(rng.choice(own) for _ in range(250 if k < 64 else 220)), f"l{k:02d}") for d in range(12)]
     junk = "".join(f"{rng.randrange(10**9)} " for _ in range(4000))
-    rows.append((5000, junk, "junk"))
+    rows += [(5000, junk[:2500], "l05"), (5001, junk, "junk")]
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not got[5000].base_failed and not got[5000].kept
-    assert all(r.kept for i, r in got.items() if i != 5000)
+    assert got[5001].kept and not got[5001].judged
+    assert all(r.kept and r.judged for i, r in got.items() if i < 5000)
 
 
 def brute_spans(text):
@@ -548,31 +580,36 @@ def test_quality_classifier_learns_from_few(spark):
 
 
 def brute_cross_entropy(rows, wanted):
-    counts = [(defaultdict(int), defaultdict(int)) for _ in range(2)]
-    tokens = {i: words(lower(t)) for i, t in rows}
-    for i, w in tokens.items():
-        for uni, pair in counts[: 1 + (i in wanted)]:  # all documents, then the target
-            for k, x in enumerate(w):
-                uni[x] += 1
-                pair[tuple(w[k - 1 : k + 1])] += k > 0
+    tokens = [(i, words(lower(t))) for i, t in rows]
+    everything, target = Counter(), Counter()
+    for i, w in tokens:
+        for model in (everything, target) if i in wanted else (everything,):
+            model.update(w)
+            model.update(zip(w, w[1:], strict=False))
+    size = lambda m: sum(n for k, n in m.items() if isinstance(k, str))
+    vocabulary, sizes = sum(isinstance(k, str) for k in everything), (size(target), size(everything))
     out = {}
-    for i, w in tokens.items():
-        means = []
-        for uni, pair in counts:
-            total = 0
+    for i, w in tokens:
+        means, own = [], Counter(w) + Counter(zip(w, w[1:], strict=False))
+        for model, total, counted in ((target, sizes[0], i in wanted), (everything, sizes[1], True)):
+            scale = sizes[0] / max(1, total)
+            left = lambda k, model=model, counted=counted, scale=scale: scale * (model[k] - own[k] * counted)
+            loss = 0
             for k, x in enumerate(w):
-                single = 0.95 * uni[x] / sum(uni.values()) + 0.05 / len(counts[0][0])
-                p = 0.7 * pair[w[k - 1], x] / uni[w[k - 1]] + 0.3 * single if k and uni[w[k - 1]] else single
-                total -= np.log(p)
-            means.append(total / max(1, len(w)))
-        out[i] = (len(w), means[1], means[0], means[0] - means[1])
+                p = (left(x) + 0.5) / (scale * (total - len(w) * counted) + 0.5 * vocabulary)
+                if k:
+                    p = (left((w[k - 1], x)) + 5 * p) / (left(w[k - 1]) + 5)
+                loss -= np.log(p)
+            means.append(loss / max(1, len(w)))
+        out[i] = (len(w), means[0], means[1], means[1] - means[0])
     return out
 
 
 @pytest.mark.parametrize("groups", [1, 5])
 def test_cross_entropy_counts_are_exact(spark, monkeypatch, groups):
     monkeypatch.setattr(lm_scoring, "group_count", lambda b: groups)
-    rows = [(i, t) for i, t in corpus(4) if len(t or "") < 20_000]
+    rows = corpus(4)
+    assert max(len(t or "") for _, t in rows) > 50_000
     docs = make(spark, rows)
     labels = docs.selectExpr("doc_id", "int(doc_id % 4 = 0) AS quality")
     got = {r[0]: tuple(r)[1:] for r in lm_scoring.cross_entropy_difference(docs, labels).collect()}
@@ -581,6 +618,24 @@ def test_cross_entropy_counts_are_exact(spark, monkeypatch, groups):
     assert all(np.allclose(got[i], want[i]) for i in want)
 
 
+def test_cross_entropy_without_a_target(spark):
+    docs = make(spark, [(1, "a b a"), (2, None), (2, "a b a")])
+    got = lm_scoring.scores(docs, docs.where("false")).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.score) for r in got) == [(1, 3, 0.0), (2, 0, 0.0), (2, 3, 0.0)]
+
+
+def test_cross_entropy_does_not_score_membership(spark):
+    """Labelled good documents score alike whether they are in the target or not, and above bad ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    rows = lm_scoring.scores(docs, labels.where("quality = 1").where(~held_out)).where("n_tokens > 0").join(labels, "doc_id").select("quality", held_out.alias("out"), "score").collect()
+    median = lambda q, out: float(np.median([r.score for r in rows if r.quality == q and r.out == out]))
+    assert abs(median(1, True) - median(1, False)) < 0.2
+    assert median(1, True) > median(0, True) + 1
+    good, bad = (np.array([r.score for r in rows if r.quality == q and r.out]) for q in (1, 0))
+    assert (good[:, None] > bad[None, :]).mean() > 0.75
+
+
 def test_separator_scan(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "SCAN_BLOCKS", 3)
     rng = np.random.default_rng(1)
