@@ -130,7 +130,22 @@ bound("sk7", audit.audit_csv_rows, "audit_log", f"SELECT id, concat_ws(',', id,
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark)
     audit_stream.forward(audit_stream.as_log(audit_stream.event_stream(spark, f"{sf_dir}/events.parquet*")), f"{out}/rows", f"{out}/state")
-    return spark.read.text(f"{out}/rows")
+    return audit_stream.delivered(spark, f"{out}/rows").select("value")
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit entries in four files, read as a stream one after the other, linked as they arrive."""
+    out, entries = scratch(spark), view(spark, sf_dir, "audit_entries")
+    most = entries.agg(F.max("id")).first()[0] or 0
+    for part in range(4):  # files of rising ids, which Spark reads in the order in which they were written
+        low, high = most * part // 4, most * (part + 1) // 4
+        entries.where((F.col("id") > low) & (F.col("id") <= high)).coalesce(1).write.mode("append").parquet(f"{out}/log")
+    stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{out}/log")
+    links = audit_stream.chain_stream(stream)
+    links.writeStream.format("parquet").option("path", f"{out}/links").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(links.schema).parquet(f"{out}/links").select("connection_id", "day", "id", "seq", "hash", "refused")
+
+
 
 
 def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +158,10 @@ def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["sr1"], QUERIES["sr2"] = _streamed, _screened
 ORACLE_SQL["sr1"] = ORACLE_SQL["tx25"]
+QUERIES["au2_stream"] = _chained
+ORACLE_SQL["au2_stream"] = fixtures.oracle("""
+SELECT connection_id, day, id, seq, list_reduce(list_prepend(repeat('0', 64), bodies[1:seq]), lambda a, x: sha256(concat(a, chr(10), x))) AS hash, CAST(NULL AS VARCHAR) AS refused
+FROM (SELECT *, list(body) OVER (PARTITION BY connection_id, day ORDER BY id, body ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bodies FROM audit_chain) c""")
 _TOOL_LIST = ", ".join(f"'{t}'" for t, _, _ in rules.TOOLS)
 ORACLE_SQL["sr2"] = fixtures.oracle(f"SELECT e.id, e.connection_id, e.tool, coalesce(m.allowed, false) AS allowed, CASE WHEN m.tool IS NULL THEN 'no_policy' ELSE m.reason_code END AS reason_code FROM (SELECT event_id + 1 AS id, CAST(user_id % 100 AS INT) AS connection_id, list_extract([{_TOOL_LIST}], CAST(event_id % {len(rules.TOOLS)} + 1 AS INT)) AS tool FROM events) e LEFT JOIN ({ORACLE_TEXT['fl9']}) m ON m.connection_id = e.connection_id AND m.tool = e.tool")
 
