@@ -59,12 +59,20 @@ def next_version(names: DataFrame, column: str = "name") -> DataFrame:
     return names.agg((F.coalesce(F.max(F.regexp_extract(column, r"^V(\d+)__", 1).try_cast("int")), F.lit(0)) + 1).alias("next_version"))
 
 
-def first_seen_names(df: DataFrame, key: str, name: str, position: str, cap: int) -> DataFrame:
-    """(key, n_total, names): distinct names of each key in the order in which they come first, ``cap`` of them shown."""
-    first = df.groupBy(key, name).agg(F.min(position).alias("pos"))
-    shown = first.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("pos")))
-    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("at") <= cap, F.struct("at", name)))), lambda x: x[name])
-    return shown.groupBy(key).agg(F.count("*").alias("n_total"), F.array_join(names, ", ").alias("names"))
+#: Fixed value: names that are looked at.
+MOST_SCANNED = 500
+
+
+def first_seen_names(df: DataFrame, key: str, name: str, position: str, cap: int, scanned: int = MOST_SCANNED) -> DataFrame:
+    """(key, n_total, names): distinct names of each key among its first ``scanned``, in the order and spelling in which they come first, ``cap`` of them shown.
+
+    Names are trimmed and blind to the case of A to Z; empty ones don't count.
+    """
+    rows = df.select(key, F.col(position).alias("pos"), F.trim(F.col(name), F.lit(" \t\n\r\x0b\f")).alias("name")).withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("nth") <= scanned).where("name <> ''")
+    same = F.translate("name", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    first = rows.groupBy(key, same.alias("same")).agg(F.min(F.struct("pos", "name")).alias("first"))
+    shown = first.groupBy(key).agg(F.count("*").alias("n_total"), F.array_sort(F.collect_list("first")).alias("all"))  # ``scanned`` at most
+    return shown.select(key, "n_total", F.array_join(F.transform(F.slice("all", 1, cap), lambda x: x["name"]), ", ").alias("names"))
 
 
 def severity_counts(log: DataFrame) -> DataFrame:
@@ -152,10 +160,15 @@ def page(df: DataFrame, order: list, limit: int = 500, offset: int = 0) -> DataF
     return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(10_000, limit)))
 
 
-def natural_key(c: str, digits: int = 20) -> F.Column:
-    """A sort key in which numbers count as numbers, blind to case."""
-    parts = F.regexp_extract_all(F.lower(c), F.lit("([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, digits, "0")).otherwise(x)), "")
+def natural_key(c: str | F.Column) -> F.Column:
+    """A sort key in which numbers of any length count as numbers, blind to case and accents.
+
+    A number is its digits after leading zeros, behind how many they are; the whole is compared by a collation.
+    """
+    parts = F.regexp_extract_all(F.col(c) if isinstance(c, str) else c, F.lit("([0-9]+|[^0-9]+)"), 1)
+    digits = lambda x: F.ltrim(x, F.lit("0"))
+    key = F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 10, "0"), digits(x))).otherwise(x)), "")
+    return F.collate(key, "UNICODE_CI_AI")
 
 
 def log_order() -> list[F.Column]:

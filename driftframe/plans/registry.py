@@ -98,8 +98,10 @@ bound("ag4", lambda d: summary.hidden_count(d, ["TMP_*"]), "discrepancies", "SEL
 bound("ag5", lambda c: summary.index_columns(c.where("server_id = 0")), "fleet_columns", "SELECT table_name, index_name, string_agg(column_name, ', ' ORDER BY column_name) AS columns FROM fleet_columns WHERE server_id = 0 AND index_name IS NOT NULL GROUP BY table_name, index_name")
 bound("ag10", lambda log: audit.filter_audit(log, connection=2, result="denied").agg(F.count("*").alias("n")), "audit_log", "SELECT count(*) AS n FROM audit_log WHERE outcome_raw = 'denied' AND connection_id = 2")
 bound("ag9", lambda e: summary.next_version(e.select(F.format_string("V%s__x", (F.col("event_id") % 40).cast("string")).alias("name"))), "events", "SELECT max(CAST(regexp_extract(name, '^V([0-9]+)__', 1) AS INT)) + 1 AS next_version FROM (SELECT concat('V', event_id % 40, '__x') AS name FROM events) v")
-_FIRST_SEEN = "SELECT connection_id, count(DISTINCT tool) AS n_total, {} AS names FROM (SELECT connection_id, tool, min(id) AS pos FROM audit_log GROUP BY connection_id, tool) t GROUP BY connection_id"
-bound("ag11", lambda log: summary.first_seen_names(log, "connection_id", "tool", "id", 3), "audit_log", _FIRST_SEEN.format("array_to_string((list(tool ORDER BY pos))[1:3], ', ')"))
+VIEWS["spelt_calls"] = "SELECT id, connection_id, CASE id % 5 WHEN 0 THEN upper(tool) WHEN 1 THEN concat(' ', tool, chr(9)) WHEN 2 THEN ' ' ELSE concat(tool, '_', id % 9) END AS tool FROM audit_log"
+_SCANNED = "SELECT *, row_number() OVER (PARTITION BY connection_id ORDER BY id) AS nth FROM spelt_calls"
+_FIRST_SEEN = "SELECT connection_id, count(*) AS n_total, array_to_string((list(name ORDER BY pos))[1:3], ', ') AS names FROM (SELECT connection_id, min(id) AS pos, arg_min(trim(replace(tool, chr(9), '')), id) AS name FROM (" + _SCANNED + ") s WHERE nth <= 500 AND trim(replace(tool, chr(9), '')) <> '' GROUP BY connection_id, lower(trim(replace(tool, chr(9), '')))) t GROUP BY connection_id"
+bound("ag11", lambda log: summary.first_seen_names(log, "connection_id", "tool", "id", 3), "spelt_calls", _FIRST_SEEN)
 bound("ag12", summary.severity_counts, "audit_log", "SELECT connection_id, count(*) FILTER (WHERE outcome_raw = 'error') AS errors, count(*) FILTER (WHERE outcome_raw = 'denied') AS warnings FROM audit_log GROUP BY connection_id")
 _ENDINGS = "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, CASE WHEN crlf > 0 AND lf > crlf THEN 'mixed' WHEN crlf > 0 THEN 'crlf' WHEN lf > 0 THEN 'lf' ELSE 'none' END AS line_ending FROM (SELECT doc_id, text, (length(text) - length(replace(text, concat(chr(13), chr(10)), ''))) / 2 AS crlf, length(text) - length(replace(text, chr(10), '')) AS lf FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, chr(10), concat(chr(13), chr(10))) ELSE text END AS text FROM documents) d) e"
 sql("ag13", _ENDINGS)

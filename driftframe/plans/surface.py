@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftframe.operators import audit, heads, rules, sinks, summary, text
+from driftframe.operators import audit, heads, rules, scan, sinks, summary, text
 from driftframe.operators.shared import scratch, written
 from driftframe.plans import fleet  # noqa: F401  (views that this module reads)
 from driftframe.plans.registry import ORACLE_SQL, ORACLE_TEXT, QUERIES, bound, sql
@@ -15,10 +15,52 @@ from driftframe.streaming import audit_stream
 
 # ---------------------------------------------------------------- catalogs
 
-VIEWS["index_choice"] = "SELECT server_id, table_id, column_name, max(index_name) AS last_name, min(index_name) AS first_name, max(index_position) AS index_position FROM fleet_index_columns GROUP BY server_id, table_id, column_name"
-sql("sc1", "SELECT c.server_id, c.table_name, c.column_name, c.data_type, c.data_length, nullif(trim(replace(replace(c.comments, chr(10), ''), chr(13), '')), '') AS comments, i.last_name AS index_name FROM fleet_columns c LEFT JOIN index_choice i ON i.server_id = c.server_id AND i.table_id = CAST(nullif(regexp_replace(c.table_name, '[^0-9]', '', 'g'), '') AS BIGINT) AND i.column_name = c.column_name WHERE c.table_name NOT IN (SELECT name FROM objects WHERE object_type IN ('VIEW', 'MATERIALIZED VIEW'))", "SELECT c.server_id, c.table_name, c.column_name, c.data_type, c.data_length, nullif(trim(replace(replace(c.comments, chr(10), ''), chr(13), '')), '') AS comments, i.last_name AS index_name FROM fleet_columns c LEFT JOIN index_choice i ON i.server_id = c.server_id AND i.table_id = CAST(nullif(regexp_replace(c.table_name, '[^0-9]', ''), '') AS BIGINT) AND i.column_name = c.column_name LEFT ANTI JOIN (SELECT server_id, name FROM objects WHERE object_type IN ('VIEW', 'MATERIALIZED VIEW')) o ON o.name = c.table_name")
-sql("sc2", "SELECT server_id, table_id, column_name, first_name AS index_name FROM index_choice")
-sql("sc6", "SELECT column_name, column_id FROM fleet_columns WHERE server_id = 0 AND table_name = 'T1'")
+#: The catalog tables of servers of both engines, taken from the fleet's columns and indexes.
+_TABLE_ID = "CAST(nullif(translate(c.table_name, 'THISMP_', ''), '') AS BIGINT)"
+VIEWS["oracle_columns"] = """
+SELECT server_id, CASE WHEN column_id = 7 THEN 'OTHER' ELSE 'APP' END AS owner, table_name, column_name, CASE data_type WHEN 'varchar2' THEN 'NVARCHAR2' WHEN 'CLOB' THEN 'LONG RAW' ELSE data_type END AS data_type,
+ CAST(data_length AS INT) * 4 AS data_length, CAST(data_length AS INT) AS data_precision, CAST(data_length AS INT) + 1 AS char_length, concat(' ', data_default, chr(10)) AS data_default FROM fleet_columns WHERE server_id < 3"""
+VIEWS["oracle_comments"] = "SELECT server_id, CASE WHEN column_id = 7 THEN 'OTHER' ELSE 'APP' END AS owner, table_name, column_name, concat(chr(13), chr(10), CASE WHEN column_id = 2 THEN 'Null' ELSE comments END, ' ') AS comments FROM fleet_columns WHERE server_id < 3 AND (column_id <> 3 OR server_id <> 1)"
+VIEWS["oracle_index_columns"] = f"SELECT c.server_id, c.owner AS index_owner, i.index_name, c.table_name, c.column_name, i.index_position AS column_position FROM oracle_columns c JOIN fleet_index_columns i ON i.server_id = c.server_id AND i.column_name = c.column_name AND i.table_id = {_TABLE_ID}"
+VIEWS["oracle_indexes"] = "SELECT DISTINCT server_id, index_owner AS owner, index_name FROM oracle_index_columns WHERE index_name <> 'IX_NO'"
+VIEWS["oracle_views"] = "SELECT server_id, 'APP' AS owner, name FROM objects WHERE object_type = 'VIEW'"
+VIEWS["oracle_mviews"] = "SELECT server_id, 'APP' AS owner, name FROM objects WHERE object_type = 'MATERIALIZED VIEW'"
+VIEWS["oracle_owners"] = "SELECT server_id, schema_name AS owner FROM fleet_servers WHERE server_id < 3"
+bound(
+    "sc1",
+    scan.scan_oracle,
+    "oracle_columns oracle_comments oracle_index_columns oracle_indexes oracle_views oracle_mviews oracle_owners",
+    """SELECT c.server_id, c.table_name, c.column_name, c.data_type, CAST(CASE c.data_type WHEN 'NUMBER' THEN data_precision WHEN 'NVARCHAR2' THEN char_length WHEN 'DATE' THEN NULL WHEN 'LONG RAW' THEN NULL ELSE data_length END AS VARCHAR) AS data_length,
+ nullif(trim(replace(c.data_default, chr(10), '')), '') AS data_default, nullif(nullif(trim(replace(replace(o.comments, chr(10), ''), chr(13), '')), ''), 'Null') AS comments, i.index_name, i.column_position AS index_position
+ FROM oracle_columns c JOIN oracle_comments o ON o.server_id = c.server_id AND o.owner = c.owner AND o.table_name = c.table_name AND o.column_name = c.column_name
+ LEFT JOIN (SELECT ic.server_id, ic.index_owner, ic.table_name, ic.column_name, x.index_name, ic.column_position, row_number() OVER (PARTITION BY ic.server_id, ic.index_owner, ic.table_name, ic.column_name ORDER BY x.index_name DESC NULLS FIRST, ic.column_position DESC) AS rn
+  FROM oracle_index_columns ic LEFT JOIN oracle_indexes x ON x.server_id = ic.server_id AND x.owner = ic.index_owner AND x.index_name = ic.index_name) i ON i.server_id = c.server_id AND i.index_owner = c.owner AND i.table_name = c.table_name AND i.column_name = c.column_name AND i.rn = 1
+ WHERE c.owner = 'APP' AND NOT EXISTS (SELECT 1 FROM objects v WHERE v.server_id = c.server_id AND v.name = c.table_name AND v.object_type IN ('VIEW', 'MATERIALIZED VIEW'))""",
+)
+_OID = f"({_TABLE_ID} * 4 + length(c.table_name) % 4)"
+VIEWS["pg_classes"] = f"""
+SELECT DISTINCT c.server_id, {_OID} AS oid, c.table_name AS relname, CASE WHEN o.object_type = 'TABLE' THEN 'r' WHEN o.object_type = 'VIEW' THEN 'v' ELSE 'm' END AS relkind, CASE WHEN c.table_name LIKE '%9' THEN 'other' ELSE 'app' END AS nspname
+ FROM fleet_columns c JOIN objects o ON o.server_id = c.server_id AND o.name = c.table_name WHERE c.server_id >= 3
+UNION ALL SELECT DISTINCT server_id, indexrelid, index_name, 'i', 'app' FROM pg_index_rows"""
+VIEWS["pg_index_rows"] = f"""
+SELECT server_id, -(indrelid * 10 + rank() OVER (PARTITION BY server_id, indrelid ORDER BY index_name)) AS indexrelid, indrelid, index_name, keys FROM (
+ SELECT c.server_id, {_OID} AS indrelid, i.index_name, min(i.index_position) AS low, max(i.index_position) AS high, concat('0 ', min(i.index_position), ' ', max(i.index_position)) AS keys
+ FROM fleet_columns c JOIN fleet_index_columns i ON i.server_id = c.server_id AND i.column_name = c.column_name AND i.table_id = {_TABLE_ID} WHERE c.server_id >= 3 GROUP BY c.server_id, {_OID}, i.index_name) k"""
+VIEWS["pg_attributes"] = f"""
+SELECT c.server_id, {_OID} AS attrelid, c.column_id AS attnum, c.column_name AS attname, c.column_id = 6 AS attisdropped, concat(lower(c.data_type), CASE WHEN c.data_length IS NULL THEN '' ELSE concat('(', c.data_length, ')') END) AS type_text, c.data_default, c.comments FROM fleet_columns c WHERE c.server_id >= 3
+UNION ALL SELECT DISTINCT c.server_id, {_OID}, -1, 'ctid', false, 'tid', NULL, NULL FROM fleet_columns c WHERE c.server_id >= 3"""
+VIEWS["pg_defaults"] = "SELECT server_id, attrelid AS adrelid, attnum AS adnum, concat(' ', CASE WHEN attnum = 1 THEN ' ' ELSE data_default END, chr(9)) AS default_text FROM pg_attributes WHERE data_default IS NOT NULL"
+VIEWS["pg_descriptions"] = "SELECT server_id, attrelid AS objoid, attnum AS objsubid, CASE WHEN attnum = 2 THEN ' ' ELSE comments END AS description FROM pg_attributes WHERE comments IS NOT NULL"
+VIEWS["pg_schemas"] = "SELECT server_id, schema_name AS nspname FROM fleet_servers WHERE server_id IN (3, 4)"
+bound(
+    "sc2",
+    lambda a, c, d, n, i, s: scan.scan_postgres(a, c, d, n, i.select("server_id", "indexrelid", "indrelid", F.split("keys", " ").cast("array<int>").alias("indkey")), s),
+    "pg_attributes pg_classes pg_defaults pg_descriptions pg_index_rows pg_schemas",
+    """SELECT a.server_id, c.relname AS table_name, a.attname AS column_name, a.type_text AS data_type, CAST(NULL AS VARCHAR) AS data_length, CASE WHEN a.attnum <> 1 THEN a.data_default END AS data_default, CASE WHEN a.attnum <> 2 THEN a.comments END AS comments,
+ (SELECT min(x.index_name) FROM pg_index_rows x WHERE x.server_id = a.server_id AND x.indrelid = a.attrelid AND list_contains(string_split(x.keys, ' '), CAST(a.attnum AS VARCHAR))) AS index_name, CAST(NULL AS INT) AS index_position
+ FROM pg_attributes a JOIN pg_classes c ON c.server_id = a.server_id AND c.oid = a.attrelid WHERE c.relkind = 'r' AND c.nspname = 'app' AND a.attnum > 0 AND NOT a.attisdropped""",
+)
+bound("sc6", lambda c: scan.columns_of(c, 0, "T1"), "fleet_columns", "SELECT column_name, column_id FROM fleet_columns WHERE server_id = 0 AND table_name = 'T1'")
 sql("sc10", "SELECT server_id, table_name, ddl FROM table_ddls WHERE table_name IN (SELECT table_name FROM discrepancies WHERE element = 'TABLE')")
 bound(
     "sc13",
@@ -73,7 +115,14 @@ sql("wn9", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, d
 sql("sf3", "SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER w, 4) AS running, round(avg(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS near, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 sql("sl1", "SELECT o_orderkey, max(rn) OVER () > 100 AS truncated FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 101) p) q")
 bound("sl2", lambda log: summary.page(log, [F.desc("id")], 500, 200).select("id", "tool"), "audit_log", "SELECT id, tool FROM audit_log ORDER BY id DESC LIMIT 500 OFFSET 200")
-bound("sl3", lambda p: p.select("p_partkey", summary.natural_key("p_name").alias("k")), "part", "SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(p_name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '') AS k FROM part")
+VIEWS["spelt_parts"] = "SELECT p_partkey, p_brand, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(replace(p_name, 'a', 'á'), 'e', 'Ê') WHEN 2 THEN concat(p_name, ' ', repeat('0', CAST(p_partkey % 3 AS INT)), '1234567890123456789012', p_partkey) ELSE concat(p_name, ' ', p_size) END AS name FROM part"
+_NATURAL = "array_to_string(list_transform(regexp_extract_all(strip_accents(lower(name)), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN concat(lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 10, '0'), ltrim(x, '0')) ELSE x END), '')"
+bound(
+    "sl3",
+    lambda p: p.withColumn("at", F.row_number().over(Window.partitionBy("p_brand").orderBy(summary.natural_key("name"), "p_partkey"))).select("p_partkey", "at"),
+    "spelt_parts",
+    f"SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY {_NATURAL}, p_partkey) AS at FROM spelt_parts",
+)
 bound("sl4", lambda q: summary.page(q, summary.log_order(), 300).select("id", "favorite", "sort_order", "pinned"), "query_log", "SELECT id, favorite, sort_order, pinned FROM query_log ORDER BY favorite DESC, sort_order, pinned DESC, id DESC LIMIT 300")
 sql("sl5", "SELECT id FROM query_log WHERE pinned OR favorite")
 bound("sl6", lambda n: summary.page(n, [F.asc("id")], 20).select("id", "table_name", "element"), "numbered", "SELECT id, table_name, element FROM numbered ORDER BY id LIMIT 20")
