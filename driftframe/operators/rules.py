@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.operators.shared import few
+from driftframe.operators.shared import few, is_few
+
 
 def rule_like(match_type: str = "match_type", pattern: str = "pattern") -> F.Column:
     """LIKE pattern of a name rule; ``_`` in a rule matches any character, as it isn't escaped."""
@@ -25,35 +26,91 @@ def wildcard_match(text: F.Column | str, pattern: F.Column | str, ci: bool = Tru
     return F.like(F.upper(text), wildcard_like(F.upper(pattern))) if ci else F.like(text, wildcard_like(pattern))
 
 
+#: Letters of a pattern's inside by which texts are looked up.
+INSIDE = 3
+
+
+def _keyed(patterns: DataFrame) -> DataFrame:
+    """(like, key): what a text must begin with, else end with, else have inside, to match a pattern; null for one that says none of these."""
+    tokens = F.regexp_extract_all("like", F.lit(r"\\[\s\S]|[\s\S]"), 0)
+    plain = F.transform(tokens, lambda t: F.when(t.isin("%", "_"), F.lit("\x01")).when(F.length(t) == 2, F.substring(t, 2, 1)).otherwise(t))
+    runs = F.split(F.array_join(plain, ""), "\x01")  # what stands for itself, between wildcards
+    head, tail = F.element_at(runs, 1), F.element_at(runs, -1)
+    inside = F.substring(F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"], 1, INSIDE)
+    key = lambda side, x: F.struct(F.lit(side).alias("side"), F.length(x).alias("n"), x.alias("part"))
+    return patterns.select("like", F.when(head != "", key("head", head)).when(tail != "", key("tail", tail)).when(F.length(inside) == INSIDE, key("inside", inside)).alias("key"))
+
+
+def like_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(text, like): each distinct text with each distinct LIKE pattern that it matches.
+
+    A few patterns are sent to every executor. Many are looked up by what they begin or end with, whole, or have inside: a text has a row for
+    each length of these, and meets the patterns by equality; only patterns without such a part are compared with all texts.
+    """
+    if is_few(patterns):
+        return texts.join(F.broadcast(patterns), F.like("text", F.col("like")))
+    keyed = _keyed(patterns)
+    sizes = keyed.where("key IS NOT NULL").select("key.side", "key.n").distinct().collect()  # as many as lengths of names
+    text, none = F.col("text"), F.array().cast("array<struct<side: string, n: int, part: string>>")
+    key = lambda side, n, x: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), x.alias("part"))
+    keys = [F.when(F.length(text) >= r["n"], F.array(key(r["side"], r["n"], F.left(text, F.lit(r["n"])) if r["side"] == "head" else F.right(text, F.lit(r["n"]))))).otherwise(none) for r in sizes if r["side"] != "inside"]
+    if any(r["side"] == "inside" for r in sizes):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - INSIDE + 1, F.lit(1)))
+        keys.append(F.array_distinct(F.transform(starts, lambda i: key("inside", INSIDE, F.substring(text, i, F.lit(INSIDE))))))
+    found = texts.select("text", F.explode(F.flatten(F.array(*keys)) if keys else none).alias("key")).join(keyed.where("key IS NOT NULL"), "key").where(F.like("text", F.col("like"))).select("text", "like")
+    loose = keyed.where("key IS NULL").select("like")
+    return found.unionByName(texts.join(few(loose), F.like("text", F.col("like"))))
+
+
 def match_patterns(names: DataFrame, patterns: DataFrame, column: str = "table_name", pattern: str = "table_pattern") -> DataFrame:
     """(name, pattern, exact): each name with each wildcard that matches it, blind to case, and whether it does so with case."""
-    own = few(patterns.select(pattern).distinct())
-    return names.join(own, wildcard_match(column, pattern)).select(column, pattern, wildcard_match(column, pattern, ci=False).alias("exact"))
+    own = patterns.select(pattern).distinct()
+    exact = wildcard_match(column, pattern, ci=False).alias("exact")
+    if is_few(own):
+        return names.join(F.broadcast(own), wildcard_match(column, pattern)).select(column, pattern, exact)
+    pairs = like_pairs(names.select(F.upper(column).alias("text")).distinct(), own.select(wildcard_like(F.upper(pattern)).alias("like")).distinct())
+    of_pattern = own.withColumn("like", wildcard_like(F.upper(pattern)))
+    return names.withColumn("text", F.upper(column)).join(pairs, "text").join(of_pattern, "like").select(column, pattern, exact)
 
 
-def _rules(rules: DataFrame, action: str) -> DataFrame:
-    return few(rules.where(F.col("enabled") & (F.col("action") == action)).select(rule_like().alias("__like")))
+def _likes(rules: DataFrame, action: str) -> DataFrame:
+    return rules.where(F.col("enabled") & (F.col("action") == action)).select(rule_like().alias("like")).distinct()
+
+
+def _filtered(df: DataFrame, likes: DataFrame, column: str, how: str) -> DataFrame:
+    """Rows whose name matches one of the patterns (left_semi) or none (left_anti)."""
+    if is_few(likes):
+        return df.join(F.broadcast(likes.withColumnRenamed("like", "__like")), F.like(F.upper(column), F.col("__like")), how)
+    hit = like_pairs(df.select(F.upper(column).alias("text")).distinct(), likes).select(F.col("text").alias("__text")).distinct()
+    return df.join(hit, F.upper(column) == F.col("__text"), how)
 
 
 def apply_name_rules(df: DataFrame, rules: DataFrame, column: str = "table_name") -> DataFrame:
     """Rows whose name no enabled exclude rule matches and, where an include rule is enabled, some include rule does."""
-    kept = df.join(_rules(rules, "exclude"), F.like(F.upper(column), F.col("__like")), "left_anti")
+    kept = _filtered(df, _likes(rules, "exclude"), column, "left_anti")
     if rules.where("enabled and action = 'include'").isEmpty():
         return kept
-    return kept.join(_rules(rules, "include"), F.like(F.upper(column), F.col("__like")), "left_semi")
+    return _filtered(kept, _likes(rules, "include"), column, "left_semi")
 
 
 def match_rules(names: DataFrame, rules: DataFrame, column: str = "table_name") -> DataFrame:
     """Each name with each rule that matches it."""
-    own = few(rules.where("enabled").withColumn("__like", rule_like()))
-    return names.join(own, F.like(F.upper(column), F.col("__like"))).drop("__like", "enabled")
+    own = rules.where("enabled").withColumn("like", rule_like())
+    if is_few(own):
+        return names.join(F.broadcast(own), F.like(F.upper(column), F.col("like"))).drop("like", "enabled")
+    pairs = like_pairs(names.select(F.upper(column).alias("text")).distinct(), own.select("like").distinct())
+    return names.withColumn("text", F.upper(column)).join(pairs, "text").join(own, "like").drop("text", "like", "enabled")
 
 
 def hide_objects(objects: DataFrame, deny: DataFrame, connection: str = "server_id") -> DataFrame:
     """Objects that no deny rule of their connection hides, by type and wildcard name, blind to case."""
-    d = few(deny.select(F.col("connection_id").alias("__c"), F.col("object_type").alias("__t"), F.col("name_pattern").alias("__p")))
-    of_type = F.col("__t").isin("*", "") | (F.upper("__t") == F.upper("object_type"))
-    return objects.join(d, (F.col(connection) == F.col("__c")) & of_type & wildcard_match("name", "__p"), "left_anti")
+    d = deny.select(F.col("connection_id").alias("__c"), F.col("object_type").alias("__t"), wildcard_like(F.upper("name_pattern")).alias("__p"))
+    mine = (F.col(connection) == F.col("__c")) & (F.col("__t").isin("*", "") | (F.upper("__t") == F.upper("object_type")))
+    if is_few(d):
+        return objects.join(F.broadcast(d), mine & F.like(F.upper("name"), F.col("__p")), "left_anti")
+    pairs = like_pairs(objects.select(F.upper("name").alias("text")).distinct(), d.select(F.col("__p").alias("like")).distinct())
+    hidden = d.join(pairs, F.col("__p") == F.col("like")).select("__c", "__t", "text").distinct()
+    return objects.join(hidden, mine & (F.upper("name") == F.col("text")), "left_anti")
 
 
 def texts_mentioning_hidden(texts: DataFrame, deny: DataFrame, connection: int) -> DataFrame:

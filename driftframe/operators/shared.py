@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 10_000
 
 
+def is_few(df: DataFrame) -> bool:
+    """Whether a table has few rows; stops counting beyond them."""
+    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
 def few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    return F.broadcast(df) if is_few(df) else df
 
 
 def scratch(spark: SparkSession) -> str:

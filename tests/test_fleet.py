@@ -5,11 +5,12 @@ import decimal
 import hashlib
 import json
 import math
+import random
 import time
 
 import duckdb
 import pytest
-from driftframe.operators import audit, drift, heads, lob, repair, rules, sinks, sql_log, text
+from driftframe.operators import audit, drift, heads, lob, repair, rules, shared, sinks, sql_log, text
 from driftframe.plans import content, dialects, fleet, registry, surface  # noqa: F401
 from driftframe.sources import fanout
 from hypothesis import given, settings
@@ -149,6 +150,38 @@ def test_name_rules_do_not_escape_the_underscore(spark):
     assert {x.table_name for x in rules.apply_name_rules(names, only).collect()} == {"A"}
 
 
+def test_many_rules_are_looked_up(spark, monkeypatch):
+    """The same pairs as by comparing all, by equality: beginnings, ends, insides, and patterns that have none of these."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("AB_%C\\\\") for _ in range(rng.randrange(1, n)))
+    names = sorted({word(9) for _ in range(400)})
+    likes = sorted({"".join(rng.choice(["A", "B", "C", "AB", "CCA", "%", "_", "\\\\%", "\\\\_", "\\\\\\\\"]) for _ in range(rng.randrange(1, 6))) for _ in range(600)} | {"%", "_", "%ABC%", "A%"})
+    texts, patterns = spark.createDataFrame([(n,) for n in names], "text string"), spark.createDataFrame([(x,) for x in likes], '`like` string')
+    want = {tuple(r) for r in texts.join(F.broadcast(patterns), F.like("text", F.col("like"))).collect()}
+    for most in (0, 30):
+        monkeypatch.setattr(shared, "SMALL_ROWS", most)
+        got = [tuple(r) for r in rules.like_pairs(texts, patterns).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert len(want) > 1000
+    headed = patterns.where("`like` RLIKE '^A'")
+    plan = rules.like_pairs(texts, headed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "key" in plan and "Join Cross" not in plan
+
+
+def test_operators_with_many_rules_give_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    names = spark.createDataFrame([(k % 3, f"{rng.choice(['T', 'tmp_', 'HIST_', 'x'])}{k}{rng.choice(['', '_hist', '_TMP', 'é'])}") for k in range(300)], "server_id int, table_name string")
+    own = [("exclude" if k % 5 else "include", rng.choice(["prefix", "suffix", "contains", "exact"]), rng.choice([f"T{k}", f"{k}", "_hist", f"tmp_{k}", f"x{k}é"]), k % 7 > 0) for k in range(80)]
+    table = spark.createDataFrame(own, "action string, match_type string, pattern string, enabled boolean")
+    objects = names.select("server_id", F.col("table_name").alias("name"), F.lit("Table").alias("object_type"))
+    deny = spark.createDataFrame([(k % 4, rng.choice(["*", "", "table", "VIEW"]), rng.choice([f"T{k}*", f"*{k}", f"?{k}?*", "*mp*"])) for k in range(60)], "connection_id int, object_type string, name_pattern string")
+    wild = deny.select(F.col("name_pattern").alias("table_pattern"))
+    run = lambda: [sorted(map(tuple, df.collect()), key=str) for df in (rules.apply_name_rules(names, table), rules.match_rules(names, table), rules.hide_objects(objects, deny), rules.match_patterns(names.select("table_name").distinct(), wild))]
+    want = run()
+    monkeypatch.setattr(shared, "SMALL_ROWS", 5)
+    assert run() == want and all(want)
+
+
 def test_wildcards_escape_like_characters(spark):
     df = spark.createDataFrame([("T_1", "T_*"), ("TX1", "T_*"), ("A%B", "A%B"), ("AXB", "A%B"), ("abc", "A?C"), ("ab\\c", "ab\\*")], "name string, pattern string")
     got = [(r[0], r[1]) for r in df.select(rules.wildcard_match("name", "pattern"), rules.wildcard_match("name", "pattern", ci=False)).collect()]
