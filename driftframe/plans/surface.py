@@ -233,6 +233,10 @@ sql("tx19", "SELECT doc_id, sha256(replace(regexp_replace(text, '\\r\\n?', chr(1
 bound("tx20", text.diff_counts, "ddl_pairs", "SELECT doc_id, CAST(sum(greatest(n, 0)) AS BIGINT) AS added, CAST(sum(greatest(-n, 0)) AS BIGINT) AS removed FROM (SELECT doc_id, line, sum(n) AS n FROM (SELECT doc_id, unnest(string_split(file_text, chr(10))) AS line, 1 AS n FROM ddl_pairs UNION ALL SELECT doc_id, unnest(string_split(server_text, chr(10))), -1 FROM ddl_pairs) l GROUP BY doc_id, line) m GROUP BY doc_id")
 bound("tx21", text.unified, "ddl_pairs")
 bound("ud1", text.diff_operations, "ddl_pairs")
+bound("tx20_exact", text.exact_counts, "ddl_pairs")
+bound("tx21_summary", text.diff_summaries, "ddl_pairs")
+_SIDE = lambda op: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op") != op, F.struct("seq", "line")))), lambda x: x["line"]), "\n"), 256)
+bound("ud1_rebuilt", lambda p: text.diff_operations(p).groupBy("doc_id").agg(_SIDE("+").alias("old"), _SIDE("-").alias("new"), (F.count_if(F.col("op") == "+") - F.count_if(F.col("op") == "-")).alias("longer")), "ddl_pairs", f"SELECT doc_id, sha256(a) AS old, sha256(b) AS new, CAST(len(string_split(b, chr(10))) - len(string_split(a, chr(10))) AS BIGINT) AS longer FROM (SELECT doc_id, {_NORM.format('server_text')} AS a, {_NORM.format('file_text')} AS b FROM ddl_pairs) n WHERE a <> b")
 VIEWS["changed_lines"] = "SELECT doc_id, line_no AS seq, CASE WHEN contains(lower(line), 'token') THEN '-' ELSE ' ' END AS op, line FROM text_lines"
 _SHOWN = "SELECT * FROM (SELECT *, bool_or(op <> ' ') OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM changed_lines) n WHERE near"
 bound("wn8", text.hunks, "changed_lines", f"SELECT doc_id, sum(gap) OVER (PARTITION BY doc_id ORDER BY seq) AS hunk, seq, op, line FROM (SELECT *, CASE WHEN seq - coalesce(lag(seq) OVER (PARTITION BY doc_id ORDER BY seq), -1) > 1 THEN 1 ELSE 0 END AS gap FROM ({_SHOWN}) s) g")

@@ -9,6 +9,7 @@ import random
 import time
 
 import duckdb
+import numpy as np
 import pytest
 from driftframe.operators import audit, drift, heads, lob, repair, rules, shared, sinks, sql_log, text
 from driftframe.plans import content, dialects, fleet, registry, surface  # noqa: F401
@@ -380,12 +381,52 @@ def test_diff_keeps_a_longest_common_subsequence(a, b):
     assert (ops["op"] == " ").sum() == best[-1]
 
 
-def test_diff_of_texts_with_many_equal_lines(monkeypatch):
-    monkeypatch.setattr(text, "EXACT_PAIRS", 50)
-    a, b = [*"x" * 40, "end"], ["new", *"x" * 40, "end"]
-    ops = text._operations(a, b)
-    assert [x for o, x in zip(ops["op"], ops["line"], strict=True) if o != "+"] == a and [x for o, x in zip(ops["op"], ops["line"], strict=True) if o != "-"] == b
-    assert ops["op"].iloc[-1] == " "
+@pytest.mark.parametrize("pairs", [1_000_000, 40, 0])
+def test_diff_of_texts_with_many_equal_lines(monkeypatch, pairs):
+    """Walked, and divided: as many lines are kept as the plain table of lengths says."""
+    monkeypatch.setattr(text, "EXACT_PAIRS", pairs)
+    monkeypatch.setattr(text, "OFTEN", 3)
+    rng = random.Random(pairs)
+    cases = [([*"x" * 40, "end"], ["new", *"x" * 40, "end"]), (["a"], []), ([], ["b"]), (list("abcde" * 9), list("edcba" * 9))]
+    cases += [([rng.choice("abcxyz") for _ in range(rng.randrange(60))], [rng.choice("abcuvw") for _ in range(rng.randrange(60))]) for _ in range(40)]
+    for a, b in cases:
+        test_diff_keeps_a_longest_common_subsequence.hypothesis.inner_test(a, b)
+
+
+def test_a_moved_block_of_a_long_text_is_told_exactly():
+    """Beyond the pairs that are walked: 100 000 lines of three kinds, one block of other lines moved."""
+    rng = random.Random(1)
+    lines = [rng.choice(["", "end;", "begin"]) for _ in range(30_000)]
+    block = [f"line {k}" for k in range(50)]
+    began = time.time()
+    ops = text._operations([*lines[:100], *block, *lines[100:]], [*lines[:29_000], *block, *lines[29_000:]])
+    assert ((ops["op"] == "+").sum(), (ops["op"] == "-").sum()) == (50, 50) and time.time() - began < 60
+
+
+def test_common_lengths():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 5, 70), rng.integers(0, 5, 90)
+    best = [0] * 91
+    for x in a:
+        row = [0]
+        for k, y in enumerate(b):
+            row.append(best[k] + 1 if x == y else max(best[k + 1], row[k]))
+        best = row
+    assert text.common_lengths(a, b).tolist() == best
+    assert text.common_lengths(a, b[:0]).tolist() == [0]
+
+
+def test_diff_summaries(spark):
+    long = "\n".join(f"l{k}" for k in range(3000))
+    pairs = [(1, "a\nb\nc\nd\ne\nf\ng", "a\nb\nc\nX\ne\nf\ng\nh"), (2, "a\r\nb", "a\nb"), (3, "same", "same"), (4, long, long.replace("l", "m")), (5, "x\n" * 100, "y\n" * 100), (6, "", "é")]
+    got = {r.doc_id: tuple(r)[1:] for r in text.diff_summaries(spark.createDataFrame(pairs, "doc_id long, server_text string, file_text string")).collect()}
+    assert got[1] == ("--- existing\n+++ new (+2 -1 lines)\n@@ -2,6 +2,7 @@\n b\n c\n-d\n+X\n e\n f\n g\n+h", 2, 1)
+    assert got[2] == ("(only line endings or encoding differ)", 0, 0)
+    assert got[4] == ("(too large for a line diff: 3000 existing lines, 3000 new lines, 0 unchanged lines at the top/bottom excluded)", None, None)
+    assert got[5][0].endswith("-x\n... (diff truncated)") and got[5][0].count("\n") == 42 and got[5][1:] == (100, 100)
+    assert got[6] == ("--- existing\n+++ new (+1 -1 lines)\n@@ -1,1 +1,1 @@\n-\n+é", 1, 1) and 3 not in got
+    counts = {r.doc_id: tuple(r)[1:] for r in text.exact_counts(spark.createDataFrame([(1, "a\nb\nc", "b\nc\na"), (2, "q", "q;")], "doc_id long, server_text string, file_text string")).collect()}
+    assert counts == {1: (1, 1), 2: (0, 0)}
 
 
 def test_a_long_chain_takes_time_in_proportion(spark):
