@@ -39,9 +39,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def in_ranges(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` written in the total order of the columns, with ``place``, which increases in that order, and ``range``, of which none holds all rows."""
+    """``df`` written in the total order of the columns, with ``place``, which increases in that order, and ``range``, of which none holds all rows.
+
+    It is written as it comes first, as the bounds of ranges are found by a pass of their own, which would derive it twice.
+    """
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    placed = written(df, "unordered").repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
     return written(placed, "ranges").withColumn("range", F.shiftright("place", 33))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftframe.operators import catalog, drift, heads, repair, rules, sql_log, summary
@@ -349,7 +349,14 @@ _SKIP = "CASE WHEN d.kind = 'index_name' THEN 'index composition is not known' W
 VIEWS["fix_rows"] = f"""
 SELECT d.id, d.server_id AS target, d.table_name, d.column_name, d.kind, CASE WHEN {_SKIP} IS NOT NULL THEN NULL {_BY_KIND} END AS statement, {_SKIP} AS skip_reason
 FROM classified d JOIN fleet_servers s ON s.server_id = d.server_id LEFT JOIN fleet_columns r ON r.server_id = 0 AND r.table_name = d.table_name AND r.column_name = d.column_name LEFT JOIN created_tables f ON f.table_name = d.table_name"""
-fixtures.BUILDERS["fix_rows"] = lambda spark, sf_dir: repair.fix_rows(*(view(spark, sf_dir, v) for v in ("numbered", "fleet_columns", "fleet_servers", "reference_ddls")), 0)
+
+
+def _fix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with fixtures.once(spark, sf_dir, "fleet_columns"):  # the catalog is read for the comparison, table models, definitions and comments
+        return repair.fix_rows(*(view(spark, sf_dir, v) for v in ("numbered", "fleet_columns", "fleet_servers", "reference_ddls")), 0)
+
+
+fixtures.BUILDERS["fix_rows"] = _fix_rows
 bound("gn1", lambda c: c.select("id", "kind"), "classified", "SELECT id, kind FROM classified")
 sql("gn2", "SELECT d.id, coalesce(s.server_id, d.server_id) AS target FROM (SELECT id, server_id, regexp_extract(details, 'found in server (.*) but not in reference server', 1) AS named FROM numbered) d LEFT JOIN fleet_servers s ON upper(s.server_name) = upper(d.named)")
 for _id, _kinds in (("gn3", ["missing_column"]), ("gn4", ["data_type", "data_length"]), ("gn5", ["data_default"]), ("gn6", ["comments"]), ("gn7", ["missing_table"])):

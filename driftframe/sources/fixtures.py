@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftframe.operators.shared import written
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS: dict[str, str] = {
@@ -88,6 +91,22 @@ BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 
+#: Views that are tables for now, by folder and name.
+_HELD: dict[tuple[str, str], DataFrame] = {}
+
+
+@contextmanager
+def once(spark: SparkSession, sf_dir: str, *names: str) -> Iterator[None]:
+    """Within the block these views are derived once and read from tables in the shared folder, however many views and operators read them."""
+    for name in names:
+        _HELD[sf_dir, name] = written(view(spark, sf_dir, name), name)
+    try:
+        yield
+    finally:
+        for name in names:
+            _HELD.pop((sf_dir, name), None)
+
+
 def used(sql: str) -> list[str]:
     """Names of views in a text, those they need first."""
     found: list[str] = []
@@ -104,6 +123,8 @@ def used(sql: str) -> list[str]:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a table, of the data in ``sf_dir``."""
+    if (sf_dir, name) in _HELD:
+        return _HELD[sf_dir, name]
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name in BUILDERS:
