@@ -780,4 +780,27 @@ def test_stages_on_odd_rows(spark, sf_dir, stage):
 
 
 def test_queries_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
+
+
+def test_quality_scores_equal_plain_compression(spark):
+    """Every score computed anew: whole texts in blocks, with fresh compressors over the model's dictionaries, and the logistic function."""
+    import zstandard
+
+    rng = random.Random(8)
+    good, bad = [rng.choice(WORDS) + str(k % 9) for k in range(80)], [f"#{rng.randrange(10**6)}!" for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.randrange(5, 900)))) for i in range(60)] + [(90, None), (91, ""), (92, "été " * 20_000), (7, "again"), (None, "x")]
+    docs = make(spark, rows)
+    model = quality_classifier.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+
+    def size(raw, dictionary):
+        made = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(made.compress(raw[k : k + 1024])) for k in range(0, len(raw), 1024))
+
+    want = []
+    for i, text in rows:
+        raw = (text or "").encode()
+        x = (size(raw, model.bad) - size(raw, model.good)) / len(raw) if raw else 0.0
+        want.append((i is None, i or 0, 1 / (1 + np.exp(-(model.weights[0] + model.weights[1] * x)))))
+    got = [(r.doc_id is None, r.doc_id or 0, r.score) for r in quality_classifier.score(docs, model).collect()]
+    assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 for a, b in zip(sorted(got), sorted(want), strict=True))
