@@ -80,7 +80,7 @@ VIEWS["fleet_constraints"] = "\nUNION ALL ".join([
     _RULE.format(**(_NONE | {"name": "FK", "kind": "R", "position": 1, "where": "= 5", "table": "'T1'", "column": "'C1'", "gone": "CASE WHEN server_id % 2 = 0 THEN 'CASCADE' WHEN server_id = 1 THEN 'NO ACTION' END"})),
 ])
 VIEWS["fleet_table_comments"] = "SELECT DISTINCT server_id, table_name, CASE WHEN table_name LIKE '%5' THEN concat('It''s ', table_name) WHEN table_name LIKE '%4' THEN ' ' END AS comment FROM fleet_columns"
-_NN = r"""regexp_extract(coalesce(condition, ''), '^\s*"?([A-Za-z0-9_$#]+)"?\s+(?i:is\s+not\s+null)\s*$', 1)"""
+_NN = """CASE WHEN condition LIKE '"%" IS NOT NULL' THEN replace(replace(condition, '" IS NOT NULL', ''), '"', '') ELSE '' END"""
 VIEWS["model_columns"] = f"""
 SELECT c.server_id, c.table_name, c.column_id, c.column_name, concat(c.data_type, CASE WHEN coalesce(trim(c.data_length), '') = '' THEN '' ELSE concat('(', trim(c.data_length), ')') END) AS type_text,
  nullif(trim(c.data_default), '') AS default_text, nn.name IS NOT NULL AS not_null, nullif(trim(c.comments), '') AS note FROM fleet_columns c
