@@ -228,6 +228,9 @@ _KIND = "CASE WHEN word IN ('select', 'with') THEN 'select' WHEN word IN ('inser
 sql("tx7", f"SELECT id, {_KIND} AS kind FROM (SELECT id, lower(regexp_extract(regexp_replace(sql_text, '--[^\\n]*|/\\*.*?\\*/', '', 'g'), '^\\s*([A-Za-z]+)', 1)) AS word FROM query_log) q", f"SELECT id, {_KIND} AS kind FROM (SELECT id, lower(regexp_extract(regexp_replace(sql_text, '--[^\\\\n]*|/\\\\*.*?\\\\*/', ''), '^\\\\s*([A-Za-z]+)', 1)) AS word FROM query_log) q")
 sql("tx9", "SELECT doc_id, sha256(text) AS sha FROM documents", "SELECT doc_id, sha2(text, 256) AS sha FROM documents")
 bound("tx16", lambda t: t.where(text.matches(r"(token|secret)\s*=", regex=True)), "text_lines", "SELECT doc_id, line_no, line FROM text_lines WHERE regexp_matches(line, '(?i)(token|secret)\\s*=')")
+_HITS = "SELECT doc_id, line_no, line, contains(lower(line), 'a') AS hit, sum(CAST(contains(lower(line), 'a') AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS hits FROM text_lines"
+bound("tx16_counts", lambda t: text.grep_counts(t, "A", 3), "text_lines", f"SELECT doc_id, CAST(max(hits) AS BIGINT) AS match_count, CAST(least(max(hits), 3) AS BIGINT) AS returned, max(hits) > 3 AS truncated FROM ({_HITS}) h GROUP BY doc_id HAVING max(hits) > 0")
+bound("tx16_first", lambda t: text.grep_first(t, "A", 3, 2).drop("grp"), "text_lines", f"SELECT doc_id, line_no, hit, line FROM ({_HITS}) h WHERE hits <= 3 AND EXISTS (SELECT 1 FROM ({_HITS}) o WHERE o.doc_id = h.doc_id AND o.hit AND o.hits <= 3 AND o.line_no BETWEEN h.line_no - 2 AND h.line_no + 2)")
 sql("tx17", "SELECT doc_id, line_no, line, n > 6 AS more FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM text_lines) t WHERE line_no BETWEEN 3 AND 6")
 sql("tx19", "SELECT doc_id, sha256(replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10), concat(chr(13), chr(10)))) AS sha FROM documents", "SELECT doc_id, sha2(replace(regexp_replace(text, '\\\\r\\\\n?', chr(10)), chr(10), concat(chr(13), chr(10))), 256) AS sha FROM documents")
 bound("tx20", text.diff_counts, "ddl_pairs", "SELECT doc_id, CAST(sum(greatest(n, 0)) AS BIGINT) AS added, CAST(sum(greatest(-n, 0)) AS BIGINT) AS removed FROM (SELECT doc_id, line, sum(n) AS n FROM (SELECT doc_id, unnest(string_split(file_text, chr(10))) AS line, 1 AS n FROM ddl_pairs UNION ALL SELECT doc_id, unnest(string_split(server_text, chr(10))), -1 FROM ddl_pairs) l GROUP BY doc_id, line) m GROUP BY doc_id")

@@ -443,6 +443,13 @@ def test_a_long_chain_takes_time_in_proportion(spark):
         assert own == got
 
 
+def test_grep_shows_the_first_and_counts_all(spark):
+    lines = text.text_lines(spark.createDataFrame([(1, "hit\na\nb\nhit\nc\nhit\nd\nhit"), (2, "none"), (3, "Hit")], "doc_id long, text string"))
+    got = sorted(map(tuple, text.grep_first(lines, "hit", 2, 1).collect()))
+    assert got == [(1, 1, True, "hit", 1), (1, 2, False, "a", 1), (1, 3, False, "b", 1), (1, 4, True, "hit", 1), (1, 5, False, "c", 1), (3, 1, True, "Hit", 1)]
+    assert sorted(map(tuple, text.grep_counts(lines, "hit", 2).collect())) == [(1, 4, 2, True), (3, 1, 1, False)]
+
+
 def test_grep_groups(spark):
     lines = text.text_lines(spark.createDataFrame([(1, "a\nhit\nb\nc\nd\nhit\ne")], "doc_id long, text string"))
     got = [(r.line_no, r.hit, r.grp) for r in text.grep_context(lines, "HIT", 1).orderBy("line_no").collect()]
