@@ -36,6 +36,16 @@ def sniff(c: str = "bytes") -> F.Column:
     return out.when(low.startswith("{\\rtf"), "rtf").when(parses, "json").otherwise("txt")
 
 
+#: Fixed value: characters of a cell that are shown in its place.
+MOST_SHOWN = 4_000
+
+
+def inline_cell(c: str = "bytes") -> F.Column:
+    """(shown, cut) of a cell: what ``display`` shows, its first MOST_SHOWN characters where it has more."""
+    whole = display(c)
+    return F.struct(F.substring(whole, 1, MOST_SHOWN).alias("shown"), (F.length(whole) > MOST_SHOWN).alias("cut"))
+
+
 def display(c: str = "bytes", cap: int = 40) -> F.Column:
     """UTF-8 text as it is, else capped hex with the length."""
     n = F.octet_length(c)

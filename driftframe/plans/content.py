@@ -29,6 +29,7 @@ _OBJECTS = "SELECT concat('cells-', column_name, '-row', row_id) AS label, mime
 bound("sk8", lob.lob_objects, "cells", _OBJECTS)
 bound("lb1", lambda c: c.groupBy("column_name", lob.sniff().alias("mime")).agg(F.count("*").alias("n")), "cells", "SELECT column_name, mime, count(*) AS n FROM cells GROUP BY column_name, mime")
 bound("lb3", lambda c: c.select("row_id", "column_name", F.sha2(lob.display(), 256).alias("shown")), "cells", "SELECT row_id, column_name, sha256(shown) AS shown FROM cells")
+bound("lb3_inline", lambda c: c.select("row_id", "column_name", lob.inline_cell().alias("cell")).select("row_id", "column_name", F.sha2("cell.shown", 256).alias("shown"), "cell.cut"), "cells", "SELECT row_id, column_name, sha256(substr(shown, 1, 4000)) AS shown, length(shown) > 4000 AS cut FROM cells")
 bound("lb6", lob.profile, "cells", "SELECT column_name, mime, count(*) AS n, sum(n_bytes) AS n_bytes, max(n_bytes) AS longest, count(*) FILTER (WHERE n_bytes > 4000) AS n_over FROM cells GROUP BY column_name, mime")
 #: A call reads a thousand rows, so what one group holds is bounded.
 bound("lb5", lambda c: lob.capture(c.withColumn("call_id", F.floor(F.col("row_id") / 1000)), each=20_000, total=120_000), "cells")

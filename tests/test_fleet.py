@@ -456,6 +456,12 @@ def test_grep_groups(spark):
     assert got == [(1, False, 1), (2, True, 1), (3, False, 1), (5, False, 2), (6, True, 2), (7, False, 2)]
 
 
+def test_cells_are_cut_where_they_are_shown(spark):
+    df = spark.createDataFrame([(bytearray(("é" * n).encode()),) for n in (3999, 4000, 4001)] + [(None,)], "bytes binary")
+    got = [tuple(r[0]) for r in df.select(lob.inline_cell()).collect()]
+    assert got[:3] == [("é" * 3999, False), ("é" * 4000, False), ("é" * 4000, True)] and got[3][0] is None
+
+
 def test_sniff_and_display(spark):
     rows = [(bytes.fromhex(m) + b"\x00..", k) for m, k in lob.MAGIC] + [(b"PK\x03\x04" + b"\x00" * 90 + p.encode(), k) for p, k in lob.OFFICE] + [(b"PK\x03\x04", "zip"), (b"BM is text", "txt"), (b"{\\rtf1", "rtf"), (b"[1] no", "txt"), (b"<a/>", "xml"), (b'<?xml version="1.0"?>\n<svg/>', "svg"), (b"a\x00", "bin"), (b"RIFF1234WEBPxx", "webp"), (b"  <svg>", "svg"), (b"<!DOCTYPE html>", "html"), (b"<?xml", "xml"), (b'{"a":1}', "json"), ("é".encode() * 400, "txt"), (b"\x00\xff", "bin"), (None, "bin")]
     df = spark.createDataFrame([(None if b is None else bytearray(b), k) for b, k in rows], "bytes binary, k string")
