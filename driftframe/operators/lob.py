@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 MAGIC = (("255044462D", "pdf"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpg"), ("474946383761", "gif"), ("474946383961", "gif"), ("1F8B", "gz"), ("D0CF11E0A1B11AE1", "doc"), ("424D", "bmp"))
 OFFICE = (("word/", "docx"), ("xl/", "xlsx"), ("ppt/", "pptx"))
 CELLS, EACH_BYTES, TOTAL_BYTES = 50, 32_000_000, 64_000_000
+#: Characters of a cell that are shown beside its object.
+PREVIEW = 200
 
 
 def is_text(c: str = "bytes") -> F.Column:
@@ -82,4 +84,4 @@ def profile(cells: DataFrame) -> DataFrame:
 
 def lob_objects(cells: DataFrame) -> DataFrame:
     """(label, ext, n_bytes, sha256, preview) of each cell as an object of its own."""
-    return cells.select(F.concat_ws("-", F.lit("cells"), "column_name", F.concat(F.lit("row"), F.col("row_id"))).alias("label"), sniff().alias("ext"), F.octet_length("bytes").alias("n_bytes"), F.sha2("bytes", 256).alias("sha256"), F.substring(display(), 1, 200).alias("preview"))
+    return cells.select(F.concat_ws("-", F.lit("cells"), "column_name", F.concat(F.lit("row"), F.col("row_id"))).alias("label"), sniff().alias("ext"), F.octet_length("bytes").alias("n_bytes"), F.sha2("bytes", 256).alias("sha256"), F.substring(display(), 1, PREVIEW).alias("preview"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftframe.operators import lob, sinks, sql_log, text
+from driftframe.operators.shared import scratch
 from driftframe.plans import fleet, surface  # noqa: F401  (views that this module reads)
 from driftframe.plans.registry import QUERIES, bound
-from driftframe.sources import fixtures
+from driftframe.sources import fixtures, objects
 from driftframe.sources.fixtures import VIEWS, view
 
 # ---------------------------------------------------------------- large cells
@@ -27,6 +28,19 @@ UNION ALL SELECT page_id, 'CLOB', {_TEXT_KIND}, octet_length(encode(t)), sha256(
 UNION ALL SELECT c_custkey, 'BLOB', {_BLOB_KIND}, octet_length(b), sha256(b), CASE WHEN c_custkey % {len(_HEADS)} IN (1, 2, 8, 9, 10, 11, 12) THEN {_HEX} ELSE decode(b) END FROM (SELECT c_custkey, {_BLOB} AS b FROM customer) c"""
 _OBJECTS = "SELECT concat('cells-', column_name, '-row', row_id) AS label, mime AS ext, n_bytes, digest AS sha256, substr(shown, 1, 200) AS preview FROM cells"
 bound("sk8", lob.lob_objects, "cells", _OBJECTS)
+_KEY = "concat('r_', substr(sha256(concat('cells-', column_name, '-row', row_id, ':', digest)), 1, 32))"
+
+
+def _written_objects(cells):
+    """Objects as written, and whether they read back as the same bytes."""
+    path = scratch(cells.sparkSession)
+    made = objects.write_objects(cells, path)
+    held = objects.contents(made, path).select("id", F.sha2("bytes", 256).alias("held"))
+    return made.join(objects.referenced(made), ["row_id", "column_name"]).join(held, "id", "left").select("label", "cell", "ext", "n_bytes", "sha256", F.sha2("preview", 256).alias("preview"), (F.col("held") == F.col("sha256")).alias("same"))
+
+
+_TYPED = "CASE column_name WHEN 'TEXT' THEN 'TEXT' WHEN 'CLOB' THEN 'CLOB' ELSE 'BLOB' END"
+bound("sk8_written", _written_objects, "cells", f"SELECT concat('cells-', column_name, '-row', row_id) AS label, concat('<', {_TYPED}, ' file ', {_KEY}, '>') AS cell, mime AS ext, n_bytes, digest AS sha256, CASE WHEN column_name <> 'BLOB' OR row_id % {len(_HEADS)} NOT IN (1, 2, 8, 9, 10, 11, 12) THEN sha256(substr(shown, 1, 200)) END AS preview, true AS same FROM cells")
 bound("lb1", lambda c: c.groupBy("column_name", lob.sniff().alias("mime")).agg(F.count("*").alias("n")), "cells", "SELECT column_name, mime, count(*) AS n FROM cells GROUP BY column_name, mime")
 bound("lb3", lambda c: c.select("row_id", "column_name", F.sha2(lob.display(), 256).alias("shown")), "cells", "SELECT row_id, column_name, sha256(shown) AS shown FROM cells")
 bound("lb3_inline", lambda c: c.select("row_id", "column_name", lob.inline_cell().alias("cell")).select("row_id", "column_name", F.sha2("cell.shown", 256).alias("shown"), "cell.cut"), "cells", "SELECT row_id, column_name, sha256(substr(shown, 1, 4000)) AS shown, length(shown) > 4000 AS cut FROM cells")

@@ -10,10 +10,11 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from driftframe.operators import audit, drift, heads, lob, repair, rules, shared, sinks, sql_log, text
 from driftframe.plans import content, dialects, fleet, registry, surface  # noqa: F401
-from driftframe.sources import fanout
+from driftframe.sources import fanout, objects
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -475,6 +476,32 @@ def test_capture_lets_a_later_smaller_cell_in(spark):
     assert got == [(0, None), (1, "total exceeded"), (2, None), (3, "cell too large"), (4, None)]
 
 
+def test_objects_hold_their_cells_and_count_only_whole(spark, tmp_path):
+    cells = spark.createDataFrame([(1, "C", "CLOB", bytearray(b"text")), (2, "B", "BLOB", bytearray(b"\0" * 5000)), (3, "B", "BLOB", bytearray()), (4, "B", "BLOB", None)], "row_id long, column_name string, source_type string, bytes binary")
+    root = str(tmp_path / "cells")
+    made = objects.write_objects(cells.repartition(3), root)
+    rows = {r.row_id: r for r in made.collect()}
+    assert set(rows) == {1, 2, 3} and (rows[1].label, rows[1].ext, rows[1].preview) == ("cells-C-row1", "txt", "text") and rows[2].preview is None
+    for r in rows.values():
+        content = (tmp_path / "cells" / r.place).read_bytes()
+        assert (len(content), hashlib.sha256(content).hexdigest()) == (r.n_bytes, r.sha256)
+    assert {r.row_id: r.cell for r in objects.referenced(made).collect()}[2] == f"<BLOB file {rows[2].id}>"
+    before = sorted(p.relative_to(tmp_path) for p in tmp_path.rglob("*"))
+    fails = cells.withColumn("bytes", F.expr("if(row_id = 2, cast(raise_error('lost') as binary), bytes)"))
+    with pytest.raises(Exception, match="lost"):
+        objects.write_objects(fails.repartition(3), root)
+    assert sorted(p.relative_to(tmp_path) for p in tmp_path.rglob("*")) == before
+    assert objects.write_objects(cells.where("row_id > 9"), str(tmp_path / "none")).count() == 0
+
+
+def test_an_attempt_that_comes_second_leaves_no_object(tmp_path):
+    writer = objects._Writer(str(tmp_path))
+    batch = pa.RecordBatch.from_pylist([{"row_id": 1, "column_name": "C", "source_type": "CLOB", "id": "r_1", "label": "l", "ext": "txt", "n_bytes": 1, "sha256": "s", "preview": "x", "bytes": b"x"}])
+    lost, kept = writer.write(iter([batch])), writer.write(iter([batch]))
+    writer.commit([kept])
+    assert (tmp_path / kept.name).exists() and not (tmp_path / lost.name).exists()
+
+
 @pytest.mark.parametrize("bad", [{"columns": ["a b"]}, {"columns": ["zz"]}, {"columns": ["c"], "limit": 0}, {"columns": ["c"], "filters": [("c", "in", [])]}, {"columns": ["c"], "filters": [("c", "eq", "\0")]}, {"columns": ["c"], "filters": [("c", "or", 1)]}, {"columns": ["c"], "order_by": [("c", "up")]}])
 def test_structured_query_refuses(spark, bad):
     with pytest.raises(ValueError):
