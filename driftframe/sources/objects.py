@@ -53,7 +53,7 @@ class _Writer(DataSourceArrowWriter):
                     places = []
                     for key, ext, content in zip(batch.column("id"), batch.column("ext"), batch.column("bytes"), strict=True):
                         places.append(f"{name}/{key.as_py()}.{ext.as_py()}")
-                        with store.open_output_stream(f"{root}/{places[-1]}") as out:
+                        with store.open_output_stream(f"{root}/{places[-1]}", compression=None) as out:  # a name's ending must not compress it
                             out.write(content.as_buffer() or b"")
                     told = [batch.column(f.name).cast(f.type) for f in ARROW if f.name != "place"]
                     index.write_batch(pa.RecordBatch.from_arrays([*told, pa.array(places, pa.string())], schema=ARROW))
