@@ -46,6 +46,18 @@ def classify(discrepancies: DataFrame) -> DataFrame:
     return discrepancies.withColumn("kind", F.coalesce(F.element_at(known, F.col("element")), F.lit("unknown")))
 
 
+def resolve_targets(discrepancies: DataFrame, servers: DataFrame, reference: int) -> DataFrame:
+    """``discrepancies`` with ``target``, the server to repair: a row's own, or where it stands at the reference, that which its details name, blind to case.
+
+    Null where a row at the reference is none of a missing thing, or names no server that is known; of servers with one name the smallest id counts.
+    """
+    named = F.trim(F.regexp_extract("details", r"found in server (.*?) but not in reference server ", 1))
+    at_reference = F.col("server_id") == reference
+    key = F.when(at_reference & (F.upper("difference") == "MISSING"), _filled(F.lower(named)))
+    by_name = few(servers.where("server_name is not null").groupBy(F.lower("server_name").alias("__name")).agg(F.min("server_id").alias("__id")))
+    return discrepancies.withColumn("__name", key).join(by_name, "__name", "left").withColumn("target", F.when(at_reference, F.col("__id")).otherwise(F.col("server_id"))).drop("__name", "__id")
+
+
 def _type(c: str) -> F.Column:
     return _text(_filled(F.col(f"{c}.data_type")), F.coalesce(_text("(", _filled(F.col(f"{c}.data_length")), ")"), F.lit("")))
 
@@ -103,7 +115,8 @@ def fix_rows(numbered: DataFrame, columns: DataFrame, servers: DataFrame, ddls:
     """
     ref = columns.where(F.col("server_id") == reference)
     by_column = ref.select("table_name", "column_name", F.struct("data_type", "data_length", "data_default", "comments").alias("r"))
-    rows = classify(numbered).join(few(servers.select("server_id", "engine")), "server_id", "left").join(by_column, ["table_name", "column_name"], "left").join(created_tables(ref, ddls), "table_name", "left")
+    targets = resolve_targets(classify(numbered), servers, reference)
+    rows = targets.join(few(servers.select(F.col("server_id").alias("target"), "engine")), "target", "left").join(by_column, ["table_name", "column_name"], "left").join(created_tables(ref, ddls), "table_name", "left")
     t, c = F.trim("table_name"), F.trim("column_name")
     alter = _text("ALTER TABLE ", identifier(t))
     here = held("user_tab_columns", "table_name", t, c)
@@ -132,7 +145,7 @@ def fix_rows(numbered: DataFrame, columns: DataFrame, servers: DataFrame, ddls:
     why = F.when(F.col("kind") == "index_name", "index composition is not known").when(F.col("kind") == "column_name", "a rename is unsafe").when(F.col("kind") == "unknown", "unknown kind of discrepancy")
     why = why.when(F.col("engine").isNull(), "the target server is not loaded").when((F.col("kind") != "missing_table") & (c == ""), "no column name")
     why = why.when((F.col("kind") == "missing_table") & F.col("oracle").isNull(), "no reference metadata").when((F.col("kind") != "missing_table") & F.col("r").isNull(), "no reference metadata").when(made.isNull(), "too little metadata")
-    return rows.select("id", F.col("server_id").alias("target"), "table_name", "column_name", "kind", F.when(why.isNull(), made).alias("statement"), why.alias("skip_reason"))
+    return rows.select("id", "target", "table_name", "column_name", "kind", F.when(why.isNull(), made).alias("statement"), why.alias("skip_reason"))
 
 
 def script_blocks(fixes: DataFrame, servers: DataFrame, reference: int) -> DataFrame:
@@ -143,7 +156,7 @@ def script_blocks(fixes: DataFrame, servers: DataFrame, reference: int) -> DataF
     fixes = written(fixes, "fixes")  # read three times
     name = servers.where(F.col("server_id") == reference).select("server_name").first()
     head = fixes.select("target").distinct().join(few(servers.select(F.col("server_id").alias("target"), "server_name")), "target", "left")
-    head = head.select("target", F.lit(0).alias("part"), F.lit(0).cast("long").alias("id"), _text(f"-- reference: {name[0] if name else reference}\n-- target: ", F.coalesce("server_name", F.col("target").cast("string")), "\n-- review before it runs").alias("block"))
+    head = head.select("target", F.lit(0).alias("part"), F.lit(0).cast("long").alias("id"), _text(f"-- reference: {name[0] if name else reference}\n-- target: ", F.coalesce("server_name", F.col("target").cast("string"), F.lit("unknown")), "\n-- review before it runs").alias("block"))
     done = fixes.where("statement is not null").groupBy("target", "table_name", "column_name", "kind", "statement").agg(F.min("id").alias("id"))
     column = F.when(F.trim("column_name") == "", "(table-level)").otherwise(F.col("column_name"))
     done = done.select("target", F.lit(1).alias("part"), "id", _text("-- discrepancy #", F.col("id").cast("string"), "\n-- table: ", F.col("table_name"), "\n-- column: ", column, "\n", F.col("statement")).alias("block"))

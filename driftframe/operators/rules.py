@@ -293,3 +293,70 @@ def readable_columns(columns: DataFrame, access: DataFrame, column_access: DataF
     omitted = every.groupBy(*keys).agg(F.count_if(~F.col("readable")).alias("n_omitted"))
     out = out.unionByName(every.where("readable").join(omitted, keys).select(*keys, "asked", "column_name", F.lit("allowed").alias("verdict"), "n_omitted"))
     return out.unionByName(table.where("not allowed").select(*keys, "asked", F.lit(None).cast("string").alias("column_name"), F.lit("table denied").alias("verdict"), F.lit(0).cast("long").alias("n_omitted")))
+
+
+def granted_queries(requests: DataFrame, parts: DataFrame, columns: DataFrame, access: DataFrame, column_access: DataFrame, policies: DataFrame) -> DataFrame:
+    """(request_id, connection_id, table_name, reason, columns, n_omitted, names, row_limit) of structured queries of tables, each judged as a whole.
+
+    requests: (request_id, connection_id, table_name, asked_limit); parts: (request_id, part, seq, asked), the columns that a request selects
+    (``column``), filters by (``filter``) or orders by (``order``); with no ``column`` it selects all that can be read, and n_omitted are left out. columns is the catalog
+    (connection_id, table_name, column_name, column_id).
+    A name is found exactly, else blind to case, the first in the table's order. The first fault is the reason, in this order: the table denied, not found, a
+    selected column unknown or denied, none left, then filters, then order; a granted request has none. names: what each asked name stands for. Limits are within
+    the connection's own, which is the default too.
+    """
+    keys = ["connection_id", "table_name"]
+    readable = columns.join(column_access.withColumnRenamed("allowed", "readable"), [*keys, "column_name"], "left")
+    readable = readable.select(*keys, "column_name", "column_id", F.lower("column_name").alias("low"), F.coalesce("readable", F.lit(False)).alias("readable"))
+    every = readable.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("readable"), F.struct("column_id", "column_name")))).alias("all"), F.count_if(~F.col("readable")).alias("hidden")
+    )  # one table's columns
+    asked = parts.join(requests.select("request_id", *keys), "request_id").withColumns({"asked": F.trim("asked"), "low": F.lower(F.trim("asked"))})
+    best = F.min_by(F.struct("column_name", "readable"), F.struct(F.col("column_name") != F.col("asked"), "column_id"))
+    found = asked.join(readable, [*keys, "low"], "left").groupBy("request_id", "part", "seq", "asked").agg(best.alias("b"))
+    place = F.when(F.col("part") == "column", 0).when(F.col("part") == "filter", 1).otherwise(2)
+    denied = F.when(F.col("part") == "column", "column denied").when(F.col("part") == "filter", "filter denied").otherwise("order denied")
+    fault = F.when(F.col("b.column_name").isNull(), F.concat(F.lit("unknown column: "), "asked")).when(~F.col("b.readable"), F.concat(denied, F.lit(": "), "b.column_name"))
+    judged = found.withColumns({"place": place, "fault": fault})
+    by_place = lambda when: F.min(F.when(when & F.col("fault").isNotNull(), F.struct("place", "seq", "fault")))
+    selected = F.array_sort(F.collect_list(F.when(F.col("part") == "column", F.struct("seq", "b.column_name"))))
+    judged = judged.groupBy("request_id").agg(
+        by_place(F.col("place") == 0).alias("first"), by_place(F.col("place") > 0).alias("later"), selected.alias("selected"),
+        F.map_from_entries(F.array_distinct(F.collect_list(F.struct("asked", "b.column_name")))).alias("names"),
+    )
+    rows = requests.join(judged, "request_id", "left").join(every, keys, "left").join(access.select(*keys, "allowed"), keys, "left").join(few(policies.select("connection_id", "max_rows")), "connection_id", "left")
+    own = F.coalesce(F.size("selected") > 0, F.lit(False))
+    name = lambda c: F.transform(c, lambda x: x["column_name"])
+    chosen = F.when(own, name("selected")).otherwise(name("all"))
+    reason = F.when(~F.coalesce("allowed", F.lit(False)), "table denied").when(F.col("all").isNull(), "table not found").when(F.col("first").isNotNull(), F.col("first.fault"))
+    rows = rows.withColumn("reason", reason.when(F.size(chosen) == 0, "no column may be read").otherwise(F.col("later.fault")))
+    most = F.greatest(F.lit(1), F.least(F.lit(MOST_ROWS), F.coalesce("max_rows", F.lit(DEFAULT_ROWS))))
+    granted = F.col("reason").isNull()
+    return rows.select(
+        "request_id", *keys, "reason", F.when(granted, chosen).alias("columns"), F.when(granted & ~own, F.col("hidden")).otherwise(F.lit(0)).cast("long").alias("n_omitted"),
+        F.when(granted, F.coalesce("names", F.expr("cast(map() as map<string, string>)"))).alias("names"), F.when(granted, F.greatest(F.lit(1), F.least(most, F.coalesce("asked_limit", most)))).cast("int").alias("row_limit"),
+    )
+
+
+def access_summary(objects: DataFrame, policies: DataFrame, rules: DataFrame, denies: DataFrame, servers: DataFrame, data_tools_disabled: bool = False) -> DataFrame:
+    """(connection_id, n_hidden, n_allowed, n_restricted, n_denied, n_other, tools) of each connection with a policy: what an agent would see and may use.
+
+    Objects (server_id, name, object_type) count only where the agent is let in and may list them: those that rules hide, then relations by how their
+    data can be read, and others. tools names the allowed ones, in the order of their names.
+    """
+    listing = few(policies.where("mcp_enabled and allow_schema_list").select("connection_id"))
+    own = objects.select(F.col("server_id").alias("connection_id"), "name", "object_type").join(listing, "connection_id", "left_semi")
+    shown = hide_objects(own, denies, "connection_id")
+    relation = F.col("object_type").isin("TABLE", "VIEW", "MATERIALIZED VIEW")
+    access = table_access(shown.where(relation).select("connection_id", F.col("name").alias("table_name")).distinct(), policies, rules, servers)
+    judged = shown.join(access.withColumnRenamed("table_name", "name"), ["connection_id", "name"], "left")
+    allowed, restricted = F.coalesce("allowed", F.lit(False)), F.coalesce("column_rules", F.lit(False))
+    counts = judged.groupBy("connection_id").agg(
+        F.count("*").alias("n_shown"), F.count_if(relation & allowed & ~restricted).alias("n_allowed"), F.count_if(relation & allowed & restricted).alias("n_restricted"),
+        F.count_if(relation & ~allowed).alias("n_denied"), F.count_if(~relation).alias("n_other"),
+    )
+    held = own.groupBy("connection_id").agg(F.count("*").alias("n_held"))
+    tools = capability_matrix(policies, rules, data_tools_disabled).groupBy("connection_id").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("allowed"), F.col("tool")))), " ").alias("tools"))
+    rows = tools.join(held, "connection_id", "left").join(counts, "connection_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return rows.select("connection_id", (zero("n_held") - zero("n_shown")).alias("n_hidden"), *(zero(c).alias(c) for c in ("n_allowed", "n_restricted", "n_denied", "n_other")), "tools")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftframe.operators.shared import few, in_ranges, with_running_sum
@@ -23,6 +23,39 @@ def write_csv(result: DataFrame, path: str) -> DataFrame:
     return result.sparkSession.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
 
 
+#: Columns of the discrepancy report, in order.
+REPORT = ("difference", "table_name", "column_name", "server_name", "details")
+
+
+def severity(c: str = "difference") -> F.Column:
+    """Class of a discrepancy in a report: missing, different, or null for others."""
+    return F.when(F.col(c) == "MISSING", "missing").when(F.col(c) == "DIFFERENT", "different")
+
+
+def write_discrepancies(discrepancies: DataFrame, path: str) -> DataFrame:
+    """Write the report as files of fields between ``;``, with heads in capitals, nulls blank and empty texts in quotes, and read it back with its severity."""
+    form = {"sep": ";", "header": True, "escape": '"', "multiLine": True}
+    rows = discrepancies.select(*(F.col(c).alias(c.upper()) for c in REPORT))
+    rows.write.options(**form).csv(path)
+    # a blank field is read as the text that stands for null, which must not be the empty one
+    back = discrepancies.sparkSession.read.schema(rows.schema).options(**form, nullValue="\0").csv(path)
+    return back.select(*(F.col(c.upper()).alias(c) for c in REPORT)).withColumn("severity", severity())
+
+
+def granted_rows(df: DataFrame, granted: Row, filters: Sequence[tuple] = (), order_by: Sequence[tuple] = ()) -> DataFrame:
+    """Rows of a table under a request as ``rules.granted_queries`` judged it: its columns and limit, filters (name, operator, value) and order (name, direction) by the names they stand for.
+
+    PermissionError where it was not granted, or for a name that was not judged.
+    """
+    if granted.reason is not None:
+        raise PermissionError(granted.reason)
+    unjudged = [c for c, *_ in (*filters, *order_by) if c.strip() not in granted.names]
+    if unjudged:
+        raise PermissionError(f"not judged: {unjudged[0]}")
+    meant = lambda terms: [(granted.names[c.strip()], *rest) for c, *rest in terms]
+    return table_query(df, granted.columns, meant(filters), meant(order_by), granted.row_limit)
+
+
 def sheet_names(servers: DataFrame) -> DataFrame:
     """(server_id, sheet_name): names cut to 31 characters, with the id where two are the same."""
     cut = servers.select("server_id", F.substring("server_name", 1, NAME_CHARACTERS).alias("cut"))

@@ -275,6 +275,37 @@ UNION ALL SELECT q.connection_id, q.table_name, NULL, r.column_name, 'allowed',
  JOIN readable_rows r ON r.connection_id = q.connection_id AND r.table_name = q.table_name AND r.readable WHERE q.asked IS NULL""",
 )
 
+VIEWS["table_requests"] = "SELECT DISTINCT concat(server_id, '/', table_name) AS request_id, server_id AS connection_id, table_name, CASE WHEN table_name LIKE '%1' THEN NULL WHEN table_name LIKE '%2' THEN 0 WHEN table_name LIKE '%3' THEN 20000 ELSE 50 END AS asked_limit FROM fleet_columns"
+VIEWS["request_parts"] = """
+SELECT concat(server_id, '/', table_name) AS request_id, 'column' AS part, column_id AS seq, CASE WHEN table_name LIKE '%4' THEN lower(column_name) ELSE column_name END AS asked FROM fleet_columns WHERE column_id % 2 = 1 AND table_name NOT LIKE '%5' AND table_name NOT LIKE '%9'
+UNION ALL SELECT request_id, 'column', 99, 'C9' FROM table_requests WHERE table_name LIKE '%6' UNION ALL SELECT request_id, 'filter', 1, 'C1' FROM table_requests WHERE table_name NOT LIKE '%7'
+UNION ALL SELECT request_id, 'filter', 2, ' c7 ' FROM table_requests WHERE table_name LIKE '%8' OR table_name LIKE '%5' UNION ALL SELECT request_id, 'order', 1, 'c2' FROM table_requests WHERE table_name LIKE '%9' OR table_name LIKE '%3'"""
+bound(
+    "fl14_query",
+    lambda q, p, c, a, ca, po: rules.granted_queries(q, p, c.withColumnRenamed("server_id", "connection_id"), a, ca, po).select("request_id", "reason", F.array_join("columns", ",").alias("columns"), "n_omitted", "row_limit"),
+    "table_requests request_parts fleet_columns access column_access policies",
+    """
+SELECT request_id, reason, CASE WHEN reason IS NULL THEN chosen END AS columns, CASE WHEN reason IS NULL AND n = 0 THEN hidden ELSE 0 END AS n_omitted, CASE WHEN reason IS NULL THEN greatest(1, least(coalesce(asked_limit, most), most)) END AS row_limit FROM (
+ SELECT r.request_id, r.asked_limit, greatest(1, least(10000, coalesce(p.max_rows, 200))) AS most, coalesce(f.n, 0) AS n, e.hidden, CASE WHEN coalesce(f.n, 0) > 0 THEN f.chosen ELSE e.every END AS chosen,
+  CASE WHEN NOT coalesce(a.allowed, false) THEN 'table denied' WHEN f.first IS NOT NULL THEN f.first WHEN coalesce(f.n, 0) = 0 AND e.every IS NULL THEN 'no column may be read' ELSE f.later END AS reason
+ FROM table_requests r LEFT JOIN access a ON a.connection_id = r.connection_id AND a.table_name = r.table_name LEFT JOIN policies p ON p.connection_id = r.connection_id
+ LEFT JOIN (SELECT c.connection_id, c.table_name, string_agg(c.column_name, ',' ORDER BY i.column_id) FILTER (readable) AS every, count(*) FILTER (NOT readable) AS hidden FROM readable_rows c JOIN fleet_columns i ON i.server_id = c.connection_id AND i.table_name = c.table_name AND i.column_name = c.column_name GROUP BY 1, 2) e
+  ON e.connection_id = r.connection_id AND e.table_name = r.table_name
+ LEFT JOIN (SELECT request_id, arg_min(fault, seq) FILTER (part = 'column' AND fault IS NOT NULL) AS first, arg_min(fault, concat(part, seq)) FILTER (part <> 'column' AND fault IS NOT NULL) AS later, count(*) FILTER (part = 'column') AS n, string_agg(column_name, ',' ORDER BY seq) FILTER (part = 'column') AS chosen
+  FROM (SELECT q.*, c.column_name, CASE WHEN c.column_name IS NULL THEN concat('unknown column: ', trim(q.asked)) WHEN NOT c.readable THEN concat(q.part, ' denied: ', c.column_name) END AS fault FROM request_parts q JOIN table_requests r ON r.request_id = q.request_id
+   LEFT JOIN readable_rows c ON c.connection_id = r.connection_id AND c.table_name = r.table_name AND upper(c.column_name) = upper(trim(q.asked))) j GROUP BY request_id) f ON f.request_id = r.request_id) v""",
+)
+bound(
+    "fl23_summary",
+    lambda *views: rules.access_summary(*views),
+    "objects policies policy_table_rules policy_object_deny fleet_servers",
+    f"""
+SELECT p.connection_id, count(o.name) FILTER (s.name IS NULL) AS n_hidden, count(*) FILTER (s.relation AND s.allowed AND NOT s.ruled) AS n_allowed, count(*) FILTER (s.relation AND s.allowed AND s.ruled) AS n_restricted, count(*) FILTER (s.relation AND NOT s.allowed) AS n_denied, count(*) FILTER (NOT s.relation) AS n_other,
+ max(t.tools) AS tools FROM policies p LEFT JOIN objects o ON o.server_id = p.connection_id AND p.mcp_enabled AND p.allow_schema_list
+LEFT JOIN (SELECT h.server_id, h.name, h.object_type IN ('TABLE', 'VIEW', 'MATERIALIZED VIEW') AS relation, coalesce(a.allowed, false) AS allowed, coalesce(a.column_rules, false) AS ruled FROM shown_objects h LEFT JOIN access a ON a.connection_id = h.server_id AND a.table_name = h.name) s ON s.server_id = o.server_id AND s.name = o.name
+JOIN (SELECT connection_id, coalesce(string_agg(tool, ' ' ORDER BY tool) FILTER (reason_code IS NULL), '') AS tools FROM ({_MATRIX.replace("{off}", "false").replace("connection_policies", "policies").replace("connection_rules", "policy_table_rules")}) m GROUP BY connection_id) t ON t.connection_id = p.connection_id GROUP BY p.connection_id""",
+)
+
 # ---------------------------------------------------------------- SQL screening
 
 VIEWS["logged_sql"] = """
@@ -358,7 +389,8 @@ def _fix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 fixtures.BUILDERS["fix_rows"] = _fix_rows
 bound("gn1", lambda c: c.select("id", "kind"), "classified", "SELECT id, kind FROM classified")
-sql("gn2", "SELECT d.id, coalesce(s.server_id, d.server_id) AS target FROM (SELECT id, server_id, regexp_extract(details, 'found in server (.*) but not in reference server', 1) AS named FROM numbered) d LEFT JOIN fleet_servers s ON upper(s.server_name) = upper(d.named)")
+VIEWS["seen_at"] = "SELECT id, difference, details, CASE WHEN id % 3 = 0 THEN 0 ELSE server_id END AS server_id FROM numbered"
+bound("gn2", lambda d, s: repair.resolve_targets(d, s, 0).select("id", "target"), "seen_at fleet_servers", "SELECT d.id, CASE WHEN d.server_id <> 0 THEN d.server_id ELSE s.server_id END AS target FROM seen_at d LEFT JOIN fleet_servers s ON d.difference = 'MISSING' AND contains(d.details, concat('found in server ', upper(s.server_name), ' but not in reference server '))")
 for _id, _kinds in (("gn3", ["missing_column"]), ("gn4", ["data_type", "data_length"]), ("gn5", ["data_default"]), ("gn6", ["comments"]), ("gn7", ["missing_table"])):
     bound(_id, lambda f, k=_kinds: f.where(F.col("kind").isin(*k)).select("id", "target", "statement"), "fix_rows", "SELECT id, target, statement FROM fix_rows WHERE kind IN ({})".format(", ".join(f"'{k}'" for k in _kinds)))
 bound("gn8", lambda f: f.where("skip_reason is not null").select("id", "target", "skip_reason"), "fix_rows", "SELECT id, target, skip_reason FROM fix_rows WHERE skip_reason IS NOT NULL")

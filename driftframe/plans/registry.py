@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.operators import audit, drift, rules, summary
+from driftframe.operators import audit, drift, rules, shared, sinks, summary
 from driftframe.sources import fixtures
 from driftframe.sources.fixtures import VIEWS, oracle, query, view
 
@@ -107,7 +107,7 @@ _ENDINGS = "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1
 sql("ag13", _ENDINGS)
 bound("ag14", summary.drift_cube, "discrepancies", "SELECT server_id, difference, element, count(*) AS n, CAST(grouping(server_id) * 4 + grouping(difference) * 2 + grouping(element) AS INT) AS gid FROM discrepancies GROUP BY ROLLUP (server_id, difference, element) UNION ALL SELECT NULL AS server_id, difference, element, count(*) AS n, 8 AS gid FROM discrepancies GROUP BY CUBE (difference, element)")
 bound("ag15", summary.objects_by_type, "objects", "SELECT object_type, count(*) AS n, CASE object_type WHEN 'TABLE' THEN 1 WHEN 'VIEW' THEN 2 ELSE 99 END AS place FROM objects GROUP BY object_type")
-sql("sk4", "SELECT difference, table_name, column_name, server_name, details, CASE difference WHEN 'MISSING' THEN 'missing' ELSE 'different' END AS severity FROM discrepancies")
+bound("sk4", lambda d: sinks.write_discrepancies(d, shared.scratch(d.sparkSession)), "discrepancies", "SELECT difference, table_name, column_name, server_name, details, CASE difference WHEN 'MISSING' THEN 'missing' WHEN 'DIFFERENT' THEN 'different' END AS severity FROM discrepancies")
 
 # ---------------------------------------------------------------- rules and policies
 

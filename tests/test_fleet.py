@@ -508,6 +508,44 @@ def test_structured_query_refuses(spark, bad):
         sinks.table_query(spark.createDataFrame([("x",)], "c string"), **bad)
 
 
+def test_a_structured_query_is_judged_whole_and_runs_by_its_names(spark):
+    columns = spark.createDataFrame([(0, "T", "A", 1), (0, "T", "b", 2), (0, "T", "B", 3), (0, "T", "Z", 4)], "connection_id int, table_name string, column_name string, column_id int")
+    access = spark.createDataFrame([(0, "T", True), (0, "GONE", True), (0, "N", False)], "connection_id int, table_name string, allowed boolean")
+    cells = spark.createDataFrame([(0, "T", "A", True), (0, "T", "b", True), (0, "T", "B", False)], "connection_id int, table_name string, column_name string, allowed boolean")
+    policies = spark.createDataFrame([(0, 3)], "connection_id int, max_rows int")
+    asks = {
+        "all": ("T", [], None), "exact": ("T", [("column", " b "), ("column", "a"), ("filter", "a"), ("order", "b")], 1), "denied": ("T", [("filter", "zz"), ("column", "A"), ("column", "B")], 9),
+        "filter": ("T", [("column", "A"), ("order", "q"), ("filter", "Z")], 9), "none": ("N", [], 9), "gone": ("GONE", [("column", "A")], 9), "unknown": ("T", [("column", "x"), ("column", "B")], 9),
+    }
+    requests = spark.createDataFrame([(k, 0, t, n) for k, (t, _, n) in asks.items()], "request_id string, connection_id int, table_name string, asked_limit int")
+    parts = spark.createDataFrame([(k, p, i, c) for k, (_, ps, _) in asks.items() for i, (p, c) in enumerate(ps)], "request_id string, part string, seq int, asked string")
+    got = {r.request_id: r for r in rules.granted_queries(requests, parts, columns, access, cells, policies).collect()}
+    assert {k: r.reason for k, r in got.items()} == {"all": None, "exact": None, "denied": "column denied: B", "filter": "filter denied: Z", "none": "table denied", "gone": "table not found", "unknown": "unknown column: x"}
+    assert (got["all"].columns, got["all"].n_omitted, got["all"].row_limit) == (["A", "b"], 2, 3)
+    assert (got["exact"].columns, got["exact"].names, got["exact"].row_limit) == (["b", "A"], {"a": "A", "b": "b"}, 1)
+    data = spark.createDataFrame([(i, 10 - i) for i in range(5)], "A int, b int")
+    assert [tuple(r) for r in sinks.granted_rows(data, got["exact"], [("a", "gt", 1)], [("b", "asc")]).collect()] == [(6, 4), (7, 3)]
+    for request, filters in (("denied", []), ("all", [("Z", "eq", 1)])):
+        with pytest.raises(PermissionError):
+            sinks.granted_rows(data, got[request], filters)
+
+
+def test_a_row_at_the_reference_is_repaired_where_its_details_say(spark):
+    servers = spark.createDataFrame([(0, "Ref"), (1, "Tgt"), (2, None)], "server_id int, server_name string")
+    found = "Table found in server tGT but not in reference server REF"
+    rows = [(1, 0, "MISSING", found), (2, 0, "missing", found), (3, 0, "DIFFERENT", found), (4, 0, "MISSING", found.replace("tGT", "other")), (5, 7, "MISSING", found), (6, 0, "MISSING", None)]
+    df = spark.createDataFrame(rows, "id int, server_id int, difference string, details string")
+    assert {r.id: r.target for r in repair.resolve_targets(df, servers, 0).collect()} == {1: 1, 2: 1, 3: None, 4: None, 5: 7, 6: None}
+
+
+def test_a_report_keeps_separators_quotes_and_lines(spark, tmp_path):
+    rows = [("MISSING", "T;1", "", 'say "x"', "two\nlines"), ("OTHER", None, "a", "b", ";")]
+    df = spark.createDataFrame(rows, "difference string, table_name string, column_name string, server_name string, details string")
+    back = sinks.write_discrepancies(df.coalesce(1), str(tmp_path / "r"))
+    assert sorted(tuple(r) for r in back.collect()) == [(*rows[0], "missing"), (*rows[1], None)]
+    assert next((tmp_path / "r").glob("part-*")).read_text().startswith("DIFFERENCE;TABLE_NAME;COLUMN_NAME;SERVER_NAME;DETAILS\n")
+
+
 def _plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else f"{v:.9g}"
