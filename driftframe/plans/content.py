@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftframe.operators import lob, sinks, sql_log, text
+from driftframe.operators import lob, saves, sinks, sql_log, text
 from driftframe.operators.shared import scratch
 from driftframe.plans import fleet, surface  # noqa: F401  (views that this module reads)
-from driftframe.plans.registry import QUERIES, bound
+from driftframe.plans.registry import ORACLE_SQL, QUERIES, bound
 from driftframe.sources import fixtures, objects
 from driftframe.sources.fixtures import VIEWS, view
 
@@ -46,8 +46,16 @@ bound("lb3", lambda c: c.select("row_id", "column_name", F.sha2(lob.display(), 2
 bound("lb3_inline", lambda c: c.select("row_id", "column_name", lob.inline_cell().alias("cell")).select("row_id", "column_name", F.sha2("cell.shown", 256).alias("shown"), "cell.cut"), "cells", "SELECT row_id, column_name, sha256(substr(shown, 1, 4000)) AS shown, length(shown) > 4000 AS cut FROM cells")
 bound("lb6", lob.profile, "cells", "SELECT column_name, mime, count(*) AS n, sum(n_bytes) AS n_bytes, max(n_bytes) AS longest, count(*) FILTER (WHERE n_bytes > 4000) AS n_over FROM cells GROUP BY column_name, mime")
 #: A call reads a thousand rows, so what one group holds is bounded.
-bound("lb5", lambda c: lob.capture(c.withColumn("call_id", F.floor(F.col("row_id") / 1000)), each=20_000, total=120_000), "cells")
-QUERIES["ud2"] = QUERIES["lb5"]
+bound("lb5", lambda c: lob.capture(c.withColumn("call_id", F.floor(F.col("row_id") / 1000)), each=20_000, total=120_000), "cells", """
+SELECT x.call_id, x.c.row_id AS row_id, x.c.column_name AS column_name, x.c.size AS size, x.c.reason IS NULL AS captured, x.c.reason AS reason FROM (
+ SELECT call_id, unnest(list_reduce(list_prepend([{'row_id': CAST(NULL AS BIGINT), 'column_name': CAST(NULL AS VARCHAR), 'size': CAST(0 AS BIGINT), 'taken': CAST(0 AS BIGINT), 'used': CAST(0 AS BIGINT), 'reason': CAST(NULL AS VARCHAR)}],
+  list_transform(cells, lambda x: [{'row_id': x.row_id, 'column_name': x.column_name, 'size': x.size, 'taken': CAST(0 AS BIGINT), 'used': CAST(0 AS BIGINT), 'reason': CAST(NULL AS VARCHAR)}])),
+  lambda a, x: list_append(a, {'row_id': x[1].row_id, 'column_name': x[1].column_name, 'size': x[1].size,
+   'taken': a[-1].taken + CASE WHEN a[-1].taken < 50 AND x[1].size <= 20000 AND a[-1].used + x[1].size <= 120000 THEN 1 ELSE 0 END,
+   'used': a[-1].used + CASE WHEN a[-1].taken < 50 AND x[1].size <= 20000 AND a[-1].used + x[1].size <= 120000 THEN x[1].size ELSE 0 END,
+   'reason': CASE WHEN a[-1].taken >= 50 THEN 'too many cells' WHEN x[1].size > 20000 THEN 'cell too large' WHEN a[-1].used + x[1].size > 120000 THEN 'total exceeded' END}))) AS c
+ FROM (SELECT CAST(floor(row_id / 1000) AS BIGINT) AS call_id, list({'row_id': row_id, 'column_name': column_name, 'size': CAST(n_bytes AS BIGINT)} ORDER BY row_id, column_name) AS cells FROM cells GROUP BY 1) g) x WHERE x.c.row_id IS NOT NULL""")
+QUERIES["ud2"], ORACLE_SQL["ud2"] = QUERIES["lb5"], ORACLE_SQL["lb5"]
 
 # ---------------------------------------------------------------- scripts, previews and names
 
@@ -134,6 +142,32 @@ SELECT k.kind, k.path, k.name, k.sha256, EXISTS (SELECT 1 FROM saved_files f WHE
   FROM saved_objects s LEFT JOIN save_defaults d ON d.object_type = s.object_type LEFT JOIN save_overrides o ON o.object_type = s.object_type AND o.schema_name = lower(s.schema_name) LEFT JOIN save_overrides a ON a.object_type = '' AND a.schema_name = lower(s.schema_name)
   JOIN (VALUES ('code'), ('migration')) AS v(kind) ON {_OPTION('storage_mode', 'both')} NOT IN ('code', 'migration') OR {_OPTION('storage_mode', 'both')} = v.kind) r) k""",
 )
+VIEWS["plan_objects"] = """
+SELECT concat(server_id, '/', table_name) AS object_id, 'oracle' AS engine, CASE server_id WHEN 0 THEN 'APP' WHEN 1 THEN 'Sales' WHEN 2 THEN 'Hr' ELSE 'Ops' END AS schema_name, CASE WHEN table_name LIKE '%7' THEN 'view' ELSE 'TABLE' END AS object_type, table_name AS name,
+ CASE WHEN table_name LIKE '%3' THEN 'first_cut' ELSE ' ' END AS description, ddl, CASE WHEN table_name NOT LIKE '%5' THEN concat('-- deploy', chr(10), ddl) END AS deploy FROM table_ddls"""
+VIEWS["plan_files"] = """
+SELECT '/srv/app/migration' AS path, concat('V', event_id % 40, '__app_x.sql') AS name FROM events UNION ALL SELECT '/srv/app/migration/old', concat('V', max(event_id), '__x.sql') FROM events UNION ALL SELECT 'db/ops/migration/new', 'a.sql' FROM region
+UNION ALL SELECT 'db/sales/migration/2.1', concat('table_', table_name, '.tab') FROM table_ddls WHERE server_id = 1 AND table_name LIKE '%3'"""
+_OVERRIDES = """
+SELECT o.*, if(schema_name = 'App', map('VIEW', 'code'), if(schema_name = 'hr', map('TABLE', 'migration'), NULL)) AS storage_modes, if(schema_name = 'sales', map('TABLE', '.tab'), NULL) AS extensions FROM VALUES
+ ('App', '/srv/app', '', ' ', 'flyway', '', NULL, '', 'crlf'), ('sales', ' ', 'src', '', 'flyway', '{type}_{object}{ext}', 'version', ' 2.1 ', ''), ('hr', '', NULL, 'mig', '', '{nope}', '', '', 'lf')
+ AS o(schema_name, folder_path, code_folder, migration_folder, naming_convention, naming_template, folder_mode, version_label, line_endings)"""
+_TYPES = "SELECT * FROM VALUES ('TABLE', 'both', 'sql'), ('VIEW', 'migration', '') AS t(object_type, storage_mode, extension)"
+_CRLF = "replace(regexp_replace({}, '\\r\\n?', chr(10), 'g'), chr(10), concat(chr(13), chr(10)))"
+_LF_ONLY = "regexp_replace({}, '\\r\\n?', chr(10), 'g')"
+_SAVED = "CASE low WHEN 'app' THEN {} WHEN 'hr' THEN {} ELSE {} END".format(_CRLF.format("content"), _LF_ONLY.format("content"), "content")
+bound(
+    "sk9_plan",
+    lambda o, e: saves.save_plan(o, o.sparkSession.sql(_TYPES), o.sparkSession.sql(_OVERRIDES), e, "2024-03-05 14:07:00", "db").drop("content"),
+    "plan_objects plan_files",
+    f"""
+SELECT object_id, kind, path, name, sha256({_SAVED}) AS sha256, EXISTS (SELECT 1 FROM plan_files f WHERE f.path = p.path AND f.name = p.name) AS exists, CASE WHEN name IS NULL THEN 'bad template' END AS violation FROM (
+ SELECT object_id, low, 'code' AS kind, ddl AS content, CASE low WHEN 'app' THEN '/srv/app/code/app' WHEN 'sales' THEN 'db/sales/src/sales' ELSE 'db/ops/code/ops' END AS path,
+  concat(CASE WHEN low IN ('app', 'sales') THEN 'R__' ELSE '' END, name, CASE WHEN object_type = 'view' THEN '' WHEN low = 'sales' THEN '.tab' ELSE '.sql' END) AS name FROM (SELECT *, lower(schema_name) AS low FROM plan_objects) c WHERE low <> 'hr' AND (object_type = 'TABLE' OR low = 'app')
+ UNION ALL SELECT object_id, low, 'migration', coalesce(deploy, ddl), CASE low WHEN 'app' THEN '/srv/app/migration' WHEN 'sales' THEN 'db/sales/migration/2.1' WHEN 'hr' THEN 'db/hr/mig' ELSE 'db/ops/migration/new' END,
+  CASE low WHEN 'app' THEN concat('V', greatest((SELECT max(event_id) FROM events), 39) + 1, '__app_', said, ext) WHEN 'sales' THEN concat(lower(object_type), '_', name, CASE WHEN ext = '' THEN '' ELSE '.tab' END) WHEN 'ops' THEN concat('240305_1407_ops$', said, ext) END
+ FROM (SELECT *, lower(schema_name) AS low, CASE WHEN trim(description) = '' THEN name ELSE description END AS said, CASE WHEN object_type = 'view' THEN '' ELSE '.sql' END AS ext FROM plan_objects) m WHERE NOT (low = 'app' AND object_type = 'view')) p""",
+)
 bound("wn2", lambda q: sql_log.drop_repeats(q.select("id", "sql_text")), "query_log", "SELECT id, sql_text FROM (SELECT id, sql_text, lag(sql_text) OVER (ORDER BY id) AS prev FROM query_log) q WHERE prev IS NULL OR prev <> sql_text")
 _BYTES = "length(CAST(c_custkey AS VARCHAR)) + 2 + length(c_name) + 2"
 bound("wn3", lambda c: sinks.byte_capped(c.select("c_custkey", "c_name"), "c_custkey", 20_000), "customer", f"SELECT c_custkey, c_name, running_bytes, total > 20000 AS truncated FROM (SELECT c_custkey, c_name, CAST(sum({_BYTES}) OVER (ORDER BY c_custkey) AS BIGINT) AS running_bytes, sum({_BYTES}) OVER () AS total FROM customer) r WHERE running_bytes <= 20000")

@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from driftframe.operators import audit, drift, heads, lob, repair, rules, shared, sinks, sql_log, text
+from driftframe.operators import audit, drift, heads, lob, repair, rules, saves, shared, sinks, sql_log, text
 from driftframe.plans import content, dialects, fleet, registry, surface  # noqa: F401
 from driftframe.sources import fanout, objects
 from hypothesis import given, settings
@@ -538,6 +538,24 @@ def test_a_row_at_the_reference_is_repaired_where_its_details_say(spark):
     assert {r.id: r.target for r in repair.resolve_targets(df, servers, 0).collect()} == {1: 1, 2: 1, 3: None, 4: None, 5: 7, 6: None}
 
 
+def test_a_plan_of_files_says_what_cannot_be_written(spark):
+    objects = spark.createDataFrame(
+        [(1, "postgres", "A", "package spec and body", "p", "", "x", None), (2, "oracle", "A", "PACKAGE SPEC AND BODY", "p", "", "x\r\ny", "d"), (3, "oracle", "B", "TABLE", "a/b", "", "x", None), (4, "oracle", "C", "TABLE", "t", "", "x", None)],
+        "object_id int, engine string, schema_name string, object_type string, name string, description string, ddl string, deploy string",
+    )
+    types = spark.createDataFrame([("PACKAGE", "both", ".pks"), ("TABLE", "odd", "")], "object_type string, storage_mode string, extension string")
+    none = spark.createDataFrame([("c", "mac")], "schema_name string, line_endings string")
+    for c in saves.OPTIONS:
+        none = none if c == "line_endings" else none.withColumn(c, F.lit(None).cast("string"))
+    none = none.withColumns({c: F.lit(None).cast("map<string, string>") for c in ("storage_modes", "extensions")})
+    files = spark.createDataFrame([("sql/a/migration/2024", "240305_0900_a$p.pks")], "path string, name string")
+    got = {(r.object_id, r.kind): r for r in saves.save_plan(objects, types, none, files, "2024-03-05 09:00:00", options={"line_endings": "lf"}).collect()}
+    assert {k: r.violation for k, r in got.items()} == {(1, "code"): "no packages here", (1, "migration"): "no packages here", (2, "code"): None, (2, "migration"): None, (3, "code"): "bad character", (3, "migration"): "bad character", (4, "code"): "unknown line endings", (4, "migration"): "unknown line endings"}
+    code, migration = got[2, "code"], got[2, "migration"]
+    assert (code.path, code.name, code.content, code.exists) == ("sql/a/code/a", "p.pks", "x\ny", False)
+    assert (migration.path, migration.name, migration.content, migration.exists) == ("sql/a/migration/2024", "240305_0900_a$p.pks", "d", True)
+
+
 def test_a_report_keeps_separators_quotes_and_lines(spark, tmp_path):
     rows = [("MISSING", "T;1", "", 'say "x"', "two\nlines"), ("OTHER", None, "a", "b", ";")]
     df = spark.createDataFrame(rows, "difference string, table_name string, column_name string, server_name string, details string")
