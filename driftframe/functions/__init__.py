@@ -1,14 +1,14 @@
 """SQL functions of the source databases that Spark lacks, as temporary SQL functions that the optimizer inlines.
 
 Names that Spark has with another meaning begin with ``ora_`` or ``pg_``. Format models are compiled by ``formats``, JSON aggregates are columns of
-``json_values``.
+``json_values``, functions of any number of arguments or of a pattern columns of ``texts``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from driftframe.functions import dates, json_values
+from driftframe.functions import dates, json_values, texts
 
 _DECIMAL = "CAST(try_cast(abs(x) AS DECIMAL(38, 15)) AS STRING)"
 _POINT = f"instr({_DECIMAL}, '.')"
@@ -32,6 +32,7 @@ FUNCTIONS = (
     ("ora_regexp_instr", "s STRING, pattern STRING", "INT", "regexp_instr(s, pattern)"),
     *dates.FUNCTIONS,
     *json_values.FUNCTIONS,
+    *texts.FUNCTIONS,
 )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftframe import functions
-from driftframe.functions import formats, json_values
+from driftframe.functions import formats, json_values, texts
 from driftframe.plans.registry import bound
 
 _TIME = "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"
@@ -107,3 +107,29 @@ bound(
  CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS state, 3 AS sc, lower(hex(o_custkey)) AS hex, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS nulls, nullif(list_position(string_split(o_orderpriority, '-'), 'LOW'), 0) AS low, concat(CASE WHEN o_orderstatus = 'O' THEN '' ELSE o_orderstatus END, '!') AS said,
  CASE WHEN o_custkey <> 5 THEN CAST(greatest(o_orderkey, o_custkey) AS DOUBLE) END AS most, strpos(o_orderpriority, regexp_extract(o_orderpriority, '[A-Z]')) AS letter FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) o""",
 )
+
+
+def _texts(customers: DataFrame) -> DataFrame:
+    rows = _with_functions(customers).withColumns({"address": F.concat(F.lower("c_mktsegment"), F.lit("-"), F.lower("c_name")), "none": F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment"))})
+    return rows.select(
+        "c_custkey", F.expr("initcap_words(address)").alias("words"), F.expr("ora_substr(c_name, -4, 2)").alias("tail"), F.expr("pg_substring(c_name, -1, 5)").alias("clipped"), F.expr("ora_instr(address, 'e', -1, 1)").alias("last_e"), F.expr("ora_instr(address, 'e', 1, 2)").alias("second_e"),
+        F.expr("pg_array_to_string(pg_string_to_array(address, '#', 'x'), '|', '*')").alias("joined"), F.expr("pg_array_length(pg_string_to_array(c_name, NULL, NULL), 1)").alias("n"), F.expr("bucket_number(c_acctbal, -500, 9000, 7)").alias("bucket"), F.expr("pg_div(c_acctbal, 100)").alias("hundreds"),
+        texts.concat_present("none", F.lit("/"), "c_nationkey").alias("both"), F.round(texts.ratio_to_report("c_custkey", "c_nationkey"), 9).alias("part"), F.array_join(texts.regexp_match("c_name", "([A-Z])[a-z]+#0*([1-9])"), ",").alias("groups"),
+        texts.regexp_replace("c_name", "(0)([0-9])", r"<\2\1>").alias("once"), texts.regexp_replace("c_name", "0+", r"[\&]", "g").alias("every"), texts.format_text("%s is %I, %2$L or %3$L; 5%%", "c_custkey", "c_name", "none").alias("said"), texts.json_build_object(("id", "c_custkey"), ("no", "none")).alias("object"), texts.json_build_array("c_custkey", "none").alias("list"),
+    )
+
+
+_LITERAL = "coalesce(chr(39) || {} || chr(39), 'NULL')"
+_QUOTED = "coalesce(chr(34) || none || chr(34), 'null')"
+bound(
+    "sf17_texts",
+    _texts,
+    "customer",
+    f"""
+SELECT c_custkey, concat(upper(substr(s, 1, 1)), substr(s, 2), '-', upper(substr(m, 1, 1)), substr(m, 2)) AS words, substr(c_name, length(c_name) - 3, 2) AS tail, substr(c_name, 1, 3) AS clipped, length(a) - strpos(reverse(a), 'e') + 1 AS last_e,
+ CASE WHEN strpos(substr(a, strpos(a, 'e') + 1), 'e') = 0 THEN 0 ELSE strpos(a, 'e') + strpos(substr(a, strpos(a, 'e') + 1), 'e') END AS second_e, replace(a, '#', '|') AS joined, length(c_name) AS n,
+ CASE WHEN c_acctbal < -500 THEN 0 WHEN c_acctbal >= 9000 THEN 8 ELSE CAST(floor((c_acctbal + 500) / 9500 * 7) AS INT) + 1 END AS bucket, trunc(c_acctbal / 100) + 0.0 AS hundreds, concat(none, '/', c_nationkey) AS both, round(c_custkey / sum(c_custkey) OVER (PARTITION BY c_nationkey), 9) AS part,
+ concat(regexp_extract(c_name, '([A-Z])[a-z]+#0*([1-9])', 1), ',', regexp_extract(c_name, '([A-Z])[a-z]+#0*([1-9])', 2)) AS groups, regexp_replace(c_name, '(0)([0-9])', '<\\2\\1>') AS once, regexp_replace(c_name, '0+', '[\\0]', 'g') AS every,
+ concat(c_custkey, ' is "', c_name, '", ', {_LITERAL.format('c_name')}, ' or ', {_LITERAL.format('none')}, '; 5%') AS said, concat('{{"id":', c_custkey, ',"no":', {_QUOTED}, '}}') AS object, concat('[', c_custkey, ',', {_QUOTED}, ']') AS list
+FROM (SELECT *, lower(c_mktsegment) AS s, lower(c_name) AS m, concat(lower(c_mktsegment), '-', lower(c_name)) AS a, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS none FROM customer) c""",
+)

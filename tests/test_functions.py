@@ -5,7 +5,7 @@ import decimal
 
 import pytest
 from driftframe import functions
-from driftframe.functions import formats, json_values
+from driftframe.functions import formats, json_values, texts
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
@@ -146,3 +146,27 @@ def test_json_aggregates_are_ordered(spark):
     df = spark.createDataFrame([("a", 2, "x\"y"), ("a", 1, None), ("a", 3, "z"), ("b", 1, None)], "g string, o int, v string")
     got = {r[0]: tuple(r)[1:] for r in df.groupBy("g").agg(json_values.json_arrayagg("v", "o"), json_values.json_arrayagg("v", "o", absent_on_null=False), json_values.json_objectagg("o", "v")).collect()}
     assert got == {"a": ('["x\\"y","z"]', '[null,"x\\"y","z"]', '{"1":null,"2":"x\\"y","3":"z"}'), "b": ("[]", "[null]", '{"1":null}')}
+
+
+def test_texts_of_the_source_databases(spark, registered):
+    asked = {
+        "initcap_words('o''neil-mc donald2x')": "O'Neil-Mc Donald2x", "ora_substr('abc', 0, 2)": "ab", "ora_substr('abc', -2, 9)": "bc", "ora_substr('abc', -5, 3)": None, "ora_substr('abc', 1, 0)": None,
+        "pg_substring('abcdef', -1, 4)": "ab", "pg_substring('abcdef', 5, 9)": "ef", "pg_substring('abc', -5, 2)": "", "ora_instr('abcabca', 'a', -1, 2)": 4, "ora_instr('abcabca', 'abc', -2, 1)": 4, "ora_instr('aaa', 'aa', 1, 2)": 2, "ora_instr('abc', 'z', 1, 1)": 0, "ora_instr('abc', 'abcd', 1, 1)": 0, "ora_instr('', 'a', 1, 1)": None,
+        "pg_string_to_array('a.b.c', '.', 'b')": ["a", None, "c"], "pg_string_to_array('ab', NULL, NULL)": ["a", "b"], "pg_string_to_array('ab', '', NULL)": ["ab"], "pg_string_to_array('', ',', NULL)": [], "pg_string_to_array(NULL, ',', NULL)": None,
+        "pg_array_length(array(), 1)": None, "pg_array_length(array('a'), 2)": None, "pg_array_to_string(array('a', NULL, 'b'), '-', NULL)": "a-b", "pg_array_to_string(array('a', NULL), '-', '*')": "a-*", "pg_div(-7, 2)": -3.0, "pg_log(1000)": pytest.approx(3.0),
+        "bucket_number(5, 0, 10, 5)": 3, "bucket_number(10, 0, 10, 5)": 6, "bucket_number(-1, 0, 10, 5)": 0, "bucket_number(5, 10, 0, 5)": 3, "bucket_number(11, 10, 0, 5)": 0, "bucket_number(0, 10, 0, 5)": 6, "bucket_number(1, 0, 0, 5)": None, "ora_lengthb('ä')": 2,
+    }
+    row = spark.range(1).selectExpr(*(f"{e} AS c{i}" for i, e in enumerate(asked))).first()
+    assert dict(zip(asked, row, strict=True)) == asked
+
+
+def test_texts_by_pattern_and_template(spark):
+    one = spark.createDataFrame([("a$b a$b", None)], "s string, n string")
+    columns = [
+        (texts.regexp_replace("s", r"a\$", r"\&$\\"), r"a$$\b a$b"), (texts.regexp_replace("s", "(B)", r"<\1>", "gi"), "a$<b> a$<b>"), (texts.regexp_replace("s", "^b", "x"), "a$b a$b"), (texts.regexp_replace("s", "(b)", r"2\1" + "0"), "a$2b0 a$b"), (texts.concat_present("n", "s"), "a$b a$b"),
+        (texts.format_text("%I %L", "s", "n"), '"a$b a$b" NULL'), (texts.format_text("%2$s|%1$s", "s", "n"), "|a$b a$b"), (texts.regexp_match("s", "(b) (a)"), ["b", "a"]), (texts.regexp_match("s", "b"), ["b"]), (texts.regexp_match("s", "z"), None),
+    ]
+    assert list(one.select(*(c for c, _ in columns)).first()) == [v for _, v in columns]
+    for make in (lambda: texts.format_text("%d", "s"), lambda: texts.format_text("%s %s", "s"), lambda: texts.regexp_replace("s", r"(a)\1", ""), lambda: texts.regexp_replace("s", "a", "", "x")):
+        with pytest.raises(ValueError):
+            make()
