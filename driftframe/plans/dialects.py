@@ -129,7 +129,7 @@ bound(
 SELECT c_custkey, concat(upper(substr(s, 1, 1)), substr(s, 2), '-', upper(substr(m, 1, 1)), substr(m, 2)) AS words, substr(c_name, length(c_name) - 3, 2) AS tail, substr(c_name, 1, 3) AS clipped, length(a) - strpos(reverse(a), 'e') + 1 AS last_e,
  CASE WHEN strpos(substr(a, strpos(a, 'e') + 1), 'e') = 0 THEN 0 ELSE strpos(a, 'e') + strpos(substr(a, strpos(a, 'e') + 1), 'e') END AS second_e, replace(a, '#', '|') AS joined, length(c_name) AS n,
  CASE WHEN c_acctbal < -500 THEN 0 WHEN c_acctbal >= 9000 THEN 8 ELSE CAST(floor((c_acctbal + 500) / 9500 * 7) AS INT) + 1 END AS bucket, trunc(c_acctbal / 100) + 0.0 AS hundreds, concat(none, '/', c_nationkey) AS both, round(c_custkey / sum(c_custkey) OVER (PARTITION BY c_nationkey), 9) AS part,
- concat(regexp_extract(c_name, '([A-Z])[a-z]+#0*([1-9])', 1), ',', regexp_extract(c_name, '([A-Z])[a-z]+#0*([1-9])', 2)) AS groups, regexp_replace(c_name, '(0)([0-9])', '<\\2\\1>') AS once, regexp_replace(c_name, '0+', '[\\0]', 'g') AS every,
+ CASE WHEN regexp_matches(c_name, '([A-Z])[a-z]+#0*([1-9])') THEN concat(regexp_extract(c_name, '([A-Z])[a-z]+#0*([1-9])', 1), ',', regexp_extract(c_name, '([A-Z])[a-z]+#0*([1-9])', 2)) END AS groups, regexp_replace(c_name, '(0)([0-9])', '<\\2\\1>') AS once, regexp_replace(c_name, '0+', '[\\0]', 'g') AS every,
  concat(c_custkey, ' is "', c_name, '", ', {_LITERAL.format('c_name')}, ' or ', {_LITERAL.format('none')}, '; 5%') AS said, concat('{{"id":', c_custkey, ',"no":', {_QUOTED}, '}}') AS object, concat('[', c_custkey, ',', {_QUOTED}, ']') AS list
 FROM (SELECT *, lower(c_mktsegment) AS s, lower(c_name) AS m, concat(lower(c_mktsegment), '-', lower(c_name)) AS a, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS none FROM customer) c""",
 )
