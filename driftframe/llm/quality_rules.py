@@ -81,11 +81,11 @@ def _lines(data: np.ndarray, offsets: np.ndarray, word_start: np.ndarray, prefix
     start = np.sort(np.concatenate([filled, breaks + 1]))
     start = start[start < len(data)]
     start = start[np.concatenate([[True], start[1:] != start[:-1]])] if len(start) else start
-    stop = np.sort(np.concatenate([offsets[1:][np.diff(offsets) > 0], breaks]))
-    stop = stop[np.searchsorted(stop, start)] if len(start) else stop[:0]  # the next break or document's end
-    worded = np.searchsorted(word_start, stop) > np.searchsorted(word_start, start)
-    start, stop = start[worded], stop[worded]
     doc = np.searchsorted(offsets, start, side="right") - 1
+    stop = np.append(breaks, len(data))[np.searchsorted(breaks, start)] if len(start) else start
+    stop = np.minimum(stop, offsets[doc + 1])  # the next break or its own document's end, which may be where the line begins
+    worded = np.searchsorted(word_start, stop) > np.searchsorted(word_start, start)
+    start, stop, doc = start[worded], stop[worded], doc[worded]
     later, _ = _duplicates(K.range_hash(prefix, start, stop), doc)
     return np.bincount(doc[later], minlength=len(offsets) - 1)
 

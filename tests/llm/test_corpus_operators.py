@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from driftframe.llm import (
     common,
@@ -415,6 +416,12 @@ def test_quality_rules_base_counts(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_rules_count_first_lines_of_all_documents():
+    texts = ["x", "a\nb\na", "", "a\na", "\n", "\na\n\na", "b\n", "a \na\na "]
+    for _, _, data, offsets in quality_rules.K.pieces(*quality_rules.K.buffers(pa.array(texts))):
+        assert quality_rules.Base(data, offsets).lines.tolist() == [0, 1, 0, 1, 0, 1, 0, 1]
+
+
 def test_quality_rules_tell_junk(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_rules.quality_rules(docs).join(labels, "doc_id").where("not base_failed").collect()
