@@ -417,6 +417,18 @@ def test_common_lengths():
     assert text.common_lengths(a, b[:0]).tolist() == [0]
 
 
+def test_diffs_hold_few_pairs_and_read_them_once(spark):
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "a": "x", "b": "y"} for i in range(2 * text.PAIRS + 1)])
+    assert [len(rows) for rows in text._few_pairs(iter([batch]))] == [text.PAIRS, text.PAIRS, 1]
+    pairs = spark.createDataFrame([(i, "a\nb", f"b\nc{i}") for i in range(150)] + [(200, None, "x"), (201, "x;", "x")], "doc_id long, server_text string, file_text string").coalesce(1)
+    counts = text.exact_counts(pairs)
+    assert "Join" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in counts.collect()} == {(i, 1, 1) for i in range(150)} | {(200, 0, 0), (201, 0, 0)}
+    rows = text.diff_operations(pairs)
+    assert rows.rdd.getNumPartitions() > 1
+    assert sorted(map(tuple, rows.where("doc_id = 149").collect())) == [(149, 1, "-", "a"), (149, 2, " ", "b"), (149, 3, "+", "c149")]
+
+
 def test_diff_summaries(spark):
     long = "\n".join(f"l{k}" for k in range(3000))
     pairs = [(1, "a\nb\nc\nd\ne\nf\ng", "a\nb\nc\nX\ne\nf\ng\nh"), (2, "a\r\nb", "a\nb"), (3, "same", "same"), (4, long, long.replace("l", "m")), (5, "x\n" * 100, "y\n" * 100), (6, "", "é")]
