@@ -429,6 +429,11 @@ def test_diffs_hold_few_pairs_and_read_them_once(spark):
     assert sorted(map(tuple, rows.where("doc_id = 149").collect())) == [(149, 1, "-", "a"), (149, 2, " ", "b"), (149, 3, "+", "c149")]
 
 
+def test_repair_of_columns_makes_no_tables(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(repair, "created_tables", lambda *_: pytest.fail("tables are made"))
+    assert not registry.QUERIES["gn3"](spark, sf_dir).isEmpty()
+
+
 def test_diff_summaries(spark):
     long = "\n".join(f"l{k}" for k in range(3000))
     pairs = [(1, "a\nb\nc\nd\ne\nf\ng", "a\nb\nc\nX\ne\nf\ng\nh"), (2, "a\r\nb", "a\nb"), (3, "same", "same"), (4, long, long.replace("l", "m")), (5, "x\n" * 100, "y\n" * 100), (6, "", "é")]
