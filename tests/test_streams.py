@@ -1,9 +1,11 @@
 """Streams: forwarding that no entry fails, chains as entries arrive."""
 
 import datetime
+import json
 
 import pytest
 from driftframe.operators import audit
+from driftframe.plans import registry, surface
 from driftframe.streaming import audit_stream
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -97,3 +99,18 @@ def test_ids_that_come_too_late_are_refused(spark, tmp_path):
     rows = spark.read.schema(links.schema).parquet(f"{tmp_path}/out").collect()
     assert sorted(((r.id or 0), r.seq, r.refused) for r in rows if r.refused or r.id == 6) == [(0, None, "no id"), (3, None, "id 3 comes after 5"), (5, None, "id 5 comes after 5"), (6, 3, None)]
     assert next(r for r in rows if r.id == 6).prev_hash == next(r for r in rows if r.id == 5 and not r.refused).hash
+
+
+def test_the_log_lands_in_many_files_and_is_linked_part_by_part(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(surface, "scratch", lambda _: str(tmp_path / "run"))
+    rows = registry.QUERIES["au2_stream"](spark, sf_dir)
+    assert rows.where("refused IS NOT NULL").isEmpty()
+    assert len(list((tmp_path / "run/log").glob("part-*.parquet"))) > 4  # no part is one task's
+    assert sorted(p.name for p in (tmp_path / "run/state/commits").glob("[0-9]*")) == list("0123")
+
+
+def test_json_texts_with_short_forms_are_not_walked(spark):
+    texts = [chr(c) for c in range(32)] + ['{"a":"b\\\\n"}', "\\\n\t\"", "a\x01\"\\", "plain é", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", audit.json_text("t").alias("j"))
+    assert all(r.j == (None if r.t is None else json.dumps(r.t, ensure_ascii=False)) for r in rows.collect())
+    assert "replace(" in rows._jdf.queryExecution().optimizedPlan().toString()
