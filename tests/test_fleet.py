@@ -611,3 +611,8 @@ def test_query(spark, duck, sf_dir, name):
         at = [want.columns.index(c) for c in columns]
         key = lambda row: tuple((v is None, str(v)) for v in row)
         assert sorted(got, key=key) == sorted((tuple(_plain(r[i]) for i in at) for r in want.fetchall()), key=key)
+
+
+@pytest.mark.parametrize("name", ["sk6"])
+def test_what_is_read_several_times_is_derived_once(spark, sf_dir, name):
+    assert not any("lineitem" in f for f in registry.QUERIES[name](spark, sf_dir).inputFiles())
