@@ -613,6 +613,6 @@ def test_query(spark, duck, sf_dir, name):
         assert sorted(got, key=key) == sorted((tuple(_plain(r[i]) for i in at) for r in want.fetchall()), key=key)
 
 
-@pytest.mark.parametrize("name", ["sk6", "fl14_query", "sc10", "tx13", "gn11"])
+@pytest.mark.parametrize("name", ["sk6", "fl14_query", "sk9_plan", "sc10", "tx13", "gn11"])
 def test_what_is_read_several_times_is_derived_once(spark, sf_dir, name):
     assert not any("lineitem" in f for f in registry.QUERIES[name](spark, sf_dir).inputFiles())
