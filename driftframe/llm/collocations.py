@@ -116,11 +116,7 @@ def _automata(ranges: int):
         up = tree.parents[1]
         triple = (base[first[up]] + _mixed(ids[second[up]], ids[tree.words[1]]) % several[first[up]]) % K.U64(ranges)
         triple = np.where(several[first[up]] > 1, triple, pair[up])
-        for bucket in np.unique(np.concatenate([pair, triple])):
-            own, three = pair == bucket, triple == bucket
-            two = own.copy()
-            two[up[three]] = True
-            rows.append((int(bucket), tree.part(two, own, three).automaton(ids)))
+        rows += tree.automata(pair.astype(np.int64), triple.astype(np.int64), ids)
         K.release()
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "automaton"])
 

@@ -7,10 +7,14 @@ automaton; they are found from the last words up, level by level.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import zstandard
 
 LONGEST = 4
+#: Pairs and triples whose states are found at once; a range with more comes alone.
+SEQUENCES_AT_ONCE = 1 << 18
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -48,22 +52,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def share(length: np.ndarray, arcs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """One state for all with the same arcs: the state of each of the old ones, and the length and arcs of those that remain.
+def share(length: np.ndarray, arcs: list[np.ndarray], owner: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """One state for all with the same arcs and owner: the state of each of the old ones, and the length and arcs of those that remain.
 
-    length: arcs of each old state; arcs: equally long columns, state by state. A signature puts candidates together; each is compared with
-    the first of its signature, and stays a state of its own if they differ.
+    length: arcs of each old state; arcs: equally long columns, state by state; owner: of each old state, from 0 on. A signature puts
+    candidates together; each is compared with the first of its signature, and stays a state of its own if they differ.
     """
-    start = np.cumsum(length) - length
+    start, owner = np.cumsum(length) - length, np.broadcast_to(owner, length.shape)
     place = runs(np.zeros(len(length), np.int64), length)
     value = _mix(place + 1)
     for column in arcs:
         value = _mix(value ^ _mix(column.astype(np.uint64)))
     total = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
-    signature = total[start + length] - total[start] + _mix(length)
+    signature = total[start + length] - total[start] + _mix(length) + _mix(_mix(owner))
     _, first, group = np.unique(signature, return_index=True, return_inverse=True)
     other = first[group]
-    same = length == length[other]
+    same = (length == length[other]) & (owner == owner[other])
     which = np.flatnonzero(same)
     mine, theirs = runs(start[which], length[which]), runs(start[other[which]], length[which])
     differs = np.zeros(len(mine), dtype=bool)
@@ -113,13 +117,58 @@ class Levels:
         parents = [self.parents[0][two], second[self.parents[1][three]], third[self.parents[2][four]]]
         return Levels(parents, [self.words[0][two], self.words[1][three], self.words[2][four]], [np.where(own, self.counts[0], 0)[two], self.counts[1][three], self.counts[2][four]])
 
+    def automata(self, pair: np.ndarray, triple: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(range, minimal automaton in bytes of the sequences of that range), range by range.
+
+        pair, triple: the range of each pair and triple, from 0 on; fours go along with their triple, as does its beginning, with a count
+        of 0 where that is in another range. ids: the word id of each number, rising. All sequences are put in the order of their
+        ranges once, and states are found for many ranges at once, so many ranges are little more work than few.
+        """
+        up, low = self.parents[1], np.int64(32)
+        away = np.flatnonzero(triple != pair[up])
+        key = np.concatenate([(pair << low) | np.arange(len(pair)), np.unique((triple[away] << low) | up[away])])
+        order = np.argsort(key, kind="stable")
+        key, counted = key[order], order < len(pair)
+        order = np.argsort(triple, kind="stable")
+        fours = np.bincount(self.parents[2], minlength=len(triple))
+        start = np.cumsum(fours) - fours
+        ranges, pairs = np.unique(key >> low, return_index=True)
+        pairs, triples = np.append(pairs, len(key)), np.append(np.searchsorted(triple, ranges, sorter=order), len(order))
+        size, a = pairs + triples, 0
+        while a < len(ranges):
+            b = max(a + 1, int(np.searchsorted(size, size[a] + SEQUENCES_AT_ONCE, side="right")) - 1)
+            own, three = key[pairs[a] : pairs[b]], order[triples[a] : triples[b]]
+            two, four = own & np.int64(0xFFFFFFFF), runs(start[three], fours[three])
+            second = np.searchsorted(own, (triple[three] << low) | up[three])
+            parents = [self.parents[0][two], second, np.repeat(np.arange(len(three)), fours[three])]
+            counts = [np.where(counted[pairs[a] : pairs[b]], self.counts[0][two], 0), self.counts[1][three], self.counts[2][four]]
+            yield from Levels(parents, [self.words[0][two], self.words[1][three], self.words[2][four]], counts)._in_order(own >> low, triple[three], ids)
+            a = b
+
+    def _in_order(self, pair: np.ndarray, triple: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """``automata`` where pairs and triples are in the order of their ranges and each triple's beginning is in its range."""
+        first, second = self.parents[0], self.words[0]
+        state4, length4, (word4, count4) = share(np.bincount(self.parents[2], minlength=len(triple)), [self.words[2], self.counts[2]], triple)
+        state3, length3, (word3, count3, next3) = share(np.bincount(self.parents[1], minlength=len(pair)), [self.words[1], self.counts[1], state4], pair)
+        ranges, pairs = np.unique(pair, return_index=True)
+        # where each range begins: its pairs, states and arcs; a range's first state is that of its first sequence
+        pairs = np.append(pairs, len(pair))
+        states3, states4 = np.append(state3, len(length3))[pairs], np.append(state4, len(length4))[np.append(np.searchsorted(triple, ranges), len(triple))]
+        arcs3, arcs4 = (np.concatenate([[0], np.cumsum(n)])[s] for n, s in ((length3, states3), (length4, states4)))
+        number = np.zeros(len(ids), dtype=np.int64)
+        for k, own in enumerate(ranges.tolist()):
+            p, s3, s4, a3, a4 = (slice(c[k], c[k + 1]) for c in (pairs, states3, states4, arcs3, arcs4))
+            used = np.sort(np.concatenate([first[p], second[p], word3[a3], word4[a4]]))
+            used = used[np.concatenate([[True], used[1:] != used[:-1]])]
+            number[used] = np.arange(len(used))
+            arrays = [np.diff(ids[used], prepend=0), number[first[p]], number[second[p]], self.counts[0][p], state3[p] - states3[k], length3[s3]]
+            arrays += [number[word3[a3]], count3[a3], next3[a3] - states4[k], length4[s4], number[word4[a4]], count4[a4]]
+            yield own, encode(arrays)
+
     def automaton(self, ids: np.ndarray) -> bytes:
-        """As a minimal automaton in bytes; ids: the word id of each number, rising."""
-        used = np.unique(np.concatenate([self.parents[0], *self.words]))
-        short = lambda x: np.searchsorted(used, x)
-        state4, length4, arcs4 = share(np.bincount(self.parents[2], minlength=len(self.words[1])), [short(self.words[2]), self.counts[2]])
-        state3, length3, arcs3 = share(np.bincount(self.parents[1], minlength=len(self.words[0])), [short(self.words[1]), self.counts[1], state4])
-        return encode([np.diff(ids[used], prepend=0), short(self.parents[0]), short(self.words[0]), self.counts[0], state3, length3, *arcs3, length4, *arcs4])
+        """All as one automaton."""
+        one = dict(self.automata(*(np.zeros(len(w), dtype=np.int64) for w in self.words[:2]), ids))
+        return one[0] if one else encode([np.zeros(0, np.int64)] * 12)
 
     @classmethod
     def of_automaton(cls, data: bytes) -> tuple[Levels, np.ndarray]:

@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from driftframe.llm import collocations, common, count_automata, hard_negatives, queries, vantage_trees, vectors
 
@@ -257,6 +259,46 @@ def test_automata_hold_all_counts_and_share_states():
     assert plain(united, own) == dict(want)
 
 
+@pytest.mark.parametrize("at_once", [1, 300, 1 << 18])
+def test_automata_of_many_ranges_hold_what_falls_into_each(monkeypatch, at_once):
+    monkeypatch.setattr(count_automata, "SEQUENCES_AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    ids = np.sort(rng.choice(10**12, 30, replace=False))
+    token = rng.integers(-1, 30, 2000)
+    tree = count_automata.Levels.of_tokens(token, rng.random(2000) < 0.8, rng.integers(1, 4, 2000))
+    pair, triple = rng.integers(0, 40, len(tree.words[0])) * 3, rng.integers(0, 50, len(tree.words[1])) * 3
+    triple = np.where(rng.random(len(triple)) < 0.5, pair[tree.parents[1]], triple)  # others lie in another range than their beginning
+    got = list(tree.automata(pair, triple, ids))
+    assert [r for r, _ in got] == sorted({*pair.tolist(), *triple.tolist()})
+    for r, data in got:
+        own, three = pair == r, triple == r
+        two = own | np.isin(np.arange(len(pair)), tree.parents[1][three])
+        assert plain(*count_automata.Levels.of_automaton(data)) == plain(tree.part(two, own, three), ids)
+        assert data == tree.part(two, own, three).automaton(ids)
+    united, used = count_automata.union([data for _, data in got])
+    assert plain(united, used) == plain(tree, ids)
+    assert list(tree.part(np.zeros(len(pair), bool), np.zeros(len(pair), bool), np.zeros(len(triple), bool)).automata(pair[:0], triple[:0], ids)) == []
+
+
+def test_many_ranges_are_little_more_work_than_few():
+    """A group's work must not grow with the number of ranges, which grows with the input."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(600)]
+    texts = pa.table({"lang": ["en"] * 60, "text": [" ".join(rng.choice(words, 2000)) for _ in range(60)], "times": [1] * 60})
+    known = pa.table({"lang": ["en"] * 600, "word": words, "id": range(600), "splits": [1] * 600})
+
+    def seconds(ranges):
+        took = []
+        for _ in range(2):
+            began = time.process_time()
+            collocations._automata(ranges)(texts, known)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    seconds(1)
+    assert seconds(1000) < 4 * seconds(5)
+
+
 def test_states_are_one_only_if_their_arcs_are_equal(monkeypatch):
     """Also where all signatures are equal."""
     monkeypatch.setattr(count_automata, "_mix", lambda x: np.zeros(len(x), dtype=np.uint64))
